@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loam.llm import sharding, url_filter
+from loam.llm import pieces, sharding, url_filter
 from loam.session import table
 
 QUERIES: dict = {}
@@ -56,3 +56,15 @@ def op8(spark, sf_dir):
 @query("op10_sharding")
 def op10(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents"), 40)
+
+
+def piece_model() -> str:
+    """The public merge-type vocabulary of 32,000 pieces."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query("op9_sentencepiece")
+def op9(spark, sf_dir):
+    return pieces.digest(table(spark, sf_dir, "documents"), piece_model())
