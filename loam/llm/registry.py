@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loam.llm import pieces, sharding, url_filter
+from loam.llm import pieces, secrets, sharding, url_filter
 from loam.session import table
 
 QUERIES: dict = {}
@@ -68,3 +68,30 @@ def piece_model() -> str:
 @query("op9_sentencepiece")
 def op9(spark, sf_dir):
     return pieces.digest(table(spark, sf_dir, "documents"), piece_model())
+
+
+def _span_sql(nth: int, pattern: str, group: int, least: int) -> str:
+    p = pattern.replace("'", "''")
+    return f"""
+  SELECT doc_id, {nth} AS k, x.s AS s, x.s + x.l AS e
+  FROM (SELECT doc_id, unnest(list_transform(range(1, len(m) + 1), lambda i: struct_pack(
+          s := list_sum(list_transform(g[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(m[1:i-1], lambda y: length(y))), 0),
+          l := length(m[i]), p := length(q[i])))) AS x
+        FROM (SELECT doc_id, regexp_extract_all(t, '{p}') AS m, regexp_extract_all(t, '{p}', {group}) AS q, regexp_split_to_array(t, '{p}') AS g
+              FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)))
+  WHERE x.p >= {least}"""
+
+
+OP2_SQL = "WITH s AS (" + " UNION ALL ".join(_span_sql(i, r.pattern, r.group, r.least) for i, r in enumerate(secrets.RULES)) + """),
+a AS (SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+        string_agg(['assign', 'access', 'hex'][k + 1] || ':' || s || ':' || e, ',' ORDER BY s, k, e) AS spans
+      FROM (SELECT doc_id, k, CAST(s AS BIGINT) AS s, CAST(e AS BIGINT) AS e FROM s) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents d LEFT JOIN a USING (doc_id)
+"""
+
+
+@query("op2_secret_scan", OP2_SQL)
+def op2(spark, sf_dir):
+    return secrets.digest(table(spark, sf_dir, "documents"))
