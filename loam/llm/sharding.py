@@ -2,8 +2,8 @@
 
 The law is ``bytes``: shard sizes are near equal, each within one record of ``total / shards``.
 
-Records are ordered by ``(hash of the text, doc_id, text checksum)``, so equal texts lie together
-and go to one shard unless a shard boundary falls between them. A size-weighted sample of these
+Records are ordered by a key whose high bits hash the text and whose low bits hash the id, so equal
+texts lie together and go to one shard unless a shard boundary falls between them. A size-weighted sample of these
 keys gives quantile boundaries; records are range-partitioned by them into many more ranges than
 shards (``ranges_per_shard``). A range that a boundary of two shards falls into, or that holds more
 than its share, is subdivided where the running size crosses a multiple of ``total / shards``: the
@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from loam.session import cut
 
 RECORD_OVERHEAD = 16
+#: The key's bits that come from the id: they order the copies of one text, so splitters can cut a hot text.
+LOW = (1 << 24) - 1
 
 
 def keys_of(docs: DataFrame) -> DataFrame:
@@ -36,7 +38,7 @@ def keys_of(docs: DataFrame) -> DataFrame:
         "doc_id",
         (F.octet_length(text).cast("long") + RECORD_OVERHEAD).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.xxhash64(text).alias("key"),
+        F.xxhash64(text).bitwiseAND(F.lit(~LOW)).bitwiseOR(F.xxhash64("doc_id").bitwiseAND(F.lit(LOW))).alias("key"),
     )
 
 
