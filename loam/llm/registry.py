@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loam.llm import decontaminate, pieces, secrets, sharding, url_filter
+from loam.llm import decontaminate, pieces, secrets, sharding, substring_dedup, url_filter
 from loam.session import table
 
 QUERIES: dict = {}
@@ -111,3 +111,21 @@ FROM d JOIN ie USING (g) GROUP BY doc_id, item_id, n HAVING count(*) >= 0.8 * n
 @query("op4_decontamination", OP4_SQL)
 def op4(spark, sf_dir):
     return decontaminate.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP6_SQL = r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, unnest(range(1, len(w) - 11)) AS i, w FROM w WHERE len(w) >= 13),
+h AS (SELECT doc_id, i, array_to_string(w[i:i+12], ' ') AS g FROM g),
+m AS (SELECT g, min(doc_id) AS first FROM h GROUP BY g),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS k FROM h JOIN m USING (g) WHERE first < doc_id),
+r AS (SELECT doc_id, list(k) AS gone FROM c GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(array_to_string(list_transform(list_filter(range(1, len(w) + 1), lambda k: gone IS NULL OR NOT list_contains(gone, k)), lambda k: w[k]), ' '), '')) AS kept_sha256
+FROM w LEFT JOIN r ON w.doc_id = r.doc_id
+"""
+
+
+@query("op6_substring_dedup", OP6_SQL)
+def op6(spark, sf_dir):
+    return substring_dedup.digest(table(spark, sf_dir, "documents"))
