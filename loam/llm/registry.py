@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from loam.llm import decontaminate, pieces, secrets, sharding, substring_dedup, url_filter
+from loam.llm import decontaminate, pieces, secrets, sharding, substring_dedup, topk, url_filter
+from pyspark.sql import functions as F
+
 from loam.session import table
 
 QUERIES: dict = {}
@@ -129,3 +131,19 @@ FROM w LEFT JOIN r ON w.doc_id = r.doc_id
 @query("op6_substring_dedup", OP6_SQL)
 def op6(spark, sf_dir):
     return substring_dedup.digest(table(spark, sf_dir, "documents"))
+
+
+OP1_SQL = r"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 5
+"""
+
+
+@query("op1_topk", OP1_SQL)
+def op1(spark, sf_dir):
+    rows = topk.integer_vectors(table(spark, sf_dir, "embeddings"))
+    return topk.search(rows, rows.where(F.col("id") % 50 == 0), 5)
