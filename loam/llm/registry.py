@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loam.llm import decontaminate, pieces, secrets, sharding, substring_dedup, topk, url_filter
+from loam.llm import decontaminate, language_id, pieces, secrets, sharding, substring_dedup, topk, url_filter
 from pyspark.sql import functions as F
 
 from loam.session import table
@@ -147,3 +147,8 @@ FROM s QUALIFY rank <= 5
 def op1(spark, sf_dir):
     rows = topk.integer_vectors(table(spark, sf_dir, "embeddings"))
     return topk.search(rows, rows.where(F.col("id") % 50 == 0), 5)
+
+
+@query("op3_language_id")
+def op3(spark, sf_dir):
+    return language_id.digest(table(spark, sf_dir, "documents"))
