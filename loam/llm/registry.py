@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loam.llm import decontaminate, language_id, pieces, secrets, sharding, substring_dedup, topk, url_filter
+from loam.llm import decontaminate, jaccard_join, language_id, pieces, secrets, sharding, substring_dedup, topk, url_filter
 from pyspark.sql import functions as F
 
 from loam.session import table
@@ -152,3 +152,22 @@ def op1(spark, sf_dir):
 @query("op3_language_id")
 def op3(spark, sf_dir):
     return language_id.digest(table(spark, sf_dir, "documents"))
+
+
+OP7_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' '))) END AS s FROM w),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+o AS (SELECT x.doc_id AS a, y.doc_id AS b, x.n AS na, y.n AS nb, count(*) AS c FROM e x JOIN e y ON x.g = y.g AND x.doc_id <> y.doc_id
+      WHERE 100 * least(x.n, y.n) >= 85 * greatest(x.n, y.n) GROUP BY ALL),
+l AS (SELECT a, b FROM o WHERE 100 * c >= 85 * (na + nb - c)),
+r(doc_id, root) AS (SELECT doc_id, doc_id FROM s UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.doc_id WHERE r.root < l.b)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, m.c AS component_id
+FROM s JOIN (SELECT doc_id, min(root) AS c FROM r GROUP BY doc_id) m USING (doc_id)
+"""
+
+
+@query("op7_jaccard_join", OP7_SQL)
+def op7(spark, sf_dir):
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
