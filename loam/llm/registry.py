@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loam.llm import decontaminate, jaccard_join, language_id, pieces, secrets, sharding, substring_dedup, topk, url_filter
+from loam.llm import decontaminate, jaccard_join, language_id, pieces, secrets, sharding, substring_dedup, suffix_dedup, topk, url_filter
 from pyspark.sql import functions as F
 
 from loam.session import table
@@ -171,3 +171,8 @@ FROM s JOIN (SELECT doc_id, min(root) AS c FROM r GROUP BY doc_id) m USING (doc_
 @query("op7_jaccard_join", OP7_SQL)
 def op7(spark, sf_dir):
     return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
+@query("op5_suffix_dedup")
+def op5(spark, sf_dir):
+    return suffix_dedup.digest(table(spark, sf_dir, "documents"))
