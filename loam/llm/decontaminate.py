@@ -1,14 +1,15 @@
 """Benchmark decontamination by size-partitioned MinHash containment, with DataFrame functions only.
 
-A text becomes words (lower-cased runs of letters and digits) and then shingles of ``WORDS`` words.
+A text becomes words (lower-cased; ``GAPS`` parts them) and then shingles of ``WORDS`` words.
 An item is *contained* in a document if at least ``threshold`` of its distinct shingles occur there.
 
 Items are partitioned by their number of shingles into size classes that double. A class has a
-sketch size ``m``: one more than the shingles that a contained item of the class may lack. The
-sketch of an item is its ``m`` smallest shingle hashes (bottom-m MinHash), so a document that
-contains the item shares a sketch hash with it: the search has full recall by counting, not by
-chance. The largest sketch hash over all classes is a ceiling under which a document's own hashes
-must lie to matter, which thins long documents before any row is made of them.
+sketch size ``m``: twice the shingles that a contained item of the class may lack, and three. The
+sketch of an item is its ``m`` smallest shingle hashes (bottom-m MinHash). A document that contains
+the item lacks no more of the sketch than it may lack of the item, so candidates are the documents
+that have the rest of it: the search has full recall by counting, not by chance. The largest sketch
+hash over all classes is a ceiling under which a document's own hashes must lie to matter, which
+thins long documents before any row is made of them.
 
 Candidates are verified exactly: the item's shingles, as texts, that the document has are counted.
 
@@ -32,9 +33,13 @@ WORDS = 5
 BROADCAST_ROWS = 500_000
 
 
+#: What parts words: ASCII and Latin-1 characters that are no letter or digit, general and CJK punctuation.
+GAPS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\xA9\xAB-\xB4\xB6-\xB9\xBB-\xBF\xD7\xF7\u2000-\u206F\u3000-\u303F]+"
+
+
 def words_of(text: Column) -> Column:
-    """Lower-cased runs of letters and digits."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    """Lower-cased words. Project it under a name before use: in a lambda it would run for each element."""
+    return F.array_remove(F.split(F.lower(text), GAPS), "")
 
 
 def hashes_of(words: Column, k: int = WORDS) -> Column:
@@ -65,26 +70,27 @@ def sketches(items: DataFrame, threshold: float) -> DataFrame:
     n = F.size("shingles")
     size_class = F.floor(F.log2(n)).cast("int")  # sizes from 2^class up to, but not including, 2^(class + 1)
     top = F.pow(F.lit(2.0), size_class + 1) - 1
-    m = F.least(n, (F.floor(top * (1 - threshold) + 1e-9) + 1).cast("int"))
-    return s.select("item_id", n.alias("n"), size_class.alias("size_class"), "shingles", F.slice("h", F.lit(1), m).alias("sketch"))
+    m = F.least(F.size("h"), (2 * F.floor(top * (1 - threshold) + 1e-9) + 3).cast("int"))
+    lack = n - F.ceil(n * F.lit(threshold) - 1e-9).cast("int")
+    return s.select("item_id", n.alias("n"), size_class.alias("size_class"), "shingles", F.slice("h", F.lit(1), m).alias("sketch"), (m - lack).alias("least"))
 
 
 def search(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -> DataFrame:
     """``doc_id, item_id, n_shingles, n_shared, containment`` of every contained item."""
     known = cut(sketches(items, threshold))
-    probe = known.select("item_id", F.explode("sketch").alias("h"))
+    probe = known.select("item_id", "least", F.explode("sketch").alias("h"))
     stats = probe.agg(F.count("*").alias("n"), F.max("h").alias("ceiling")).first()
     out = ["doc_id", "item_id", "n_shingles", "n_shared", "containment"]
     if not stats["n"]:
         return docs.crossJoin(items).where(F.lit(False)).select("doc_id", "item_id", F.lit(0).cast("long").alias("n_shingles"), F.lit(0).cast("long").alias("n_shared"), F.lit(0.0).alias("containment"))
-    low = docs.select("doc_id", words_of(F.col("text")).alias("w")).where(F.size("w") >= WORDS)
-    low = low.select("doc_id", F.explode(F.filter(hashes_of(F.col("w")), lambda h: h <= F.lit(stats["ceiling"]))).alias("h"))
-    pairs = low.join(bounded(probe, stats["n"]), "h").select("doc_id", "item_id").distinct()
-    pairs = cut(pairs)
+    low = docs.select("doc_id", words_of(F.col("text")).alias("w"))
+    low = low.select("doc_id", F.explode(hashes_of(F.col("w"))).alias("h")).where(F.col("h") <= F.lit(stats["ceiling"]))
+    met = low.join(bounded(probe, stats["n"]), "h").groupBy("doc_id", "item_id", "least").agg(F.count_distinct("h").alias("met"))
+    pairs = cut(met.where(F.col("met") >= F.col("least")).select("doc_id", "item_id"))
     ids = pairs.select("doc_id").distinct()
     n = ids.count()
     near = docs.select("doc_id", "text").join(bounded(ids, n), docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
-    have = near.select("doc_id", F.array_distinct(shingles_of(words_of(F.col("text")))).alias("have"))
+    have = near.select("doc_id", words_of(F.col("text")).alias("w")).select("doc_id", F.array_distinct(shingles_of(F.col("w"))).alias("have"))
     both = have.alias("d").join(pairs.alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.doc_id"))).select(F.col("d.doc_id").alias("doc_id"), "item_id", "have")
     shared = both.alias("b").join(bounded(known, known.count()).alias("k"), F.col("b.item_id").eqNullSafe(F.col("k.item_id"))).select(
         "doc_id",

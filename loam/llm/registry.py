@@ -99,15 +99,16 @@ def op2(spark, sf_dir):
     return secrets.digest(table(spark, sf_dir, "documents"))
 
 
+_GAPS = decontaminate.GAPS.replace("\\u2000", "\\x{2000}").replace("\\u206F", "\\x{206F}").replace("\\u3000", "\\x{3000}").replace("\\u303F", "\\x{303F}")
 OP4_SQL = r"""
-WITH iw AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM benchmark WHERE text IS NOT NULL),
+WITH iw AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '@GAPS'), lambda w: w <> '') AS w FROM benchmark WHERE text IS NOT NULL),
 i AS (SELECT item_id, list_distinct(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k+4], ' '))) AS s FROM iw WHERE len(w) >= 5),
 ie AS (SELECT item_id, len(s) AS n, unnest(s) AS g FROM i),
-dw AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM documents WHERE text IS NOT NULL),
+dw AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '@GAPS'), lambda w: w <> '') AS w FROM documents WHERE text IS NOT NULL),
 d AS (SELECT doc_id, unnest(list_distinct(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k+4], ' ')))) AS g FROM dw WHERE len(w) >= 5)
 SELECT doc_id, item_id, CAST(n AS BIGINT) AS n_shingles, count(*) AS n_shared, round(count(*) / n, 6) AS containment
 FROM d JOIN ie USING (g) GROUP BY doc_id, item_id, n HAVING count(*) >= 0.8 * n - 1e-9
-"""
+""".replace("@GAPS", _GAPS)
 
 
 @query("op4_decontamination", OP4_SQL)
