@@ -41,19 +41,24 @@ from loam.session import shuffle_width
 
 LENGTH = 50
 ANCHOR = 24
-BUCKET_BYTES = 12_000_000
-PIECE = 1_000_000
+BUCKET_BYTES = 4_000_000
+PIECE = 500_000
 LOW = np.uint64((1 << 24) - 1)
 TEXTS = "<i8 <u1 <i8 ."
 RUN = "<u1 . <i4 <i8 <i4 <u1 <u1 . <i8 <i4 <i4"
 
 
+def bucket_of(ids: np.ndarray, buckets: int) -> np.ndarray:
+    return (bw.mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+
+
 def _pack(buckets: int):
     """mapInArrow: texts packed by the bucket of their id."""
 
     def run(batches):
         for batch in batches:
-            ids, null, bucket = batch.column(0).fill_null(0).to_numpy(), batch.column(0).is_null().to_numpy(zero_copy_only=False), batch.column(2).to_numpy()
+            ids, null = batch.column(0).fill_null(0).to_numpy(), batch.column(0).is_null().to_numpy(zero_copy_only=False)
+            bucket = bucket_of(ids, buckets)
             order = np.argsort(bucket, kind="stable")
             text = batch.column(1)
             held, rows_b, rows_p = [], [], []
@@ -355,7 +360,12 @@ def _judge(buckets: int):
             new = np.r_[True, (d[1:] != d[:-1]) | (a[1:] > reach[:-1])]
             at = np.flatnonzero(new)
             d, a, b = d[at], a[at], np.r_[reach[at[1:] - 1], reach[-1:]]
-        return pa.table({"doc_id": pa.array(d, pa.int64()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        home = bucket_of(d, buckets)
+        order = np.argsort(home, kind="stable")
+        home, d, a, b = home[order], d[order], a[order], b[order]
+        at = np.r_[np.flatnonzero(np.diff(home, prepend=-1)), len(home)]
+        rows = [bw.pack(d[i:j].astype("<i8"), a[i:j].astype("<i8"), b[i:j].astype("<i8")) for i, j in zip(at[:-1].tolist(), at[1:].tolist())]
+        return pa.table({"bucket": pa.array(home[at[:-1]], pa.int32()), "payload": pa.array(rows, pa.binary())})
 
     return run
 
@@ -373,8 +383,10 @@ def covered(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def _digest(left: pa.Table, right: pa.Table) -> pa.Table:
     """cogrouped: texts of a bucket without the ranges that go."""
-    order = np.argsort(right.column("doc_id").to_numpy(), kind="stable") if right.num_rows else np.zeros(0, np.int64)
-    d, a, b = (right.column(c).to_numpy()[order] if right.num_rows else np.zeros(0, np.int64) for c in ("doc_id", "a", "b"))
+    parts = [bw.unpack(p.as_py(), "<i8 <i8 <i8") for p in right.column("payload")]
+    d, a, b = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64) for _ in range(3))
+    order = np.argsort(d, kind="stable")
+    d, a, b = d[order], a[order], b[order]
     out: list[list] = [[], [], [], [], []]
     for ids, null, texts in _texts(left):
         lo, hi = np.searchsorted(d, ids, "left").tolist(), np.searchsorted(d, ids, "right").tolist()
@@ -394,11 +406,9 @@ def digest(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` for every row."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(shuffle_width(docs.sparkSession), total // BUCKET_BYTES + 1)
-    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")
-    packed = docs.select("doc_id", "text", bucket.alias("bucket")).mapInArrow(_pack(buckets), "bucket int, payload binary")
+    packed = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_pack(buckets), "bucket int, payload binary")
     sent = packed.groupBy("bucket").applyInArrow(_hashes(buckets), "target int, source int, payload binary")
     known = sent.groupBy("target").applyInArrow(_repeated, "bucket int, payload binary")
     runs = packed.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(_runs(buckets), "target int, payload binary")
-    ranges = runs.groupBy("target").applyInArrow(_judge(buckets), "doc_id long, a long, b long")
-    placed = ranges.withColumn("bucket", bucket)
-    return packed.groupBy("bucket").cogroup(placed.groupBy("bucket")).applyInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    ranges = runs.groupBy("target").applyInArrow(_judge(buckets), "bucket int, payload binary")
+    return packed.groupBy("bucket").cogroup(ranges.groupBy("bucket")).applyInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
