@@ -14,11 +14,12 @@ a corpus with ``g`` of them share a hash with odds of about g**2 / 2**65). Docum
    global order (``p`` from the size and the threshold), so the prefixes' n-grams are the trie's
    entry nodes: postings ``(n-gram, document, size, place)`` are dealt by n-gram. Nodes with one
    document are pruned.
-4. *Rounds.* First each node sends pairs of its smallest document with each other one, from the
-   first ``HEAD`` places of the prefixes, which finds most links. Then all pairs of documents of a
-   node that lie in different components so far, if sizes and places leave enough overlap: what
-   is in one component needs no further look, so a large group of copies does not give all its
-   pairs, and no link between components is lost.
+4. *Rounds.* A node's documents are compared by their sizes and by *parity bitmaps* (each hash of a
+   set flips a bit; two bitmaps differ in no more bits than the sets differ in elements), which
+   rules out almost all pairs that don't link and none that do. First each bucket sends a forest of
+   what is left: a pair only if nothing before joins its documents. Then it sends all pairs that are
+   left between components as verified so far. What is in one component needs no further look, so a
+   large group of copies does not give all its pairs, and no link between components is lost.
 5. *Lower levels.* A pair's sets meet at the smaller id (a large one's partners are dealt over
    many tasks). There the partners' ordered sets form a trie, which is traversed depth first along
    their sorted order: what a path shares with the one before is not counted again, and a subtree
@@ -45,8 +46,8 @@ from loam.session import cut, shuffle_width
 FREQUENT_LEAST = 64
 FREQUENT_MAX = 500_000
 BROADCAST_IDS = 1_000_000
-HEAD = 3
 BUCKET_BYTES = 16_000_000
+NODE_BYTES = 60_000_000  # of texts behind a bucket of postings
 CELL_BYTES = 6_000_000
 MEMBERS = 1000
 SHORT = np.uint64(24)  # postings and counts name an n-gram by the upper 40 bits of its hash
@@ -78,13 +79,29 @@ def sets_of(data: np.ndarray, starts: np.ndarray, n: int) -> tuple[np.ndarray, n
     return d[new], h[new], np.bincount(d[new], minlength=docs)
 
 
+def bitmap_bits(size: np.ndarray) -> np.ndarray:
+    """Bits of a set's parity bitmap: a power of two of at least its size, and of 256."""
+    return 1 << np.maximum(8, np.ceil(np.log2(np.maximum(size, 1)))).astype(np.int64)
+
+
+def bitmaps(d: np.ndarray, h: np.ndarray, size: np.ndarray) -> list[bytes]:
+    """The parity bitmap of each document of a chunk: each hash flips the bit of its upper bits."""
+    bits = bitmap_bits(size)
+    begin = np.cumsum(bits) - bits
+    at = begin[d] + ((h >> SHORT) & (bits[d] - 1).astype(np.uint64)).astype(np.int64)
+    odd = (np.bincount(at, minlength=int(bits.sum())) & 1).astype(np.uint8)
+    raw = np.packbits(odd, bitorder="little").tobytes()
+    return [raw[a : a + n] for a, n in zip((begin // 8).tolist(), (bits // 8).tolist())]
+
+
 def _signatures(n: int):
-    """mapInArrow: (doc_id, n, s1, s2), two sums over the set's hashes."""
+    """mapInArrow: (doc_id, n, s1, s2, bits): two sums over the set's hashes, and its parity bitmap."""
 
     def run(batches):
         for batch in batches:
             ids = pa.array(np.arange(batch.num_rows))
             size, one, two = (np.zeros(batch.num_rows, t) for t in (np.int64, np.uint64, np.uint64))
+            maps: list[bytes] = [b""] * batch.num_rows
             for rows, data, starts in bw.chunks([pa.record_batch([ids, batch.column(1)], names=["i", "t"])]):
                 d, h, count = sets_of(data, starts, n)
                 size[rows] = count
@@ -92,7 +109,9 @@ def _signatures(n: int):
                 for to, values in ((one, h), (two, bw.mix(h + np.uint64(77)) | np.uint64(1))):
                     sums = np.r_[np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)]
                     to[rows] = sums[edge[1:]] - sums[edge[:-1]]
-            yield pa.record_batch([batch.column(0), pa.array(size), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], names=["doc_id", "n", "s1", "s2"])
+                for i, m in zip(rows.tolist(), bitmaps(d, h, count)):
+                    maps[i] = m
+            yield pa.record_batch([batch.column(0), pa.array(size), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(maps, pa.binary())], names=["doc_id", "n", "s1", "s2", "bits"])
 
     return run
 
@@ -180,26 +199,6 @@ def _nodes(table: pa.Table) -> pa.Table:
     return pa.table({"bucket": table.column("bucket")[:1], "payload": pa.array([bw.pack(token[order], doc[order], size[order], place[order])], pa.binary())})
 
 
-def _stars(num: int, den: int):
-    """mapInArrow: pairs of a node's smallest document and each other one, from the prefixes' heads."""
-
-    def run(batches):
-        for batch in batches:
-            for p in batch.column(1):
-                token, doc, size, place = bw.unpack(p.as_py(), NODE)
-                head = place < HEAD
-                token, doc, size = token[head], doc[head], size[head].astype(np.int64)
-                if len(token) < 2:
-                    continue
-                first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-                centre = np.repeat(first, np.diff(np.r_[first, len(token)]))
-                a, b, x, y = doc[centre], doc, size[centre], size
-                ok = (a != b) & (den * np.minimum(x, y) >= num * np.maximum(x, y))
-                yield _pairs(a[ok], b[ok])
-
-    return run
-
-
 def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     lo, hi = np.minimum(a, b), np.maximum(a, b)
     order = np.lexsort((hi, lo))
@@ -208,40 +207,98 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.record_batch([pa.array(lo[new]), pa.array(hi[new])], names=["a", "b"])
 
 
-def _explode(batches):
-    """mapInArrow: nodes as rows, for the join with the components."""
+def _members(batches):
+    """mapInArrow: (bucket, doc) of every document that has a node in a bucket."""
     for batch in batches:
         for bucket, p in zip(batch.column(0), batch.column(1)):
-            token, doc, size, place = bw.unpack(p.as_py(), NODE)
-            for i in range(0, len(token), 100_000):
-                s = slice(i, i + 100_000)
-                yield pa.record_batch([pa.array(np.full(len(token[s]), bucket.as_py(), np.int32)), pa.array(token[s].astype(np.int64)), pa.array(doc[s]), pa.array(size[s]), pa.array(place[s])], names=["bucket", "token", "doc", "size", "place"])
-
-
-def _across(num: int, den: int):
-    """applyInArrow: pairs of a node's documents in different components that sizes and places allow."""
-
-    def run(table: pa.Table) -> pa.Table:
-        token, doc, root, size, place = (table.column(c).to_numpy() for c in ("token", "doc", "root", "size", "place"))
-        order = np.lexsort((doc, token))
-        token, doc, root, size, place = token[order], doc[order], root[order], size[order].astype(np.int64), place[order].astype(np.int64)
-        first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-        last = np.r_[first[1:], len(token)]
-        mixed = np.minimum.reduceat(root, first) != np.maximum.reduceat(root, first)
+            doc = np.unique(bw.unpack(p.as_py(), NODE)[1])
+            yield pa.record_batch([pa.array(np.full(len(doc), bucket.as_py(), np.int32)), pa.array(doc)], names=["bucket", "doc"])
+
+
+class Bitmaps:
+    """Parity bitmaps of many documents, comparable at the smaller size of two."""
+
+    def __init__(self, size: np.ndarray, raw: list[bytes]):
+        self.level = np.log2(bitmap_bits(size)).astype(np.int64)
+        self.row, self.bits = {}, {}
+        for c in np.unique(self.level).tolist():
+            for to in (c, c - 1):  # as it is, and folded for documents of the class below
+                self.row.setdefault(to, np.full(len(size), -1, np.int64))
+        for c in self.row:
+            own, above = np.flatnonzero(self.level == c), np.flatnonzero(self.level == c + 1)
+            words = max(1, (1 << c) // 64)
+            m = np.zeros((len(own) + len(above), words), np.uint64)
+            for k, i in enumerate(own.tolist()):
+                m[k] = np.frombuffer(raw[i], np.uint64)
+            for k, i in enumerate(above.tolist()):
+                x = np.frombuffer(raw[i], np.uint64)
+                m[len(own) + k] = x[: len(x) // 2] ^ x[len(x) // 2 :]
+            self.row[c][own], self.row[c][above] = np.arange(len(own)), len(own) + np.arange(len(above))
+            self.bits[c] = m
+
+    def differ(self, i: int, j: np.ndarray) -> np.ndarray:
+        """A lower bound of how many elements the sets of ``i`` and of each of ``j`` differ in."""
+        out = np.zeros(len(j), np.int64)
+        both = np.minimum(self.level[i], self.level[j])
+        for c in np.unique(both).tolist():
+            at = np.flatnonzero(both == c)
+            a, b = self.row[c][i], self.row[c][j[at]]
+            ok = (b >= 0) & (a >= 0)  # classes further apart can't link, their sizes say
+            out[at[ok]] = np.bitwise_count(self.bits[c][b[ok]] ^ self.bits[c][a]).sum(axis=1)
+        return out
+
+
+def _unite(root: np.ndarray, groups: dict[int, list[int]], a: int, b: int) -> None:
+    """The smaller of two groups takes the larger one's name."""
+    if len(groups[a]) < len(groups[b]):
+        a, b = b, a
+    gone = groups.pop(b)
+    root[gone] = a
+    groups[a] += gone
+
+
+def _links(num: int, den: int, forest: bool):
+    """cogrouped: pairs of a bucket's documents that share a node, are in different components, and
+    that sizes and bitmaps allow; with ``forest`` only pairs that join what no pair before joins."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = [np.zeros((0, 2), np.int64)]
-        held = 0
-        for lo, hi in zip(first[mixed].tolist(), last[mixed].tolist()):
-            for i in range(lo, hi - 1):
-                j = np.arange(i + 1, hi)
-                j = j[root[j] != root[i]]
-                j = j[den * np.minimum(size[j], size[i]) >= num * np.maximum(size[j], size[i])]
-                room = np.minimum(size[j] - place[j], size[i] - place[i])
-                j = j[room >= least_overlap(size[j], size[i], num, den)]
-                if len(j):
-                    out.append(np.stack([np.full(len(j), doc[i]), doc[j]], 1))
-                    held += len(j)
-            if held > 500_000:
-                out, held = [np.unique(np.concatenate(out), axis=0)], 0
+        if left.num_rows and right.num_rows:
+            order = np.argsort(right.column("doc").to_numpy())
+            doc, size, root = (right.column(c).to_numpy()[order] for c in ("doc", "n", "root"))
+            raw = right.column("bits").to_pylist()
+            maps = Bitmaps(size, [raw[i] for i in order.tolist()])
+            root = np.unique(root, return_inverse=True)[1]
+            groups = {r: [i] for i, r in enumerate(root.tolist())} if forest else {}  # a forest starts from single documents
+            seen: set[bytes] = set()
+            for p in left.column("payload"):
+                token, d, _, _ = bw.unpack(p.as_py(), NODE)
+                at = np.searchsorted(doc, d)
+                first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+                last = np.r_[first[1:], len(token)]
+                for lo, hi in zip(first.tolist(), last.tolist()):
+                    node = at[lo:hi]
+                    if (root[node] == root[node[0]]).all():
+                        continue
+                    key = node.tobytes()
+                    if key in seen:  # the same documents meet in many nodes
+                        continue
+                    seen.add(key)
+                    node = np.unique(node)
+                    node = node[np.argsort(size[node], kind="stable")]
+                    top = np.searchsorted(size[node] * num, size[node] * den, "right")  # den * small >= num * large
+                    for k, i in enumerate(node.tolist()):
+                        j = node[k + 1 : top[k]]
+                        j = j[root[j] != root[i]]
+                        if len(j):
+                            allowed = size[i] + size[j] - 2 * least_overlap(size[i], size[j], num, den)
+                            j = j[maps.differ(i, j) <= allowed]
+                        if forest and len(j):
+                            j = j[np.unique(root[j], return_index=True)[1]]
+                            for x in j.tolist():
+                                _unite(root, groups, int(root[i]), int(root[x]))
+                        if len(j):
+                            out.append(np.stack([np.full(len(j), doc[i]), doc[j]], 1))
         both = np.concatenate(out)
         return pa.Table.from_batches([_pairs(both[:, 0], both[:, 1])])
 
@@ -324,34 +381,39 @@ def verified(pairs: DataFrame, texts: DataFrame, mean_bytes: float, n: int, num:
 def join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row."""
     spark = docs.sparkSession
-    rows = cut(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_signatures(n), "doc_id long, n long, s1 long, s2 long"))
+    sets = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_signatures(n), "doc_id long, n long, s1 long, s2 long, bits binary")
+    rows = cut(sets)
     named = rows.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     classes = named.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
     member = cut(named.join(classes, ["n", "s1", "s2"]).select("doc_id", "rep").distinct())
     copies = member.where(F.col("doc_id") != F.col("rep")).select("doc_id")
-    n_copies = copies.count()
-    able = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text").dropDuplicates(["doc_id"]) if named.count() != named.select("doc_id").distinct().count() else docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
-    texts = able.join(F.broadcast(copies) if n_copies <= BROADCAST_IDS else copies, "doc_id", "left_anti")
-    stats = texts.agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("n")).first()
+    stats = docs.agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("n")).first()
     total, mean = stats["b"] or 0, (stats["b"] or 0) / max(1, stats["n"])
+    texts = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
+    texts = texts.join(F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies, "doc_id", "left_anti")
     buckets = max(shuffle_width(spark), total // BUCKET_BYTES + 1)
     grams = named.agg(F.sum("n")).first()[0] or 0
     least = max(FREQUENT_LEAST, grams // (4 * FREQUENT_MAX) + 1)  # a quarter of the postings is counted
     hot = texts.mapInArrow(_counts(n, buckets), "bucket int, payload binary").groupBy("bucket").applyInArrow(_frequent(least), "token long, df long")
     frequent = spark.sparkContext.broadcast(np.sort(np.array([r["token"] for r in hot.select("token").toLocalIterator()], np.uint64)))
-    posted = texts.mapInArrow(_postings(n, num, den, frequent, buckets), "bucket int, payload binary")
+    posted = texts.mapInArrow(_postings(n, num, den, frequent, total // NODE_BYTES + 1), "bucket int, payload binary")
     nodes = cut(posted.groupBy("bucket").applyInArrow(_nodes, "bucket int, payload binary"))
-    links = cut(verified(cut(nodes.mapInArrow(_stars(num, den), "a long, b long").distinct()), texts, mean, n, num, den))
+    facts = named.select(F.col("doc_id").alias("doc"), "n", "bits").dropDuplicates(["doc"])
+    known = cut(nodes.mapInArrow(_members, "bucket int, doc long").distinct().join(facts, "doc"))
+
+    def candidates(root: DataFrame | None, forest: bool) -> DataFrame:
+        placed = known.withColumn("root", F.col("doc")) if root is None else known.join(root.select(F.col("id").alias("doc"), "root"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
+        return cut(nodes.groupBy("bucket").cogroup(placed.groupBy("bucket")).applyInArrow(_links(num, den, forest), "a long, b long").distinct())
+
+    links = cut(verified(candidates(None, True), texts, mean, n, num, den))
     roots = components(links)
-    spread = nodes.mapInArrow(_explode, "bucket int, token long, doc long, size int, place int")
-    placed = spread.join(roots.select(F.col("id").alias("doc"), "root"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
-    more = cut(placed.groupBy("bucket").applyInArrow(_across(num, den), "a long, b long").distinct())
+    more = candidates(roots, False)
     if not more.isEmpty():
         found = cut(verified(more, texts, mean, n, num, den))
         if not found.isEmpty():
             roots = components(links.union(found))
     reach = member.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("component_id"))
-    return rows.join(reach, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return rows.select("doc_id", "n").join(reach, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def dedup(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
