@@ -27,13 +27,29 @@ CODE_EXTENSIONS = (
 def binary_listing(spark: SparkSession, root: str) -> DataFrame:
     """``path, modified_at, accessed_at, size_bytes, content`` of a tree, by Spark's file reader.
 
-    The reader knows no access time; the modification stands in for it.
+    The reader knows no access time, so the modification stands in for it; and it leaves out empty
+    files, so those are added from the file system's own listing.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    files = files.unionByName(spark.createDataFrame(_empty_files(spark, root), files.schema))
     at = F.unix_timestamp("modificationTime")
     return files.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), at.alias("created_at"), at.alias("modified_at"), at.alias("accessed_at"), F.col("length").alias("size_bytes"), "content")
 
 
+def _empty_files(spark: SparkSession, root: str) -> list[tuple]:
+    """Rows of the file reader for the files of a tree that have no bytes."""
+    from datetime import datetime
+
+    jvm = spark._jvm
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    found, out = top.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(top, True), []
+    while found.hasNext():
+        f = found.next()
+        if f.getLen() == 0:
+            out.append((f.getPath().toString(), datetime.fromtimestamp(f.getModificationTime() / 1000), 0, bytearray()))
+    return out
+
+
 def stat_listing(spark: SparkSession, root: str) -> DataFrame:
     """The same with access times, for a tree that this machine has; symbolic links aren't followed."""
     rows = []
@@ -45,7 +61,7 @@ def stat_listing(spark: SparkSession, root: str) -> DataFrame:
                 rows.append((os.path.realpath(p), int(s.st_ctime), int(s.st_mtime), int(s.st_atime), s.st_size))
     listed = spark.createDataFrame(rows, "path string, created_at long, modified_at long, accessed_at long, size_bytes long")
     content = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "content")
-    return listed.join(content, "path", "left")
+    return listed.join(content, "path", "left").withColumn("content", F.when(F.col("size_bytes") == 0, F.lit(b"")).otherwise(F.col("content")))
 
 
 def content_hash(content: Column, size: Column, max_bytes: int = MAX_FILE_BYTES) -> Column:
