@@ -82,7 +82,8 @@ def search(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -> DataFra
     stats = probe.agg(F.count("*").alias("n"), F.max("h").alias("ceiling")).first()
     out = ["doc_id", "item_id", "n_shingles", "n_shared", "containment"]
     if not stats["n"]:
-        return docs.crossJoin(items).where(F.lit(False)).select("doc_id", "item_id", F.lit(0).cast("long").alias("n_shingles"), F.lit(0).cast("long").alias("n_shared"), F.lit(0.0).alias("containment"))
+        kinds = [df.schema[c].dataType.simpleString() for df, c in ((docs, "doc_id"), (items, "item_id"))]
+        return docs.sparkSession.createDataFrame([], "doc_id {}, item_id {}, n_shingles long, n_shared long, containment double".format(*kinds))
     low = docs.select("doc_id", words_of(F.col("text")).alias("w"))
     low = low.select("doc_id", F.explode(hashes_of(F.col("w"))).alias("h")).where(F.col("h") <= F.lit(stats["ceiling"]))
     met = low.join(bounded(probe, stats["n"]), "h").groupBy("doc_id", "item_id", "least").agg(F.count_distinct("h").alias("met"))

@@ -204,8 +204,9 @@ class Encoder:
         A segment of marks alone would run into the next one, so those are compared one by one.
         """
         bare = [i for i, s in enumerate(part) if not s.strip(MARK)]
+        lead = self.lib.encode("a")
         for i in bare:
-            if self.lib.encode(part[i][1:].replace(MARK, " ")) != flat[ends[i] : ends[i + 1]].tolist():
+            if self.lib.encode("a" + part[i].replace(MARK, " "))[len(lead) :] != flat[ends[i] : ends[i + 1]].tolist():
                 raise EncodingMismatch(f"the agenda and the library differ on {part[i]!r}")
         skip = set(bare)
         joined = "".join(s for i, s in enumerate(part) if i not in skip)

@@ -99,8 +99,8 @@ def spans_of(text: Column, rule: Rule, nth: int) -> Column:
     return F.aggregate(rows, F.struct(F.lit(0).cast("long").alias("at"), nil.alias("spans")), step)["spans"]
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns in ``keep`` and ``spans``: ``array<struct<start, kind, end>>`` by start, then kind."""
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...] = ("doc_id",), name: str = "spans") -> DataFrame:
+    """The columns in ``keep`` and, under ``name``, ``array<struct<start, kind, end>>`` by start, then kind."""
     found = cut(candidates(docs, rules))
     n = found.count()
     tagged = docs.alias("d").join(F.broadcast(found.alias("c")) if n <= BROADCAST_IDS else found.alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")), "left")
@@ -112,7 +112,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...]
         if r.guard:
             may = may & F.col("_text").rlike(r.guard)
         base = base.withColumn(f"_k{i}", F.when(may, spans_of(F.col("_text"), r, i)).otherwise(nil))
-    return base.select(*cols, F.array_sort(F.concat(*[F.col(f"_k{i}") for i in range(len(rules))])).alias("spans"))
+    return base.select(*cols, F.array_sort(F.concat(*[F.col(f"_k{i}") for i in range(len(rules))])).alias(name))
 
 
 def named(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
@@ -138,7 +138,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRE
     All columns stay; a null text stays null.
     """
     cols = docs.columns
-    found = scan(docs, rules, tuple(dict.fromkeys([*cols])))
+    found = scan(docs, rules, tuple(cols), "_spans")
 
     def step(acc, s):
         ahead = F.greatest(s["start"], acc["at"])
@@ -146,7 +146,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRE
         fresh = s["start"] >= acc["at"]
         return F.struct(F.concat(acc["out"], F.when(fresh, F.concat(piece, F.lit(mark))).otherwise(F.lit(""))).alias("out"), F.greatest(s["end"], acc["at"]).alias("at"))
 
-    done = F.aggregate(F.col("spans"), F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")), step)
+    done = F.aggregate(F.col("_spans"), F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")), step)
     rest = F.concat(done["out"], F.substring(F.col("text"), (done["at"] + 1).cast("int"), F.length("text")))
-    return found.select(*[F.when(F.size("spans") > 0, rest).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in cols])
+    return found.select(*[F.when(F.size("_spans") > 0, rest).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in cols])
 
