@@ -34,6 +34,8 @@ input columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -80,8 +82,8 @@ def sets_of(data: np.ndarray, starts: np.ndarray, n: int) -> tuple[np.ndarray, n
 
 
 def bitmap_bits(size: np.ndarray) -> np.ndarray:
-    """Bits of a set's parity bitmap: a power of two of at least its size, and of 256."""
-    return 1 << np.maximum(8, np.ceil(np.log2(np.maximum(size, 1)))).astype(np.int64)
+    """Bits of a set's parity bitmap: a power of two of at least four times its size, and of 256."""
+    return 1 << np.maximum(8, 2 + np.ceil(np.log2(np.maximum(size, 1)))).astype(np.int64)
 
 
 def bitmaps(d: np.ndarray, h: np.ndarray, size: np.ndarray) -> list[bytes]:
@@ -280,7 +282,7 @@ def _links(num: int, den: int, forest: bool):
                     node = at[lo:hi]
                     if (root[node] == root[node[0]]).all():
                         continue
-                    key = node.tobytes()
+                    key = hashlib.blake2b(node.tobytes(), digest_size=16).digest()
                     if key in seen:  # the same documents meet in many nodes
                         continue
                     seen.add(key)
@@ -372,8 +374,10 @@ def verified(pairs: DataFrame, texts: DataFrame, mean_bytes: float, n: int, num:
     members = pairs.join(slices, "a").select(F.col("a").alias("home"), F.pmod(F.xxhash64("b"), F.col("slices")).cast("int").alias("salt"), F.col("b").alias("doc"))
     centres = slices.select(F.col("a").alias("home"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("salt"), F.col("a").alias("doc"))
     asked = cut(members.union(centres))
-    cells = max(shuffle_width(pairs.sparkSession), int(asked.count() * mean_bytes / CELL_BYTES) + 1)
-    sent = asked.join(texts.select(F.col("doc_id").alias("doc"), "text"), "doc")
+    n_asked = asked.count()
+    cells = max(shuffle_width(pairs.sparkSession), int(n_asked * mean_bytes / CELL_BYTES) + 1)
+    wanted = F.broadcast(asked) if n_asked <= BROADCAST_IDS else asked
+    sent = texts.select(F.col("doc_id").alias("doc"), "text").join(wanted, "doc")
     dealt = sent.withColumn("cell", F.pmod(F.xxhash64("home", "salt"), F.lit(cells)))
     return dealt.groupBy("cell").applyInArrow(_verify(n, num, den), "a long, b long")
 
