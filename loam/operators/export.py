@@ -84,3 +84,27 @@ def archive_plan(entities: DataFrame, prefix: str | None = None, to: str = "/arc
     """``path, target``: where archived entities would move; moving is the caller's."""
     rows = entities.where((F.col("lifecycle") == "archived") & in_scope(F.col("path"), prefix))
     return rows.select("path", F.concat(F.lit(to), "path").alias("target"))
+
+
+def write(kind: str, entities: DataFrame, relations: DataFrame, to: str | None = None) -> str | None:
+    """Export as ``json``, ``csv`` or ``dot``: returned, or written as one file with its folders.
+
+    For what a driver can hold; larger exports write ``json_lines``, ``csv_lines`` or ``dot_lines``
+    with Spark.
+    """
+    import pathlib
+
+    if kind == "json":
+        text = export_json(entities, relations) + "\n"
+    elif kind == "csv":
+        text = "\n".join([",".join(CSV_COLUMNS), *[r["line"] for r in csv_lines(entities.orderBy("path")).toLocalIterator()]]) + "\n"
+    elif kind == "dot":
+        lines = [r["line"] for r in dot_lines(entities.select("path").orderBy("path"), relations.orderBy("from_path", "to_path", "kind")).toLocalIterator()]
+        text = "\n".join(["digraph files {", *lines, "}"]) + "\n"
+    else:
+        raise ValueError(f"unknown export: {kind!r}")
+    if to is None:
+        return text
+    pathlib.Path(to).parent.mkdir(parents=True, exist_ok=True)
+    pathlib.Path(to).write_text(text)
+    return None
