@@ -99,7 +99,7 @@ def pack(*arrays: np.ndarray | bytes) -> bytes:
     """Arrays and byte strings as one compressed byte string."""
     parts = [a if isinstance(a, bytes) else a.tobytes() for a in arrays]
     raw = struct.pack(f"<{len(parts)}q", *map(len, parts)) + b"".join(parts)
-    return struct.pack("<q", len(raw)) + pa.compress(raw, codec="zstd", asbytes=True)
+    return struct.pack("<q", len(raw)) + pa.Codec("zstd", compression_level=3).compress(raw, asbytes=True)
 
 
 def unpack(data: bytes, kinds: str) -> list:

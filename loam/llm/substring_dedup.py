@@ -92,7 +92,7 @@ def map_chunks(buckets: int, window: int, gram: int):
                 gone, sent = mine[settled[mine]], mine[~settled[mine]]
                 texts = [strings[i] for i in sent.tolist()]
                 rows_b.append(int(bucket[mine[0]]))
-                rows_p.append(bw.pack(doc[sent].astype("<i8"), first[sent].astype("<i4"), count[sent].astype("<i4"), np.array([len(t) for t in texts], "<i4"), b"".join(texts), doc[gone].astype("<i8"), first[gone].astype("<i4"), count[gone].astype("<i4")))
+                rows_p.append(bw.pack(np.diff(doc[sent], prepend=0).astype("<i8"), np.diff(first[sent], prepend=0).astype("<i4"), count[sent].astype("<i4"), np.array([len(t) for t in texts], "<i4"), b"".join(texts), np.diff(doc[gone], prepend=0).astype("<i8"), first[gone].astype("<i4"), count[gone].astype("<i4")))
             yield pa.record_batch([pa.array(rows_b, pa.int32()), pa.array(rows_p, pa.binary())], names=["bucket", "payload"])
 
     return run
@@ -144,6 +144,7 @@ def reduce_bucket(window: int):
         gone: list[list[np.ndarray]] = [[], [], []]
         for p in table.column("payload"):
             doc, first, count, size, text, *settled = bw.unpack(p.as_py(), PACKED)
+            doc, first, settled[0] = np.cumsum(doc, dtype=np.int64), np.cumsum(first, dtype=np.int64), np.cumsum(settled[0], dtype=np.int64)
             edge = np.r_[0, np.cumsum(size, dtype=np.int64)].tolist()
             uid = np.array([seen.setdefault(text[x:y], len(seen)) for x, y in zip(edge, edge[1:])], np.int64)
             for c, v in zip(cols, (doc, first, count, uid)):
