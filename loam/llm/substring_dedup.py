@@ -29,11 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loam.llm import bytework as bw
-from loam.session import shuffle_width
+from loam.session import cut, shuffle_width
 
 WINDOW = 13
 GRAM = 3
 BUCKET_BYTES = 16_000_000
+BROADCAST_IDS = 1_000_000
 PACKED = "<i8 <i4 <i4 <i4 . <i8 <i4 <i4"
 
 
@@ -210,6 +211,12 @@ def _digest(batches):
 
 def digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256`` for every row."""
-    spans = repeated_spans(docs, window)
-    both = docs.select("doc_id", "text").join(spans, "doc_id", "left").select("doc_id", "text", "spans")
+    spans = cut(repeated_spans(docs, window))
+    rows = docs.select("doc_id", "text")
+    if spans.count() <= BROADCAST_IDS:  # only texts with spans travel
+        ids = F.broadcast(spans.select("doc_id"))
+        whole = rows.join(ids, "doc_id", "left_anti").withColumn("spans", F.lit(None).cast("array<bigint>"))
+        both = rows.join(ids, "doc_id", "left_semi").join(spans, "doc_id").select("doc_id", "text", "spans").union(whole)
+    else:
+        both = rows.join(spans, "doc_id", "left").select("doc_id", "text", "spans")
     return both.mapInArrow(_digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
