@@ -747,3 +747,58 @@ def w7(spark, d):
 @query("health", f"WITH {E}, {L}, {D}, x AS (SELECT count(*) AS n FROM entities a FULL JOIN listing b ON a.path = b.path WHERE a.path IS NULL OR b.path IS NULL OR a.size_bytes <> b.size_bytes OR a.content_hash <> b.content_hash) SELECT (SELECT count(*) FROM entities) AS n_entities, (SELECT count(*) FROM entities WHERE lifecycle = 'dead') AS n_dead, (SELECT n FROM x) AS n_diff, (SELECT count(*) FROM doc_relations) AS n_relations, (SELECT count(*) FROM embeddings) AS n_vectors, 'warn' AS status")
 def health(spark, d):
     return diff.health(A.entities(spark, d), A.document_relations(spark, d), A.vectors(spark, d), A.listing(spark, d))
+
+
+#: Inventory ids whose operator is exercised by a query of another id.
+SAME = {
+    "a6_author_mode": "s12_author_mode",
+    "j4_fusion": "q8_hybrid_topk",
+    "j8_context_enrichment": "q16_context_items",
+    "r5_stale_edges": "j1_stale_relations",
+    "r6_dangling_clean": "m11_clean_plan",
+    "o1_order_modified": "f3_find_modified_after",
+    "o6_order_group_size": "a1_exact_duplicates",
+}
+for _new, _old in SAME.items():
+    QUERIES[_new] = QUERIES[_old]
+    ORACLES[_new] = ORACLES[_old]
+
+
+@query("x4_dot_document", f"""WITH {E}, {D} SELECT count(*) AS n FROM (SELECT path FROM entities UNION ALL SELECT from_path FROM doc_relations)""")
+def x4(spark, d):
+    return export.dot_lines(A.entities(spark, d).select("path"), A.document_relations(spark, d)).agg(F.count("*").alias("n"))
+
+
+@query("u1_set_differences", f"WITH {E}, {L} SELECT 'new' AS side, path FROM listing WHERE path NOT IN (SELECT path FROM entities) UNION ALL SELECT 'deleted', path FROM entities WHERE path NOT IN (SELECT path FROM listing)")
+def u1(spark, d):
+    e, disk = A.entities(spark, d).select("path"), A.listing(spark, d).select("path")
+    new, gone = disk.join(e, "path", "left_anti"), e.join(disk, "path", "left_anti")
+    return new.select(F.lit("new").alias("side"), "path").union(gone.select(F.lit("deleted").alias("side"), "path"))
+
+
+@query("u4_still_valid", f"WITH {E}, {L} SELECT path FROM entities WHERE path IN (SELECT path FROM listing)")
+def u4(spark, d):
+    return A.entities(spark, d).select("path").join(A.listing(spark, d).select("path"), "path", "left_semi")
+
+
+@query("q12_inline_query", f"WITH {E} SELECT path FROM entities WHERE lifecycle = 'active' AND extension = 'en' AND modified_at > 1693526400")
+def q12(spark, d):
+    p = query_language.parse("state:active ext:.en modified>2023-09-01")
+    return A.entities(spark, d).where(find.build_filter(p.state, p.extension, p.created_after, p.modified_after).condition()).select("path")
+
+
+@query("z4_truncate_bytes", f"WITH {C} SELECT path, CAST(strlen(content) AS BIGINT) <= 100 AS fits FROM content")
+def z4(spark, d):
+    both = A.content(spark, d).select("path", F.col("content"), Z.truncate_bytes(F.col("content"), 100).alias("t"))
+    return both.select("path", (F.col("t") == F.col("content")).alias("fits"))
+
+
+@query("z13_least_rotation", f"WITH {E} SELECT path, least(path || ',' || name, name || ',' || path) AS key FROM entities")
+def z13(spark, d):
+    return A.entities(spark, d).select("path", F.array_join(Z.least_rotation(F.array("path", "name")), ",").alias("key"))
+
+
+@query("z14_risk", f"WITH {E}, h AS (SELECT extension, source, count(*) AS n FROM (SELECT extension, split_part(path, '/', 3) AS source FROM entities) GROUP BY ALL) SELECT extension, source, CASE WHEN n = 0 THEN 'none' WHEN n <= 3 THEN 'low' WHEN n <= 10 THEN 'medium' ELSE 'high' END AS risk FROM h")
+def z14(spark, d):
+    n = A.entities(spark, d).groupBy("extension", F.split("path", "/")[2].alias("source")).agg(F.count("*").alias("n"))
+    return n.select("extension", "source", Z.risk_level(F.col("n")).alias("risk"))
