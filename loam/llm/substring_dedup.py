@@ -102,7 +102,7 @@ def map_chunks(buckets: int, window: int, gram: int):
 def window_groups(texts: list[bytes], least: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """For the windows of distinct strings: the smallest document of all equal windows; and each string's first window."""
     begins, ends, owner, hashes = [], [], [], []
-    i, at = 0, 0
+    i = 0
     while i < len(texts):  # hashing needs 24 bytes a byte, so it goes by pieces
         j, n = i, 0
         while j < len(texts) and (n < 1_000_000 or j == i):
@@ -118,7 +118,7 @@ def window_groups(texts: list[bytes], least: np.ndarray, window: int) -> tuple[n
         begins.append(begin[ok] - edge[own[ok]])
         ends.append(end[ok + window - 1] - edge[own[ok]])
         owner.append(own[ok] + i)
-        i, at = j, at + n
+        i = j
     h, own, a, b = map(np.concatenate, (hashes, owner, begins, ends))
     order = np.argsort(h, kind="stable")
     cuts = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]])

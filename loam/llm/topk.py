@@ -90,14 +90,13 @@ class BlockIndex:
         level = self.values >> LEVEL_BITS
         new = np.ones((self.d, self.n), bool)
         new[:, 1:] = level[:, 1:] != level[:, :-1]
-        dim, lo = np.nonzero(new)
+        dim, _ = np.nonzero(new)
         flat = np.flatnonzero(new)
         hi = np.r_[flat[1:], self.d * self.n]
         self.dim, self.lo, self.hi = dim, flat, hi  # of the flattened postings
         self.top = self.values.ravel()[flat]
         self.low = self.values.ravel()[hi - 1]
         self.flat = self.order.ravel()
-        del lo
 
     def search(self, q: np.ndarray, k: int, theta: int | None, own: int) -> tuple[np.ndarray, np.ndarray]:
         """Rows that may be among the k best for ``q``, with exact scores; all that reach ``theta`` or the k-th best."""
