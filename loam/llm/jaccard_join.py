@@ -49,6 +49,7 @@ FREQUENT_LEAST = 64
 FREQUENT_MAX = 500_000
 BROADCAST_IDS = 1_000_000
 BUCKET_BYTES = 16_000_000
+TIMES = (0, 2)  # the small and the large bitmap: as many bits as elements, and four times as many
 NODE_BYTES = 60_000_000  # of texts behind a bucket of postings
 CELL_BYTES = 6_000_000
 MEMBERS = 1000
@@ -81,14 +82,14 @@ def sets_of(data: np.ndarray, starts: np.ndarray, n: int) -> tuple[np.ndarray, n
     return d[new], h[new], np.bincount(d[new], minlength=docs)
 
 
-def bitmap_bits(size: np.ndarray) -> np.ndarray:
-    """Bits of a set's parity bitmap: a power of two of at least four times its size, and of 256."""
-    return 1 << np.maximum(8, 2 + np.ceil(np.log2(np.maximum(size, 1)))).astype(np.int64)
+def bitmap_bits(size: np.ndarray, times: int) -> np.ndarray:
+    """Bits of a set's parity bitmap: a power of two of at least ``2**times`` times its size, and of 256."""
+    return 1 << np.maximum(8, times + np.ceil(np.log2(np.maximum(size, 1)))).astype(np.int64)
 
 
-def bitmaps(d: np.ndarray, h: np.ndarray, size: np.ndarray) -> list[bytes]:
+def bitmaps(d: np.ndarray, h: np.ndarray, size: np.ndarray, times: int) -> list[bytes]:
     """The parity bitmap of each document of a chunk: each hash flips the bit of its upper bits."""
-    bits = bitmap_bits(size)
+    bits = bitmap_bits(size, times)
     begin = np.cumsum(bits) - bits
     at = begin[d] + ((h >> SHORT) & (bits[d] - 1).astype(np.uint64)).astype(np.int64)
     odd = (np.bincount(at, minlength=int(bits.sum())) & 1).astype(np.uint8)
@@ -97,13 +98,13 @@ def bitmaps(d: np.ndarray, h: np.ndarray, size: np.ndarray) -> list[bytes]:
 
 
 def _signatures(n: int):
-    """mapInArrow: (doc_id, n, s1, s2, bits): two sums over the set's hashes, and its parity bitmap."""
+    """mapInArrow: (doc_id, n, s1, s2, small, large): two sums over the set's hashes, and its parity bitmaps."""
 
     def run(batches):
         for batch in batches:
             ids = pa.array(np.arange(batch.num_rows))
             size, one, two = (np.zeros(batch.num_rows, t) for t in (np.int64, np.uint64, np.uint64))
-            maps: list[bytes] = [b""] * batch.num_rows
+            maps: list[list[bytes]] = [[b""] * batch.num_rows for _ in TIMES]
             for rows, data, starts in bw.chunks([pa.record_batch([ids, batch.column(1)], names=["i", "t"])]):
                 d, h, count = sets_of(data, starts, n)
                 size[rows] = count
@@ -111,9 +112,10 @@ def _signatures(n: int):
                 for to, values in ((one, h), (two, bw.mix(h + np.uint64(77)) | np.uint64(1))):
                     sums = np.r_[np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)]
                     to[rows] = sums[edge[1:]] - sums[edge[:-1]]
-                for i, m in zip(rows.tolist(), bitmaps(d, h, count)):
-                    maps[i] = m
-            yield pa.record_batch([batch.column(0), pa.array(size), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(maps, pa.binary())], names=["doc_id", "n", "s1", "s2", "bits"])
+                for own, times in zip(maps, TIMES):
+                    for i, m in zip(rows.tolist(), bitmaps(d, h, count, times)):
+                        own[i] = m
+            yield pa.record_batch([batch.column(0), pa.array(size), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), *[pa.array(m, pa.binary()) for m in maps]], names=["doc_id", "n", "s1", "s2", "small", "large"])
 
     return run
 
@@ -220,8 +222,8 @@ def _members(batches):
 class Bitmaps:
     """Parity bitmaps of many documents, comparable at the smaller size of two."""
 
-    def __init__(self, size: np.ndarray, raw: list[bytes]):
-        self.level = np.log2(bitmap_bits(size)).astype(np.int64)
+    def __init__(self, size: np.ndarray, raw: list[bytes], times: int):
+        self.level = np.log2(bitmap_bits(size, times)).astype(np.int64)
         self.row, self.bits = {}, {}
         for c in np.unique(self.level).tolist():
             for to in (c, c - 1):  # as it is, and folded for documents of the class below
@@ -259,6 +261,23 @@ def _unite(root: np.ndarray, groups: dict[int, list[int]], a: int, b: int) -> No
     groups[a] += gone
 
 
+def _mixed(left: pa.Table, right: pa.Table) -> pa.Table:
+    """cogrouped: (bucket, doc, root) of the documents of nodes that lie in several components."""
+    order = np.argsort(right.column("doc").to_numpy()) if right.num_rows else np.zeros(0, np.int64)
+    doc, root = (right.column(c).to_numpy()[order] if right.num_rows else np.zeros(0, np.int64) for c in ("doc", "root"))
+    use = np.zeros(len(doc), bool)
+    for p in left.column("payload") if left.num_rows and right.num_rows else ():
+        token, d, _, _ = bw.unpack(p.as_py(), NODE)
+        if not len(token):
+            continue
+        at = np.searchsorted(doc, d)
+        first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+        several = np.minimum.reduceat(root[at], first) != np.maximum.reduceat(root[at], first)
+        use[at[np.repeat(several, np.diff(np.r_[first, len(token)]))]] = True
+    bucket = left.column("bucket")[0].as_py() if left.num_rows else 0
+    return pa.table({"bucket": pa.array(np.full(int(use.sum()), bucket, np.int32)), "doc": pa.array(doc[use]), "root": pa.array(root[use])})
+
+
 def _links(num: int, den: int, forest: bool):
     """cogrouped: pairs of a bucket's documents that share a node, are in different components, and
     that sizes and bitmaps allow; with ``forest`` only pairs that join what no pair before joins."""
@@ -269,18 +288,19 @@ def _links(num: int, den: int, forest: bool):
             order = np.argsort(right.column("doc").to_numpy())
             doc, size, root = (right.column(c).to_numpy()[order] for c in ("doc", "n", "root"))
             raw = right.column("bits").to_pylist()
-            maps = Bitmaps(size, [raw[i] for i in order.tolist()])
+            maps = Bitmaps(size, [raw[i] for i in order.tolist()], TIMES[0] if forest else TIMES[1])
             root = np.unique(root, return_inverse=True)[1]
             groups = {r: [i] for i, r in enumerate(root.tolist())} if forest else {}  # a forest starts from single documents
             seen: set[bytes] = set()
             for p in left.column("payload"):
                 token, d, _, _ = bw.unpack(p.as_py(), NODE)
-                at = np.searchsorted(doc, d)
+                at = np.minimum(np.searchsorted(doc, d), len(doc) - 1)
+                there = doc[at] == d  # documents of nodes within one component weren't sent
                 first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
                 last = np.r_[first[1:], len(token)]
                 for lo, hi in zip(first.tolist(), last.tolist()):
                     node = at[lo:hi]
-                    if (root[node] == root[node[0]]).all():
+                    if not there[lo:hi].all() or (root[node] == root[node[0]]).all():
                         continue
                     key = hashlib.blake2b(node.tobytes(), digest_size=16).digest()
                     if key in seen:  # the same documents meet in many nodes
@@ -385,7 +405,7 @@ def verified(pairs: DataFrame, texts: DataFrame, mean_bytes: float, n: int, num:
 def join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row."""
     spark = docs.sparkSession
-    sets = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_signatures(n), "doc_id long, n long, s1 long, s2 long, bits binary")
+    sets = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_signatures(n), "doc_id long, n long, s1 long, s2 long, small binary, large binary")
     rows = cut(sets)
     named = rows.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     classes = named.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
@@ -402,16 +422,17 @@ def join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> DataFram
     frequent = spark.sparkContext.broadcast(np.sort(np.array([r["token"] for r in hot.select("token").toLocalIterator()], np.uint64)))
     posted = texts.mapInArrow(_postings(n, num, den, frequent, total // NODE_BYTES + 1), "bucket int, payload binary")
     nodes = cut(posted.groupBy("bucket").applyInArrow(_nodes, "bucket int, payload binary"))
-    facts = named.select(F.col("doc_id").alias("doc"), "n", "bits").dropDuplicates(["doc"])
-    known = cut(nodes.mapInArrow(_members, "bucket int, doc long").distinct().join(facts, "doc"))
+    facts = named.select(F.col("doc_id").alias("doc"), "n", "small", "large").dropDuplicates(["doc"])
+    members = nodes.mapInArrow(_members, "bucket int, doc long").distinct()
 
-    def candidates(root: DataFrame | None, forest: bool) -> DataFrame:
-        placed = known.withColumn("root", F.col("doc")) if root is None else known.join(root.select(F.col("id").alias("doc"), "root"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
-        return cut(nodes.groupBy("bucket").cogroup(placed.groupBy("bucket")).applyInArrow(_links(num, den, forest), "a long, b long").distinct())
+    def candidates(placed: DataFrame, forest: bool) -> DataFrame:
+        known = placed.join(facts.select("doc", "n", F.col("small" if forest else "large").alias("bits")), "doc")
+        return cut(nodes.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(_links(num, den, forest), "a long, b long").distinct())
 
-    links = cut(verified(candidates(None, True), texts, mean, n, num, den))
+    links = cut(verified(candidates(members.withColumn("root", F.col("doc")), True), texts, mean, n, num, den))
     roots = components(links)
-    more = candidates(roots, False)
+    placed = members.join(roots.select(F.col("id").alias("doc"), "root"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
+    more = candidates(cut(nodes.groupBy("bucket").cogroup(placed.groupBy("bucket")).applyInArrow(_mixed, "bucket int, doc long, root long")), False)
     if not more.isEmpty():
         found = cut(verified(more, texts, mean, n, num, den))
         if not found.isEmpty():
