@@ -22,8 +22,8 @@ a corpus with ``g`` of them share a hash with odds of about g**2 / 2**65). Docum
    large group of copies does not give all its pairs, and no link between components is lost.
 5. *Lower levels.* A pair's sets meet at the smaller id (a large one's partners are dealt over
    many tasks). There the partners' ordered sets form a trie, which is traversed depth first along
-   their sorted order: what a path shares with the one before is not counted again, and a subtree
-   is pruned as soon as the overlap so far plus the remaining length can't reach the threshold.
+   their sorted order: what a path shares with the one before is not counted again, and a member
+   is pruned as soon as the overlap so far plus its remaining length can't reach the threshold.
    Overlaps that remain are exact.
 
 Edge cases: null and empty texts, and texts without words, have an empty set, link with nothing and
@@ -331,11 +331,12 @@ def overlap_join(centre: np.ndarray, members: list[np.ndarray], num: int, den: i
     """Which members link with ``centre``; all are ordered sets.
 
     The members' sorted order is the depth-first order of their trie: the path that a member shares
-    with the one before keeps its partial overlaps, and its subtree is pruned where that one was.
+    with the one before keeps its partial overlaps. Whether a member is pruned there follows from its
+    own length: a longer one may still reach what it needs where a shorter one can't.
     """
     keys = [m.astype(">u8").tobytes() for m in members]
     out = [False] * len(members)
-    path, partial, dead = np.zeros(0, np.uint64), np.zeros(1, np.int64), None  # partial[i]: overlap of the first i
+    path, partial = np.zeros(0, np.uint64), np.zeros(1, np.int64)  # partial[i]: overlap of the first i
     for i in sorted(range(len(members)), key=keys.__getitem__):
         m = members[i]
         need = int(least_overlap(len(m), len(centre), num, den))
@@ -344,13 +345,12 @@ def overlap_join(centre: np.ndarray, members: list[np.ndarray], num: int, den: i
         k = min(len(m), len(path))
         differ = np.flatnonzero(m[:k] != path[:k])
         depth = int(differ[0]) if len(differ) else k
-        if dead is not None and depth >= dead[0] and need >= dead[1]:
-            continue  # within a pruned subtree
+        have, at = int(partial[depth]), depth
+        if have + len(m) - at < need:
+            continue  # pruned by what it shares with the path
         counts = [partial[: depth + 1]]
-        have, at, dead = int(partial[depth]), depth, None
         while at < len(m):
             if have + len(m) - at < need:
-                dead = (at, need)
                 break
             part = m[at : at + 128]
             where = np.minimum(np.searchsorted(centre, part), len(centre) - 1)

@@ -154,6 +154,16 @@ def test_trie_overlaps():
             assert jaccard_join.overlap_join(centre, members, num, 100) == want
 
 
+def test_longer_members_outlive_a_pruned_path():
+    import numpy as np
+
+    centre = list(range(2, 201, 2))
+    members = [[1, *centre], [1, *range(4, 173, 2)], [1, *range(6, 201, 2)]]
+    want = [100 * len({*m} & {*centre}) >= 85 * len({*m} | {*centre}) for m in members]
+    assert want == [True, False, True]
+    assert jaccard_join.overlap_join(np.array(centre, np.uint64), [np.array(m, np.uint64) for m in members], 85, 100) == want
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 103), (101, 103), (102, 101), (7, 7), (200, 200)]
     random.Random(1).shuffle(links)
