@@ -503,7 +503,7 @@ def r3b(spark, d):
 
 @query("r4_cycles", f"WITH {E}, {D} SELECT DISTINCT a.from_path || ',' || a.to_path || ',' || a.from_path AS cycle FROM doc_relations a JOIN doc_relations b ON a.from_path = b.to_path AND a.to_path = b.from_path WHERE a.from_path < a.to_path")
 def r4(spark, d):
-    return graph.cycles(A.document_relations(spark, d), 3).select(F.array_join("cycle", ",").alias("cycle"))
+    return graph.cycles(A.document_relations(spark, d)).select(F.array_join("cycle", ",").alias("cycle"))
 
 
 @query("r7_history", f"WITH {_UPSERT}, h AS ({_EVENTS}) SELECT path, event, seq FROM h WHERE path = (SELECT min(path) FROM h WHERE event = 'modified') ORDER BY recorded_at DESC, seq DESC LIMIT 50")

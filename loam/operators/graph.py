@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -82,11 +84,12 @@ def neighbourhood_edges(relations: DataFrame, nodes: DataFrame, depth: int, scop
     return out.union(into).distinct().where(in_scope(F.col("from_path"), scope) & in_scope(F.col("to_path"), scope))
 
 
-def cycles(relations: DataFrame, max_length: int = 8) -> DataFrame:
-    """``cycle``: all elementary cycles of 2 to ``max_length`` nodes, closed, from their smallest node.
+def cycles(relations: DataFrame, max_length: int | None = None) -> DataFrame:
+    """``cycle``: all elementary cycles of two nodes or more, closed, from their smallest node.
 
     Paths grow from their smallest node through larger ones only, so each cycle is found once; a
-    path that meets itself is dropped. Edges whose ends no cycle can hold are pruned first.
+    path that meets itself is dropped. Edges whose ends no cycle can hold are pruned first. The walk
+    ends when no path can grow; ``max_length`` ends it at cycles of so many nodes, on request.
     """
     edges = relations.select(F.col("from_path").alias("a"), F.col("to_path").alias("b")).where(F.col("a") != F.col("b")).distinct()
     while True:  # a node on a cycle has edges in and out
@@ -96,9 +99,9 @@ def cycles(relations: DataFrame, max_length: int = 8) -> DataFrame:
             break
     found = None
     walk = edges.where(F.col("a") < F.col("b")).select(F.array("a", "b").alias("nodes"), F.col("b").alias("a"))
-    for length in range(2, max_length + 1):
+    for length in count(2):
         step = walk.join(edges, "a")
-        closed = step.where(F.col("b") == F.col("nodes")[0]).select(F.concat("nodes", F.array("b")).alias("cycle"))
+        closed = cut(step.where(F.col("b") == F.col("nodes")[0]).select(F.concat("nodes", F.array("b")).alias("cycle")))
         found = closed if found is None else found.union(closed)
         if length == max_length:
             break

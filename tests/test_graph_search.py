@@ -40,6 +40,26 @@ def test_cycles(spark):
     assert graph.cycles(edges(spark, ("a", "b"))).count() == 0
 
 
+def test_cycles_of_any_length(spark):
+    """A ring of eleven nodes with chords, against a depth-first search."""
+    names = "abcdefghijk"
+    pairs = [(x, names[(i + 1) % 11]) for i, x in enumerate(names)] + [("d", "b"), ("c", "f"), ("k", "e")]
+    out = {x: sorted({b for a, b in pairs if a == x}) for x in names}
+
+    def grown(path):
+        for y in out[path[-1]]:
+            if y == path[0]:
+                yield [*path, y]
+            elif y > path[0] and y not in path:
+                yield from grown([*path, y])
+
+    want = sorted(c for x in names for c in grown([x]))
+    assert max(map(len, want)) == 12
+    r = edges(spark, *pairs)
+    assert sorted(x["cycle"] for x in graph.cycles(r).collect()) == want
+    assert sorted(x["cycle"] for x in graph.cycles(r, 3).collect()) == [c for c in want if len(c) <= 4]
+
+
 def test_stale(spark, entity_rows):
     e = entity_rows(("a", "1"), ("b", "2"))
     r = edges(spark, ("a", "b"), ("a", "gone"))
