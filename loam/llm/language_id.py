@@ -10,9 +10,10 @@ the largest share of its words' posteriors; the share is the score. Posteriors a
 words of all documents, whole texts, many chains at once in numpy.
 
 Training maximises the conditional likelihood by AdaGrad on a bounded sample: up to
-``SAMPLE_DOCS`` documents a language, chosen by a hash of the id among those of at most
-``SAMPLE_CHARS`` characters, and up to ``SAMPLE_LINES`` lines spread over each. Language, source and
-id are never inputs of a prediction. The model has a fixed size for a number of languages, so it is
+``SAMPLE_DOCS`` documents a language, chosen by a hash of the id, and up to ``SAMPLE_LINES`` lines
+spread over each; of a document of more than ``SAMPLE_CHARS`` characters, lines with letters, each
+from its first letter on and no longer than its share of ``SAMPLE_CHARS``. Language, source and id
+are never inputs of a prediction. The model has a fixed size for a number of languages, so it is
 broadcast.
 
 Edge cases: a null text or one without a letter is ``und`` with score 0, and so is everything if no
@@ -204,9 +205,18 @@ def train(texts: list[str], langs: list[str]) -> Model:
     return model
 
 
+def sample_text(text: Column) -> Column:
+    """What training may read of a text: all of a short one, slices of ``SAMPLE_LINES`` lines of a longer one."""
+    own = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"\p{L}"))
+    places = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(SAMPLE_LINES - 1)), lambda j: F.floor(F.size(own) * j / SAMPLE_LINES).cast("int")))
+    share = F.floor(F.lit(SAMPLE_CHARS) / F.size(places)).cast("int")
+    lines = F.transform(places, lambda i: F.substring(F.regexp_replace(F.get(own, i), r"^\P{L}++", ""), F.lit(1), share))
+    return F.when(F.length(text) <= SAMPLE_CHARS, text).otherwise(F.array_join(lines, "\n"))
+
+
 def fit(docs: DataFrame) -> Model | None:
     """Train on the bounded sample of ``docs``; None if there is nothing to learn from."""
-    able = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.length("text") <= SAMPLE_CHARS))
+    able = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     rows = able.select("lang", "doc_id", F.xxhash64("doc_id", F.lit(3)).alias("h"))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
     bounds = rows.withColumn("n", nth).where(F.col("n") <= SAMPLE_DOCS).groupBy("lang").agg(F.max("h").alias("bound"))
@@ -215,7 +225,7 @@ def fit(docs: DataFrame) -> Model | None:
         return None
     limits = F.broadcast(docs.sparkSession.createDataFrame([(r["lang"], r["bound"]) for r in marks], "lang string, bound long"))
     drawn = able.withColumn("h", F.xxhash64("doc_id", F.lit(3))).join(limits, "lang").where(F.col("h") <= F.col("bound"))
-    sample = drawn.orderBy("h", "lang", "text").select("text", "lang").limit(SAMPLE_DOCS * len(marks)).collect()
+    sample = drawn.withColumn("text", sample_text(F.col("text"))).orderBy("h", "lang", "text").select("text", "lang").limit(SAMPLE_DOCS * len(marks)).collect()
     return train([r["text"] for r in sample], [r["lang"] for r in sample])
 
 

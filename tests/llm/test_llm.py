@@ -318,6 +318,24 @@ def test_language_id(spark):
     assert {x["lang_pred"] for x in unlabelled} == {"und"}
 
 
+def test_languages_of_long_documents_only(spark):
+    """A language is learned though all its documents are longer than the sample's bound."""
+    words = {"aa": "the quick brown fox jumps over lazy dogs".split(), "bb": "zwölf boxkämpfer jagen viktor quer über sylter deich".split()}
+    r = random.Random(5)
+    rows = []
+    for i in range(24):
+        lang = ("aa", "bb")[i % 2]
+        lines = [" ".join(r.choice(words[lang]) for _ in range(400)) for _ in range((1, 12, 30)[i % 3])]
+        rows.append((i, "0123 " * 5000 + ("\n" if i % 4 else "").join(lines), lang))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert min(len(t) for _, t, _ in rows) > language_id.SAMPLE_CHARS
+    model = language_id.fit(docs)
+    assert model is not None and model.langs == ["aa", "bb"]
+    assert {r["doc_id"]: r["lang_pred"] for r in language_id.predict(docs, model).collect()} == {i: lang for i, _, lang in rows}
+    longest = docs.select(F.max(F.length(language_id.sample_text(F.col("text"))))).first()[0]
+    assert longest <= language_id.SAMPLE_CHARS + language_id.SAMPLE_LINES
+
+
 def test_forward_backward_is_exact():
     """Posteriors, pair expectations and code-switching against enumeration of all label paths."""
     import itertools
