@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,10 +25,12 @@ def build_session(name: str = "loam", master: str | None = None, **conf: str) ->
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints: the cluster's, or a local one where none is set (tests)."""
+    """The shared folder for written tables: the cluster's, or a local one where a local session sets none."""
     sc = spark.sparkContext
     at = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="loam-ckpt-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(at)
@@ -35,9 +38,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with a reliable checkpoint in the shared folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage of ``df``: it is written to the shared folder and read again.
+
+    Unlike a checkpoint, a written table is computed once and has the size of its files as statistics;
+    a checkpoint keeps the estimate of its plan, which joins multiply round after round.
+    """
+    spark = df.sparkSession
+    at = f"{ensure_checkpoint_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])  # names that differ by case alone can't be written
+    if "void" in plain.schema.simpleString():
+        return df.checkpoint(eager=True)
+    plain.write.option("compression", "zstd").parquet(at)
+    return spark.read.schema(plain.schema).parquet(at).toDF(*df.columns)
 
 
 def shuffle_width(spark: SparkSession) -> int:
