@@ -60,15 +60,25 @@ def search_source(entities: DataFrame, scopes: list[str] | None) -> DataFrame:
 
 
 def apply_actions(entities: DataFrame, relations: DataFrame, history: DataFrame, actions: DataFrame, files: DataFrame, now: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Merge a batch of the change feed: renames, then deletes, then accesses, then upserts.
+    """Merge a batch of the change feed so that the last action on each path decides.
 
-    ``files`` are entity rows of the paths that were created or changed.
+    Paths that are deleted and then come back (by a create or as a rename's target) are deleted
+    first; of several renames to one target the last one stays, and what the others moved is gone;
+    then come renames, the other deletes, accesses and upserts. At one time, deletes come before
+    renames and renames before upserts. ``files`` are entity rows of the paths that were created or
+    changed; a path whose last action is a delete is not taken from them.
     """
-    renames = maintain.resolve_renames(actions.where("action = 'rename'").select(F.col("old_path").alias("old"), F.col("path").alias("new")))
-    entities, relations, history = map(cut, maintain.rename(entities, relations, history, renames, now))
-    entities, relations, history = maintain.delete(entities, relations, history, actions.where("action = 'delete'").select("path"), now)
+    rank = F.when(F.col("action") == "delete", 0).when(F.col("action") == "rename", 1).otherwise(2)
+    decided = actions.where(F.col("action").isin("delete", "rename", "upsert")).withColumn("_at", F.struct("ts", rank))
+    last = cut(decided.groupBy("path").agg(F.max_by("action", "_at").alias("last"), F.max(F.when(F.col("action") == "rename", F.struct("_at", "old_path"))).alias("_r")))
+    renames = last.where(F.col("_r").isNotNull()).select(F.col("_r.old_path").alias("old"), F.col("path").alias("new"))
+    beaten = decided.where(F.col("action") == "rename").join(renames, (F.col("old_path") == F.col("old")) & (F.col("path") == F.col("new")), "left_anti").select(F.col("old_path").alias("path"))
+    deleted = decided.where("action = 'delete'").select("path").distinct().join(last, "path")
+    early = deleted.where("last <> 'delete'").select("path").unionByName(beaten).distinct()
+    entities, relations, history = map(cut, maintain.delete(entities, relations, history, early, now))
+    entities, relations, history = map(cut, maintain.rename(entities, relations, history, maintain.resolve_renames(renames), now))
+    entities, relations, history = maintain.delete(entities, relations, history, deleted.where("last = 'delete'").select("path"), now)
     entities = maintain.touch(entities, actions.where("action = 'touch'").select("path", "ts"))
-    touched = actions.where("action in ('upsert', 'rename')").select("path").distinct()
-    new = files.join(touched, "path", "left_semi")
+    new = files.join(last.where("last <> 'delete'").select("path"), "path", "left_semi")
     history = history.unionByName(maintain.upsert_history(entities, new, now).select(*[f.name for f in HISTORY]))
     return maintain.upsert(entities, new), relations, history

@@ -15,11 +15,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
-from loam.schema import RENAME_WINDOW_SECONDS
+from loam.schema import DAY, RENAME_WINDOW_SECONDS
 
 ACTIONS = "action string, path string, old_path string, content_hash string, ts long"
 
@@ -45,12 +45,22 @@ class Tracker:
         return self.held.pop()[0] if len(self.held) == 1 else None
 
 
-def with_hash(events: DataFrame, entities: DataFrame) -> DataFrame:
-    """Removes take their hash from the stored entities: the file is gone."""
-    known = entities.select("path", F.col("content_hash").alias("_h"))
-    both = events.join(known, "path", "left")
+def with_hash(events: DataFrame, entities: DataFrame, recent: DataFrame | None = None) -> DataFrame:
+    """Removes take the last hash that is known of their path: the file is gone.
+
+    That is the hash of the path's last earlier event in the batch that has one, else in ``recent``
+    (``path, ts, event_id, content_hash``), else the stored entity's.
+    """
     gone = F.col("action").isin("remove", "rename_from")
-    return both.withColumn("content_hash", F.when(gone, F.col("_h")).otherwise(F.col("content_hash"))).drop("_h")
+    own = ["path", "ts", "event_id", "content_hash"]
+    made = events.where(~gone & F.col("content_hash").isNotNull()).select(*own)
+    made = made if recent is None else made.unionByName(recent.where(F.col("content_hash").isNotNull()).select(*own))
+    asked = events.where(gone).select("path", "ts", "event_id")
+    before = F.struct(F.col("m.ts"), F.col("m.event_id")) < F.struct(F.col("a.ts"), F.col("a.event_id"))
+    last = asked.alias("a").join(made.alias("m"), (F.col("a.path") == F.col("m.path")) & before)
+    last = last.groupBy(F.col("a.path").alias("path"), F.col("a.ts").alias("ts"), F.col("a.event_id").alias("event_id")).agg(F.max_by("m.content_hash", F.struct("m.ts", "m.event_id")).alias("_m"))
+    both = events.join(last, ["path", "ts", "event_id"], "left").join(entities.select("path", F.col("content_hash").alias("_h")), "path", "left")
+    return both.withColumn("content_hash", F.when(gone, F.coalesce("_m", "_h")).otherwise(F.col("content_hash"))).select(*events.columns)
 
 
 def plain(h: Column) -> Column:
@@ -85,11 +95,18 @@ def _step(tracker: Tracker, h: str, action: str, path: str, ts: int) -> list[tup
     return [*out, ("cancelled", path, None, h, ts), ("upsert", path, None, h, ts)] if cancelled else [*out, ("upsert", path, None, h, ts)]
 
 
+def sessions(events: DataFrame, window: int = RENAME_WINDOW_SECONDS) -> DataFrame:
+    """Events with ``session``: a hash's events part where more than the window passes, as nothing is held then."""
+    order = Window.partitionBy("content_hash").orderBy("ts", "event_id")
+    apart = F.col("ts") - F.lag("ts").over(order) > window
+    return events.withColumn("_new", F.coalesce(apart, F.lit(False)).cast("long")).withColumn("session", F.sum("_new").over(order)).drop("_new")
+
+
 def replay(events: DataFrame, until: int | None = None, window: int = RENAME_WINDOW_SECONDS) -> DataFrame:
     """The batch form: all actions of a set of events, as if the feed ran on to ``until`` (or for ever).
 
-    A hash's events are handled in order of time and id, in one task; a hash is one content, so its
-    events are few unless one content moves without end.
+    A hash's events are handled in order of time and id, one session at a time: what a task holds is
+    what happens to one content without a pause of the window's length.
     """
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -101,8 +118,8 @@ def replay(events: DataFrame, until: int | None = None, window: int = RENAME_WIN
         out += [("delete", p, None, h, t) for p, t in left]
         return pd.DataFrame(out, columns=["action", "path", "old_path", "content_hash", "ts"])
 
-    rows = waiting(events).select("content_hash", "ts", "event_id", "action", "path")
-    return rows.groupBy("content_hash").applyInPandas(run, ACTIONS).unionByName(direct_actions(events))
+    rows = sessions(waiting(events).select("content_hash", "ts", "event_id", "action", "path"), window)
+    return rows.groupBy("content_hash", "session").applyInPandas(run, ACTIONS).unionByName(direct_actions(events))
 
 
 class RenameProcessor(StatefulProcessor):
@@ -151,16 +168,58 @@ def use_state_store(spark: SparkSession) -> None:
 
 
 def stream(events: DataFrame, window: int = RENAME_WINDOW_SECONDS, delay: str = "5 seconds") -> DataFrame:
-    """Actions of a stream of hashed events; ``delay`` bounds how late an event may come."""
+    """All actions of a stream of events; ``delay`` bounds how late an event that waits may come.
+
+    Events that never wait pass at once, whatever their hash.
+    """
     timed = waiting(events).withColumn("at", F.timestamp_seconds("ts")).withWatermark("at", delay)
-    return timed.groupBy("content_hash").transformWithStateInPandas(RenameProcessor(window), ACTIONS, "Append", "EventTime")
+    tracked = timed.groupBy("content_hash").transformWithStateInPandas(RenameProcessor(window), ACTIONS, "Append", "EventTime")
+    return tracked.unionByName(direct_actions(events))
+
 
+class Watch:
+    """A running feed: changes get their hashes in ``hashing`` and become actions in ``tracking``."""
 
-def watch(spark: SparkSession, folder: str, schema: str, entities: DataFrame, sink, checkpoint: str, trigger: dict | None = None, window: int = RENAME_WINDOW_SECONDS):
-    """Start the feed over a folder of change files; ``sink(actions, epoch)`` merges each batch."""
+    def __init__(self, hashing, tracking):
+        self.hashing, self.tracking = hashing, tracking
+
+    def stop(self) -> None:
+        self.hashing.stop(), self.tracking.stop()
+
+    def drain(self, timeout: int | None = None) -> None:
+        """Wait until both have handled what is there (for ``availableNow`` triggers, and tests)."""
+        self.hashing.awaitTermination(timeout)
+        self.tracking.awaitTermination(timeout)
+
+
+def watch(spark: SparkSession, folder: str, schema: str, entities, sink, checkpoint: str, trigger: dict | None = None, window: int = RENAME_WINDOW_SECONDS, memory: int = DAY) -> Watch:
+    """Start the feed over a folder of change files; ``sink(actions, epoch)`` merges each batch.
+
+    ``entities`` is a function that returns the current table, or a table. Each batch's removes look
+    their hashes up as they are then: among the changes of the last ``memory`` seconds that the feed
+    has seen itself, also those of its own batch, and in the current table. So a file that appears
+    after the start and goes or moves again is followed like any other.
+    """
     use_state_store(spark)
-    events = with_hash(spark.readStream.schema(schema).parquet(folder), entities)
-    return stream(events, window).writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).outputMode("append").trigger(**(trigger or {"processingTime": "2 seconds"})).start()
+    current = entities if callable(entities) else lambda: entities
+    hashed = f"{checkpoint.rstrip('/')}/hashed"
+    trigger = trigger or {"processingTime": "2 seconds"}
+    fields = spark.createDataFrame([], schema).schema
+    spark.createDataFrame([], fields).write.mode("append").parquet(hashed)
+
+    def hash_batch(batch: DataFrame, epoch: int) -> None:
+        first = batch.agg(F.min("ts")).first()[0]
+        if first is not None:
+            recent = spark.read.schema(fields).parquet(f"{hashed}/*").where(F.col("ts") >= first - memory)
+            # a batch that is run again replaces its own files
+            with_hash(batch, current(), recent).write.mode("overwrite").parquet(f"{hashed}/epoch={epoch}")
+
+    hashing = spark.readStream.schema(fields).parquet(folder).writeStream.foreachBatch(hash_batch).option("checkpointLocation", f"{checkpoint}/hashing").trigger(**trigger).start()
+    if "availableNow" in trigger or "once" in trigger:
+        hashing.awaitTermination()
+    events = spark.readStream.schema(fields).parquet(f"{hashed}/*")
+    tracking = stream(events, window).writeStream.foreachBatch(sink).option("checkpointLocation", f"{checkpoint}/tracking").outputMode("append").trigger(**trigger).start()
+    return Watch(hashing, tracking)
 
 
 def every(spark: SparkSession, job, interval: str = "6 hours", checkpoint: str | None = None):

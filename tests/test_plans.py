@@ -64,6 +64,21 @@ def test_apply_actions(spark, entity_rows):
     assert sorted(x["event"] for x in h.collect()) == ["created", "deleted", "renamed"]
 
 
+def test_last_action_of_a_path_decides(spark, entity_rows):
+    e = entity_rows(("/a", "h1"), ("/b", "h2"), ("/c", "h3"), ("/d", "h4"), ("/e", "h5"))
+    actions = [
+        ("upsert", "/made", None, "m", 1), ("delete", "/made", None, "m", 2),  # made and gone
+        ("delete", "/b", None, "h2", 3), ("rename", "/b", "/a", "h1", 4),  # another file takes a deleted one's place
+        ("rename", "/t", "/c", "h3", 5), ("rename", "/t", "/d", "h4", 6),  # two files move to one place
+        ("delete", "/e", None, "h5", 7), ("upsert", "/e", None, "h9", 8),  # gone and made again
+    ]
+    rows = spark.createDataFrame(actions, "action string, path string, old_path string, content_hash string, ts long")
+    files = entity_rows(("/made", "m"), ("/e", "h9", "active", {"id": "new:/e"}))
+    out, _, h = ingest.apply_actions(e, spark.createDataFrame([], RELATION), spark.createDataFrame([], HISTORY), rows, files, 7)
+    assert {x["path"]: x["id"] for x in out.collect()} == {"/b": "id:/a", "/t": "id:/d", "/e": "new:/e"} and out.count() == 3
+    assert {(x["path"], x["event"]) for x in h.collect()} >= {("/b", "renamed"), ("/t", "renamed"), ("/c", "deleted"), ("/e", "deleted"), ("/e", "created")}
+
+
 def test_workspaces(tmp_path):
     r = Registry.load(tmp_path / "w.json")
     a = r.add("My Repo!", "/repo")

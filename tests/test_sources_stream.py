@@ -122,3 +122,83 @@ def test_stream_equals_replay(spark, tmp_path):
     want = rename.replay(spark.createDataFrame(rows, SCHEMA)).collect()
     key = lambda r: (r["content_hash"], r["action"], r["path"], r["old_path"] or "")
     assert sorted(key(r) for r in seen if r["path"] != "/sentinel") == sorted(map(key, want))
+
+
+def mixed_rows():
+    """Events of every kind: hashed, without a hash, with one that stands for a size."""
+    rows, n = [], 0
+    for i, events in enumerate(v[0] for v in CASES.values()):
+        rows += rows_of(events, f"h{i}", n)
+        n += 10
+    return rows + [(50, 90, "rename_both", "/p", "/q", None), (51, 91, "access", "/p", None, "hx"), (52, 92, "remove", "/nohash", None, None), (53, 93, "create", "/plain", None, None), (54, 94, "modify", "/big", None, "size:9"), (55, 95, "rename_from", "/big", None, "size:9"), (56, 96, "rename_to", "/moved", None, None)]
+
+
+def test_stream_keeps_every_action(spark, tmp_path):
+    """Mixed events: the stream gives what the batch form gives, for all kinds of actions."""
+    src = str(tmp_path / "in")
+    rows = mixed_rows()
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(src)
+    spark.createDataFrame([(999, 10_000, "create", "/sentinel", None, "zz")], SCHEMA).coalesce(1).write.mode("append").parquet(src)
+    seen = []
+    stream = rename.stream(spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(src))
+    w = stream.writeStream.foreachBatch(lambda df, _: seen.extend(df.collect())).option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(availableNow=True).start()
+    w.awaitTermination(120)
+    want = rename.replay(spark.createDataFrame(rows, SCHEMA)).collect()
+    key = lambda r: (r["content_hash"] or "", r["action"], r["path"], r["old_path"] or "")
+    assert sorted(key(r) for r in seen if r["path"] != "/sentinel") == sorted(map(key, want))
+    assert {r["action"] for r in seen} == {"rename", "upsert", "delete", "touch", "cancelled"}
+
+
+def test_watch_follows_files_that_came_after_the_start(spark, tmp_path, entity_rows):
+    """A file made after the start and then moved is a rename; hashes come from the feed and from the current table."""
+    src = str(tmp_path / "in")
+    later = []
+
+    def write(*rows):
+        spark.createDataFrame(list(rows), SCHEMA).coalesce(1).write.mode("append").parquet(src)
+
+    write((1, 100, "create", "/new", None, "n1"), (2, 101, "remove", "/new", None, None), (3, 102, "create", "/moved", None, "n1"))
+    write((4, 103, "remove", "/stored", None, None), (5, 104, "create", "/stored2", None, "s1"), (6, 105, "access", "/x", None, None))
+    write((7, 300, "create", "/sentinel", None, "zz"))
+
+    def run():
+        feed = rename.watch(spark, src, SCHEMA, lambda: entity_rows(("/stored", "s1")), lambda df, _: later.extend(df.collect()), str(tmp_path / "c"), {"availableNow": True})
+        feed.drain(120)
+
+    run()
+    write((8, 400, "remove", "/moved", None, None), (9, 401, "create", "/again", None, "n1"), (10, 900, "create", "/sentinel2", None, "zy"))
+    run()
+    got = {(r["action"], r["path"], r["old_path"]) for r in later if "sentinel" not in r["path"]}
+    assert got == {("upsert", "/new", None), ("rename", "/moved", "/new"), ("rename", "/stored2", "/stored"), ("touch", "/x", None), ("rename", "/again", "/moved")}
+
+
+def test_replay_equals_a_plain_loop(spark):
+    """Random events against a single loop over all of them; sessions don't change a thing."""
+    import random
+
+    r = random.Random(3)
+    rows, ts = [], 0
+    for i in range(400):
+        ts += r.choice([0, 1, 2, 3, 7])
+        rows.append((i, ts, r.choice(["create", "modify", "remove", "rename_from", "rename_to"]), f"/p{r.randint(0, 6)}", None, f"h{r.randint(0, 3)}"))
+    held, want = {}, []
+    for _, ts, action, path, _, h in rows:
+        mine = held.setdefault(h, [])
+        want += [("delete", p, None, h, t) for p, t in mine if ts - t > 5]
+        mine[:] = [x for x in mine if ts - x[1] <= 5]
+        if action in ("remove", "rename_from"):
+            mine.append((path, ts))
+            continue
+        rest = [x for x in mine if x[0] != path]
+        if len(rest) == 1:
+            want.append(("rename", path, rest[0][0], h, ts))
+            rest = []
+        else:
+            want += [("cancelled", path, None, h, ts)] if len(rest) < len(mine) else []
+            want.append(("upsert", path, None, h, ts))
+        mine[:] = rest
+    want += [("delete", p, None, h, t) for h, mine in held.items() for p, t in mine]
+    events = spark.createDataFrame(rows, SCHEMA)
+    assert rename.sessions(rename.waiting(events)).select("content_hash", "session").distinct().count() > 40
+    key = lambda x: tuple(y or "" for y in x)
+    assert sorted((tuple(r) for r in rename.replay(events).collect()), key=key) == sorted(want, key=key)
