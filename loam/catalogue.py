@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loam.functions import scalars as Z
 from loam.operators import diff, duplicates, export, find, graph, lifecycle, maintain, related, search
-from loam.plans import context, query_language
+from loam.plans import context, ingest, query_language
 from loam.schema import DAY, ENTITY_COLUMNS, HISTORY, NOW
 from loam.session import table
 from loam.sources import adapters as A
@@ -43,14 +43,27 @@ def s1(spark, d):
     return scan.scan_stats(A.listing(spark, d), paths.IgnoreSet(extra_segments=("src3",)), max_bytes=100_000)
 
 
-@query("s2_snapshot", f"WITH {E}, {L} SELECT {ALL} FROM listing")
+def _files(spark, d) -> DataFrame:
+    """Documents as a listing of files."""
+    e = A.entities(spark, d).select("path", "created_at", "modified_at", "accessed_at", "size_bytes")
+    return e.join(A.content(spark, d).select("path", "content"), "path")
+
+
+_SHOWN = ", ".join(c for c in ENTITY_COLUMNS if c != "id")
+_STATE = "CASE WHEN accessed_at >= {0} - 30 * {1} THEN 'active' WHEN accessed_at >= {0} - 90 * {1} THEN 'dormant' ELSE 'archived' END".format(NOW, DAY)
+
+
+@query("s2_snapshot", f"WITH {E} SELECT path, size_bytes, content_hash FROM entities WHERE size_bytes <= 20000 AND NOT path LIKE '/corpus/src4/%'")
 def s2(spark, d):
-    return A.listing(spark, d)
+    found = scan.to_entities(_files(spark, d), NOW, paths.IgnoreSet(extra_segments=("src4",)), max_bytes=20_000)
+    return found.select("path", "size_bytes", "content_hash")
 
 
-@query("s3_entities", f"WITH {E} SELECT {ALL} FROM entities")
+@query("s3_entities", f"WITH {E} SELECT {_SHOWN.replace('lifecycle', _STATE + ' AS lifecycle').replace('created_at, modified_at', 'coalesce(g.c, created_at) AS created_at, coalesce(g.m, modified_at) AS modified_at').replace('git_author', 'g.a AS git_author')} FROM entities LEFT JOIN (SELECT '/corpus/' || source || '/' || doc_id || '.' || lang AS gp, CAST(5 AS BIGINT) AS c, CAST(9 AS BIGINT) AS m, 'Ann' AS a FROM documents WHERE doc_id % 7 = 0) g ON gp = path")
 def s3(spark, d):
-    return A.entities(spark, d)
+    tracked = A.entities(spark, d).where(F.substring("id", 5, 20).cast("long") % 7 == 0)
+    git = tracked.select("path", F.lit(5).cast("long").alias("created_at"), F.lit(9).cast("long").alias("modified_at"), F.lit("Ann").alias("author"))
+    return scan.to_entities(_files(spark, d), NOW, git=git).drop("id")
 
 
 @query("s4_content_hash", "SELECT doc_id, CASE WHEN strlen(text) > 10000 THEN 'size:' || strlen(text) ELSE sha256(text) END AS content_hash FROM documents")
@@ -101,8 +114,45 @@ def s8(spark, d):
     return scan.import_edges(files, known)
 
 
-@query("s10_href_edges", """SELECT DISTINCT url AS from_path, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS to_path, 'links' AS kind FROM pages""")
+@query("s9_rust_mods", "SELECT '/crate/n' || n_nationkey || '/lib.rs' AS from_path, '/crate/n' || n_nationkey || CASE WHEN n_regionkey % 2 = 0 THEN '/r' || n_regionkey || '.rs' ELSE '/r' || n_regionkey || '/mod.rs' END AS to_path, 'mod' AS kind FROM nation")
+def s9(spark, d):
+    n = table(spark, d, "nation")
+    folder, module = F.concat(F.lit("/crate/n"), F.col("n_nationkey").cast("string")), F.concat(F.lit("r"), F.col("n_regionkey").cast("string"))
+    files = n.select(F.concat(folder, F.lit("/lib.rs")).alias("path"), F.concat(F.lit("use std::fmt;\nmod "), module, F.lit(";\n// mod other;\nmod inline { }\nmod missing;\n")).alias("content"))
+    known = n.select(F.concat(folder, F.lit("/"), module, F.when(F.col("n_regionkey") % 2 == 0, ".rs").otherwise("/mod.rs")).alias("path"))
+    return scan.import_edges(files, known)
+
+
+@query(
+    "s10_script_edges",
+    """SELECT '/web/n' || n_nationkey || '/main.ts' AS from_path, '/web/n' || n_nationkey || '/r' || n_regionkey || '.tsx' AS to_path, 'imports' AS kind FROM nation
+    UNION ALL SELECT '/web/n' || n_nationkey || '/main.ts', '/web/shared/index.js', 'imports' FROM nation UNION ALL SELECT '/web/n' || n_nationkey || '/main.ts', '/web/lib.js', 'imports' FROM nation""",
+)
 def s10(spark, d):
+    n = table(spark, d, "nation")
+    folder, module = F.concat(F.lit("/web/n"), F.col("n_nationkey").cast("string")), F.concat(F.lit("r"), F.col("n_regionkey").cast("string"))
+    text = F.concat(F.lit("import React from 'react'\nimport { a } from './"), module, F.lit("'\nexport * from \"../shared\"\nconst l = require( '../lib.js' )\nimport x from './nowhere'\n"))
+    files = n.select(F.concat(folder, F.lit("/main.ts")).alias("path"), text.alias("content"))
+    known = n.select(F.concat(folder, F.lit("/"), module, F.lit(".tsx")).alias("path")).union(spark.createDataFrame([("/web/shared/index.js",), ("/web/lib.js",)], "path string"))
+    return scan.import_edges(files, known)
+
+
+@query(
+    "s11_edges_by_language",
+    """SELECT '/mix/a' || n_nationkey || e.ext AS from_path, '/mix/b' || n_nationkey || e.ext AS to_path, CASE WHEN e.ext = '.rs' THEN 'mod' ELSE 'imports' END AS kind
+    FROM nation, (VALUES (0, '.py'), (1, '.rs'), (2, '.js')) e(k, ext) WHERE n_nationkey % 4 = e.k""",
+)
+def s11(spark, d):
+    n = table(spark, d, "nation")
+    key, kind = F.col("n_nationkey").cast("string"), F.col("n_nationkey") % 4
+    ext = F.when(kind == 0, ".py").when(kind == 1, ".rs").when(kind == 2, ".js").otherwise(".txt")
+    line = F.when(kind == 0, F.concat(F.lit("from .b"), key, F.lit(" import x\n"))).when(kind == 1, F.concat(F.lit("mod b"), key, F.lit(";\n"))).otherwise(F.concat(F.lit("import b from './b"), key, F.lit("'\n")))
+    files = n.select(F.concat(F.lit("/mix/a"), key, ext).alias("path"), line.alias("content"))
+    return scan.import_edges(files, n.select(F.concat(F.lit("/mix/b"), key, ext).alias("path")))
+
+
+@query("href_edges", """SELECT DISTINCT url AS from_path, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS to_path, 'links' AS kind FROM pages""")
+def href(spark, d):
     return scan.href_edges(table(spark, d, "pages"))
 
 
@@ -337,7 +387,7 @@ def f10(spark, d):
 
 @query("f11_prefix_filter", f"WITH {E} SELECT path FROM entities WHERE starts_with(path, '/corpus/src1')")
 def f11(spark, d):
-    return A.entities(spark, d).where(F.col("path").startswith("/corpus/src1")).select("path")
+    return find.with_prefix(A.entities(spark, d), "/corpus/src1").select("path")
 
 
 @query("f12_file_content", f"WITH {C} SELECT path, substr(content, 1, 32000) AS content, CAST(length(substr(content, 1, 32000)) AS INTEGER) AS chars FROM content")
@@ -506,6 +556,24 @@ def r4(spark, d):
     return graph.cycles(A.document_relations(spark, d)).select(F.array_join("cycle", ",").alias("cycle"))
 
 
+@query(
+    "r4_ring_cycles",
+    """WITH RECURSIVE n AS (SELECT n_nationkey AS k, n_regionkey AS r, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS i, count(*) OVER (PARTITION BY n_regionkey) AS m FROM nation),
+    e AS (SELECT '/n/' || a.r || '/' || a.i AS a, '/n/' || b.r || '/' || b.i AS b FROM n a JOIN n b ON a.r = b.r AND (b.i = (a.i + 1) % a.m OR (a.i = 2 AND b.i = 0) OR (a.i = 3 AND b.i = 1))),
+    w(first, path, last) AS (SELECT a, [a, b], b FROM e WHERE a < b UNION ALL SELECT first, list_append(path, e.b), e.b FROM w JOIN e ON e.a = w.last WHERE e.b > first AND NOT list_contains(path, e.b))
+    SELECT array_to_string(list_append(path, first), ',') AS cycle FROM w JOIN e ON e.a = w.last AND e.b = w.first""",
+)
+def r4_rings(spark, d):
+    from pyspark.sql import Window
+
+    own = Window.partitionBy("n_regionkey")
+    n = table(spark, d, "nation").select(F.col("n_regionkey").alias("r"), (F.row_number().over(own.orderBy("n_nationkey")) - 1).alias("i"), F.count("*").over(own).alias("m"))
+    name = lambda x: F.concat_ws("/", F.lit("/n"), F.col(f"{x}.r").cast("string"), F.col(f"{x}.i").cast("string"))
+    step = (F.col("b.i") == (F.col("a.i") + 1) % F.col("a.m")) | ((F.col("a.i") == 2) & (F.col("b.i") == 0)) | ((F.col("a.i") == 3) & (F.col("b.i") == 1))
+    edges = n.alias("a").join(n.alias("b"), (F.col("a.r") == F.col("b.r")) & step).select(name("a").alias("from_path"), name("b").alias("to_path"), F.lit("next").alias("kind"))
+    return graph.cycles(edges).select(F.array_join("cycle", ",").alias("cycle"))
+
+
 @query("r7_history", f"WITH {_UPSERT}, h AS ({_EVENTS}) SELECT path, event, seq FROM h WHERE path = (SELECT min(path) FROM h WHERE event = 'modified') ORDER BY recorded_at DESC, seq DESC LIMIT 50")
 def r7(spark, d):
     h = maintain.upsert_history(A.entities(spark, d), A.listing(spark, d), NOW)
@@ -546,6 +614,12 @@ def r10(spark, d):
     return _projects(spark, d)[0].where(related.is_test_path(F.col("path")))
 
 
+@query("r11_test_commands", "SELECT 'cargo test --workspace --all-targets' AS command UNION ALL SELECT 'uv run --group dev pytest'")
+def r11(spark, d):
+    some = [r["path"] for r in _projects(spark, d)[0].orderBy("path").limit(5).collect()]  # a stated, short list
+    return spark.createDataFrame([(c,) for c in related.test_commands(some, ("pyproject.toml",))], "command string")
+
+
 # --- search
 
 
@@ -561,8 +635,14 @@ def _bm25(a: str, b: str) -> str:
 
 @query("q1_sanitize", "SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[^\\p{L}\\p{N}_\\-/.]', ' ', 'g'), '\\s+', ' ', 'g')) AS clean FROM documents")
 def q1(spark, d):
-    clean = F.trim(F.regexp_replace(F.regexp_replace("text", r"[^\p{L}\p{N}_\-/.]", " "), r"\s+", " "))
-    return table(spark, d, "documents").select("doc_id", clean.alias("clean"))
+    return table(spark, d, "documents").select("doc_id", search.sanitized(F.col("text")).alias("clean"))
+
+
+@query("q4_vector_rows", f"WITH {E}, {C} SELECT e.path, content_hash, replace(substr(content, 1, 500), chr(10), ' ') AS text_preview, CAST(length(content) AS DOUBLE) AS v0, CAST(length(content) - length(replace(content, 'e', '')) AS DOUBLE) AS v1, CAST(7 AS BIGINT) AS indexed_at FROM entities e JOIN content c ON c.path = e.path")
+def q4(spark, d):
+    rows = A.entities(spark, d).select("path", "content_hash").join(A.content(spark, d).select("path", F.col("content").alias("text")), "path")
+    got = search.vector_rows(rows, at=7, load=lambda: lambda t: [float(len(t)), float(t.count("e"))])
+    return got.select("path", "content_hash", "text_preview", F.col("vector")[0].cast("double").alias("v0"), F.col("vector")[1].cast("double").alias("v1"), "indexed_at")
 
 
 @query("q2_bm25_topk", f"WITH {_bm25('erha', 'thre')} SELECT path, round(rank, 6) AS rank FROM q ORDER BY q.rank, path LIMIT 10")
@@ -722,9 +802,61 @@ def z12(spark, d):
 # --- change feed
 
 
-@query("w2_direct_actions", "SELECT 'touch' AS action, '/u/' || user_id AS path, CAST(NULL AS VARCHAR) AS old_path, 'h' || json_extract_string(props, '$.k') AS content_hash, CAST(floor(epoch(ts)) AS BIGINT) AS ts FROM events WHERE event_type = 'view'")
+def _mixed_changes(spark, d) -> DataFrame:
+    """Changes of which a third has no hash, a third one that stands for a size; some renames come in one event."""
+    c = A.changes(spark, d)
+    third = F.col("event_id") % 3
+    h = F.when(third == 0, F.lit(None)).when(third == 1, F.concat(F.lit("size:"), F.col("event_id").cast("string"))).otherwise(F.col("content_hash"))
+    both = (F.col("action") == "rename_to") & (F.col("event_id") % 2 == 0)
+    return c.withColumn("content_hash", h).withColumn("action", F.when(both, "rename_both").otherwise(F.col("action"))).withColumn("new_path", F.when(both, F.concat("path", F.lit("/new"))))
+
+
+@query(
+    "w2_direct_actions",
+    """WITH c AS (SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS ts, CASE event_type WHEN 'signup' THEN 'create' WHEN 'view' THEN 'access' WHEN 'click' THEN 'modify' WHEN 'error' THEN 'remove' WHEN 'purchase' THEN CASE WHEN event_id % 2 = 0 THEN 'rename_both' ELSE 'rename_to' END END AS a,
+      '/u/' || user_id AS p, CASE event_id % 3 WHEN 0 THEN NULL WHEN 1 THEN 'size:' || event_id ELSE 'h' || json_extract_string(props, '$.k') END AS h FROM events)
+    SELECT CASE WHEN a = 'rename_both' THEN 'rename' WHEN a = 'access' THEN 'touch' WHEN a = 'remove' THEN 'delete' ELSE 'upsert' END AS action, CASE WHEN a = 'rename_both' THEN p || '/new' ELSE p END AS path, CASE WHEN a = 'rename_both' THEN p END AS old_path, h AS content_hash, ts
+    FROM c WHERE a IN ('rename_both', 'access') OR (a IS NOT NULL AND (h IS NULL OR h LIKE 'size:%'))""",
+)
 def w2(spark, d):
-    return rename_feed.direct_actions(A.changes(spark, d)).where("action = 'touch'")
+    return rename_feed.direct_actions(_mixed_changes(spark, d))
+
+
+@query(
+    "w4_stored_hashes",
+    f"""WITH {E}, c AS (SELECT path, CASE WHEN size_bytes % 2 = 0 THEN 'remove' ELSE 'create' END AS action FROM entities) SELECT path, action, CASE WHEN action = 'remove' THEN content_hash ELSE 'new' END AS content_hash FROM c JOIN entities USING (path)""",
+)
+def w4(spark, d):
+    e = A.entities(spark, d)
+    made = F.col("size_bytes") % 2 != 0
+    events = e.select(F.xxhash64("path").alias("event_id"), F.lit(5).cast("long").alias("ts"), F.when(made, "create").otherwise("remove").alias("action"), "path", F.lit(None).cast("string").alias("new_path"), F.when(made, "new").alias("content_hash"))
+    return rename_feed.with_hash(events, e).select("path", "action", "content_hash")
+
+
+@query(
+    "w6_apply_actions",
+    f"""WITH {E}, {N} SELECT coalesce(new, e.path) AS path, e.id, CASE WHEN lifecycle = 'dormant' AND new IS NULL THEN {NOW} + 5 ELSE accessed_at END AS accessed_at FROM entities e LEFT JOIN renames ON old = e.path WHERE new IS NOT NULL OR lifecycle <> 'archived'""",
+)
+def w6(spark, d):
+    e, moved = A.entities(spark, d), A.renames(spark, d)
+    at = F.lit(NOW + 5).cast("long")
+    none = F.lit(None).cast("string")
+    rest = e.join(moved.select(F.col("old").alias("path")), "path", "left_anti")
+    actions = moved.select(F.lit("rename").alias("action"), F.col("new").alias("path"), F.col("old").alias("old_path"), none.alias("content_hash"), at.alias("ts"))
+    actions = actions.union(rest.where("lifecycle = 'archived'").select(F.lit("delete"), "path", none, none, at)).union(rest.where("lifecycle = 'dormant'").select(F.lit("touch"), "path", none, none, at))
+    out, _, _ = ingest.apply_actions(e, A.document_relations(spark, d), spark.createDataFrame([], HISTORY), actions, e.limit(0), NOW)
+    return out.select("path", "id", "accessed_at")
+
+
+@query("w9_index_once", f"""WITH {E}, {C}, s AS (SELECT e.path, content, e.lifecycle FROM entities e JOIN content c ON c.path = e.path WHERE e.lifecycle <> 'dead')
+  SELECT path, CASE WHEN path LIKE '/corpus/src3/%' THEN 'ignored' WHEN path LIKE '%.fr' THEN 'sensitive' WHEN trim(content, ' ') = '' THEN 'no_text' ELSE 'indexed' END AS outcome FROM s""")
+def w9(spark, d):
+    texts = spark.createDataFrame([], "path string, name string, content string")
+    vectors = spark.createDataFrame([], "path string, content_hash string, text_preview string, vector array<float>, indexed_at long")
+    relations = spark.createDataFrame([], "from_path string, to_path string, kind string, created_at long")
+    files = A.content(spark, d).select("path", "content")
+    got = ingest.index_once(A.entities(spark, d), relations, texts, vectors, files, NOW, paths.IgnoreSet(extra_segments=("src3",)), extra_sensitive=("*.fr",))
+    return got["outcomes"].select("path", "outcome")
 
 
 @query("w3_rename_replay")
@@ -749,24 +881,37 @@ def health(spark, d):
     return diff.health(A.entities(spark, d), A.document_relations(spark, d), A.vectors(spark, d), A.listing(spark, d))
 
 
-#: Inventory ids whose operator is exercised by a query of another id.
-SAME = {
-    "a6_author_mode": "s12_author_mode",
-    "j4_fusion": "q8_hybrid_topk",
-    "j8_context_enrichment": "q16_context_items",
-    "r5_stale_edges": "j1_stale_relations",
-    "r6_dangling_clean": "m11_clean_plan",
-    "o1_order_modified": "f3_find_modified_after",
-    "o6_order_group_size": "a1_exact_duplicates",
-}
-for _new, _old in SAME.items():
-    QUERIES[_new] = QUERIES[_old]
-    ORACLES[_new] = ORACLES[_old]
+@query("j4_fusion", f"""WITH {_HYBRID.replace("LIMIT 40", "LIMIT 25")} SELECT path, round(vs, 6) AS vector_score, round(rank, 6) AS fts_rank, round(coalesce(vs * 0.7, 0) + CASE WHEN rank IS NULL THEN 0 ELSE 0.3 / (1 + abs(rank)) END, 6) AS score, source FROM h""")
+def j4(spark, d):
+    v = search.knn(_document_vectors(spark, d), _query_vector(spark, d), 25)
+    f = search.fts_search(search.fts_rows(A.content(spark, d)), "that with", 25)
+    got = search.fused(v, f, norm="abs")
+    return got.select("path", *[F.round(c, 6).alias(c) for c in ("vector_score", "fts_rank", "score")], "source")
+
+
+@query("r5_stale_copies", f"WITH {E}, {D} SELECT from_path, to_path, kind FROM doc_relations WHERE from_path IN (SELECT path FROM entities WHERE lifecycle = 'dead') OR to_path IN (SELECT path FROM entities WHERE lifecycle = 'dead')")
+def r5(spark, d):
+    return graph.stale_relations(A.document_relations(spark, d), A.entities(spark, d).where("lifecycle <> 'dead'"))
+
+
+@query("r6_dangling_clean", f"WITH {E}, {D}, k AS (SELECT path FROM entities WHERE size_bytes > 500) SELECT 'stale' AS what, from_path AS path, to_path AS other FROM doc_relations WHERE from_path NOT IN (SELECT path FROM k) OR to_path NOT IN (SELECT path FROM k)")
+def r6(spark, d):
+    e = A.entities(spark, d).where("size_bytes > 500")
+    return maintain.clean_plan(e, A.document_relations(spark, d), A.listing(spark, d), NOW, stale_only=True)
+
+
+@query("o5_impact_order", f"WITH RECURSIVE {R}, w AS (SELECT '/region/2' AS path, 0 AS depth UNION SELECT r.from_path, w.depth + 1 FROM w JOIN relations r ON r.to_path = w.path WHERE w.depth < 2), m AS (SELECT path, min(depth) AS depth FROM w WHERE depth > 0 GROUP BY path) SELECT row_number() OVER (ORDER BY depth, path) AS nth, path, CAST(depth AS INTEGER) AS depth FROM m ORDER BY depth, path LIMIT 200")
+def o5(spark, d):
+    from loam.plans.session_api import Session
 
+    s = Session(A.entities(spark, d), A.relations(spark, d), spark.createDataFrame([], HISTORY))
+    hits = s.get_impact("/region/2", 2)[0].select("path", "depth").limit(200).collect()  # a page
+    return spark.createDataFrame([(i + 1, r["path"], r["depth"]) for i, r in enumerate(hits)], "nth long, path string, depth int")
 
-@query("x4_dot_document", f"""WITH {E}, {D} SELECT count(*) AS n FROM (SELECT path FROM entities UNION ALL SELECT from_path FROM doc_relations)""")
+
+@query("x4_dot_document", f"""WITH {E}, {D} SELECT '  "' || path || '";' AS line FROM entities UNION ALL SELECT '  "' || from_path || '" -> "' || to_path || '" [label="' || kind || '"];' FROM doc_relations""")
 def x4(spark, d):
-    return export.dot_lines(A.entities(spark, d).select("path"), A.document_relations(spark, d)).agg(F.count("*").alias("n"))
+    return export.dot_lines(A.entities(spark, d).select("path"), A.document_relations(spark, d))
 
 
 @query("u1_set_differences", f"WITH {E}, {L} SELECT 'new' AS side, path FROM listing WHERE path NOT IN (SELECT path FROM entities) UNION ALL SELECT 'deleted', path FROM entities WHERE path NOT IN (SELECT path FROM listing)")
@@ -787,10 +932,22 @@ def q12(spark, d):
     return A.entities(spark, d).where(find.build_filter(p.state, p.extension, p.created_after, p.modified_after).condition()).select("path")
 
 
-@query("z4_truncate_bytes", f"WITH {C} SELECT path, CAST(strlen(content) AS BIGINT) <= 100 AS fits FROM content")
+@query("z4_truncate_bytes", f"WITH {C} SELECT path, substr(content, 1, list_max(list_filter(range(0, 102), lambda k: strlen(substr(content, 1, k)) <= 101))) AS cut FROM content")
 def z4(spark, d):
-    both = A.content(spark, d).select("path", F.col("content"), Z.truncate_bytes(F.col("content"), 100).alias("t"))
-    return both.select("path", (F.col("t") == F.col("content")).alias("fits"))
+    return A.content(spark, d).select("path", Z.truncate_bytes(F.col("content"), 101).alias("cut"))
+
+
+@query("z6_slug_and_id", "SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name || '! ' || p_brand), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') || '-' || substr(sha256('/parts/' || p_partkey), 1, 12) AS id FROM part")
+def z6(spark, d):
+    p = table(spark, d, "part")
+    return p.select("p_partkey", Z.unique_id(F.concat("p_name", F.lit("! "), "p_brand"), F.concat(F.lit("/parts/"), F.col("p_partkey").cast("string"))).alias("id"))
+
+
+@query("z17_query_summary", "SELECT r_regionkey, 'find  \"' || r_name || '\"  state:active  ext:e' || r_regionkey || '  modified>2024-01-0' || (r_regionkey + 1) || '  size>' || r_regionkey || 'mb  limit:20' AS summary FROM region")
+def z17(spark, d):
+    rows = table(spark, d, "region").select("r_regionkey", "r_name").collect()  # five
+    made = [(k, query_language.SavedQuery("find", n, state="active", extension=f"e{k}", modified_after=f"2024-01-0{k + 1}", larger_than_mb=k).summary()) for k, n in rows]
+    return spark.createDataFrame(made, "r_regionkey int, summary string")
 
 
 @query("z13_least_rotation", f"WITH {E} SELECT path, least(path || ',' || name, name || ',' || path) AS key FROM entities")

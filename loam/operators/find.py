@@ -105,6 +105,11 @@ def narrowed_scope(scope: str | None, prefix: str | None) -> str | None:
     raise PermissionError(f"{prefix} is outside the scope {scope}")
 
 
+def with_prefix(entities: DataFrame, prefix: str) -> DataFrame:
+    """Entities whose path starts with ``prefix``, in the middle of a name too."""
+    return entities.where(F.col("path").startswith(prefix))
+
+
 def indexer_source(entities: DataFrame, scopes: list[str] | None = None) -> DataFrame:
     """Entities that can be indexed: hashed and not dead, in any of the scopes."""
     ok = F.col("content_hash").isNotNull() & (F.col("lifecycle") != "dead")

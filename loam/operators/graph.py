@@ -12,6 +12,8 @@ from loam.operators.find import in_scope
 from loam.schema import MAX_GRAPH_DEPTH
 from loam.session import cut
 
+BROADCAST_PATHS = 200_000
+
 
 def stale_relations(relations: DataFrame, entities: DataFrame) -> DataFrame:
     """Edges that lack an entity at an end."""
@@ -35,25 +37,34 @@ def relations_of(relations: DataFrame, path: str) -> DataFrame:
 def reverse_deps(relations: DataFrame, path: str, depth: int = 5) -> DataFrame:
     """``path, kind, depth``: everything that reaches ``path`` in at most ``depth`` hops, at its least depth.
 
-    One join of the frontier with the edges a hop, an anti-join with what was seen, and a checkpoint,
-    so the plan doesn't grow; a hop ends the walk when it finds nothing new. ``kind`` is the smallest
-    of the edges that reach a node at its depth.
+    The edges are written once for all hops. A hop joins the frontier with them, without a shuffle
+    while the frontier and what was seen are small (both are counted), and drops what was seen; it
+    ends the walk when it finds nothing new. ``kind`` is the smallest of the edges that reach a node
+    at its depth.
     """
     spark = relations.sparkSession
-    edges = relations.select("from_path", "to_path", "kind")
+    edges = cut(relations.select("from_path", "to_path", "kind"))
     found = spark.createDataFrame([], "path string, kind string, depth int")
     seen = frontier = spark.createDataFrame([(path,)], "path string")
+    n_seen = n_new = 1
     for hop in range(1, depth + 1):
-        step = edges.join(frontier.withColumnRenamed("path", "to_path"), "to_path").groupBy(F.col("from_path").alias("path")).agg(F.min("kind").alias("kind"))
-        new = cut(step.join(seen, "path", "left_anti").withColumn("depth", F.lit(hop)))
-        if new.isEmpty():
+        step = edges.join(_small(frontier.withColumnRenamed("path", "to_path"), n_new), "to_path").join(_small(seen.withColumnRenamed("path", "from_path"), n_seen), "from_path", "left_anti")
+        new = cut(step.groupBy(F.col("from_path").alias("path")).agg(F.min("kind").alias("kind")).withColumn("depth", F.lit(hop)))
+        n_new = new.count()
+        if not n_new:
             break
+        n_seen += n_new
         found = found.unionByName(new)
         seen = seen.unionByName(new.select("path"))
         frontier = new.select("path")
     return found
 
 
+def _small(paths: DataFrame, rows: int) -> DataFrame:
+    """Marked for broadcast if its counted rows allow it."""
+    return F.broadcast(paths) if rows <= BROADCAST_PATHS else paths
+
+
 def impact_summary(relations: DataFrame, path: str, depth: int = 5, scope: str | None = None) -> DataFrame:
     """``path, total, direct, risk``; the scope filters what was reached, not the way there."""
     hit = reverse_deps(relations, path, depth).where(in_scope(F.col("path"), scope))

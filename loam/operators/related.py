@@ -62,11 +62,10 @@ def related_tests(entities: DataFrame, relations: DataFrame, inputs: list[str],
     return ranked.orderBy(F.col("score").desc(), "path").limit(max(limit, 1))
 
 
+# The test command of a kind of project, by file ending and by manifest.
+TEST_COMMANDS = {(".rs", "Cargo.toml"): "cargo test --workspace --all-targets", (".py", "pyproject.toml"): "uv run --group dev pytest"}
+
+
 def test_commands(paths: list[str], manifests: tuple[str, ...] = ()) -> list[str]:
-    """Commands by extension or by the manifests that are there."""
-    out = set()
-    if any(p.endswith(".rs") for p in paths) or "Cargo.toml" in manifests:
-        out.add("cargo test --workspace --all-targets")
-    if any(p.endswith(".py") for p in paths) or "pyproject.toml" in manifests:
-        out.add("uv run --group dev pytest")
-    return sorted(out)
+    """Commands by the endings of paths or the manifests that are there."""
+    return sorted(c for (ending, manifest), c in TEST_COMMANDS.items() if manifest in manifests or any(p.endswith(ending) for p in paths))

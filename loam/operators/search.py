@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loam.functions.scalars import preview
 from loam.operators.find import in_scope
 from loam.schema import FTS_CHARS, FTS_WEIGHT, PREVIEW_CHARS, VECTOR_WEIGHT
+from loam.session import cut
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 
@@ -35,8 +37,13 @@ _FOLD_FROM, _FOLD_TO = _fold_table()
 
 
 def fold_marks(text: Column) -> Column:
-    """Without the marks of letters, precomposed or not, below U+3000."""
-    return F.translate(text, _FOLD_FROM, _FOLD_TO)
+    """Without the marks of letters, precomposed or not, below U+3000; ASCII texts pass as they are."""
+    return F.when(F.octet_length(text) == F.length(text), text).otherwise(F.translate(text, _FOLD_FROM, _FOLD_TO))
+
+
+def folded(text: Column) -> Column:
+    """Folded and lower-cased: what terms are looked for in."""
+    return F.lower(fold_marks(F.coalesce(text, F.lit(""))))
 
 
 def tokens_of(text: Column) -> Column:
@@ -49,6 +56,11 @@ def sanitize(query: str) -> str:
     return " ".join("".join(c if c.isalnum() or c in "_-/." else " " for c in query).split())
 
 
+def sanitized(query: Column) -> Column:
+    """The same for a column of queries."""
+    return F.trim(F.regexp_replace(query, r"[^\p{L}\p{N}_\-/.]+", " "))
+
+
 def query_phrases(query: str) -> list[list[str]]:
     """Phrases that must all match: words, or words joined by ``_ - / .``."""
     folded = "".join(c for c in unicodedata.normalize("NFD", sanitize(query)) if not unicodedata.combining(c)).lower()
@@ -61,46 +73,136 @@ def fts_rows(docs: DataFrame) -> DataFrame:
     return docs.select("path", "name", F.substring("content", 1, FTS_CHARS).alias("content"))
 
 
-def postings(texts: DataFrame) -> DataFrame:
-    """``token, path, tf, dl`` over name and content: the index; write it by token to search often."""
-    t = texts.select("path", tokens_of(F.concat_ws(" ", "name", "content")).alias("t"))
-    each = t.select("path", F.size("t").alias("dl"), F.explode("t").alias("token"))
-    return each.groupBy("token", "path", "dl").agg(F.count("*").alias("tf"))
+def _phrase_pattern(phrase: list[str]) -> str:
+    """A pattern with one match for every place where the phrase's words stand in a row, overlapping or not."""
+    gap, stop = r"[^\p{L}\p{N}]+", r"(?![\p{L}\p{N}])"
+    head, rest = re.escape(phrase[0]), gap.join(map(re.escape, phrase[1:]))
+    return rf"(?<![\p{{L}}\p{{N}}]){head}" + (rf"(?={gap}{rest}{stop})" if rest else stop)
+
+
+def _bm25(tf: Column, n: Column, dl: Column, total: Column, avgdl: Column) -> Column:
+    idf = F.log((total - n + 0.5) / (n + 0.5))
+    idf = F.when(idf <= 0, IDF_FLOOR).otherwise(idf)
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
 def fts_match(texts: DataFrame, query: str) -> DataFrame:
     """``path, rank`` of the rows that match all phrases; the rank is BM25, negative, better first.
 
-    Rows are tokenised once; only the query's terms are counted, document lengths give the mean,
-    and both statistics come from all rows. Names and contents are one token stream for lengths and
+    For a table that is searched once: texts are read and folded once, words and the query's terms
+    are counted in them, and a few numbers a row are kept for both the statistics and the matches.
+    ``TextIndex`` is for many queries. Names and contents are one stream of words for lengths and
     counts; a phrase must lie in one of them.
     """
-    phrases = query_phrases(query)
-    terms = list(dict.fromkeys(" ".join(p) for p in phrases))
+    terms = list({" ".join(p): p for p in query_phrases(query)}.values())
     if not terms:
         return texts.select("path", F.lit(0.0).alias("rank")).where(F.lit(False))
-    t = texts.select("path", tokens_of(F.coalesce("name", F.lit(""))).alias("n"), tokens_of(F.coalesce("content", F.lit(""))).alias("c"))
+    t = texts.select("path", folded(F.col("name")).alias("n"), folded(F.col("content")).alias("c"))
 
-    def hits(tokens: Column, term: str) -> Column:
-        words = term.split(" ")
-        if len(words) == 1:
-            return F.size(tokens) - F.size(F.array_remove(tokens, term))
-        n = len(words)
-        starts = F.sequence(F.lit(1), F.greatest(F.size(tokens) - n + 1, F.lit(1)))
-        return F.size(F.filter(starts, lambda i: F.array_join(F.slice(tokens, i, n), " ") == term))
+    def count(pattern: str) -> Column:
+        return F.regexp_count("n", F.lit(pattern)) + F.regexp_count("c", F.lit(pattern))
 
-    counted = t.select("path", (F.size("n") + F.size("c")).alias("dl"), *[(hits(F.col("n"), x) + hits(F.col("c"), x)).alias(f"tf{i}") for i, x in enumerate(terms)])
+    def hits(phrase: list[str]) -> Column:  # texts without the first word's letters aren't matched word by word
+        near = F.contains("n", F.lit(phrase[0])) | F.contains("c", F.lit(phrase[0]))
+        return F.when(near, count(_phrase_pattern(phrase))).otherwise(0)
+
+    counted = cut(t.select("path", count(r"[\p{L}\p{N}]+").cast("long").alias("dl"), *[hits(x).cast("long").alias(f"tf{i}") for i, x in enumerate(terms)]))
     stats = counted.agg(F.count("*").alias("N"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"n{i}") for i in range(len(terms))])
     matched = counted.where(reduce(lambda a, b: a & b, [F.col(f"tf{i}") > 0 for i in range(len(terms))]))
     both = matched.crossJoin(F.broadcast(stats))  # one row of statistics
+    parts = [_bm25(F.col(f"tf{i}"), F.col(f"n{i}"), F.col("dl"), F.col("N"), F.col("avgdl")) for i in range(len(terms))]
+    return both.select("path", (-reduce(lambda a, b: a + b, parts)).alias("rank"))
+
+
+class TextIndex:
+    """A stored full-text index: postings by token and document lengths, in generations.
 
-    def part(i: int) -> Column:
-        n, tf = F.col(f"n{i}"), F.col(f"tf{i}")
-        idf = F.log((F.col("N") - n + 0.5) / (n + 0.5))
-        idf = F.when(idf <= 0, IDF_FLOOR).otherwise(idf)
-        return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    ``add`` writes a generation of new or changed texts and ``remove`` one of paths that are gone; of
+    a path's rows the last generation counts. Postings lie in folders by the token's hash, sorted by
+    token, so a query reads a few row groups of a few folders, whatever the size of the corpus.
+    ``compact`` writes one generation of what counts.
+    """
 
-    return both.select("path", (-reduce(lambda a, b: a + b, [part(i) for i in range(len(terms))])).alias("rank"))
+    BUCKETS = 64
+    BREAK = 1_000_000_000  # between a name's places and its content's, so that no phrase spans both
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def _generations(self) -> list[int]:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/docs")
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return sorted(int(x.getPath().getName().split("=")[1]) for x in fs.listStatus(path) if "=" in x.getPath().getName()) if fs.exists(path) else []
+
+    def _write(self, postings: DataFrame | None, docs: DataFrame) -> None:
+        """Postings first: a generation counts once its documents are there."""
+        generation = (self._generations() or [0])[-1] + 1
+        if postings is not None:
+            dealt = postings.withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(self.BUCKETS)).cast("int"))
+            dealt.repartition(self.BUCKETS, "bucket").sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(f"{self.folder}/postings/generation={generation}")
+        docs.select("path", "dl", "gone").write.parquet(f"{self.folder}/docs/generation={generation}")
+
+    def add(self, texts: DataFrame) -> None:
+        """Index ``texts(path, name, content)``, in place of what the index has of their paths."""
+        t = cut(texts.select("path", tokens_of(F.coalesce("name", F.lit(""))).alias("n"), tokens_of(F.coalesce("content", F.lit(""))).alias("c")))
+        name = t.select("path", F.posexplode("n").alias("at", "token"))
+        content = t.select("path", F.posexplode("c").alias("at", "token")).withColumn("at", F.col("at") + self.BREAK)
+        postings = name.unionByName(content).groupBy("token", "path").agg(F.sort_array(F.collect_list("at")).alias("places"))
+        self._write(postings, t.select("path", (F.size("n") + F.size("c")).cast("long").alias("dl"), F.lit(False).alias("gone")))
+
+    def remove(self, paths: DataFrame) -> None:
+        self._write(None, paths.select("path", F.lit(0).cast("long").alias("dl"), F.lit(True).alias("gone")).distinct())
+
+    def documents(self) -> DataFrame:
+        """``path, dl, generation`` of what counts."""
+        found = self.spark.read.schema("path string, dl long, gone boolean, generation int").parquet(f"{self.folder}/docs")
+        last = found.groupBy("path").agg(F.max_by(F.struct("dl", "gone", "generation"), "generation").alias("x"))
+        return last.where(~F.col("x.gone")).select("path", "x.dl", "x.generation")
+
+    def postings(self, tokens: list[str] | None = None) -> DataFrame:
+        """``token, path, places, generation``, of given tokens: only their folders are read."""
+        found = self.spark.read.schema("token string, path string, places array<int>, generation int, bucket int").parquet(f"{self.folder}/postings")
+        if tokens is not None:
+            buckets = self.spark.createDataFrame([(t,) for t in tokens], "t string").select(F.pmod(F.xxhash64("t"), F.lit(self.BUCKETS)).cast("int")).distinct().collect()
+            found = found.where(F.col("bucket").isin([b[0] for b in buckets]) & F.col("token").isin(tokens))
+        return found.drop("bucket")
+
+    def compact(self) -> None:
+        docs = cut(self.documents())
+        kept = self.postings().join(docs.select("path", "generation"), ["path", "generation"], "left_semi")
+        old = self._generations()
+        self._write(kept.select("token", "path", "places"), docs.withColumn("gone", F.lit(False)))
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        fs = path(self.folder).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for g in old:
+            for part in ("docs", "postings"):
+                fs.delete(path(f"{self.folder}/{part}/generation={g}"), True)
+
+    def match(self, query: str) -> DataFrame:
+        """What ``fts_match`` gives for the texts that the index holds."""
+        phrases = list({" ".join(p): p for p in query_phrases(query)}.values())
+        docs = self.documents()
+        if not phrases:
+            return docs.select("path", F.lit(0.0).alias("rank")).where(F.lit(False))
+        words = sorted({w for p in phrases for w in p})
+        rows = self.postings(words).join(docs, ["path", "generation"]).groupBy("path", "dl")
+        rows = rows.agg(*[F.flatten(F.collect_list(F.when(F.col("token") == w, F.col("places")))).alias(f"w{i}") for i, w in enumerate(words)])
+
+        def count(phrase: list[str]) -> Column:
+            place = [F.col(f"w{words.index(w)}") for w in phrase]
+            shifted = [_shifted(c, i) for i, c in enumerate(place)]
+            return F.size(reduce(F.array_intersect, shifted) if len(shifted) > 1 else shifted[0])
+
+        counted = cut(rows.select("path", "dl", *[count(p).cast("long").alias(f"tf{i}") for i, p in enumerate(phrases)]))
+        stats = docs.agg(F.count("*").alias("N"), F.avg("dl").alias("avgdl")).crossJoin(counted.agg(*[F.count_if(F.col(f"tf{i}") > 0).alias(f"n{i}") for i in range(len(phrases))]))  # one row each
+        matched = counted.where(reduce(lambda a, b: a & b, [F.col(f"tf{i}") > 0 for i in range(len(phrases))]))
+        both = matched.crossJoin(F.broadcast(stats))
+        parts = [_bm25(F.col(f"tf{i}"), F.col(f"n{i}"), F.col("dl"), F.col("N"), F.col("avgdl")) for i in range(len(phrases))]
+        return both.select("path", (-reduce(lambda a, b: a + b, parts)).alias("rank"))
+
+
+def _shifted(places: Column, by: int) -> Column:
+    return F.transform(places, lambda x: x - F.lit(by))
 
 
 def fts_search(texts: DataFrame, query: str, limit: int = 10) -> DataFrame:
@@ -152,12 +254,18 @@ def embed_hashed(text: str, dim: int = 64) -> list[float]:
     return [x / n for x in out] if n else out
 
 
-def vector_rows(rows: DataFrame, embed=embed_hashed, at: int = 0) -> DataFrame:
-    """Vector-table rows of ``path, content_hash, text``; texts are embedded in Arrow batches."""
+def vector_rows(rows: DataFrame, embed=embed_hashed, at: int = 0, load=None) -> DataFrame:
+    """Vector-table rows of ``path, content_hash, text``; texts are embedded in Arrow batches.
+
+    ``load()``, if given, makes the embedder; it runs once in each task, before the first batch, so a
+    model is read there and not on the driver.
+    """
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: embed(t or ""))
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own = load() if load else embed
+        for texts in batches:
+            yield texts.map(lambda t: own(t or ""))
 
     return rows.select("path", "content_hash", preview(F.col("text"), PREVIEW_CHARS).alias("text_preview"), run("text").alias("vector"), F.lit(at).cast("long").alias("indexed_at"))
 

@@ -131,7 +131,7 @@ class Session:
             "impact": impact,
             "related_tests": tests,
             "commands": related.test_commands(files, manifests),
-            "workflow": ["look through the candidate files and their state", "look at the impact of each planned edit", "keep the set of edited files small and coherent", "run the related tests first, then the wider checks", "check health and what a clean would remove before handing over"],
+            "order": ["candidate_files", "impact", "planned_files", "related_tests", "commands"],  # how the parts are meant to be used
         }
 
 

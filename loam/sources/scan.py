@@ -180,6 +180,7 @@ def _candidates(files: DataFrame) -> DataFrame:
     named = rel.withColumn("anchor", F.when(F.col("module") == "", F.col("anchor")).otherwise(F.concat_ws("/", "anchor", F.regexp_replace("module", r"\.", "/"))))
     named = named.select("path", "anchor", F.col("nth").alias("line"), F.posexplode(F.split("names", ",")).alias("i", "name")).withColumn("nth", F.lit(1_000) + F.col("line") * 100 + F.col("i")).withColumn("name", F.regexp_replace("name", r"\s+", ""))
     names = walk_up(named.where(F.col("name").rlike(r"^\w+$")), F.col("name"))
+    # What counts as an import in each language, which edges depend on to the letter.
     absolute = matches(py, r"(?m)^\s*from\s+([A-Za-z][\w.]*)\s+import", 1).withColumn("nth", F.col("nth") + 1_000_000)
     bare = matches(py, r"(?m)^\s*import\s+([A-Za-z][\w.]*)", 1).withColumn("nth", F.col("nth") + 2_000_000)
     plain = walk_up(absolute.union(bare).withColumn("anchor", F.col("dir")), F.col("m"))

@@ -76,7 +76,7 @@ def test_related_tests(spark, entity_rows):
     assert related.test_commands(["a.py"]) == ["uv run --group dev pytest"]
 
 
-TEXTS = [("/tmp/graph.rs", "graph.rs", "entity graph sqlite search"), ("/tmp/notes.rs", "notes.rs", "gardening shopping list"), ("/tmp/na.md", "na.md", "Naïve graph walk"), ("/tmp/tok.md", "tok.md", "the auth token auth"), ("/tmp/odd.md", "odd.md", "token then auth")]
+TEXTS = [("/lab/kiln.txt", "kiln.txt", "clay kiln glaze recipe"), ("/lab/boat.txt", "boat.txt", "oars and a list of knots"), ("/lab/na.md", "na.md", "Naïve kiln walk"), ("/lab/tok.md", "tok.md", "the auth token auth"), ("/lab/odd.md", "odd.md", "token then auth")]
 
 
 def fts5(query):
@@ -86,7 +86,7 @@ def fts5(query):
     return [(p, round(r, 6)) for p, r in db.execute("SELECT path, bm25(f) FROM f WHERE f MATCH ? ORDER BY 2, 1", (query,))]
 
 
-@pytest.mark.parametrize("query,match", [("graph sqlite", "graph sqlite"), ("NAIVE", "naive"), ("auth_token", '"auth token"'), ("list", "list"), ("zebra", "zebra")])
+@pytest.mark.parametrize("query,match", [("kiln glaze", "kiln glaze"), ("NAIVE", "naive"), ("auth_token", '"auth token"'), ("list", "list"), ("zebra", "zebra")])
 def test_bm25_equals_fts5(spark, query, match):
     t = spark.createDataFrame(TEXTS, "path string, name string, content string")
     assert [(r["path"], round(r["rank"], 6)) for r in search.fts_search(t, query).collect()] == fts5(match)
@@ -94,10 +94,52 @@ def test_bm25_equals_fts5(spark, query, match):
 
 def test_fts_punctuation_is_no_error(spark):
     t = spark.createDataFrame(TEXTS, "path string, name string, content string")
-    assert [r["path"] for r in search.fts_search(t, "graph.rs").collect()] == ["/tmp/graph.rs"]
+    assert [r["path"] for r in search.fts_search(t, "kiln.txt").collect()] == ["/lab/kiln.txt"]
     assert search.fts_search(t, "!!!").count() == 0
 
 
+def test_sanitized_columns(spark):
+    asked = ["Auth token!", "a_b-c/d.e", "  (x)  \t y", "naïve ①", "", "!!!"]
+    got = spark.createDataFrame([(x,) for x in asked], "q string").select(search.sanitized(F.col("q")).alias("s")).collect()
+    assert [r["s"] for r in got] == [search.sanitize(x) for x in asked]
+
+
+def test_text_index(spark, tmp_path, monkeypatch):
+    """The stored index gives what a scan of the current texts gives, through changes, removals and compaction."""
+    monkeypatch.setattr(search.TextIndex, "BUCKETS", 3)
+    schema = "path string, name string, content string"
+    index = search.TextIndex(spark, str(tmp_path / "index"))
+    index.add(spark.createDataFrame(TEXTS, schema))
+    now = {p: (p, n, c) for p, n, c in TEXTS}
+
+    def agree():
+        t = spark.createDataFrame(list(now.values()), schema)
+        for q in ("kiln", "auth token", "auth_token", "token-auth", "the auth", "NAIVE kiln", "zebra", "!!!", "txt a"):
+            key = lambda df: sorted((r["path"], round(r["rank"], 6)) for r in df.collect())
+            assert key(index.match(q)) == key(search.fts_match(t, q)), q
+
+    agree()
+    changed = [("/lab/tok.md", "tok.md", "auth token, auth token; auth-token a token"), ("/lab/new.txt", "new.txt", None)]
+    index.add(spark.createDataFrame(changed, schema))
+    now |= {r[0]: r for r in changed}
+    index.remove(spark.createDataFrame([("/lab/odd.md",)], "path string"))
+    del now["/lab/odd.md"]
+    agree()
+    index.compact()
+    assert len(index._generations()) == 1 and index.documents().count() == len(now)
+    agree()
+    plan = index.postings(["kiln"])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [(bucket" in plan or "bucket" in plan.split("PartitionFilters")[1][:80]
+
+
+def test_embedder_is_loaded_in_the_task(spark):
+    rows = spark.createDataFrame([("/a", "h", "abc"), ("/b", "h", None)], "path string, content_hash string, text string")
+    got = {r["path"]: r["vector"] for r in search.vector_rows(rows, load=lambda: lambda t: [float(len(t))]).collect()}
+    assert got == {"/a": [3.0], "/b": [0.0]}
+    plain = {r["path"]: r["vector"] for r in search.vector_rows(rows).collect()}
+    assert plain["/a"] == pytest.approx(search.embed_hashed("abc"))
+
+
 def test_knn_and_scope(spark):
     v = spark.createDataFrame([("/src/core/a", [1.0, 0.0]), ("/src/core/b", [0.0, 1.0]), ("/src/x", [0.9, 0.1])], "path string, vector array<float>")
     assert [r["path"] for r in search.knn(v, [1.0, 0.0], 2).collect()] == ["/src/core/a", "/src/x"]

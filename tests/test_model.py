@@ -94,9 +94,9 @@ def test_edges_are_a_set(spark):
 
 
 def test_find_and_paging(spark, entity_rows):
-    e = entity_rows(("/tmp/small.rs", "a", "active", {"size_bytes": 1}), ("/tmp/large.rs", "b", "active", {"size_bytes": 5000}), ("/tmp/large.py", "c", "active", {"size_bytes": 5000}))
-    f = find.FindFilter(extension=".rs", larger_than=100)
-    assert [r["path"] for r in find.find(e, f).collect()] == ["/tmp/large.rs"]
+    e = entity_rows(("/lab/tiny.csv", "a", "active", {"size_bytes": 1}), ("/lab/wide.csv", "b", "active", {"size_bytes": 5000}), ("/lab/wide.txt", "c", "active", {"size_bytes": 5000}))
+    f = find.FindFilter(extension=".csv", larger_than=100)
+    assert [r["path"] for r in find.find(e, f).collect()] == ["/lab/wide.csv"]
     page = find.FindFilter(limit=1, offset=1)
     assert len(find.find(e, page).collect()) == 1 and find.count_find(e, page).first()["n"] == 3
     with pytest.raises(ValueError):
