@@ -2,24 +2,29 @@
 
 Encoding follows the rule of the library's merge models: every character is a symbol; an *agenda*
 of adjacent symbol pairs, ordered by the score of the piece they would form and then from left to
-right, is worked off until no adjacent pair forms a piece; symbols that are no piece fall back to
-byte pieces. A piece has the mark ``U+2581`` only at its front (checked when a model is loaded), so
-no merge crosses the start of a run of marks: the text falls into *segments* that are encoded
-alone, and an Arrow batch runs the agenda for all its new segments at once, step by step, in numpy:
-each step takes the head of every segment's agenda. A bounded memo keeps segments between batches.
+right, is worked off until it is empty; symbols that are no piece fall back to byte pieces. The
+agenda is a heap over linked symbols: a merge takes the head, drops it if one of its symbols has
+gone, and puts in the two pairs that the new symbol makes with its neighbours. So a run of ``n``
+characters takes ``O(n log n)``, whether spaces break it or not.
 
-Every new segment is checked against the sentencepiece library in the same batch; a difference
-raises ``EncodingMismatch`` (it would mean a model feature that the agenda doesn't know). Ids are
-decoded with the library.
+A piece has the mark ``U+2581`` only at its front (checked when a model is loaded), so no merge
+crosses the start of a run of marks: the text falls into *segments* that are encoded alone, and each
+distinct one of an Arrow batch once. A bounded memo keeps segments between batches.
+
+Every whole text is checked against the sentencepiece library in its Arrow batch. Where the two
+differ (it would mean a model feature that the agenda doesn't know), the row has the library's ids
+and ``agreed`` is false; with ``strict`` the query fails instead. A model that normalises texts in
+another way than by marks for spaces is refused when it is loaded. Ids are decoded with the library.
 
 Edge cases: a null or empty text has the begin and end ids only and decodes to the empty text; a
-text of any length is encoded whole; repeated rows repeat; an empty table gives an empty result;
-further columns of the input are ignored by ``digest``.
+text of any length is encoded whole; equal scores go from left to right; repeated rows repeat; an
+empty table gives an empty result; further columns of the input are ignored by ``digest``.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -29,22 +34,25 @@ from pyspark.sql import DataFrame
 
 MARK = "▁"
 MEMO_SEGMENTS = 400_000
+MEMO_IDS = 4_000_000
 BATCH_CHARS = 1_500_000
-_WORKERS: dict[str, "Encoder"] = {}
+#: A model whose normaliser folds, strips or maps characters shows on one of these.
+PROBES = ("a", " a", "a ", "a  b", "  ", "ﬁ Ａ ① é é", "tab\there\nline\r\n", " 　​﻿", "Ⅳ ｶﾞ ㌔ ½", "UPPER lower", MARK + "x" + MARK)
+_WORKERS: dict[tuple, "Encoder"] = {}
 
 
 class EncodingMismatch(ValueError):
-    """The agenda and the library disagree on a segment."""
+    """The agenda and the library disagree on a text."""
 
 
 class Encoder:
-    """A merge-type model: its symbol tables, the agenda and the memo of segments."""
+    """A merge-type model: its pairs, the agenda and the memo of segments."""
 
-    def __init__(self, model: str, check: bool = True):
+    def __init__(self, model: str, strict: bool = False):
         import sentencepiece
 
         self.lib = sp = sentencepiece.SentencePieceProcessor(model_file=model)
-        self.check = check
+        self.strict = strict
         n = sp.vocab_size()
         self.byte_ids = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         pieces = {sp.id_to_piece(i): i for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
@@ -55,187 +63,58 @@ class Encoder:
             for c in p:
                 symbols.setdefault(c, len(symbols) + n)
         self.char_symbol = {c: i for c, i in symbols.items() if len(c) == 1}
-        self.limit = max(symbols.values()) + 1
+        self.vocab = n
         score = {p: sp.get_score(i) for p, i in pieces.items()}
-        rank = {p: r for r, p in enumerate(sorted(pieces, key=lambda p: (-score[p], pieces[p])))}
-        pairs = {}
+        place = {s: r for r, s in enumerate(sorted(set(score.values()), reverse=True))}  # equal scores leave the order to the position
+        self.pairs: dict[tuple[int, int], tuple[int, int]] = {}
         for p, i in pieces.items():
             for cut in range(1, len(p)):
                 a, b = symbols.get(p[:cut]), symbols.get(p[cut:])
                 if a is not None and b is not None:
-                    pairs[a * self.limit + b] = (rank[p], i)
-        keys = np.array(sorted(pairs), np.int64)
-        self._table(keys, np.array([pairs[k][0] for k in keys.tolist()], np.int64), np.array([pairs[k][1] for k in keys.tolist()], np.int64))
-        self.tied = len(set(score.values())) != len(score)
-        if self.tied:  # equal scores leave the order to the position
-            by = {s: r for r, s in enumerate(sorted(set(score.values()), reverse=True))}
-            ranks = {i: by[score[p]] for p, i in pieces.items()}
-            self.slot_rank = np.where(self.slot_piece >= 0, np.array([ranks.get(int(x), 0) for x in self.slot_piece], np.int32), NEVER).astype(np.int32)
-        self.piece_limit = n
-        self.memo: dict[str, int] = {}
-        self._clear()
-
-    def _table(self, keys: np.ndarray, ranks: np.ndarray, piece: np.ndarray) -> None:
-        """An open-addressed table from pair keys to (rank, piece)."""
-        size = 1 << (len(keys) * 8).bit_length()
-        self.slot_key = np.full(size, -1, np.int64)
-        self.slot_rank, self.slot_piece = np.full(size, NEVER, np.int32), np.full(size, -1, np.int32)
-        self.probes, todo = 0, np.arange(len(keys))
-        while len(todo):
-            at = self._slot(keys[todo], self.probes)
-            free = self.slot_key[at] < 0
-            at, mine = at[free], todo[free]
-            at, first = np.unique(at, return_index=True)
-            mine = mine[first]
-            self.slot_key[at], self.slot_rank[at], self.slot_piece[at] = keys[mine], ranks[mine], piece[mine]
-            todo = np.setdiff1d(todo, mine)
-            self.probes += 1
-
-    def _slot(self, keys: np.ndarray, probe: int) -> np.ndarray:
-        h = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        return (((h >> np.uint64(32)).astype(np.int64)) + probe * 7) & (len(self.slot_key) - 1)
-
-    def _look(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        keys = a.astype(np.int64) * self.limit + b
-        rank, piece = np.full(len(keys), NEVER, np.int32), np.full(len(keys), -1, np.int32)
-        todo = np.arange(len(keys))
-        for probe in range(self.probes):
-            at = self._slot(keys[todo], probe)
-            got = self.slot_key[at]
-            hit = got == keys[todo]
-            where = todo[hit]
-            rank[where], piece[where] = self.slot_rank[at[hit]], self.slot_piece[at[hit]]
-            todo = todo[~hit & (got >= 0)]
-            if not len(todo):
-                break
-        return rank, piece
-
-    def _clear(self) -> None:
-        self.memo.clear()
-        self.flat, self.starts = [np.zeros(0, np.int32)], [0]
-        self.flat_array, self.start_array = np.zeros(0, np.int32), np.zeros(1, np.int64)
-
-    def agenda(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids and offsets of the segments, each encoded alone."""
-        chars = "".join(segments)
-        points = np.frombuffer(chars.encode("utf-32-le", "surrogatepass"), np.uint32)
-        lens = np.array([len(s) for s in segments], np.int64)
-        uniq, inverse = np.unique(points, return_inverse=True)
-        own = [self.char_symbol.get(chr(c), -1) for c in uniq.tolist()]
-        unknown = [c for c, s in zip(uniq.tolist(), own) if s < 0]  # no piece has them: numbered after all symbols
-        far = {c: self.limit + k for k, c in enumerate(unknown)}
-        symbol = np.array([s if s >= 0 else far[c] for c, s in zip(uniq.tolist(), own)], np.int32)[inverse]
-        seg = np.repeat(np.arange(len(segments), dtype=np.int32), lens)
-        origin = np.arange(len(points), dtype=np.int32)
-        done_sym, done_seg, done_at = [], [], []
-        rank, piece = self._pair_ranks(symbol, seg)
-        while len(symbol):
-            begin = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]])
-            best = np.minimum.reduceat(rank, begin)
-            count = np.diff(np.r_[begin, len(seg)])
-            over = np.repeat(best == NEVER, count)
-            if over.any():
-                done_sym.append(symbol[over]), done_seg.append(seg[over]), done_at.append(origin[over])
-                keep = ~over
-                symbol, seg, origin, rank, piece = symbol[keep], seg[keep], origin[keep], rank[keep], piece[keep]
-                if not len(symbol):
-                    break
-                begin = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]])
-                best = best[best != NEVER]
-                count = np.diff(np.r_[begin, len(seg)])
-            at = np.flatnonzero(rank == np.repeat(best, count))
-            at = at[np.r_[True, seg[at[1:]] != seg[at[:-1]]]]  # the leftmost of each segment
-            symbol[at] = piece[at]
-            gone = np.zeros(len(symbol), bool)
-            gone[at + 1] = True
-            touched = np.zeros(len(symbol), bool)
-            touched[at] = True
-            before = at - 1
-            before = before[(before >= 0)]
-            before = before[seg[before] == seg[before + 1]]
-            touched[before] = True
-            keep = ~gone
-            symbol, seg, origin, rank, piece, touched = symbol[keep], seg[keep], origin[keep], rank[keep], piece[keep], touched[keep]
-            t = np.flatnonzero(touched)
-            last = np.r_[seg[1:] != seg[:-1], True]
-            rank[t], piece[t] = NEVER, -1
-            t = t[~last[t]]
-            rank[t], piece[t] = self._look(symbol[t], symbol[t + 1])
-        if done_sym:
-            symbol, seg, origin = np.concatenate(done_sym), np.concatenate(done_seg), np.concatenate(done_at)
-            order = np.argsort(origin)
-            symbol, seg, origin = symbol[order], seg[order], origin[order]
-        foreign = np.flatnonzero(symbol >= self.piece_limit)
-        if len(foreign):  # characters that are no piece: their bytes
-            width = np.ones(len(symbol), np.int64)
-            raw = [chr(c).encode("utf-8", "surrogatepass") for c in points[origin[foreign]].tolist()]
-            width[foreign] = [len(r) for r in raw]
-            ids = np.repeat(symbol, width)
-            place = np.cumsum(width) - width
-            spots = np.concatenate([np.arange(p, p + len(r)) for p, r in zip(place[foreign].tolist(), raw)])
-            ids[spots] = [self.byte_ids[b] for r in raw for b in r]
-            seg = np.repeat(seg, width)
-            symbol = ids
-        return symbol.astype(np.int32), np.searchsorted(seg, np.arange(len(segments) + 1))
-
-    def _pair_ranks(self, symbol, seg):
-        rank, piece = np.full(len(symbol), NEVER, np.int32), np.full(len(symbol), -1, np.int32)
-        inner = np.flatnonzero(seg[1:] == seg[:-1]) if len(seg) > 1 else np.zeros(0, np.int64)
-        rank[inner], piece[inner] = self._look(symbol[inner], symbol[inner + 1])
-        return rank, piece
-
-    def learn(self, new: list[str]) -> None:
-        """Encode new segments, check them against the library, and keep them in the memo, by their text after the first mark."""
-        for i in range(0, len(new), 100_000):
-            keys = new[i : i + 100_000]
-            part = [MARK + k for k in keys]
-            flat, ends = self.agenda(part)
-            if self.check:
-                self._compare(part, flat, ends)
-            base = int(self.start_array[-1])
-            self.flat_array = np.concatenate([self.flat_array, flat])
-            self.start_array = np.concatenate([self.start_array, base + ends[1:]])
-            n = len(self.memo)
-            self.memo.update(zip(keys, range(n, n + len(keys))))
-
-    def _compare(self, part: list[str], flat: np.ndarray, ends: np.ndarray) -> None:
-        """Segments joined into one text give the joined ids, as the library sees the same segments.
-
-        A segment of marks alone would run into the next one, so those are compared one by one.
-        """
-        bare = [i for i, s in enumerate(part) if not s.strip(MARK)]
-        lead = self.lib.encode("a")
-        for i in bare:
-            if self.lib.encode("a" + part[i].replace(MARK, " "))[len(lead) :] != flat[ends[i] : ends[i + 1]].tolist():
-                raise EncodingMismatch(f"the agenda and the library differ on {part[i]!r}")
-        skip = set(bare)
-        joined = "".join(s for i, s in enumerate(part) if i not in skip)
-        if bare:
-            mine = np.ones(len(flat), bool)
-            for i in bare:
-                mine[ends[i] : ends[i + 1]] = False
-            flat = flat[mine]
-        theirs = self.lib.encode(joined[1:].replace(MARK, " "))
-        if not np.array_equal(np.array(theirs, np.int32), flat):
-            raise EncodingMismatch("the agenda and the library differ on a batch of segments")
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of every text, without begin and end."""
-        if len(self.memo) > MEMO_SEGMENTS:
-            self._clear()
-        per = [self.segments(t) for t in texts]
-        memo = self.memo
-        fresh = dict.fromkeys(s for segs in per for s in segs if s not in memo)
-        if fresh:
-            self.learn(list(fresh))
-        out = []
-        starts, flat = self.start_array, self.flat_array
-        for segs in per:
-            slots = np.fromiter(map(memo.__getitem__, segs), np.int64, len(segs))
-            lo = starts[slots]
-            n = starts[slots + 1] - lo
-            total = int(n.sum())
-            out.append(flat[np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(total)] if total else np.zeros(0, np.int32))
+                    self.pairs[a, b] = (place[score[p]], i)
+        self.memo: dict[str, list[int]] = {}
+        self.held = 0
+        for text in PROBES:
+            if self.ids(text) != sp.encode(text):
+                raise ValueError("the model isn't a merge-type model without a normaliser")
+
+    def agenda(self, segment: str) -> list[int]:
+        """The ids of one segment."""
+        pairs, own = self.pairs, self.char_symbol
+        symbol = [own.get(c, -1) for c in segment]
+        n = len(symbol)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = []
+        for i in range(n - 1):
+            made = pairs.get((symbol[i], symbol[i + 1]))
+            if made:
+                heap.append((made[0], i, symbol[i], symbol[i + 1], made[1]))
+        heapq.heapify(heap)
+        push, pop = heapq.heappush, heapq.heappop
+        while heap:
+            _, i, a, b, piece = pop(heap)
+            j = after[i]
+            if symbol[i] != a or j >= n or symbol[j] != b:
+                continue  # one of the two has gone into another piece
+            symbol[i], symbol[j] = piece, -2
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                made = pairs.get((piece, symbol[k]))
+                if made:
+                    push(heap, (made[0], i, piece, symbol[k], made[1]))
+            h = before[i]
+            if h >= 0:
+                made = pairs.get((symbol[h], piece))
+                if made:
+                    push(heap, (made[0], h, symbol[h], piece, made[1]))
+        out, i = [], 0
+        while i < n:
+            if 0 <= symbol[i] < self.vocab:
+                out.append(symbol[i])
+            else:  # a character that is no piece: its bytes
+                out += [self.byte_ids[b] for b in segment[i].encode("utf-8", "surrogatepass")]
+            i = after[i]
         return out
 
     @staticmethod
@@ -247,16 +126,40 @@ class Encoder:
             return text.split(" ")
         return _SEGMENT.findall(MARK + text.replace(" ", MARK))
 
+    def ids(self, text: str) -> list[int]:
+        """Ids of a text by the agenda, without begin and end."""
+        memo, out = self.memo, []
+        for s in self.segments(text):
+            got = memo.get(s)
+            if got is None:
+                got = self.agenda(MARK + s)
+                if self.held > MEMO_IDS or len(memo) > MEMO_SEGMENTS:
+                    memo.clear()
+                    self.held = 0
+                memo[s] = got
+                self.held += len(got)
+            out += got
+        return out
+
+    def encode(self, texts: list[str]) -> list[tuple[list[int], bool]]:
+        """Ids of every text, without begin and end, and whether the library has the same."""
+        out = []
+        for text, theirs in zip(texts, self.lib.encode(texts, num_threads=1) if texts else []):
+            mine = self.ids(text)
+            if mine != theirs and self.strict:
+                raise EncodingMismatch(f"the agenda and the library differ on a text of {len(text)} characters")
+            out.append((theirs, mine == theirs))
+        return out
+
 
 _SEGMENT = re.compile(f"{MARK}({MARK}*[^{MARK}]*)")
-NEVER = np.int32(2**31 - 1)
 
 
-def worker_encoder(model: str, check: bool = True) -> Encoder:
+def worker_encoder(model: str, strict: bool = False) -> Encoder:
     """One encoder for each Python worker and model."""
-    if (model, check) not in _WORKERS:
-        _WORKERS[model, check] = Encoder(model, check)
-    return _WORKERS[model, check]
+    if (model, strict) not in _WORKERS:
+        _WORKERS[model, strict] = Encoder(model, strict)
+    return _WORKERS[model, strict]
 
 
 def blocks(texts: Iterator[str | None]) -> Iterator[list[str]]:
@@ -272,23 +175,24 @@ def blocks(texts: Iterator[str | None]) -> Iterator[list[str]]:
         yield held
 
 
-def digest(docs: DataFrame, model: str, begin: int = 1, end: int = 2, check: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` and the columns in ``keep``."""
+def digest(docs: DataFrame, model: str, begin: int = 1, end: int = 2, strict: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256, agreed`` and the columns in ``keep``."""
     extra = list(keep)
     fields = ["doc_id", *extra]
-    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in fields] + ["n_tokens long", "ids_sha256 string", "decoded_sha256 string"])
+    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in fields] + ["n_tokens long", "ids_sha256 string", "decoded_sha256 string", "agreed boolean"])
 
     def run(batches):
-        enc = worker_encoder(model, check)
-        edge = (np.array([begin], "<u4"), np.array([end], "<u4"))
+        enc = worker_encoder(model, strict)
         for batch in batches:
-            n, hashes, decoded = [], [], []
+            n, hashes, decoded, agreed = [], [], [], []
             for texts in blocks(x.as_py() for x in batch.column(batch.num_columns - 1)):
-                for ids in enc.encode(texts):
-                    n.append(len(ids) + 2)
-                    hashes.append(hashlib.sha256(edge[0].tobytes() + ids.astype("<u4").tobytes() + edge[1].tobytes()).hexdigest())
-                    decoded.append(hashlib.sha256(enc.lib.decode([begin, *ids.tolist(), end]).encode("utf-8")).hexdigest())
+                for ids, same in enc.encode(texts):
+                    whole = [begin, *ids, end]
+                    n.append(len(whole))
+                    hashes.append(hashlib.sha256(np.array(whole, "<u4").tobytes()).hexdigest())
+                    decoded.append(hashlib.sha256(enc.lib.decode(whole).encode("utf-8")).hexdigest())
+                    agreed.append(same)
             cols = [batch.column(i) for i in range(len(fields))]
-            yield pa.record_batch([*cols, pa.array(n, pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())], names=[*fields, "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.record_batch([*cols, pa.array(n, pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded, pa.string()), pa.array(agreed)], names=[*fields, "n_tokens", "ids_sha256", "decoded_sha256", "agreed"])
 
     return docs.select(*fields, "text").mapInArrow(run, schema)
