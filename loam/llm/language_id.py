@@ -1,16 +1,18 @@
 """Language ID with a linear-chain conditional random field over the words of each line.
 
-A word is a run of ASCII letters and non-ASCII bytes, lower-cased for A-Z and the Latin-1 letters.
+A word is a run of letters and their marks, of any script, lower-cased for A-Z and the Latin-1 letters.
 Its features: the word itself (a lexicon learned from the sample), prefixes of one to three bytes,
 suffixes of one to four bytes, and all byte trigrams of the word with its borders. Features are
 hashed into tables of fixed size. A chain is a line, or ``CHAIN`` words of a longer one; learned
 transitions tie neighbouring words, and forward-backward gives each word's posterior over the
 languages, so code-switched text is labelled word by word. A document's language is the one with
 the largest share of its words' posteriors; the share is the score. Posteriors are computed for all
-words of all documents, whole texts, many chains at once in numpy.
+words of all documents, whole texts, many chains at once in numpy; ``word_labels`` returns them.
 
-Training maximises the conditional likelihood by AdaGrad on a bounded sample: up to
-``SAMPLE_DOCS`` documents a language, chosen by a hash of the id, and up to ``SAMPLE_LINES`` lines
+Training maximises the conditional likelihood by AdaGrad on a bounded sample: of the ``SAMPLE_LANGS``
+languages that most documents have, up to ``SAMPLE_DOCS`` documents each and ``SAMPLE_TOTAL`` in all,
+those with the smallest hashes of their ids (documents are counted first, and only hashes below a
+threshold that leaves about twice as many are ranked), and up to ``SAMPLE_LINES`` lines
 spread over each; of a document of more than ``SAMPLE_CHARS`` characters, lines with letters, each
 from its first letter on and no longer than its share of ``SAMPLE_CHARS``. Language, source and id
 are never inputs of a prediction. The model has a fixed size for a number of languages, so it is
@@ -24,6 +26,7 @@ predicted one by one; an empty table gives an empty result; further input column
 
 from __future__ import annotations
 
+import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,6 +37,8 @@ from pyspark.sql import functions as F
 from loam.llm import bytework as bw
 
 SAMPLE_DOCS = 300
+SAMPLE_TOTAL = 6000
+SAMPLE_LANGS = 200
 SAMPLE_CHARS = 20_000
 SAMPLE_LINES = 12
 CHAIN = 256
@@ -65,9 +70,40 @@ def folded(data: np.ndarray) -> np.ndarray:
     return out
 
 
+class _Letters:
+    """Which code points beyond ASCII are letters or marks."""
+
+    table: np.ndarray | None = None
+
+    @classmethod
+    def of(cls, points: np.ndarray) -> np.ndarray:
+        if cls.table is None:
+            cls.table = np.zeros(0x110000, bool)
+            for c in range(0x80, 0x110000):
+                cls.table[c] = unicodedata.category(chr(c))[0] in "LM"
+        return cls.table[np.minimum(points, 0x10FFFF)]
+
+
+def letters(data: np.ndarray) -> np.ndarray:
+    """The bytes of ASCII letters and of other letters and marks, in valid UTF-8."""
+    inside = LETTER[data]
+    lead = np.flatnonzero(data >= 0xC2)
+    if len(lead):
+        byte = lambda k: np.where(lead + k < len(data), data[np.minimum(lead + k, len(data) - 1)], 0).astype(np.int64) & 0x3F
+        first = data[lead].astype(np.int64)
+        size = 2 + (first >= 0xE0) + (first >= 0xF0)
+        two, three = (first & 0x1F) << 6 | byte(1), (first & 0x0F) << 12 | byte(1) << 6 | byte(2)
+        four = (first & 0x07) << 18 | byte(1) << 12 | byte(2) << 6 | byte(3)
+        other = ~_Letters.of(np.where(size == 2, two, np.where(size == 3, three, four)))
+        for k in range(4):
+            at = lead[other & (size > k)] + k
+            inside[at[at < len(data)]] = False
+    return inside
+
+
 def words_and_chains(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of words, and the index of the first word of every chain."""
-    inside = LETTER[data]
+    inside = letters(data)
     edge = np.flatnonzero(np.diff(np.r_[False, inside, False].astype(np.int8)))
     begin, end = edge[0::2], edge[1::2]
     if not len(begin):
@@ -217,18 +253,46 @@ def sample_text(text: Column) -> Column:
 def fit(docs: DataFrame) -> Model | None:
     """Train on the bounded sample of ``docs``; None if there is nothing to learn from."""
     able = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    rows = able.select("lang", "doc_id", F.xxhash64("doc_id", F.lit(3)).alias("h"))
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    bounds = rows.withColumn("n", nth).where(F.col("n") <= SAMPLE_DOCS).groupBy("lang").agg(F.max("h").alias("bound"))
-    marks = bounds.collect()  # a row for each language
-    if not marks:
+    counts = able.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(SAMPLE_LANGS).collect()
+    if not counts:
         return None
-    limits = F.broadcast(docs.sparkSession.createDataFrame([(r["lang"], r["bound"]) for r in marks], "lang string, bound long"))
-    drawn = able.withColumn("h", F.xxhash64("doc_id", F.lit(3))).join(limits, "lang").where(F.col("h") <= F.col("bound"))
-    sample = drawn.withColumn("text", sample_text(F.col("text"))).orderBy("h", "lang", "text").select("text", "lang").limit(SAMPLE_DOCS * len(marks)).collect()
+    want = max(1, min(SAMPLE_DOCS, SAMPLE_TOTAL // len(counts)))
+    # about twice as many pass as are wanted, so nearly always enough do
+    bound = lambda n: (1 << 63) - 1 if n <= 4 * want else (2 * want << 64) // n - (1 << 63)
+    limits = F.broadcast(docs.sparkSession.createDataFrame([(r["lang"], bound(r["n"])) for r in counts], "lang string, bound long"))
+    near = able.withColumn("h", F.xxhash64("doc_id", F.lit(3))).join(limits, "lang").where(F.col("h") <= F.col("bound"))
+    drawn = near.select("lang", "h", sample_text(F.col("text")).alias("text"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
+    sample = drawn.withColumn("nth", nth).where(F.col("nth") <= want).orderBy("h", "lang", "text").select("text", "lang").collect()
     return train([r["text"] for r in sample], [r["lang"] for r in sample])
 
 
+def word_labels(docs: DataFrame, model: Model) -> DataFrame:
+    """``doc_id, labels``: each word's bytes (in the text's UTF-8, end exclusive), language and posterior."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string()), ("p", pa.float64())]))
+
+    def run(batches):
+        model = shared.value
+        for batch in batches:
+            ids = pa.array(np.arange(batch.num_rows))
+            out: list = [[] for _ in range(batch.num_rows)]
+            for rows, data, starts in bw.chunks([pa.record_batch([ids, batch.column(1)], names=["i", "t"])], 1_000_000):
+                data = data.copy()
+                data[starts[1:] - 1] = 0x0A
+                begin, end, first = words_and_chains(data)
+                if not len(begin):
+                    continue
+                post, _, _ = forward_backward(model.scores(features(folded(data), begin, end)), first, model.moves, model.starts)
+                doc = np.searchsorted(starts, begin, "right") - 1
+                for i, a, b, y, p in zip(rows[doc].tolist(), (begin - starts[doc]).tolist(), (end - starts[doc]).tolist(), post.argmax(1).tolist(), post.max(1).tolist()):
+                    out[i].append({"start": a, "end": b, "lang": model.langs[y], "p": min(1.0, float(p))})
+            yield pa.record_batch([batch.column(0), pa.array(out, kind)], names=["doc_id", "labels"])
+
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, f"doc_id {id_type}, labels array<struct<start:bigint,end:bigint,lang:string,p:double>>")
+
+
 def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns in ``keep``, ``lang_pred`` and ``score`` for every row."""
     has = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
