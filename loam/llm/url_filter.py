@@ -13,7 +13,11 @@ contract (``MAX_RULES``); false positives of a level are counted before they are
 are about 1% of the keys that the level before it was tested with. A level of more than
 ``MAX_LEVEL_BITS`` raises an error instead of being broadcast.
 
-Edge cases: a null url or one without ``://`` has empty host and path, no rule and the default
+Past the bounds nothing is dropped: the build fails. At 10 bits a key, ``MAX_LEVEL_BITS`` holds 214
+million keys (256 MB to each worker); a list near it should be split by host beforehand.
+
+Edge cases: of listed keys of equal length the one with the longer host wins; urls of any length are
+read whole; a null url or one without ``://`` has empty host and path, no rule and the default
 verdict; an empty table gives an empty result; repeated rows are judged one by one; further
 columns of the input are ignored by ``judge``; a listed key whose host is empty never fits.
 """
