@@ -808,7 +808,7 @@ def _mixed_changes(spark, d) -> DataFrame:
     third = F.col("event_id") % 3
     h = F.when(third == 0, F.lit(None)).when(third == 1, F.concat(F.lit("size:"), F.col("event_id").cast("string"))).otherwise(F.col("content_hash"))
     both = (F.col("action") == "rename_to") & (F.col("event_id") % 2 == 0)
-    return c.withColumn("content_hash", h).withColumn("action", F.when(both, "rename_both").otherwise(F.col("action"))).withColumn("new_path", F.when(both, F.concat("path", F.lit("/new"))))
+    return c.withColumn("content_hash", h).withColumn("new_path", F.when(both, F.concat("path", F.lit("/new")))).withColumn("action", F.when(both, "rename_both").otherwise(F.col("action")))
 
 
 @query(

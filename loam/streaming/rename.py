@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from loam.schema import DAY, RENAME_WINDOW_SECONDS
+from loam.session import cut, shuffle_width
+
+CELL_EVENTS = 100_000
 
 ACTIONS = "action string, path string, old_path string, content_hash string, ts long"
 
@@ -105,21 +108,32 @@ def sessions(events: DataFrame, window: int = RENAME_WINDOW_SECONDS) -> DataFram
 def replay(events: DataFrame, until: int | None = None, window: int = RENAME_WINDOW_SECONDS) -> DataFrame:
     """The batch form: all actions of a set of events, as if the feed ran on to ``until`` (or for ever).
 
-    A hash's events are handled in order of time and id, one session at a time: what a task holds is
-    what happens to one content without a pause of the window's length.
+    A hash's events are handled in order of time and id, session by session. Sessions are dealt to
+    cells of some ``CELL_EVENTS``, so a task holds its cell and at most what happens to one content
+    without a pause of the window's length.
     """
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        h, tracker, out = key[0], Tracker(window), []
-        pdf = pdf.sort_values(["ts", "event_id"])
-        for action, path, ts in zip(pdf["action"], pdf["path"], pdf["ts"]):
-            out += _step(tracker, h, action, path, int(ts))
-        left = tracker.expire(until) if until is not None else tracker.held
-        out += [("delete", p, None, h, t) for p, t in left]
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple] = []
+        rows = pdf.sort_values(["content_hash", "session", "ts", "event_id"])
+        own, tracker = None, Tracker(window)
+
+        def leave() -> None:
+            left = tracker.expire(until) if until is not None else tracker.held
+            out.extend(("delete", p, None, own[0], t) for p, t in left)
+
+        for h, session, action, path, ts in zip(rows["content_hash"], rows["session"], rows["action"], rows["path"], rows["ts"]):
+            if own != (h, session):
+                leave()
+                own, tracker = (h, session), Tracker(window)
+            out.extend(_step(tracker, h, action, path, int(ts)))
+        leave()
         return pd.DataFrame(out, columns=["action", "path", "old_path", "content_hash", "ts"])
 
-    rows = sessions(waiting(events).select("content_hash", "ts", "event_id", "action", "path"), window)
-    return rows.groupBy("content_hash", "session").applyInPandas(run, ACTIONS).unionByName(direct_actions(events))
+    rows = cut(sessions(waiting(events).select("content_hash", "ts", "event_id", "action", "path"), window))
+    cells = max(shuffle_width(events.sparkSession), rows.count() // CELL_EVENTS + 1)
+    dealt = rows.withColumn("cell", F.pmod(F.xxhash64("content_hash", "session"), F.lit(cells)))
+    return dealt.groupBy("cell").applyInPandas(run, ACTIONS).unionByName(direct_actions(events))
 
 
 class RenameProcessor(StatefulProcessor):
