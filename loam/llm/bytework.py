@@ -46,7 +46,10 @@ class Slices:
     def __init__(self, values: np.ndarray):
         up, self.down = _Powers.upto(len(values) + 1)
         self.sums = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[: len(values)], out=self.sums[1:])
+        terms = values.astype(np.uint64)
+        terms += np.uint64(1)
+        terms *= up[: len(values)]
+        np.cumsum(terms, out=self.sums[1:])
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.down[start])
@@ -95,9 +98,14 @@ def ragged(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return group, np.arange(len(group)) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
+def _planes(a: np.ndarray) -> bytes:
+    """The bytes of an array by significance: the upper ones of small numbers compress to nothing."""
+    return np.ascontiguousarray(a.reshape(-1, 1).view(np.uint8).T).tobytes()
+
+
 def pack(*arrays: np.ndarray | bytes) -> bytes:
     """Arrays and byte strings as one compressed byte string."""
-    parts = [a if isinstance(a, bytes) else a.tobytes() for a in arrays]
+    parts = [a if isinstance(a, bytes) else _planes(np.ascontiguousarray(a)) for a in arrays]
     raw = struct.pack(f"<{len(parts)}q", *map(len, parts)) + b"".join(parts)
     return struct.pack("<q", len(raw)) + pa.Codec("zstd", compression_level=3).compress(raw, asbytes=True)
 
@@ -109,6 +117,11 @@ def unpack(data: bytes, kinds: str) -> list:
     sizes = struct.unpack_from(f"<{len(names)}q", raw)
     out, at = [], 8 * len(names)
     for kind, size in zip(names, sizes):
-        out.append(raw[at : at + size] if kind == "." else np.frombuffer(raw, kind, size // np.dtype(kind).itemsize, at))
+        if kind == ".":
+            out.append(raw[at : at + size])
+        else:
+            width = np.dtype(kind).itemsize
+            planes = np.frombuffer(raw, np.uint8, size, at).reshape(width, size // width)
+            out.append(np.ascontiguousarray(planes.T).reshape(-1).view(kind))
         at += size
     return out

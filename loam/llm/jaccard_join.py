@@ -1,41 +1,45 @@
 """N-gram Jaccard join over prefix trees: linked documents and their components, exactly.
 
-A document's set holds the hashes of its distinct word n-grams (64 bits; two different n-grams of
-a corpus with ``g`` of them share a hash with odds of about g**2 / 2**65). Documents link if
+A document's set holds the hashes of its distinct word n-grams (56 bits; two given sets of 500
+n-grams share a hash by chance with odds of 500 * 500 / 2**56). Documents link if
 ``den * |x & y| >= num * |x | y|``.
 
 1. *Classes.* Documents with equal sets (128-bit sums of the hashes, and the size) form a class;
    its smallest id represents it. Copies go no further.
-2. *Global order.* n-grams are ordered by (frequent, hash). Frequent are those of at least
-   ``T`` documents among the n-grams in the lowest quarter of the hash range, where the prefixes
-   lie; they are counted over the whole corpus. ``T`` grows with the corpus so that at most
-   ``FREQUENT_MAX`` n-grams are frequent, which bounds the broadcast.
-3. *Upper trie levels.* Two linked sets share an n-gram among the first ``p`` of each, in the
-   global order (``p`` from the size and the threshold), so the prefixes' n-grams are the trie's
-   entry nodes: postings ``(n-gram, document, size, place)`` are dealt by n-gram. Nodes with one
-   document are pruned.
-4. *Rounds.* A node's documents are compared by their sizes and by *parity bitmaps* (each hash of a
-   set flips a bit; two bitmaps differ in no more bits than the sets differ in elements), which
-   rules out almost all pairs that don't link and none that do. First each bucket sends a forest of
-   what is left: a pair only if nothing before joins its documents. Then it sends all pairs that are
-   left between components as verified so far. What is in one component needs no further look, so a
-   large group of copies does not give all its pairs, and no link between components is lost.
-5. *Lower levels.* A pair's sets meet at the smaller id (a large one's partners are dealt over
-   many tasks). There the partners' ordered sets form a trie, which is traversed depth first along
-   their sorted order: what a path shares with the one before is not counted again, and a member
-   is pruned as soon as the overlap so far plus its remaining length can't reach the threshold.
-   Overlaps that remain are exact.
+2. *Global order.* n-grams are ordered by (number of documents, hash): the rarest come first. The
+   representatives' n-grams are counted in two exchanges. The first sends each n-gram of a chunk
+   once, with its count there, and finds the *hot* ones, of at least ``T`` documents; ``T`` grows
+   with the corpus, so at most ``HOT_MAX`` are hot and can be broadcast. The second sends the others
+   with their documents to the n-gram's bucket, which counts them exactly and passes on what two or
+   more documents have; hot ones go with their document and never meet in one bucket.
+3. *Edges of the trie.* Of two linked sets, the first ``p`` n-grams of each share one (``p`` from the
+   size and the threshold). An n-gram that one document alone has leads nowhere and comes first in
+   the order, so a document with ``p`` of those links with nothing: most go here. What is left of a
+   set is its ordered list of shared n-grams; the first ``k`` of them are its entry nodes.
+4. *Forests.* Every document goes to one entry node, its most populated, in blocks of at most
+   ``BLOCK``. A block stores its sets in a prefix tree. Sets are probed against the tree, level by
+   level: an edge's n-grams are compared once for all sets that share it, the partial overlap goes
+   on to the children, and a subtree is left as soon as the overlap so far and the best of its
+   remaining lengths can't reach what the sizes ask. Documents already in one component aren't
+   probed against each other again. Where a node has several blocks, one document for each
+   component of each block goes on to the next round, until all meet in a block.
+5. *What is left.* A node whose documents are all in one component needs no further look. In the
+   others, documents outside the node's largest component are compared with all, by sizes, by the
+   lengths beyond the shared n-gram, and by *parity bitmaps* (each n-gram flips a bit; two bitmaps
+   differ in no more bits than the sets differ in elements). Pairs that this allows are probed as
+   above, centre by centre: first the ``CLOSEST`` of a document with each other component, then all
+   between components that are still apart. So a large group of copies, or of documents that nearly
+   link, doesn't give all its pairs, and no link between components is lost.
 
 Edge cases: null and empty texts, and texts without words, have an empty set, link with nothing and
 are their own component; fewer words than ``n`` make one n-gram; a null id has a null component;
-rows that repeat an id are taken to repeat its text; empty tables give an empty result; further
-input columns are ignored.
+rows that repeat an id are taken to repeat its text; ties don't arise, as a component is named by its
+smallest id; long texts stay whole; empty tables give an empty result; further input columns are
+ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -45,16 +49,20 @@ from loam.llm import bytework as bw
 from loam.llm.components import components
 from loam.session import cut, shuffle_width
 
-FREQUENT_LEAST = 64
-FREQUENT_MAX = 500_000
+HOT_LEAST = 64
+HOT_MAX = 500_000
 BROADCAST_IDS = 1_000_000
-BUCKET_BYTES = 16_000_000
-TIMES = (0, 2)  # the small and the large bitmap: as many bits as elements, and four times as many
-NODE_BYTES = 60_000_000  # of texts behind a bucket of postings
-CELL_BYTES = 6_000_000
+BUCKET_BYTES = 8_000_000  # of texts behind a bucket of n-grams
+CHUNK_BYTES = 2_000_000
+BLOCK = 500  # documents of a node that are probed in one tree
+PAIR_BLOCK = 4000  # documents of a node that are compared by their lengths in one task
+CELL_BYTES = 6_000_000  # of sets behind a task's blocks
 MEMBERS = 1000
-SHORT = np.uint64(24)  # postings and counts name an n-gram by the upper 40 bits of its hash
-QUARTER = np.uint64(1 << 62)
+PARITY = 1024  # bits of a set's parity bitmap
+CLOSEST = 2  # pairs of a document with each other component that are tried first
+EDGE = 64  # n-grams of an edge of the tree, at most
+SHORT = np.uint64(16)  # the first exchange names an n-gram by 40 bits of the 56
+NAME = np.uint64(8)
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
@@ -74,7 +82,7 @@ def sets_of(data: np.ndarray, starts: np.ndarray, n: int) -> tuple[np.ndarray, n
     i = np.arange(max(0, len(begin) - n + 1))
     i = i[doc[i] == doc[i + n - 1]]
     short = np.flatnonzero((words > 0) & (words < n))
-    h = np.r_[grams(i, i + n), grams(first[short], first[short] + words[short])]
+    h = np.r_[grams(i, i + n), grams(first[short], first[short] + words[short])] >> NAME
     d = np.r_[doc[i], short]
     order = np.lexsort((h, d))
     h, d = h[order], d[order]
@@ -82,62 +90,51 @@ def sets_of(data: np.ndarray, starts: np.ndarray, n: int) -> tuple[np.ndarray, n
     return d[new], h[new], np.bincount(d[new], minlength=docs)
 
 
-def bitmap_bits(size: np.ndarray, times: int) -> np.ndarray:
-    """Bits of a set's parity bitmap: a power of two of at least ``2**times`` times its size, and of 256."""
-    return 1 << np.maximum(8, times + np.ceil(np.log2(np.maximum(size, 1)))).astype(np.int64)
-
-
-def bitmaps(d: np.ndarray, h: np.ndarray, size: np.ndarray, times: int) -> list[bytes]:
-    """The parity bitmap of each document of a chunk: each hash flips the bit of its upper bits."""
-    bits = bitmap_bits(size, times)
-    begin = np.cumsum(bits) - bits
-    at = begin[d] + ((h >> SHORT) & (bits[d] - 1).astype(np.uint64)).astype(np.int64)
-    odd = (np.bincount(at, minlength=int(bits.sum())) & 1).astype(np.uint8)
-    raw = np.packbits(odd, bitorder="little").tobytes()
-    return [raw[a : a + n] for a, n in zip((begin // 8).tolist(), (bits // 8).tolist())]
-
-
 def _signatures(n: int):
-    """mapInArrow: (doc_id, n, s1, s2, small, large): two sums over the set's hashes, and its parity bitmaps."""
+    """mapInArrow: (doc_id, n, s1, s2): the set's size and two sums over its hashes."""
 
     def run(batches):
         for batch in batches:
             ids = pa.array(np.arange(batch.num_rows))
             size, one, two = (np.zeros(batch.num_rows, t) for t in (np.int64, np.uint64, np.uint64))
-            maps: list[list[bytes]] = [[b""] * batch.num_rows for _ in TIMES]
             for rows, data, starts in bw.chunks([pa.record_batch([ids, batch.column(1)], names=["i", "t"])]):
-                d, h, count = sets_of(data, starts, n)
+                _, h, count = sets_of(data, starts, n)
                 size[rows] = count
                 edge = np.r_[0, np.cumsum(count)]
-                for to, values in ((one, h), (two, bw.mix(h + np.uint64(77)) | np.uint64(1))):
+                for to, values in ((one, bw.mix(h)), (two, bw.mix(h + np.uint64(77)) | np.uint64(1))):
                     sums = np.r_[np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)]
                     to[rows] = sums[edge[1:]] - sums[edge[:-1]]
-                for own, times in zip(maps, TIMES):
-                    for i, m in zip(rows.tolist(), bitmaps(d, h, count, times)):
-                        own[i] = m
-            yield pa.record_batch([batch.column(0), pa.array(size), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), *[pa.array(m, pa.binary()) for m in maps]], names=["doc_id", "n", "s1", "s2", "small", "large"])
+            yield pa.record_batch([batch.column(0), pa.array(size), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], names=["doc_id", "n", "s1", "s2"])
 
     return run
 
 
+def _ranges(upper: np.ndarray, bits: int, buckets: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """The buckets of sorted numbers of so many bits, by range, and the stretch of each."""
+    bucket = (upper * np.uint64(buckets) >> np.uint64(bits)).astype(np.int64)
+    at = np.r_[np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket)]
+    return bucket[at[:-1]], list(zip(at[:-1].tolist(), at[1:].tolist()))
+
+
 def _counts(n: int, buckets: int):
-    """mapInArrow: how many documents of a chunk have each n-gram of the lowest quarter, by hash range."""
+    """mapInArrow: how many documents of a chunk have each n-gram, by hash range."""
+
+    def of_chunk(data, starts):
+        token, count = np.unique(sets_of(data, starts, n)[1] >> SHORT, return_counts=True)
+        bucket, parts = _ranges(token >> np.uint64(8), 32, buckets)
+        rows = [bw.pack(np.diff(token[a:b], prepend=np.uint64(0)).astype("<u8"), count[a:b].astype("<u4")) for a, b in parts]
+        return pa.record_batch([pa.array(bucket, pa.int32()), pa.array(rows, pa.binary())], names=["bucket", "payload"])
 
     def run(batches):
-        for _, data, starts in bw.chunks(batches):
-            _, h, _ = sets_of(data, starts, n)
-            token, count = np.unique(h[h < QUARTER] >> SHORT, return_counts=True)
-            if not len(token):
-                continue
-            bucket = (token * np.uint64(buckets) >> np.uint64(38)).astype(np.int64)
-            cuts = np.r_[np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket)]
-            rows = [bw.pack(np.diff(token[a:b], prepend=np.uint64(0)).astype("<u8"), count[a:b].astype("<u4")) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
-            yield pa.record_batch([pa.array(bucket[cuts[:-1]], pa.int32()), pa.array(rows, pa.binary())], names=["bucket", "payload"])
+        for _, data, starts in bw.chunks(batches, CHUNK_BYTES):
+            yield of_chunk(data, starts)
 
     return run
 
 
-def _frequent(least: int):
+def _hot(least: int):
+    """applyInArrow: the n-grams of a range that ``least`` documents have."""
+
     def run(table: pa.Table) -> pa.Table:
         parts = [bw.unpack(p.as_py(), "<u8 <u4") for p in table.column("payload")]
         token = np.concatenate([np.cumsum(t, dtype=np.uint64) for t, _ in parts])
@@ -146,303 +143,496 @@ def _frequent(least: int):
         token, count = token[order], count[order]
         cuts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
         total = np.add.reduceat(count, cuts)
-        hot = total >= least
-        return pa.table({"token": pa.array(token[cuts][hot].astype(np.int64)), "df": pa.array(total[hot])})
+        keep = total >= least
+        return pa.table({"token": pa.array(token[cuts][keep].astype(np.int64)), "df": pa.array(total[keep])})
 
     return run
 
 
+def order_key(token: np.ndarray, df: np.ndarray, hot: bool) -> np.ndarray:
+    """63 bits that follow the global order: counts up to 99, then the hot ones by the count's logarithm."""
+    step = 64 + np.ceil(np.log2(np.maximum(df, 1))).astype(np.uint64) if hot else np.minimum(df, 63).astype(np.uint64)
+    return (step << np.uint64(56)) | token
+
+
 def prefix_size(size: np.ndarray, num: int, den: int) -> np.ndarray:
     """How many first n-grams of a set any linked set must meet: n - ceil(num * n / den) + 1."""
     return size - (num * size + den - 1) // den + 1
 
 
-def least_overlap(a, b, num: int, den: int):
-    """The smallest overlap of linked sets of sizes a and b: den * o >= num * (a + b - o)."""
-    return (num * (a + b) + num + den - 1) // (num + den)
+POST = "<u8 <u4 <i8 <i8 <i8 <i4 <u8"
+
+
+def _posts(n: int, hot, buckets: int):
+    """mapInArrow: by bucket, n-grams with their documents (those that aren't hot, dealt by range), and
+    sizes and hot n-grams of documents (dealt by document)."""
+
+    def of_chunk(ids, data, starts, names, counts):
+        d, h, size = sets_of(data, starts, n)
+        at = np.minimum(np.searchsorted(names, h >> SHORT), max(0, len(names) - 1))
+        flag = (names[at] == h >> SHORT) if len(names) else np.zeros(len(h), bool)
+        plain = np.flatnonzero(~flag)
+        plain = plain[np.argsort(h[plain], kind="stable")]
+        token, doc = h[plain], d[plain]
+        sent: dict[int, list] = {}
+        for b, (i, j) in zip(*(lambda x: (x[0].tolist(), x[1]))(_ranges(token >> np.uint64(24), 32, buckets))):
+            own, index = np.unique(doc[i:j], return_inverse=True)
+            sent[b] = [np.diff(token[i:j], prepend=np.uint64(0)).astype("<u8"), index.astype("<u4"), np.diff(ids[own], prepend=0).astype("<i8")]
+        keys = order_key(h[flag], counts[at[flag]], True) if len(names) else h[flag]
+        held = np.bincount(d[flag], minlength=len(size))
+        edge = np.r_[0, np.cumsum(held)]
+        has = np.flatnonzero(size)
+        home = (bw.mix(ids[has].astype(np.int64).view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        for b in np.unique(home).tolist():
+            mine = has[home == b]
+            group, inner = bw.ragged(held[mine])
+            sent.setdefault(b, [np.zeros(0, "<u8"), np.zeros(0, "<u4"), np.zeros(0, "<i8")]).extend([ids[mine].astype("<i8"), size[mine].astype("<i8"), held[mine].astype("<i4"), keys[edge[mine][group] + inner].astype("<u8")])
+        none = [np.zeros(0, "<i8"), np.zeros(0, "<i8"), np.zeros(0, "<i4"), np.zeros(0, "<u8")]
+        rows = [bw.pack(*(x if len(x) == 7 else x + none)) for x in sent.values()]
+        return pa.record_batch([pa.array(list(sent), pa.int32()), pa.array(rows, pa.binary())], names=["bucket", "payload"])
 
-
-def _postings(n: int, num: int, den: int, frequent, buckets: int):
     def run(batches):
-        hot = frequent.value
-        for ids, data, starts in bw.chunks(batches):
-            d, h, size = sets_of(data, starts, n)
-            if not len(d):
-                continue
-            token = h >> SHORT
-            at = np.minimum(np.searchsorted(hot, token), max(0, len(hot) - 1))
-            flag = (hot[at] == token) if len(hot) else np.zeros(len(token), bool)
-            first = np.cumsum(size) - size
-            plain = np.cumsum(~flag)
-            before = np.r_[0, plain][first[d]]
-            nth_plain = plain - before - 1
-            rank = np.arange(len(d)) - first[d]
-            n_plain = np.bincount(d, ~flag, len(size)).astype(np.int64)
-            place = np.where(flag, n_plain[d] + (rank - nth_plain - 1), nth_plain)
-            take = np.flatnonzero(place < prefix_size(size, num, den)[d])
-            token, d, place = token[take], d[take], place[take]
-            bucket = (bw.mix(token) % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((token, bucket))
-            bucket, token, d, place = bucket[order], token[order], d[order], place[order]
-            cuts = np.r_[np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket)]
-            rows = [bw.pack(token[a:b].astype("<u8"), ids[d[a:b]].astype("<i8"), size[d[a:b]].astype("<i4"), place[a:b].astype("<i4")) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
-            yield pa.record_batch([pa.array(bucket[cuts[:-1]], pa.int32()), pa.array(rows, pa.binary())], names=["bucket", "payload"])
+        names, counts = hot.value
+        for ids, data, starts in bw.chunks(batches, CHUNK_BYTES):
+            yield of_chunk(ids, data, starts, names, counts)
 
     return run
 
 
-NODE = "<u8 <i8 <i4 <i4"
+SHARED = "<i8 <i4 <u8 <i8 <i8 <i4 <u8"
 
 
-def _nodes(table: pa.Table) -> pa.Table:
-    """The postings of a bucket by n-gram and document, without nodes of one document."""
-    token, doc, size, place = map(np.concatenate, zip(*[bw.unpack(p.as_py(), NODE) for p in table.column("payload")]))
-    order = np.lexsort((doc, token))
-    same = token[order][1:] == token[order][:-1]
-    order = order[np.r_[False, same] | np.r_[same, False]] if len(order) > 1 else order[:0]
-    return pa.table({"bucket": table.column("bucket")[:1], "payload": pa.array([bw.pack(token[order], doc[order], size[order], place[order])], pa.binary())})
+def _shared(homes: int):
+    """applyInArrow: count a bucket's n-grams; those of several documents go to the documents' homes."""
 
+    def run(table: pa.Table) -> pa.Table:
+        token, doc, ids, size, held, keys = ([] for _ in range(6))
+        for p in table.column("payload"):
+            t, index, own, i, s, c, k = bw.unpack(p.as_py(), POST)
+            token.append(np.cumsum(t, dtype=np.uint64)), doc.append(np.cumsum(own)[index] if len(own) else own)
+            ids.append(i), size.append(s), held.append(c), keys.append(k)
+        token, doc, ids, size, held, keys = (np.concatenate(x) for x in (token, doc, ids, size, held, keys))
+        order = np.lexsort((doc, token))
+        token, doc = token[order], doc[order]
+        new = np.r_[True, (token[1:] != token[:-1]) | (doc[1:] != doc[:-1])] if len(token) else np.zeros(0, bool)
+        token, doc = token[new], doc[new]
+        cuts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else np.zeros(0, np.int64)
+        df = np.repeat(np.diff(np.r_[cuts, len(token)]), np.diff(np.r_[cuts, len(token)]))
+        many = df > 1
+        key, doc = order_key(token[many], df[many], False), doc[many]
+        home_of = lambda x: (bw.mix(x.view(np.uint64) + np.uint64(5)) % np.uint64(homes)).astype(np.int64)
+        order = np.lexsort((key, doc))
+        key, doc = key[order], doc[order]
+        home, own_home = home_of(doc), home_of(ids)
+        edge = np.r_[0, np.cumsum(held)].astype(np.int64)
+        rows = []
+        for b in range(homes):
+            mine, own = np.flatnonzero(home == b), np.flatnonzero(own_home == b)
+            if not len(mine) and not len(own):
+                continue
+            docs, count = np.unique(doc[mine], return_counts=True)
+            group, inner = bw.ragged(held[own])
+            rows.append((b, bw.pack(np.diff(docs, prepend=0).astype("<i8"), count.astype("<i4"), key[mine].astype("<u8"), ids[own], size[own], held[own], keys[edge[own][group] + inner])))
+        return pa.table({"home": pa.array([b for b, _ in rows], pa.int32()), "payload": pa.array([p for _, p in rows], pa.binary())})
 
-def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    lo, hi = np.minimum(a, b), np.maximum(a, b)
-    order = np.lexsort((hi, lo))
-    lo, hi = lo[order], hi[order]
-    new = np.r_[True, (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])] if len(lo) else np.zeros(0, bool)
-    return pa.record_batch([pa.array(lo[new]), pa.array(hi[new])], names=["a", "b"])
+    return run
 
 
-def _members(batches):
-    """mapInArrow: (bucket, doc) of every document that has a node in a bucket."""
-    for batch in batches:
-        for bucket, p in zip(batch.column(0), batch.column(1)):
-            doc = np.unique(bw.unpack(p.as_py(), NODE)[1])
-            yield pa.record_batch([pa.array(np.full(len(doc), bucket.as_py(), np.int32)), pa.array(doc)], names=["bucket", "doc"])
-
-
-class Bitmaps:
-    """Parity bitmaps of many documents, comparable at the smaller size of two."""
-
-    def __init__(self, size: np.ndarray, raw: list[bytes], times: int):
-        self.level = np.log2(bitmap_bits(size, times)).astype(np.int64)
-        self.row, self.bits = {}, {}
-        for c in np.unique(self.level).tolist():
-            for to in (c, c - 1):  # as it is, and folded for documents of the class below
-                self.row.setdefault(to, np.full(len(size), -1, np.int64))
-        for c in self.row:
-            own, above = np.flatnonzero(self.level == c), np.flatnonzero(self.level == c + 1)
-            words = max(1, (1 << c) // 64)
-            m = np.zeros((len(own) + len(above), words), np.uint64)
-            for k, i in enumerate(own.tolist()):
-                m[k] = np.frombuffer(raw[i], np.uint64)
-            for k, i in enumerate(above.tolist()):
-                x = np.frombuffer(raw[i], np.uint64)
-                m[len(own) + k] = x[: len(x) // 2] ^ x[len(x) // 2 :]
-            self.row[c][own], self.row[c][above] = np.arange(len(own)), len(own) + np.arange(len(above))
-            self.bits[c] = m
-
-    def differ(self, i: int, j: np.ndarray) -> np.ndarray:
-        """A lower bound of how many elements the sets of ``i`` and of each of ``j`` differ in."""
-        out = np.zeros(len(j), np.int64)
-        both = np.minimum(self.level[i], self.level[j])
-        for c in np.unique(both).tolist():
-            at = np.flatnonzero(both == c)
-            a, b = self.row[c][i], self.row[c][j[at]]
-            ok = (b >= 0) & (a >= 0)  # classes further apart can't link, their sizes say
-            out[at[ok]] = np.bitwise_count(self.bits[c][b[ok]] ^ self.bits[c][a]).sum(axis=1)
-        return out
-
-
-def _unite(root: np.ndarray, groups: dict[int, list[int]], a: int, b: int) -> None:
-    """The smaller of two groups takes the larger one's name."""
-    if len(groups[a]) < len(groups[b]):
-        a, b = b, a
-    gone = groups.pop(b)
-    root[gone] = a
-    groups[a] += gone
-
-
-def _mixed(left: pa.Table, right: pa.Table) -> pa.Table:
-    """cogrouped: (bucket, doc, root) of the documents of nodes that lie in several components."""
-    order = np.argsort(right.column("doc").to_numpy()) if right.num_rows else np.zeros(0, np.int64)
-    doc, root = (right.column(c).to_numpy()[order] if right.num_rows else np.zeros(0, np.int64) for c in ("doc", "root"))
-    use = np.zeros(len(doc), bool)
-    for p in left.column("payload") if left.num_rows and right.num_rows else ():
-        token, d, _, _ = bw.unpack(p.as_py(), NODE)
-        if not len(token):
-            continue
-        at = np.searchsorted(doc, d)
-        first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-        several = np.minimum.reduceat(root[at], first) != np.maximum.reduceat(root[at], first)
-        use[at[np.repeat(several, np.diff(np.r_[first, len(token)]))]] = True
-    bucket = left.column("bucket")[0].as_py() if left.num_rows else 0
-    return pa.table({"bucket": pa.array(np.full(int(use.sum()), bucket, np.int32)), "doc": pa.array(doc[use]), "root": pa.array(root[use])})
-
-
-def _links(num: int, den: int, forest: bool):
-    """cogrouped: pairs of a bucket's documents that share a node, are in different components, and
-    that sizes and bitmaps allow; with ``forest`` only pairs that join what no pair before joins."""
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = [np.zeros((0, 2), np.int64)]
-        if left.num_rows and right.num_rows:
-            order = np.argsort(right.column("doc").to_numpy())
-            doc, size, root = (right.column(c).to_numpy()[order] for c in ("doc", "n", "root"))
-            raw = right.column("bits").to_pylist()
-            maps = Bitmaps(size, [raw[i] for i in order.tolist()], TIMES[0] if forest else TIMES[1])
-            root = np.unique(root, return_inverse=True)[1]
-            groups = {r: [i] for i, r in enumerate(root.tolist())} if forest else {}  # a forest starts from single documents
-            seen: set[bytes] = set()
-            for p in left.column("payload"):
-                token, d, _, _ = bw.unpack(p.as_py(), NODE)
-                at = np.minimum(np.searchsorted(doc, d), len(doc) - 1)
-                there = doc[at] == d  # documents of nodes within one component weren't sent
-                first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-                last = np.r_[first[1:], len(token)]
-                for lo, hi in zip(first.tolist(), last.tolist()):
-                    node = at[lo:hi]
-                    if not there[lo:hi].all() or (root[node] == root[node[0]]).all():
-                        continue
-                    key = hashlib.blake2b(node.tobytes(), digest_size=16).digest()
-                    if key in seen:  # the same documents meet in many nodes
-                        continue
-                    seen.add(key)
-                    node = np.unique(node)
-                    node = node[np.argsort(size[node], kind="stable")]
-                    top = np.searchsorted(size[node] * num, size[node] * den, "right")  # den * small >= num * large
-                    for k, i in enumerate(node.tolist()):
-                        j = node[k + 1 : top[k]]
-                        j = j[root[j] != root[i]]
-                        if len(j):
-                            allowed = size[i] + size[j] - 2 * least_overlap(size[i], size[j], num, den)
-                            j = j[maps.differ(i, j) <= allowed]
-                        if forest and len(j):
-                            j = j[np.unique(root[j], return_index=True)[1]]
-                            for x in j.tolist():
-                                _unite(root, groups, int(root[i]), int(root[x]))
-                        if len(j):
-                            out.append(np.stack([np.full(len(j), doc[i]), doc[j]], 1))
-        both = np.concatenate(out)
-        return pa.Table.from_batches([_pairs(both[:, 0], both[:, 1])])
+def parity(keys: np.ndarray) -> bytes:
+    """A bitmap that each n-gram flips a bit of: two differ in no more bits than the sets in elements."""
+    odd = np.bincount((keys & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
-    return run
 
+def _candidates(num: int, den: int):
+    """applyInArrow: (doc, n, k, keys, bits): documents that can link, their shared n-grams in order, and those' parity."""
+
+    def run(table: pa.Table) -> pa.Table:
+        doc, key, ids, size = [], [], [], []
+        for p in table.column("payload"):
+            own, count, k, i, s, held, hot = bw.unpack(p.as_py(), SHARED)
+            doc += [np.repeat(np.cumsum(own), count), np.repeat(i, held)]
+            key += [k, hot]
+            ids.append(i), size.append(s)
+        doc, key, ids, size = (np.concatenate(x) for x in (doc, key, ids, size))
+        order = np.lexsort((key, doc))
+        doc, key = doc[order], key[order]
+        new = np.r_[True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])] if len(doc) else np.zeros(0, bool)
+        doc, key = doc[new], key[new]
+        ids, at = np.unique(ids, return_index=True)
+        size = size[at]
+        lo, hi = np.searchsorted(doc, ids, "left"), np.searchsorted(doc, ids, "right")
+        k = prefix_size(size, num, den) - (size - (hi - lo))
+        can = np.flatnonzero(k > 0)
+        packed = [bw.pack(key[a:b].astype("<u8")) for a, b in zip(lo[can].tolist(), hi[can].tolist())]
+        maps = [parity(key[a:b]) for a, b in zip(lo[can].tolist(), hi[can].tolist())]
+        return pa.table({"doc": pa.array(ids[can]), "n": pa.array(size[can]), "k": pa.array(k[can].astype(np.int32)), "keys": pa.array(packed, pa.binary()), "bits": pa.array(maps, pa.binary())})
+
+    return run
 
-def overlap_join(centre: np.ndarray, members: list[np.ndarray], num: int, den: int) -> list[bool]:
-    """Which members link with ``centre``; all are ordered sets.
 
-    The members' sorted order is the depth-first order of their trie: the path that a member shares
-    with the one before keeps its partial overlaps. Whether a member is pruned there follows from its
-    own length: a longer one may still reach what it needs where a shorter one can't.
+def _entries(batches):
+    """mapInArrow: (key, doc, n, at, rest) of the entry nodes; ``at`` shared n-grams come before, ``rest`` after."""
+    for batch in batches:
+        doc, n, k = (batch.column(c).to_numpy() for c in ("doc", "n", "k"))
+        keys, rest = [np.zeros(0, "<u8")], [np.zeros(0, np.int64)]
+        for p, count in zip(batch.column("keys"), k.tolist()):
+            own = bw.unpack(p.as_py(), "<u8")[0]
+            keys.append(own[:count])
+            rest.append(len(own) - 1 - np.arange(count))
+        group, at = bw.ragged(k.astype(np.int64))
+        columns = [np.concatenate(keys).astype(np.int64), doc[group], n[group], at.astype(np.int32), np.concatenate(rest).astype(np.int32)]
+        yield pa.record_batch([pa.array(c) for c in columns], names=["key", "doc", "n", "at", "rest"])
+
+
+class PrefixTree:
+    """Ordered sets in a tree of shared prefixes, probed level by level with partial overlaps.
+
+    A node stands for up to ``EDGE`` consecutive n-grams of the sets below it. A member ends at one
+    node. ``top`` of a node is the largest ``(num + den) * length - num * size`` of the members
+    below, where ``length`` counts a member's listed n-grams and ``size`` all of them: at a depth
+    ``l`` with an overlap ``o``, a member can reach a set of size ``n`` only if
+    ``(num + den) * (o - l) + top >= num * n``.
     """
-    keys = [m.astype(">u8").tobytes() for m in members]
-    out = [False] * len(members)
-    path, partial = np.zeros(0, np.uint64), np.zeros(1, np.int64)  # partial[i]: overlap of the first i
-    for i in sorted(range(len(members)), key=keys.__getitem__):
-        m = members[i]
-        need = int(least_overlap(len(m), len(centre), num, den))
-        if den * min(len(m), len(centre)) < num * max(len(m), len(centre)):
-            continue
-        k = min(len(m), len(path))
-        differ = np.flatnonzero(m[:k] != path[:k])
-        depth = int(differ[0]) if len(differ) else k
-        have, at = int(partial[depth]), depth
-        if have + len(m) - at < need:
-            continue  # pruned by what it shares with the path
-        counts = [partial[: depth + 1]]
-        while at < len(m):
-            if have + len(m) - at < need:
+
+    def __init__(self, sets: list[np.ndarray], sizes: np.ndarray, num: int, den: int):
+        self.num, self.den, self.sizes = num, den, np.asarray(sizes, np.int64)
+        flat = np.concatenate([np.zeros(0, np.uint64), *sets])
+        self.words, ids = np.unique(flat, return_inverse=True)
+        edge = np.r_[0, np.cumsum([len(s) for s in sets])]
+        self.ids = [ids[a:b] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())]
+        order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes())
+        parent, start, stop, end_of, owner = [], [], [], np.zeros(len(sets), np.int64), []
+        stack: list[int] = []
+        before = None
+        for i in order:
+            own = self.ids[i]
+            shared = 0
+            if before is not None:
+                m = min(len(own), len(before))
+                differ = np.flatnonzero(own[:m] != before[:m])
+                shared = int(differ[0]) if len(differ) else m
+            while stack and start[stack[-1]] >= shared and (shared or stack):
+                stack.pop()
+            while True:
+                upto = min(len(own), shared + EDGE)
+                parent.append(stack[-1] if stack else -1), start.append(shared), stop.append(upto), owner.append(i)
+                stack.append(len(parent) - 1)
+                shared = upto
+                if upto == len(own):
+                    break
+            end_of[i] = len(parent) - 1
+            before = own
+        self.parent, self.start, self.stop = (np.array(x, np.int64) for x in (parent, start, stop))
+        self.member_at, self.end_of = np.argsort(end_of, kind="stable"), end_of
+        length = np.array([len(s) for s in sets], np.int64)
+        lowest = -(1 << 60)
+        self.top = np.full(len(parent), lowest)
+        self.small, self.large = np.full(len(parent), 1 << 60), np.zeros(len(parent), np.int64)
+        np.maximum.at(self.top, end_of, (num + den) * length - num * self.sizes)
+        np.minimum.at(self.small, end_of, self.sizes)
+        np.maximum.at(self.large, end_of, self.sizes)
+        for node in range(len(parent) - 1, -1, -1):
+            p = parent[node]
+            if p >= 0:
+                self.top[p] = max(self.top[p], self.top[node])
+                self.small[p], self.large[p] = min(self.small[p], self.small[node]), max(self.large[p], self.large[node])
+        self.flat = np.concatenate([np.zeros(0, np.int64), *[self.ids[i][a:b] for i, a, b in zip(owner, start, stop)]])
+        self.begin = np.r_[0, np.cumsum(self.stop - self.start)]
+        self.child = np.argsort(self.parent, kind="stable")
+        self.first_child = np.searchsorted(self.parent[self.child], np.arange(-1, len(parent) + 1))
+        self.first_member = np.searchsorted(end_of[self.member_at], np.arange(len(parent) + 1))
+
+    def probe(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, member) of all links of some members with all members, themselves left out."""
+        num, den = self.num, self.den
+        marks = np.zeros((len(queries), len(self.words)), bool)
+        for row, q in enumerate(queries.tolist()):
+            marks[row, self.ids[q]] = True
+        size = self.sizes[queries]
+        roots = self.child[self.first_child[0] : self.first_child[1]]
+        q, node = np.repeat(np.arange(len(queries)), len(roots)), np.tile(roots, len(queries))
+        have = np.zeros(len(q), np.int64)
+        found_q, found_m = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        while len(q):
+            alive = (num + den) * (have - self.start[node]) + self.top[node] >= num * size[q]
+            alive &= (den * self.large[node] >= num * size[q]) & (den * size[q] >= num * self.small[node])
+            q, node, have = q[alive], node[alive], have[alive]
+            if not len(q):
                 break
-            part = m[at : at + 128]
-            where = np.minimum(np.searchsorted(centre, part), len(centre) - 1)
-            run = have + np.cumsum(centre[where] == part)
-            counts.append(run)
-            have, at = int(run[-1]), at + len(part)
-        path, partial = m[:at], np.concatenate(counts)
-        out[i] = at == len(m) and have >= need
+            group, inner = bw.ragged(self.stop[node] - self.start[node])
+            hit = marks[q[group], self.flat[self.begin[node][group] + inner]]
+            sums = np.r_[0, np.cumsum(hit)]
+            first = np.r_[0, np.cumsum(self.stop[node] - self.start[node])]
+            overlap = have + sums[first[1:]] - sums[first[:-1]]
+            ends, nth = bw.ragged(self.first_member[node + 1] - self.first_member[node])
+            member = self.member_at[self.first_member[node][ends] + nth]
+            ok = (num + den) * overlap[ends] >= num * (size[q[ends]] + self.sizes[member])
+            ok &= member != queries[q[ends]]
+            found_q.append(queries[q[ends][ok]]), found_m.append(member[ok])
+            above, nth = bw.ragged(self.first_child[node + 2] - self.first_child[node + 1])
+            child = self.child[self.first_child[node + 1][above] + nth]
+            within = self.start[child] - self.start[node][above]
+            have = have[above] + sums[first[:-1][above] + within] - sums[first[:-1][above]]
+            q, node = q[above], child
+        return np.concatenate(found_q), np.concatenate(found_m)
+
+
+def forest(tree: PrefixTree) -> list[tuple[int, int]]:
+    """Links that join the members' components, one for each step; few probes first, then more at a time."""
+    root = list(range(len(tree.sizes)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    out, at, width = [], 0, 1
+    order = np.argsort(-tree.sizes, kind="stable")
+    while at < len(order):
+        names = {}
+        for q in order[at:].tolist():
+            names.setdefault(find(q), []).append(q)
+        if len({find(i) for i in range(len(root))}) == 1:
+            break
+        a, b = tree.probe(order[at : at + width])
+        for x, y in zip(a.tolist(), b.tolist()):
+            rx, ry = find(x), find(y)
+            if rx != ry:
+                root[rx] = ry
+                out.append((x, y))
+        at += width
+        width = min(64, 2 * width)
     return out
 
 
-def _verify(n: int, num: int, den: int):
+def _sets(table: pa.Table) -> list[np.ndarray]:
+    return [bw.unpack(p.as_py(), "<u8")[0] for p in table.column("keys")]
+
+
+def _groups(*columns: np.ndarray):
+    order = np.lexsort(columns[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[order][1:] != c[order][:-1]
+    at = np.r_[np.flatnonzero(new), len(order)].tolist()
+    return [order[a:b] for a, b in zip(at[:-1], at[1:])]
+
+
+def _forests(num: int, den: int):
+    """applyInArrow: links that join what each (key, block) holds."""
+
     def run(table: pa.Table) -> pa.Table:
-        home, salt, doc = (table.column(c).to_numpy() for c in ("home", "salt", "doc"))
-        rows = pa.record_batch([pa.array(np.arange(len(doc))), table.column("text").combine_chunks() if table.column("text").num_chunks != 1 else table.column("text").chunk(0)], names=["i", "t"])
-        sets: list = [None] * len(doc)
-        for at, data, starts in bw.chunks([rows], 1_000_000):
-            _, h, count = sets_of(data, starts, n)
-            for i, s in zip(at.tolist(), np.split(h, np.cumsum(count)[:-1])):
-                sets[i] = s.copy()
-        order = np.lexsort((doc, doc != home, salt, home))  # the centre comes first
-        cuts = np.flatnonzero(np.r_[True, (np.diff(home[order]) != 0) | (np.diff(salt[order]) != 0)])
-        a, b = [], []
-        for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)]):
-            own = order[lo:hi]
-            if doc[own[0]] != home[own[0]]:
-                continue
-            members = [i for i in own[1:].tolist() if doc[i] != home[i]]
-            linked = overlap_join(sets[own[0]], [sets[i] for i in members], num, den)
-            b += [int(doc[i]) for i, x in zip(members, linked) if x]
-            a += [int(home[own[0]])] * sum(linked)
+        key, block, doc, n = (table.column(c).to_numpy() for c in ("key", "block", "doc", "n"))
+        sets, a, b = _sets(table), [], []
+        for own in _groups(key, block):
+            own = own[np.unique(doc[own], return_index=True)[1]]
+            if len(own) > 1:
+                for x, y in forest(PrefixTree([sets[i] for i in own.tolist()], n[own], num, den)):
+                    a.append(int(doc[own[x]])), b.append(int(doc[own[y]]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def _stars(num: int, den: int):
+    """applyInArrow: the partners that link with each centre, ``home``."""
+
+    def run(table: pa.Table) -> pa.Table:
+        home, salt, doc, n = (table.column(c).to_numpy() for c in ("home", "salt", "doc", "n"))
+        sets, a, b = _sets(table), [], []
+        for own in _groups(home, salt):
+            own = own[np.unique(doc[own], return_index=True)[1]]
+            centre = np.flatnonzero(doc[own] == home[own])
+            if len(centre) and len(own) > 1:
+                _, m = PrefixTree([sets[i] for i in own.tolist()], n[own], num, den).probe(centre)
+                a += [int(home[own[0]])] * len(m)
+                b += doc[own[m]].tolist()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
 
-def verified(pairs: DataFrame, texts: DataFrame, mean_bytes: float, n: int, num: int, den: int) -> DataFrame:
-    """The pairs that link. ``pairs(a, b)`` are distinct, with a < b."""
-    slices = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("slices"))
-    slices = cut(slices)
-    members = pairs.join(slices, "a").select(F.col("a").alias("home"), F.pmod(F.xxhash64("b"), F.col("slices")).cast("int").alias("salt"), F.col("b").alias("doc"))
-    centres = slices.select(F.col("a").alias("home"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("salt"), F.col("a").alias("doc"))
-    asked = cut(members.union(centres))
-    n_asked = asked.count()
-    cells = max(shuffle_width(pairs.sparkSession), int(n_asked * mean_bytes / CELL_BYTES) + 1)
-    wanted = F.broadcast(asked) if n_asked <= BROADCAST_IDS else asked
-    sent = texts.select(F.col("doc_id").alias("doc"), "text").join(wanted, "doc")
-    dealt = sent.withColumn("cell", F.pmod(F.xxhash64("home", "salt"), F.lit(cells)))
-    return dealt.groupBy("cell").applyInArrow(_verify(n, num, den), "a long, b long")
+def _allowed(num: int, den: int, most: int | None):
+    """applyInArrow: pairs of a node's cell, minor by any, of different components, that their sizes, the
+    lengths before and after the shared n-gram and their parities allow; with ``most`` only so many
+    of a document with each component, those whose parities are nearest."""
+
+    def run(table: pa.Table) -> pa.Table:
+        key, u, v, side, doc, n, at, rest, root = (table.column(c).to_numpy() for c in ("key", "u", "v", "side", "doc", "n", "at", "rest", "root"))
+        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(doc), PARITY // 64)
+        alone = n - at - rest - 1  # n-grams that no other document has
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for own in _groups(key, u, v):
+            one, all_ = own[side[own] == 0], own[side[own] == 1]
+            for x in one.tolist():
+                y = all_[root[all_] != root[x]]
+                reach = 1 + np.minimum(at[y], at[x]).astype(np.int64) + np.minimum(rest[y], rest[x])
+                y = y[(num + den) * reach >= num * (n[y] + n[x])]
+                both = n[y] + n[x]
+                lack = both - 2 * ((num * both + num + den - 1) // (num + den)) - alone[y] - alone[x]
+                differ = np.bitwise_count(bits[y] ^ bits[x]).sum(axis=1)
+                y, differ = y[differ <= lack], differ[differ <= lack]
+                if most is not None and len(y) > most:
+                    order = np.lexsort((differ, root[y]))
+                    y = y[order]
+                    _, nth = bw.ragged(np.unique(root[y], return_counts=True)[1])
+                    y = y[nth < most]
+                a.append(np.minimum(doc[y], doc[x])), b.append(np.maximum(doc[y], doc[x]))
+        a, b = np.concatenate(a), np.concatenate(b)
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(a) else np.zeros(0, bool)
+        return pa.table({"a": pa.array(a[new]), "b": pa.array(b[new])})
+
+    return run
+
+
+def counted_join(left: DataFrame, right: DataFrame, on: list[str], count: str, rows: int, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, whose keys are unique and say in ``count`` how many rows of
+    ``left`` they meet: large groups by broadcast (at most 100,000 of them), the others by a shuffle."""
+    large = max(1000, rows // 100_000)
+    hot = F.broadcast(right.where(F.col(count) >= large))
+    rest = left.join(hot.select(*on), on, "left_anti")
+    return left.join(hot, on).unionByName(rest.join(right.where(F.col(count) < large), on, how))
+
+
+def _block_count(column: str, size: int):
+    return F.ceil(F.col(column) / F.lit(size)).cast("int")
+
+
+class Join:
+    """One join's tables: ``sets`` (doc, n, k, keys, bits) and the entry nodes that several documents share."""
+
+    def __init__(self, sets: DataFrame, num: int, den: int):
+        self.num, self.den, self.sets = num, den, sets
+        spark = sets.sparkSession
+        self.width = shuffle_width(spark)
+        of_all = sets.agg(F.count("*"), F.sum(F.octet_length("keys"))).first()
+        self.mean = (of_all[1] or 0) / max(1, of_all[0])
+        entries = cut(sets.mapInArrow(_entries, "key long, doc long, n long, at int, rest int"))
+        nodes = entries.groupBy("key").agg(F.count("*").alias("docs")).where("docs > 1")
+        self.entries = cut(counted_join(entries, cut(nodes), ["key"], "docs", entries.count()))
+
+    def cells(self, rows: int) -> int:
+        return max(min(self.width, 64), int(rows * self.mean / CELL_BYTES) + 1)
+
+    def forests(self, dealt: DataFrame) -> DataFrame:
+        """``dealt(key, block, doc)``: links within the blocks."""
+        rows = dealt.count()
+        wanted = F.broadcast(dealt) if rows <= BROADCAST_IDS else dealt
+        placed = self.sets.select("doc", "n", "keys").join(wanted, "doc").withColumn("cell", F.pmod(F.xxhash64("key", "block"), F.lit(self.cells(rows))))
+        return cut(placed.groupBy("cell").applyInArrow(_forests(self.num, self.den), "a long, b long"))
+
+    def rooted(self, roots: DataFrame) -> DataFrame:
+        """The entries with the component of each document."""
+        named = roots.select(F.col("id").alias("doc"), "root")
+        return cut(self.entries.join(named, "doc", "left").withColumn("root", F.coalesce("root", "doc")))
+
+    def first_links(self) -> tuple[DataFrame, DataFrame]:
+        """Links of the forests, and the components that they make."""
+        best = self.entries.groupBy("doc").agg(F.max(F.struct("docs", "key")).alias("x"))
+        dealt = cut(best.select("x.key", "doc", _block_count("x.docs", BLOCK).alias("blocks")).withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")))
+        links = self.forests(dealt.select("key", "block", "doc"))
+        roots = components(links)
+        many = cut(dealt.where("blocks > 1").select("key", "doc"))
+        while not many.isEmpty():
+            named = roots.select(F.col("id").alias("doc"), "root")
+            pivots = many.join(named, "doc", "left").groupBy("key", F.coalesce("root", "doc").alias("root")).agg(F.min("doc").alias("doc"))
+            counts = cut(pivots.groupBy("key").agg(F.count("*").alias("left")).where("left > 1"))
+            next_ = cut(counted_join(cut(pivots), counts, ["key"], "left", many.count()).select("key", "doc", _block_count("left", BLOCK).alias("blocks")))
+            found = self.forests(next_.select("key", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int").alias("block"), "doc"))
+            if found.isEmpty():
+                break
+            links = cut(links.union(found))
+            roots = components(links)
+            many = cut(next_.where("blocks > 1").select("key", "doc"))
+        return links, roots
+
+    def pairs_left(self, roots: DataFrame, most: int | None) -> DataFrame:
+        """Pairs between components that share a node and that lengths and parities allow."""
+        rooted = self.rooted(roots)
+        parts = rooted.groupBy("key", "root").agg(F.count("*").alias("c"))
+        mixed = cut(parts.groupBy("key").agg(F.sum("c").alias("docs"), F.max(F.struct("c", "root")).alias("x"), F.count("*").alias("roots")).where("roots > 1").select("key", F.col("docs").alias("members"), F.col("x.root").alias("major"), (F.col("docs") - F.col("x.c")).alias("minors")))
+        held = cut(counted_join(rooted.drop("docs"), mixed, ["key"], "members", self.entries.count())).join(self.sets.select("doc", "bits"), "doc")
+        blocks = held.withColumn("us", _block_count("minors", PAIR_BLOCK)).withColumn("vs", _block_count("members", PAIR_BLOCK))
+        own = lambda s: F.pmod(F.xxhash64("doc"), F.col(s)).cast("int")
+        every = lambda s: F.explode(F.sequence(F.lit(0), F.col(s) - 1))
+        carried = ["key", "doc", "n", "at", "rest", "root", "bits"]
+        one = blocks.where("root != major").select(*carried, F.lit(0).alias("side"), own("us").alias("u"), every("vs").alias("v"))
+        all_ = blocks.select(*carried, F.lit(1).alias("side"), own("vs").alias("v"), every("us").alias("u"))
+        cells = max(min(self.width, 64), int(self.entries.count() // 200_000) + 1)
+        dealt = one.unionByName(all_).withColumn("cell", F.pmod(F.xxhash64("key", "u", "v"), F.lit(cells)))
+        return cut(dealt.groupBy("cell").applyInArrow(_allowed(self.num, self.den, most), "a long, b long").distinct())
+
+    def linked(self, pairs: DataFrame) -> DataFrame:
+        """Those of the pairs that link: partners meet at the smaller id, in slices of ``MEMBERS``."""
+        slices = cut(pairs.groupBy("a").agg(F.count("*").alias("partners")))
+        sliced = counted_join(pairs, slices, ["a"], "partners", pairs.count()).withColumn("slices", _block_count("partners", MEMBERS))
+        members = sliced.select(F.col("a").alias("home"), F.pmod(F.xxhash64("b"), F.col("slices")).cast("int").alias("salt"), F.col("b").alias("doc"))
+        centres = slices.select(F.col("a").alias("home"), F.explode(F.sequence(F.lit(0), _block_count("partners", MEMBERS) - 1)).alias("salt"), F.col("a").alias("doc"))
+        asked = cut(members.union(centres))
+        rows = asked.count()
+        placed = self.sets.select("doc", "n", "keys").join(F.broadcast(asked) if rows <= BROADCAST_IDS else asked, "doc").withColumn("cell", F.pmod(F.xxhash64("home", "salt"), F.lit(self.cells(rows))))
+        return cut(placed.groupBy("cell").applyInArrow(_stars(self.num, self.den), "a long, b long"))
+
+    def components(self) -> DataFrame:
+        links, roots = self.first_links()
+        for most in (CLOSEST, None):
+            pairs = self.pairs_left(roots, most)
+            if pairs.isEmpty():
+                break
+            found = self.linked(pairs)
+            if not found.isEmpty():
+                links = cut(links.union(found))
+                roots = components(links)
+        return roots
+
+
+def candidate_sets(texts: DataFrame, total: int, grams: int, n: int, num: int, den: int) -> DataFrame:
+    """(doc, n, k, keys, bits) of the documents that can link, from ``texts(doc_id, text)``, one for each class."""
+    spark = texts.sparkSession
+    buckets = max(min(shuffle_width(spark), 64), total // BUCKET_BYTES + 1)
+    least = max(HOT_LEAST, grams // HOT_MAX + 1)
+    hot = texts.mapInArrow(_counts(n, buckets), "bucket int, payload binary").groupBy("bucket").applyInArrow(_hot(least), "token long, df long")
+    found = sorted((r["token"], r["df"]) for r in hot.toLocalIterator())  # at most HOT_MAX
+    shared = spark.sparkContext.broadcast((np.array([t for t, _ in found], np.uint64), np.array([c for _, c in found], np.int64)))
+    homes = max(min(shuffle_width(spark), 16), buckets // 4)
+    posted = texts.mapInArrow(_posts(n, shared, buckets), "bucket int, payload binary")
+    counted = posted.groupBy("bucket").applyInArrow(_shared(homes), "home int, payload binary")
+    return cut(counted.groupBy("home").applyInArrow(_candidates(num, den), "doc long, n long, k int, keys binary, bits binary"))
 
 
 def join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row."""
-    spark = docs.sparkSession
-    sets = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_signatures(n), "doc_id long, n long, s1 long, s2 long, small binary, large binary")
+    sets = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_signatures(n), "doc_id long, n long, s1 long, s2 long")
     rows = cut(sets)
     named = rows.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-    classes = named.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
-    member = cut(named.join(classes, ["n", "s1", "s2"]).select("doc_id", "rep").distinct())
-    copies = member.where(F.col("doc_id") != F.col("rep")).select("doc_id")
-    stats = docs.agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("n")).first()
-    total, mean = stats["b"] or 0, (stats["b"] or 0) / max(1, stats["n"])
+    classes = cut(named.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members")))
+    sums = rows.agg(F.count("*"), F.sum("n")).first()
+    n_rows, grams = sums[0], sums[1] or 0
+    member = counted_join(named, classes.where("members > 1"), ["n", "s1", "s2"], "members", n_rows)
+    copies = cut(member.where(F.col("doc_id") != F.col("rep")).select("doc_id").distinct())
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     texts = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
     texts = texts.join(F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies, "doc_id", "left_anti")
-    buckets = max(shuffle_width(spark), total // BUCKET_BYTES + 1)
-    grams = named.agg(F.sum("n")).first()[0] or 0
-    least = max(FREQUENT_LEAST, grams // (4 * FREQUENT_MAX) + 1)  # a quarter of the postings is counted
-    hot = texts.mapInArrow(_counts(n, buckets), "bucket int, payload binary").groupBy("bucket").applyInArrow(_frequent(least), "token long, df long")
-    frequent = spark.sparkContext.broadcast(np.sort(np.array([r["token"] for r in hot.select("token").toLocalIterator()], np.uint64)))
-    posted = texts.mapInArrow(_postings(n, num, den, frequent, total // NODE_BYTES + 1), "bucket int, payload binary")
-    nodes = cut(posted.groupBy("bucket").applyInArrow(_nodes, "bucket int, payload binary"))
-    facts = named.select(F.col("doc_id").alias("doc"), "n", "small", "large").dropDuplicates(["doc"])
-    members = nodes.mapInArrow(_members, "bucket int, doc long").distinct()
-
-    def candidates(placed: DataFrame, forest: bool) -> DataFrame:
-        known = placed.join(facts.select("doc", "n", F.col("small" if forest else "large").alias("bits")), "doc")
-        return cut(nodes.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(_links(num, den, forest), "a long, b long").distinct())
-
-    links = cut(verified(candidates(members.withColumn("root", F.col("doc")), True), texts, mean, n, num, den))
-    roots = components(links)
-    placed = members.join(roots.select(F.col("id").alias("doc"), "root"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
-    more = candidates(cut(nodes.groupBy("bucket").cogroup(placed.groupBy("bucket")).applyInArrow(_mixed, "bucket int, doc long, root long")), False)
-    if not more.isEmpty():
-        found = cut(verified(more, texts, mean, n, num, den))
-        if not found.isEmpty():
-            roots = components(links.union(found))
-    reach = member.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("component_id"))
-    return rows.select("doc_id", "n").join(reach, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    roots = Join(candidate_sets(texts, total, grams, n, num, den), num, den).components()
+    named_by = classes.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    moved = cut(named_by.where((F.col("members") > 1) | (F.col("root") != F.col("rep"))).select("n", "s1", "s2", "members", "root"))
+    reach = counted_join(rows, moved, ["n", "s1", "s2"], "members", n_rows, "left")
+    return reach.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"))
 
 
 def dedup(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``docs`` with one document, the smallest id, of each component; all columns stay."""
-    kept = join(docs.select("doc_id", "text"), n, num, den).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+    """``docs`` with one document, the smallest id, of each component; all columns stay.
+
+    Of rows that repeat the kept id, each different text stays once. Rows with a null id can't be told
+    apart and all stay.
+    """
+    judged = join(docs.select("doc_id", "text"), n, num, den)
+    kept = cut(judged.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("rows")))
+    once = docs.join(kept.where("rows = 1").select("doc_id"), "doc_id", "left_semi")
+    again = docs.join(kept.where("rows > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return once.unionByName(again).unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
