@@ -11,8 +11,8 @@ entry stands for the consecutive strings that share the anchor.
 2. Each bucket sorts its remaining suffixes (cut after ``LENGTH`` bytes) and front-codes them: each
    sends only what it doesn't share with the one before. Such runs go to the bucket of the anchor.
    Suffixes with equal surroundings are settled within the bucket: only the smallest document's
-   travels, the others are known to repeat it, so a string in a third of all documents is sent once
-   for each bucket of texts.
+   travels, so a string in a third of all documents is sent once for each bucket of texts. The others
+   are known to repeat it; their ranges go back to their own bucket of texts and never meet the rest.
 3. A loser tree merges the runs. It knows each contender's common prefix with the last winner: the
    longer one wins without a look at the bytes, and only equals are compared, beyond what is known.
    The merge yields the common prefix of neighbours, so suffixes that agree on ``x`` bytes are the
@@ -21,9 +21,14 @@ entry stands for the consecutive strings that share the anchor.
    smallest document of each name decides.
 4. Covered ranges return to the buckets of texts, which report what is left.
 
+A bucket of texts sends one packed row to each bucket of hashes or runs that it has something for.
+There are far fewer of those than of texts (``HASH_BYTES``, ``MERGE_BYTES`` against
+``BUCKET_BYTES``), and never more rows than anchors.
+
 Edge cases: null and empty texts have no bytes; a null id is in no match and keeps its text whole;
 strings repeated within one document, or between rows with one id, don't remove anything; rows that
-repeat an id are taken to repeat its text; long texts stay whole; empty tables give an empty
+repeat an id are taken to repeat its text; of documents with one string only the smallest id keeps
+it, so ties don't arise; long texts stay whole; empty tables give an empty
 result; further input columns are ignored.
 """
 
@@ -41,11 +46,16 @@ from loam.session import shuffle_width
 
 LENGTH = 50
 ANCHOR = 24
-BUCKET_BYTES = 4_000_000
+BUCKET_BYTES = 4_000_000  # of texts, sorted by a task at a time
+HASH_BYTES = 64_000_000  # of texts behind a bucket of anchor hashes
+MERGE_BYTES = 16_000_000  # of texts behind a bucket of runs
 PIECE = 500_000
 LOW = np.uint64((1 << 24) - 1)
+SPAN = 1 << 23
 TEXTS = "<i8 <u1 <i8 ."
-RUN = "<u1 . <i4 <i8 <i4 <u1 <u1 . <i8 <i4 <i4"
+RUN = "<u1 . <i4 <i8 <i8 <u1 <u1 . <i8 <i8 <i8"
+_none = lambda *kinds: [b"" if k == "." else np.zeros(0, k) for k in kinds]
+NO_RUN, NO_RANGES = _none(*RUN.split()[:8]), _none(*RUN.split()[8:])
 
 
 def bucket_of(ids: np.ndarray, buckets: int) -> np.ndarray:
@@ -108,24 +118,36 @@ def _joined(ids, texts):
     return np.array(ids, np.int64), np.frombuffer(b" ".join(texts) + b" ", np.uint8), np.r_[0, np.cumsum([len(t) + 1 for t in texts])].astype(np.int64)
 
 
+def leftmost_least(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every ``width`` consecutive hashes, the place of the smallest 40-bit hash (the leftmost of equals), and that hash.
+
+    A hash and its place share a 64-bit key, so places are counted anew in spans of less than ``1 << 24``.
+    """
+    places, hashes = [], []
+    for begin in range(0, max(0, len(h) - width + 1), SPAN):
+        part = h[begin : begin + SPAN + width - 1]
+        step, least = 1, (part & ~LOW) | np.arange(len(part), dtype=np.uint64)
+        while step * 2 <= width:
+            least = np.minimum(least[:-step], least[step:])
+            step *= 2
+        if step < width:
+            least = np.minimum(least[: len(least) - (width - step)], least[width - step :])
+        places.append((least & LOW).astype(np.int64) + begin)
+        hashes.append(least >> np.uint64(24))
+    return np.concatenate([np.zeros(0, np.int64), *places]), np.concatenate([np.zeros(0, np.uint64), *hashes])
+
+
 def anchors(data: np.ndarray, starts: np.ndarray):
     """(place, 40-bit hash, first string, strings, document) of every anchor's run of strings."""
     h = bw.Slices(data)(np.arange(len(data) - ANCHOR + 1), np.arange(ANCHOR, len(data) + 1))
-    key = (h & ~LOW) | np.arange(len(h), dtype=np.uint64) & LOW
-    width, step, least = LENGTH - ANCHOR + 1, 1, key
-    while step * 2 <= width:
-        least = np.minimum(least[:-step], least[step:])
-        step *= 2
-    if step < width:
-        least = np.minimum(least[: len(least) - (width - step)], least[width - step :])
+    least_place, least_hash = leftmost_least(h, LENGTH - ANCHOR + 1)
     count = np.maximum(np.diff(starts) - LENGTH, 0)  # a text of n bytes has n - LENGTH + 1 strings
     doc, nth = bw.ragged(count)
     at = starts[doc] + nth
-    low = (least[at] & LOW).astype(np.int64)
-    place = at + ((low - at) & int(LOW))
+    place = least_place[at]
     new = np.r_[True, (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])] if len(at) else np.zeros(0, bool)
     run = np.diff(np.r_[np.flatnonzero(new), len(at)])
-    return place[new], least[at[new]] >> np.uint64(24), at[new], run, doc[new]
+    return place[new], least_hash[at[new]], at[new], run, doc[new]
 
 
 def _hashes(targets: int):
@@ -287,16 +309,21 @@ def _runs(targets: int):
         gone = doc > least
         target = (bw.mix(h) % np.uint64(targets)).astype(np.int64)
         t_out, p_out = [], []
-        for t in np.unique(target).tolist():
-            mine = target == t
-            m, g = np.flatnonzero(mine & ~gone), np.flatnonzero(mine & gone)
+        for t in np.unique(target[~gone]).tolist():
+            mine = (target == t) & ~gone
+            m = np.flatnonzero(mine)
             ahead = rows[m, :LENGTH]
             fresh = np.r_[True, (ahead[1:] != ahead[:-1]).any(axis=1)] if len(m) else np.zeros(0, bool)
             at = np.flatnonzero(fresh)
             shared, added = front_code(ahead[at])
             t_out.append(t)
-            near, far = rows[:, -2].astype(np.int64), rows[:, -1].astype(np.int64)
-            p_out.append(bw.pack(shared.astype("<u1"), added, np.diff(np.r_[at, len(m)]).astype("<i4"), doc[m].astype("<i8"), place[m].astype("<i4"), near[m].astype("<u1"), far[m].astype("<u1"), rows[m, LENGTH:-2].tobytes(), doc[g].astype("<i8"), (place[g] - far[g]).astype("<i4"), (place[g] - near[g] + LENGTH).astype("<i4")))
+            near, far = rows[m, -2], rows[m, -1]
+            p_out.append(bw.pack(shared.astype("<u1"), added, np.diff(np.r_[at, len(m)]).astype("<i4"), doc[m].astype("<i8"), place[m].astype("<i8"), near.astype("<u1"), far.astype("<u1"), rows[m, LENGTH:-2].tobytes(), *NO_RANGES))
+        g = np.flatnonzero(gone)
+        if len(g):  # decided: they go home, by their own key
+            near, far = rows[g, -2].astype(np.int64), rows[g, -1].astype(np.int64)
+            t_out.append(targets + left.column("bucket")[0].as_py())
+            p_out.append(bw.pack(*NO_RUN, doc[g].astype("<i8"), (place[g] - far).astype("<i8"), (place[g] - near + LENGTH).astype("<i8")))
         return pa.table([pa.array(t_out, pa.int32()), pa.array(p_out, pa.binary())], schema=out_schema)
 
     return run
@@ -405,10 +432,11 @@ def _digest(left: pa.Table, right: pa.Table) -> pa.Table:
 def digest(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` for every row."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(shuffle_width(docs.sparkSession), total // BUCKET_BYTES + 1)
+    width = shuffle_width(docs.sparkSession)
+    buckets, hashed, merged = (max(width, total // size + 1) for size in (BUCKET_BYTES, HASH_BYTES, MERGE_BYTES))
     packed = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_pack(buckets), "bucket int, payload binary")
-    sent = packed.groupBy("bucket").applyInArrow(_hashes(buckets), "target int, source int, payload binary")
+    sent = packed.groupBy("bucket").applyInArrow(_hashes(hashed), "target int, source int, payload binary")
     known = sent.groupBy("target").applyInArrow(_repeated, "bucket int, payload binary")
-    runs = packed.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(_runs(buckets), "target int, payload binary")
+    runs = packed.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(_runs(merged), "target int, payload binary")
     ranges = runs.groupBy("target").applyInArrow(_judge(buckets), "bucket int, payload binary")
     return packed.groupBy("bucket").cogroup(ranges.groupBy("bucket")).applyInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
