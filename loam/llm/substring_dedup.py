@@ -8,14 +8,17 @@ of thirteen. A bucket sorts the windows of its distinct super-k-mers by a 64-bit
 the windows of each group byte by byte, so the grouping is exact; the smallest document of each
 group decides. Spans that must go are sent back to the documents by id.
 
-Hot passages: equal super-k-mers of one chunk (about 2 MB of text) are settled before they are
-sent: only the chunk's smallest document travels, the others are known to repeat it. So a passage in
-a third of all documents reaches its bucket once for each chunk, not once for each document. Buckets
-are sized from the corpus's bytes (``BUCKET_BYTES``).
+Hot passages: equal super-k-mers of one chunk (``CHUNK_BYTES`` of text) are settled before they are
+sent: only the chunk's smallest document travels, so a passage in a third of all documents reaches
+its bucket once for each chunk, not once for each document. The others are known to repeat it; their
+spans go by a key of the chunk's own and never meet the rest. Buckets are sized from the corpus's
+bytes (``BUCKET_BYTES``); a chunk sends one packed row to each bucket that it has something for, and
+never more rows than super-k-mers.
 
 Edge cases: null and empty texts have no words; a null id is in no match and its text is kept whole;
 windows repeated within one document (or between rows with equal ids) don't remove anything; equal
-ids are taken to have equal texts; texts of any length are used whole; empty tables give an empty
+ids are taken to have equal texts; of documents with one window only the smallest id keeps it, so
+ties don't arise; texts of any length are used whole; empty tables give an empty
 result; further input columns are ignored by ``digest``.
 """
 
@@ -36,6 +39,9 @@ GRAM = 3
 BUCKET_BYTES = 16_000_000
 BROADCAST_IDS = 1_000_000
 PACKED = "<i8 <i4 <i4 <i4 . <i8 <i4 <i4"
+CHUNK_BYTES = 4_000_000
+_none = lambda *kinds: [b"" if k == "." else np.zeros(0, k) for k in kinds]
+NO_STRINGS, NO_SPANS = _none(*PACKED.split()[:5]), _none(*PACKED.split()[5:])
 
 
 def super_kmers(ids: np.ndarray, data: np.ndarray, starts: np.ndarray, window: int, gram: int):
@@ -78,22 +84,26 @@ def settle(doc: np.ndarray, strings: list[bytes]) -> np.ndarray:
 
 def map_chunks(buckets: int, window: int, gram: int):
     def run(batches):
-        for ids, data, starts in bw.chunks(batches):
+        for ids, data, starts in bw.chunks(batches, CHUNK_BYTES):
             got = super_kmers(ids, data, starts, window, gram)
             if got is None:
                 continue
             doc, first, count, minimiser, strings = got
             settled = settle(doc, strings)
             bucket = (bw.mix(minimiser + np.uint64(17)) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
+            order = np.flatnonzero(~settled)
+            order = order[np.argsort(bucket[order], kind="stable")]
             cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
             rows_b, rows_p = [], []
             for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)]):
-                mine = order[lo:hi]
-                gone, sent = mine[settled[mine]], mine[~settled[mine]]
+                sent = order[lo:hi]
                 texts = [strings[i] for i in sent.tolist()]
-                rows_b.append(int(bucket[mine[0]]))
-                rows_p.append(bw.pack(np.diff(doc[sent], prepend=0).astype("<i8"), np.diff(first[sent], prepend=0).astype("<i4"), count[sent].astype("<i4"), np.array([len(t) for t in texts], "<i4"), b"".join(texts), np.diff(doc[gone], prepend=0).astype("<i8"), first[gone].astype("<i4"), count[gone].astype("<i4")))
+                rows_b.append(int(bucket[sent[0]]))
+                rows_p.append(bw.pack(np.diff(doc[sent], prepend=0).astype("<i8"), np.diff(first[sent], prepend=0).astype("<i4"), count[sent].astype("<i4"), np.array([len(t) for t in texts], "<i4"), b"".join(texts), *NO_SPANS))
+            gone = np.flatnonzero(settled)
+            if len(gone):  # decided: by a key of the chunk's own, away from the minimisers' buckets
+                rows_b.append(buckets + int(bw.mix(ids[:1].astype(np.int64).view(np.uint64))[0] % np.uint64(buckets)))
+                rows_p.append(bw.pack(*NO_STRINGS, np.diff(doc[gone], prepend=0).astype("<i8"), first[gone].astype("<i4"), count[gone].astype("<i4")))
             yield pa.record_batch([pa.array(rows_b, pa.int32()), pa.array(rows_p, pa.binary())], names=["bucket", "payload"])
 
     return run
