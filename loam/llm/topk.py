@@ -2,18 +2,24 @@
 
 Components become integers, ``floor(256 * x)``. Rows are dealt into blocks by a hash of their id.
 A block's index orders each dimension's postings by value and cuts them into segments of equal
-*quantised* value. For a query, a segment's impact is the query's component times its best value;
-all segments of all dimensions are processed by descending impact (more exactly: by the gain over
-the dimension's worst value), and each adds its quantised impact to its rows' accumulators. After
-each step a row's score is known to lie between its accumulator and the accumulator plus what the
-next unprocessed segment of each dimension and the quantisation could still add. Processing stops
-only on proof: when few rows (``RESCORE``) can still reach the k-th best lower bound, or nothing is
-left. All rows that can are rescored exactly, so the result is exact whatever the stop.
+*quantised* value; the width of a level follows the dimension's range and the block's rows
+(``SEGMENT_ROWS``), and is one where there are enough of them, so that nothing is lost. For a query,
+a segment's impact is the query's component times its best value; all segments of all dimensions are
+processed by descending impact (more exactly: by the gain over the dimension's worst value), and
+each adds its quantised impact to its rows' accumulators.
+
+At ``CHECKS`` points of the way each row's score is known to lie between its accumulator and the
+accumulator plus, for each dimension in which the row hasn't been met, the impact of that
+dimension's next segment, and plus the width of the levels in which it has. The ``TRIED`` most
+promising rows are scored there, and the k-th best of those scores is a bound that the result can't
+stay under. Processing stops only on proof: when few rows (``RESCORE``) can still reach the bound, or
+nothing is left. All rows that can are rescored exactly, so the result is exact whatever the stop.
 
 The k-th best score that a worker has proved for a query in one block is a threshold for its next
 blocks. Queries come in blocks too; a pair of blocks is one group of bounded size, and each gives k
-rows a query at most, which are merged by a ranking. Work grows with queries times rows, as it must
-for an exact answer; data sent grows with blocks.
+rows a query at most, which are merged by a ranking. Pairs are dealt to as many tasks as there are,
+by number and not by bytes. Work grows with queries times rows, as it must for an exact answer: the
+packed queries travel once to each block of rows, ``queries * rows / BLOCK_ROWS`` vectors in all.
 
 Edge cases: vectors that are null or hold null or non-finite components take no part; vectors of
 different lengths are compared on their common components; ties go to the smaller id; a query's own
@@ -37,9 +43,11 @@ from loam.session import cut
 SCALE = 256
 BLOCK_ROWS = 4096
 BLOCK_QUERIES = 512
-LEVEL_BITS = 4
+SEGMENT_ROWS = 2
 RESCORE = 64
-STEP_SEGMENTS = 96
+TRIED = 24
+CHECKS = 9
+MOST_TASKS = 10_000
 _PROVED: dict[str, dict[int, int]] = {}
 
 
@@ -87,60 +95,76 @@ class BlockIndex:
         self.rows = np.zeros((self.n, self.d), np.int64)
         for k in range(self.d):
             self.rows[self.order[k], k] = self.values[k]
-        level = self.values >> LEVEL_BITS
+        spread = self.values[:, :1] - self.values[:, -1:] + 1 if self.n else np.ones((self.d, 1), np.int64)
+        bits = np.maximum(0, np.ceil(np.log2(np.maximum(1, spread * SEGMENT_ROWS / max(1, self.n))))).astype(np.int64)
+        level = self.values >> bits
         new = np.ones((self.d, self.n), bool)
         new[:, 1:] = level[:, 1:] != level[:, :-1]
         dim, _ = np.nonzero(new)
         flat = np.flatnonzero(new)
-        hi = np.r_[flat[1:], self.d * self.n]
-        self.dim, self.lo, self.hi = dim, flat, hi  # of the flattened postings
-        self.top = self.values.ravel()[flat]
-        self.low = self.values.ravel()[hi - 1]
+        self.dim, self.size = dim, np.diff(np.r_[flat, self.d * self.n])  # of the segments of the flattened postings
+        self.segment = np.searchsorted(dim, np.arange(self.d + 1))  # a dimension's first one
+        top, low = self.values.ravel()[flat], self.values.ravel()[flat + self.size - 1]
+        self.most, self.least = (self.values[:, 0], self.values[:, -1]) if self.n else (np.zeros(self.d, np.int64),) * 2
+        self.above, self.below = top - self.least[dim], self.most[dim] - low  # a segment's best, for weights above and below 0
+        self.wide = np.zeros(self.d, np.int64)
+        np.maximum.at(self.wide, dim, top - low)
+        # what each posting is sure to gain for a unit of weight above 0, and below
+        self.posted = np.stack([np.repeat(low - self.least[dim], self.size), np.repeat(self.most[dim] - top, self.size)]).astype(np.float64).reshape(2, self.d, self.n)
         self.flat = self.order.ravel()
+        self.cell = (self.order + np.arange(self.d)[:, None] * self.n).ravel()
+        self.read = self.rescored = 0
 
     def search(self, q: np.ndarray, k: int, theta: int | None, own: int) -> tuple[np.ndarray, np.ndarray]:
         """Rows that may be among the k best for ``q``, with exact scores; all that reach ``theta`` or the k-th best."""
-        d = min(self.d, len(q))
-        mine = np.flatnonzero((self.dim < d) & (q[np.minimum(self.dim, len(q) - 1)] != 0)) if d else np.zeros(0, np.int64)
-        acc = np.zeros(self.n, np.int64)
+        d, n = min(self.d, len(q)), self.n
+        weight = np.zeros(self.d, np.int64)
+        weight[:d] = q[:d]
         hidden = self.ids == own
-        if not len(mine):
-            may = ~hidden if theta is None or theta <= 0 else np.zeros(self.n, bool)
-            return self._exact(may, q, d)
-        dim = self.dim[mine]
-        w = q[dim]
-        best = np.where(w > 0, w * self.top[mine], w * self.low[mine])
-        worst = np.where(w > 0, w * self.low[mine], w * self.top[mine])
-        floor = np.full(self.d, np.iinfo(np.int64).max)
-        np.minimum.at(floor, dim, worst)
-        base = int(floor[np.unique(dim)].sum())
-        gain, sure = best - floor[dim], worst - floor[dim]
-        slack = np.zeros(self.d, np.int64)
-        np.maximum.at(slack, dim, best - worst)
-        order = np.argsort(-gain, kind="stable")
-        done = 0
-        while True:
-            left = np.zeros(self.d, np.int64)
-            rest = order[done:]
-            np.maximum.at(left, dim[rest], gain[rest])
-            open_to = int(np.maximum(left, slack).sum())  # of a dimension a row gains the one or lacks the other
-            lower = acc + base
-            need = theta
-            if self.n - int(hidden.sum()) >= k:
-                kth = int(np.partition(np.where(hidden, np.iinfo(np.int64).min, lower), self.n - k)[self.n - k])
-                need = kth if need is None else max(need, kth)
-            may = ~hidden if need is None else ~hidden & (lower + open_to >= need)
-            if done >= len(order) or int(may.sum()) <= RESCORE:
-                return self._exact(may, q, d)
-            step = order[done : done + STEP_SEGMENTS]
-            done += len(step)
-            size = (self.hi - self.lo)[mine[step]]
-            seg, place = bw.ragged(size)
-            at = self.flat[self.lo[mine[step]][seg] + place]
-            acc += np.bincount(at, sure[step][seg].astype(np.float64), self.n).astype(np.int64)
+        up, force = weight > 0, np.abs(weight)
+        gain = np.where(up[self.dim], self.above, self.below) * force[self.dim]
+        order = np.argsort(-gain)
+        order = order[: int(np.count_nonzero(gain))]  # no gain: worst values, which the base counts
+        base = float((weight * np.where(up, self.least, self.most)).sum())
+        dim, read = self.dim[order], np.cumsum(self.size[order])
+        wanted = np.linspace(0.3, 1, CHECKS) * (read[-1] if len(read) else 0)
+        stops = np.minimum(np.searchsorted(read, wanted) + 1, len(order))
+        impact = (self.posted[(~up).astype(np.int64), np.arange(self.d)] * force[:, None]).ravel()
+        lower, met = np.full(n, base), np.zeros(n * self.d, np.float32)
+        lower[hidden] = -np.inf
+        enough = n - int(hidden.sum()) >= k
+        need = -np.inf if theta is None else float(theta)
+        slack = (force * self.wide).astype(np.float32)  # what a row met in a dimension may have beyond its quantised impact
+        edge, count = np.arange(self.d) * n, np.diff(self.segment)
+        done, taken, passed = 0, np.zeros(self.d, np.int64), np.zeros(self.d, np.int64)
+        for stop in [0, *stops.tolist()]:
+            # the step's segments of a dimension lie side by side, from its upper end or its lower one
+            more = np.bincount(dim[done:stop], self.size[order[done:stop]], self.d).astype(np.int64)
+            begin = np.where(up, edge + taken, edge + n - taken - more)
+            parts = [slice(x, x + m) for x, m in zip(begin.tolist(), more.tolist()) if m]
+            if parts:
+                lower += np.bincount(np.concatenate([self.flat[p] for p in parts]), np.concatenate([impact[p] for p in parts]), n)
+                met[np.concatenate([self.cell[p] for p in parts])] = 1
+            taken += more
+            passed += np.bincount(dim[done:stop], minlength=self.d)
+            done = stop
+            next_ = np.clip(np.where(up, self.segment[:-1] + passed, self.segment[1:] - 1 - passed), 0, max(0, len(gain) - 1))
+            left = np.where(passed < count, gain[next_], 0).astype(np.float32) if len(gain) else np.zeros(self.d, np.float32)
+            upper = lower + float(left.sum()) - (left - slack) @ met.reshape(self.d, n) + 1e-5 * (1 + float(left.sum()))
+            if enough and done:  # the most promising rows are scored: their k-th best is a sure bound
+                near = np.argpartition(lower + upper, -min(n, TRIED))[-TRIED:]
+                near = near[~hidden[near]]
+                if len(near) >= k:
+                    need = max(need, float(np.partition(self.rows[near, :d] @ q[:d], -k)[-k]))
+            may = ~hidden & (upper >= need)
+            if int(may.sum()) <= RESCORE:
+                break
+        self.read += int(read[done - 1]) if done else 0
+        return self._exact(may, q, d)
 
     def _exact(self, may, q, d):
         at = np.flatnonzero(may)
+        self.rescored += len(at)
         return self.ids[at], self.rows[at, :d] @ q[:d]
 
 
@@ -177,6 +201,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     packed = asked.groupBy("block").applyInArrow(pack_queries, "block int, payload binary")
     spread = packed.select(F.col("block").alias("q_block"), F.col("payload").alias("queries"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     pairs = spread.join(index.select("block", F.col("payload").alias("index")), "block")
-    found = pairs.groupBy("block", "q_block").applyInArrow(score_pairs(k, uuid.uuid4().hex), "query_id long, vec_id long, score long")
+    dealt = pairs.repartition(min(MOST_TASKS, blocks * q_blocks), "block", "q_block")
+    found = dealt.groupBy("block", "q_block").applyInArrow(score_pairs(k, uuid.uuid4().hex), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id")))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
