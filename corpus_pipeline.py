@@ -13,7 +13,12 @@ the last return the columns of ``documents``.
 5. ``tokens`` encodes with the public 32k merge-type vocabulary, begin and end ids included.
 
 Rows with null texts or texts without letters are ``und`` and go in stage 1; null ids can't be told
-apart, so stage 2 keeps them all; empty tables pass through every stage.
+apart, so stage 2 keeps them all; of rows that repeat an id, stage 2 keeps each different text once if
+the id stays; ties go to the smallest id; texts of any length are read whole in every stage; empty
+tables pass through every stage; columns other than those of ``documents`` are dropped in stage 1.
+
+``run`` removes a stage's table once the next one is written; the last one's stays, as the result is
+read from it.
 """
 
 from __future__ import annotations
@@ -71,8 +76,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what lies between them goes to the shared folder."""
     at = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
         docs = spark.read.parquet(f"{at}/{name}")
+        if before:
+            path = spark._jvm.org.apache.hadoop.fs.Path(before)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        before = f"{at}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
