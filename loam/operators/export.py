@@ -39,8 +39,13 @@ def dot_lines(paths: DataFrame, relations: DataFrame) -> DataFrame:
     return nodes.union(edges)
 
 
-def mermaid_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``line`` of a bounded view: aliases number the sorted nodes, so it is one ordered list."""
+def mermaid_lines(nodes: DataFrame, edges: DataFrame, most: int = 100_000) -> DataFrame:
+    """``line`` of a bounded view: aliases number the sorted nodes, so it is one ordered list.
+
+    More than ``most`` nodes are an error, as they would be numbered in one task.
+    """
+    if nodes.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} nodes: take a neighbourhood, or dot_lines")
     order = Window.partitionBy(F.lit(0)).orderBy("path")
     alias = nodes.select("path", F.concat(F.lit("n"), (F.row_number().over(order) - 1).cast("string")).alias("alias"))
     boxes = alias.select(F.concat(F.lit("  "), "alias", F.lit('["'), mermaid_escape(F.col("path")), F.lit('"]')).alias("line"))

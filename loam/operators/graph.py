@@ -65,13 +65,17 @@ def _small(paths: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(paths) if rows <= BROADCAST_PATHS else paths
 
 
-def impact_summary(relations: DataFrame, path: str, depth: int = 5, scope: str | None = None) -> DataFrame:
-    """``path, total, direct, risk``; the scope filters what was reached, not the way there."""
-    hit = reverse_deps(relations, path, depth).where(in_scope(F.col("path"), scope))
+def impact_of(hit: DataFrame, path: str) -> DataFrame:
+    """``path, total, direct, risk`` of what a walk back from ``path`` has reached."""
     total = hit.agg(F.count("*").alias("total"), F.count_if(F.col("depth") == 1).alias("direct"))
     return total.select(F.lit(path).alias("path"), "total", "direct", risk_level(F.col("total")).alias("risk"))
 
 
+def impact_summary(relations: DataFrame, path: str, depth: int = 5, scope: str | None = None) -> DataFrame:
+    """``path, total, direct, risk``; the scope filters what was reached, not the way there."""
+    return impact_of(reverse_deps(relations, path, depth).where(in_scope(F.col("path"), scope)), path)
+
+
 def neighbourhood_nodes(relations: DataFrame, path: str, depth: int = 1, max_nodes: int | None = None) -> DataFrame:
     """``path, depth`` of an undirected walk of at most three hops; the start has depth 0."""
     spark = relations.sparkSession

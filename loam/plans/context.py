@@ -14,12 +14,14 @@ LEAST_BUDGET, EXCERPT_CHARS, ITEM_COST, EDGES, EVENTS = 512, 1200, 256, 8, 3
 def budgeted(items: DataFrame, budget: int) -> DataFrame:
     """``items(rank, path, snippet)`` up to and with the one that uses up the budget.
 
-    An item costs its path and snippet in bytes and a fixed share. The ranks of one page are one
-    ordered list, so the running sum has one partition.
+    An item costs its path and snippet in bytes and a fixed share, so only so many of the first ranks
+    can be in; those are one ordered list, and the running sum has one partition.
     """
+    budget = max(budget, LEAST_BUDGET)
+    items = items.orderBy("rank").limit(budget // ITEM_COST + 1)
     cost = F.octet_length("path") + F.coalesce(F.octet_length("snippet"), F.lit(0)) + ITEM_COST
     before = F.sum("cost").over(Window.partitionBy(F.lit(0)).orderBy("rank").rowsBetween(Window.unboundedPreceding, -1))
-    return items.withColumn("cost", cost.cast("long")).withColumn("spent_before", F.coalesce(before, F.lit(0))).where(F.col("spent_before") < max(budget, LEAST_BUDGET))
+    return items.withColumn("cost", cost.cast("long")).withColumn("spent_before", F.coalesce(before, F.lit(0))).where(F.col("spent_before") < budget)
 
 
 def enriched(items: DataFrame, entities: DataFrame, relations: DataFrame, history: DataFrame, scope: str | None = None) -> DataFrame:

@@ -98,7 +98,7 @@ class Session:
     def get_impact(self, path, depth=5) -> tuple[DataFrame, DataFrame]:
         self._allowed(path)
         hit = graph.reverse_deps(self.relations, path, depth).where(find.in_scope(F.col("path"), self.scope))
-        return hit.orderBy("depth", "path"), graph.impact_summary(self.relations, path, depth, self.scope)
+        return hit.orderBy("depth", "path"), graph.impact_of(hit, path)
 
     def find_duplicates(self) -> DataFrame:
         return duplicates.duplicate_groups(self.entities, self.scope)
