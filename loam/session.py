@@ -48,7 +48,7 @@ def cut(df: DataFrame) -> DataFrame:
     plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])  # names that differ by case alone can't be written
     if "void" in plain.schema.simpleString():
         return df.checkpoint(eager=True)
-    plain.write.option("compression", "zstd").parquet(at)
+    plain.write.option("compression", "snappy").parquet(at)
     return spark.read.schema(plain.schema).parquet(at).toDF(*df.columns)
 
 
