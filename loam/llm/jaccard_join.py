@@ -146,7 +146,7 @@ def _hot(least: int):
         keep = total >= least
         return pa.table({"token": pa.array(token[cuts][keep].astype(np.int64)), "df": pa.array(total[keep])})
 
-    return run
+    return bw.trimmed(run)
 
 
 def order_key(token: np.ndarray, df: np.ndarray, hot: bool) -> np.ndarray:
@@ -235,7 +235,7 @@ def _shared(homes: int):
             rows.append((b, bw.pack(np.diff(docs, prepend=0).astype("<i8"), count.astype("<i4"), key[mine].astype("<u8"), ids[own], size[own], held[own], keys[edge[own][group] + inner])))
         return pa.table({"home": pa.array([b for b, _ in rows], pa.int32()), "payload": pa.array([p for _, p in rows], pa.binary())})
 
-    return run
+    return bw.trimmed(run)
 
 
 def parity(keys: np.ndarray) -> bytes:
@@ -268,7 +268,7 @@ def _candidates(num: int, den: int):
         maps = [parity(key[a:b]) for a, b in zip(lo[can].tolist(), hi[can].tolist())]
         return pa.table({"doc": pa.array(ids[can]), "n": pa.array(size[can]), "k": pa.array(k[can].astype(np.int32)), "keys": pa.array(packed, pa.binary()), "bits": pa.array(maps, pa.binary())})
 
-    return run
+    return bw.trimmed(run)
 
 
 def _entries(batches):
@@ -434,7 +434,7 @@ def _forests(num: int, den: int):
                     a.append(int(doc[own[x]])), b.append(int(doc[own[y]]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return run
+    return bw.trimmed(run)
 
 
 def _stars(num: int, den: int):
@@ -452,7 +452,7 @@ def _stars(num: int, den: int):
                 b += doc[own[m]].tolist()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return run
+    return bw.trimmed(run)
 
 
 def _allowed(num: int, den: int, most: int | None):
@@ -487,7 +487,7 @@ def _allowed(num: int, den: int, most: int | None):
         new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(a) else np.zeros(0, bool)
         return pa.table({"a": pa.array(a[new]), "b": pa.array(b[new])})
 
-    return run
+    return bw.trimmed(run)
 
 
 def counted_join(left: DataFrame, right: DataFrame, on: list[str], count: str, rows: int, how: str = "inner") -> DataFrame:
