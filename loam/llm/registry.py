@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loam.llm import decontaminate, jaccard_join, language_id, pieces, secrets, sharding, substring_dedup, suffix_dedup, topk, url_filter
+from loam.llm import ball_kmeans, decontaminate, jaccard_join, language_id, pieces, secrets, sharding, simhash, substring_dedup, suffix_dedup, topk, url_filter
 from pyspark.sql import functions as F
 
 from loam.session import table
@@ -177,3 +177,36 @@ def op7(spark, sf_dir):
 @query("op5_suffix_dedup")
 def op5(spark, sf_dir):
     return suffix_dedup.digest(table(spark, sf_dir, "documents"))
+
+
+_ASSIGN = """
+a{r} AS MATERIALIZED (
+  SELECT vec_id, v, d, c FROM (
+    SELECT v.vec_id, v.v, v.rid, c.c, list_sum(list_transform(list_zip(v.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d
+    FROM v CROSS JOIN c{r} c)
+  QUALIFY row_number() OVER (PARTITION BY rid ORDER BY d, c) = 1)"""
+_MOVE = """
+s{r} AS (SELECT c, k, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT c, unnest(v) AS x, unnest(range(64)) AS k FROM a{r}) GROUP BY c, k),
+m{r} AS (SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY k) AS v FROM s{r} GROUP BY c),
+c{t} AS MATERIALIZED (SELECT c{r}.c, coalesce(m{r}.v, c{r}.v) AS v FROM c{r} LEFT JOIN m{r} USING (c))"""
+OP11_SQL = """
+WITH v AS MATERIALIZED (
+  SELECT vec_id, row_number() OVER () AS rid, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v FROM (SELECT sha256('1:' || vec_id) AS h, v FROM v WHERE vec_id IS NOT NULL ORDER BY h, v LIMIT 16)),
+""" + ",".join((_ASSIGN + "," + _MOVE).format(r=r, t=r + 1) for r in range(3)) + "," + _ASSIGN.format(r=3) + """
+SELECT vec_id, c::INTEGER AS cluster, d::BIGINT AS distance, sum(d) OVER (PARTITION BY c)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia,
+  sha256(array_to_string(c3.v, ',')) AS centroid_sha256
+FROM a3 JOIN c3 USING (c)
+"""
+
+
+@query("op11_ball_kmeans", OP11_SQL)
+def op11(spark, sf_dir):
+    return ball_kmeans.cluster(ball_kmeans.integer_vectors(table(spark, sf_dir, "embeddings")))
+
+
+@query("op13_simhash")
+def op13(spark, sf_dir):
+    return simhash.classes(table(spark, sf_dir, "documents"))
