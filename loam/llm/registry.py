@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loam.llm import ball_kmeans, decontaminate, jaccard_join, language_id, pieces, secrets, sharding, simhash, substring_dedup, suffix_dedup, topk, url_filter
+from loam.llm import ball_kmeans, decontaminate, jaccard_join, language_id, pieces, prefix_trie, secrets, sharding, simhash, substring_dedup, suffix_dedup, topk, url_filter
 from pyspark.sql import functions as F
 
 from loam.session import table
@@ -207,6 +207,36 @@ def op11(spark, sf_dir):
     return ball_kmeans.cluster(ball_kmeans.integer_vectors(table(spark, sf_dir, "embeddings")))
 
 
+OP12_SQL = r"""
+WITH crc_table AS (SELECT list(x ORDER BY i) AS tab FROM (SELECT i, list_reduce([i] || range(8), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS x FROM range(256) r(i))),
+t AS (SELECT conv_id AS c, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || text)) AS i
+      FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+c AS (SELECT c, n, xor(list_reduce([4294967295] || list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT), lambda a, b: xor(tab[(xor(a, b) & 255) + 1], a >> 8)), 4294967295) % 4 AS h
+      FROM (SELECT c, count(*) AS n FROM t GROUP BY c), crc_table),
+r AS (SELECT c.c, t.i AS d, t.role, t.text FROM c JOIN t ON t.c = c.c - c.c % 20 AND t.i <= c.h
+      UNION ALL
+      SELECT c.c, coalesce(least(c.h, b.n), 0) + t.i - c.h, t.role, t.text FROM c JOIN t ON t.c = c.c AND t.i > c.h LEFT JOIN c b ON b.c = c.c - c.c % 20),
+g AS (SELECT c, d, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS w,
+        sha256(string_agg(sha256(length(role) || ':' || role || text), ',') OVER (PARTITION BY c ORDER BY d)) AS key FROM r
+      UNION ALL SELECT c, 0, 0, '' FROM c),
+n AS (SELECT d, key, min(c) AS own, count(*) AS n, min(w) AS w FROM g GROUP BY d, key),
+up AS (SELECT DISTINCT x.d, x.key, y.key AS above FROM g x JOIN g y ON y.c = x.c AND y.d = x.d - 1),
+kids AS (SELECT d - 1 AS d, above AS key, count(*) AS k FROM up GROUP BY ALL),
+under AS (SELECT y.d, y.key, x.key AS low, any_value(x.n) AS n, any_value(x.w) AS w, any_value(kx.k) AS k
+          FROM n x JOIN g y ON y.c = x.own AND y.d <= x.d LEFT JOIN kids kx ON kx.d = x.d AND kx.key = x.key GROUP BY y.d, y.key, x.d, x.key),
+sums AS (SELECT d, key, count(*) FILTER (k IS NULL) AS leaves, sum((n - 1) * w) AS saved FROM under GROUP BY d, key),
+e AS (SELECT g.d, key, string_agg(c::VARCHAR, ',' ORDER BY c) AS ids FROM g JOIN (SELECT c, max(d) AS d FROM g GROUP BY c) l USING (c, d) GROUP BY g.d, key)
+SELECT n.own AS conv_id, n.d::BIGINT AS depth, p.own AS parent_conv_id, n.n AS n_convs, coalesce(kids.k, 0) AS n_children, leaves AS n_leaves, saved::BIGINT AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM n JOIN sums USING (d, key) LEFT JOIN up USING (d, key) LEFT JOIN n p ON p.d = n.d - 1 AND p.key = up.above
+LEFT JOIN kids ON kids.d = n.d AND kids.key = n.key LEFT JOIN e ON e.d = n.d AND e.key = n.key
+"""
+
+
+@query("op12_prefix_trie", OP12_SQL)
+def op12(spark, sf_dir):
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 @query("op13_simhash")
 def op13(spark, sf_dir):
     return simhash.classes(table(spark, sf_dir, "documents"))
