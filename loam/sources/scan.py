@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import io
 import mimetypes
-import os
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,7 +14,8 @@ from pyspark.sql import types as T
 from loam.functions.scalars import basename, extension, parent
 from loam.operators.lifecycle import compute_state
 from loam.schema import ARCHIVE_DAYS, DORMANT_DAYS, FALLBACK_TEXT_BYTES, MAX_FILE_BYTES, MAX_TEXT_CHARS
-from loam.sources.paths import IgnoreSet
+from loam.sources import tree
+from loam.sources.paths import IGNORED_SEGMENTS, IgnoreSet
 
 # Extensions that are read as text.
 CODE_EXTENSIONS = (
@@ -25,43 +25,16 @@ CODE_EXTENSIONS = (
 
 
 def binary_listing(spark: SparkSession, root: str) -> DataFrame:
-    """``path, modified_at, accessed_at, size_bytes, content`` of a tree, by Spark's file reader.
+    """``path, created_at, modified_at, accessed_at, size_bytes, error, content`` of a tree.
 
-    The reader knows no access time, so the modification stands in for it; and it leaves out empty
-    files, so those are added from the file system's own listing.
+    The executors list and read it (``sources.tree``). What needs no contents takes ``stat_listing``.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    files = files.unionByName(spark.createDataFrame(_empty_files(spark, root), files.schema))
-    at = F.unix_timestamp("modificationTime")
-    return files.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), at.alias("created_at"), at.alias("modified_at"), at.alias("accessed_at"), F.col("length").alias("size_bytes"), "content")
-
-
-def _empty_files(spark: SparkSession, root: str) -> list[tuple]:
-    """Rows of the file reader for the files of a tree that have no bytes."""
-    from datetime import datetime
-
-    jvm = spark._jvm
-    top = jvm.org.apache.hadoop.fs.Path(root)
-    found, out = top.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(top, True), []
-    while found.hasNext():
-        f = found.next()
-        if f.getLen() == 0:
-            out.append((f.getPath().toString(), datetime.fromtimestamp(f.getModificationTime() / 1000), 0, bytearray()))
-    return out
-
-
-def stat_listing(spark: SparkSession, root: str) -> DataFrame:
-    """The same with access times, for a tree that this machine has; symbolic links aren't followed."""
-    rows = []
-    for top, _, names in os.walk(root, followlinks=False):
-        for n in names:
-            p = os.path.join(top, n)
-            if os.path.isfile(p) and not os.path.islink(p):
-                s = os.stat(p)
-                rows.append((os.path.realpath(p), int(s.st_ctime), int(s.st_mtime), int(s.st_atime), s.st_size))
-    listed = spark.createDataFrame(rows, "path string, created_at long, modified_at long, accessed_at long, size_bytes long")
-    content = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "content")
-    return listed.join(content, "path", "left").withColumn("content", F.when(F.col("size_bytes") == 0, F.lit(b"")).otherwise(F.col("content")))
+    return tree.with_content(tree.listing(spark, root))
+
+
+def stat_listing(spark: SparkSession, root: str, ignore: IgnoreSet | None = None) -> DataFrame:
+    """The same without contents; folders that ``ignore`` leaves out by their name aren't entered."""
+    return tree.listing(spark, root, (*IGNORED_SEGMENTS, *ignore.extra_segments) if ignore else ())
 
 
 def content_hash(content: Column, size: Column, max_bytes: int = MAX_FILE_BYTES) -> Column:
@@ -69,10 +42,16 @@ def content_hash(content: Column, size: Column, max_bytes: int = MAX_FILE_BYTES)
 
 
 def to_entities(listing: DataFrame, now: int, ignore: IgnoreSet | None = None, git: DataFrame | None = None, dormant: int = DORMANT_DAYS, archive: int = ARCHIVE_DAYS, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
-    """Entity rows of a listing: not ignored, not above the size bound."""
+    """Entity rows of a listing: not ignored, not above the size bound, without an error.
+
+    A listing without contents has its files hashed in blocks, after all filters.
+    """
     rows = listing.where(~ignore.ignored(F.col("path"))) if ignore else listing
     rows = rows.where(F.col("size_bytes") <= max_bytes)
-    rows = rows.select("path", "created_at", "modified_at", "accessed_at", "size_bytes", content_hash(F.col("content"), F.col("size_bytes"), max_bytes).alias("content_hash"))
+    if "error" in rows.columns:
+        rows = rows.where(F.col("error").isNull())
+    digest = content_hash(F.col("content"), F.col("size_bytes"), max_bytes) if "content" in rows.columns else tree.file_hash(F.col("path"), F.col("size_bytes"), max_bytes)
+    rows = rows.select("path", "created_at", "modified_at", "accessed_at", "size_bytes", digest.alias("content_hash"))
     if git is not None:
         g = git.select("path", F.col("created_at").alias("_c"), F.col("modified_at").alias("_m"), F.col("author").alias("git_author"))
         rows = rows.join(g, "path", "left").withColumn("created_at", F.coalesce("_c", "created_at")).withColumn("modified_at", F.coalesce("_m", "modified_at")).drop("_c", "_m")
@@ -86,10 +65,10 @@ def to_entities(listing: DataFrame, now: int, ignore: IgnoreSet | None = None, g
 
 
 def scan_stats(listing: DataFrame, ignore: IgnoreSet | None = None, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
-    """One row: total, indexed, skipped, errors."""
+    """One row: total, indexed, skipped, errors. Contents aren't read."""
     rows = listing.where(~ignore.ignored(F.col("path"))) if ignore else listing
-    large = F.col("size_bytes") > max_bytes
-    error = ~large & F.col("content").isNull() if "content" in listing.columns else F.lit(False)
+    error = F.col("error").isNotNull() if "error" in listing.columns else F.lit(False)
+    large = ~error & (F.col("size_bytes") > max_bytes)
     return rows.agg(F.count("*").alias("total"), F.count_if(~large & ~error).alias("indexed"), F.count_if(large).alias("skipped"), F.count_if(error).alias("errors"))
 
 
