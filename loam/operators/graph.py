@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from itertools import count
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loam.functions.scalars import risk_level
+from loam.operators.cycles import elementary_cycles
 from loam.operators.find import in_scope
 from loam.schema import MAX_GRAPH_DEPTH
 from loam.session import cut
@@ -102,28 +101,10 @@ def neighbourhood_edges(relations: DataFrame, nodes: DataFrame, depth: int, scop
 def cycles(relations: DataFrame, max_length: int | None = None) -> DataFrame:
     """``cycle``: all elementary cycles of two nodes or more, closed, from their smallest node.
 
-    Paths grow from their smallest node through larger ones only, so each cycle is found once; a
-    path that meets itself is dropped. Edges whose ends no cycle can hold are pruned first. The walk
-    ends when no path can grow; ``max_length`` ends it at cycles of so many nodes, on request.
+    They are looked for within strongly connected components only (``operators.cycles``);
+    ``max_length`` leaves out cycles of more nodes, on request.
     """
-    edges = relations.select(F.col("from_path").alias("a"), F.col("to_path").alias("b")).where(F.col("a") != F.col("b")).distinct()
-    while True:  # a node on a cycle has edges in and out
-        n = edges.count()
-        edges = cut(edges.join(edges.select(F.col("a").alias("b")).distinct(), "b", "left_semi").join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_semi").select("a", "b"))
-        if edges.count() == n:
-            break
-    found = None
-    walk = edges.where(F.col("a") < F.col("b")).select(F.array("a", "b").alias("nodes"), F.col("b").alias("a"))
-    for length in count(2):
-        step = walk.join(edges, "a")
-        closed = cut(step.where(F.col("b") == F.col("nodes")[0]).select(F.concat("nodes", F.array("b")).alias("cycle")))
-        found = closed if found is None else found.union(closed)
-        if length == max_length:
-            break
-        walk = cut(step.where((F.col("b") > F.col("nodes")[0]) & ~F.array_contains("nodes", F.col("b"))).select(F.concat("nodes", F.array("b")).alias("nodes"), F.col("b").alias("a")))
-        if walk.isEmpty():
-            break
-    return found
+    return elementary_cycles(relations.select(F.col("from_path").alias("a"), F.col("to_path").alias("b")), max_length)
 
 
 def history_of(history: DataFrame, path: str, limit: int = 0) -> DataFrame:
