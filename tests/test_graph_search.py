@@ -1,11 +1,14 @@
 """Graph walks, search, the query language and context packs."""
 
+import random
 import sqlite3
+from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
 from loam.operators import export, graph, related, search
+from loam.operators.cycles import circuits, elementary_cycles, strong_components
 from loam.plans import context, query_language as ql
 from loam.plans.session_api import TOOLS, Session
 from loam.schema import HISTORY, RELATION
@@ -58,6 +61,50 @@ def test_cycles_of_any_length(spark):
     r = edges(spark, *pairs)
     assert sorted(x["cycle"] for x in graph.cycles(r).collect()) == want
     assert sorted(x["cycle"] for x in graph.cycles(r, 3).collect()) == [c for c in want if len(c) <= 4]
+    grown_rows = elementary_cycles(r.select(F.col("from_path").alias("a"), F.col("to_path").alias("b")), local_edges=5)
+    assert sorted(x["cycle"] for x in grown_rows.collect()) == want
+
+
+def test_cycles_around_a_ladder(spark, monkeypatch):
+    """Two rings with a long acyclic ladder between them: 2 ** 40 ways that lead nowhere back, and few jobs."""
+    pairs = [("ra", "rb"), ("rb", "ra"), ("rb", "l0a"), ("l40a", "sa"), ("sa", "sb"), ("sb", "sa")]
+    for i in range(40):
+        pairs += [(f"l{i}a", f"l{i}b"), (f"l{i}a", f"l{i + 1}a"), (f"l{i}b", f"l{i + 1}a")]
+    cuts = []
+    from loam.operators import cycles as module
+
+    plain = module.cut
+    monkeypatch.setattr(module, "cut", lambda df: cuts.append(1) or plain(df))
+    assert sorted(x["cycle"] for x in graph.cycles(edges(spark, *pairs)).collect()) == [["ra", "rb", "ra"], ["sa", "sb", "sa"]]
+    assert len(cuts) < 60
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_strong_components(spark, seed):
+    """Random graphs against reachability; a dense one has its cycles counted by depth-first search."""
+    r = random.Random(seed)
+    names = ["n%02d" % i for i in range(30)]
+    pairs = {(r.choice(names), r.choice(names)) for _ in range(40)}
+    reach = {n: {b for a, b in pairs if a == n} for n in names}
+    for _ in names:
+        reach = {n: s | {y for x in s for y in reach[x]} for n, s in reach.items()}
+    want = {frozenset(y for y in names if y == x or (y in reach[x] and x in reach[y])) for x in names}
+    want = {c for c in want if len(c) > 1}
+    rows = strong_components(edges(spark, *sorted(pairs)).select(F.col("from_path").alias("a"), F.col("to_path").alias("b"))).collect()
+    got = defaultdict(set)
+    for x in rows:
+        got[x["component"]].add(x["node"])
+    assert {frozenset(v) for v in got.values()} == want and all(k in v for k, v in got.items())
+    dense = {i: [j for j in range(7) if j != i and r.random() < 0.7] for i in range(7)}
+
+    def grown(path):
+        for y in dense[path[-1]]:
+            if y == path[0]:
+                yield tuple(path)
+            elif y > path[0] and y not in path:
+                yield from grown([*path, y])
+
+    assert sorted(tuple(c) for s in range(7) for c in circuits(dense, s)) == sorted(c for s in range(7) for c in grown([s]))
 
 
 def test_stale(spark, entity_rows):

@@ -1,9 +1,14 @@
 """File sources on temporary trees, and the rename feed in batch and streaming form."""
 
+import hashlib
+import os
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
-from loam.sources import paths, scan
+from loam.sources import git, paths, scan, tree
 from loam.streaming import rename
 
 
@@ -46,6 +51,57 @@ def test_scan(spark, tmp_path):
         assert row[0]["content_hash"] == "2d711642b726b04401627ca9fbac32f5c8530fb1903cc4db02258717921a4881"
 
 
+def test_tree_equals_os_walk(spark, tmp_path):
+    """Deep, wide and lopsided folders, links, empty files, a huge sparse file: what ``os.walk`` finds, in several rounds."""
+    deep = tmp_path / "r" / "/".join("d%d" % i for i in range(40))
+    deep.mkdir(parents=True)
+    (deep / "end.txt").write_text("end")
+    for i in range(30):
+        (tmp_path / "r" / "wide" / ("w%d" % i)).mkdir(parents=True)
+        for k in range(i):
+            (tmp_path / "r" / "wide" / ("w%d" % i) / ("f%d.txt" % k)).write_text("x" * k)
+    (tmp_path / "r" / "node_modules" / "x").mkdir(parents=True)
+    (tmp_path / "r" / "node_modules" / "x" / "y.js").write_text("y")
+    (tmp_path / "outside").mkdir()
+    (tmp_path / "outside" / "o.txt").write_text("o")
+    (tmp_path / "r" / "link").symlink_to(tmp_path / "outside")
+    (tmp_path / "r" / "to_file").symlink_to(tmp_path / "outside" / "o.txt")
+    with open(tmp_path / "r" / "huge.bin", "wb") as f:
+        f.truncate(1 << 40)  # sparse: reading it would take for ever
+    want = {}
+    for top, _, names in os.walk(tmp_path / "r"):
+        for n in names:
+            p = os.path.join(top, n)
+            if not os.path.islink(p):
+                want[p] = (os.stat(p).st_size, int(os.stat(p).st_mtime))
+    rows = tree.listing(spark, str(tmp_path / "r"), task_entries=25)
+    assert {r["path"]: (r["size_bytes"], r["modified_at"]) for r in rows.collect()} == want and rows.where("error is not null").isEmpty()
+    assert {r["path"] for r in tree.listing(spark, str(tmp_path / "r"), ("node_modules",)).collect()} == {p for p in want if "node_modules" not in p}
+    assert {r["path"]: r["size_bytes"] for r in tree.listing(spark, f"file://{tmp_path}/r").collect()} == {p: s for p, (s, _) in want.items()}
+    ignore = paths.IgnoreSet()
+    stats = scan.scan_stats(scan.stat_listing(spark, str(tmp_path / "r"), ignore), ignore).first()
+    assert tuple(stats) == (len(want) - 1, len(want) - 2, 1, 0)
+    hashed = {r["path"]: r["content_hash"] for r in tree.with_hash(rows).collect()}
+    assert hashed[str(deep / "end.txt")] == hashlib.sha256(b"end").hexdigest() and hashed[str(tmp_path / "r" / "huge.bin")] == "size:%d" % (1 << 40)
+    counted = tree.with_hash(rows).groupBy().count()._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in counted and "ArrowEvalPython" in tree.with_hash(rows)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tree_errors_and_edges(spark, tmp_path):
+    put(tmp_path, **{"a/one.txt": "1", "a/two.txt": "2" * 100})
+    rows = scan.stat_listing(spark, str(tmp_path))
+    (tmp_path / "a" / "one.txt").unlink()  # gone after it was listed
+    read = {os.path.basename(r["path"]): r for r in tree.with_content(rows).collect()}
+    assert read["one.txt"]["content"] is None and "No such file" in read["one.txt"]["error"] and bytes(read["two.txt"]["content"]) == b"2" * 100
+    assert tree.with_content(rows, 10).where("content is not null").isEmpty()
+    assert [r["name"] for r in scan.to_entities(tree.with_content(rows), 5).collect()] == ["two.txt"]
+    none = tree.listing(spark, str(tmp_path / "absent")).collect()
+    assert len(none) == 1 and none[0]["error"] and scan.scan_stats(tree.listing(spark, str(tmp_path / "absent"))).first()["errors"] == 1
+    assert [r["path"] for r in tree.listing(spark, str(tmp_path / "a" / "two.txt")).collect()] == [str(tmp_path / "a" / "two.txt")]
+    (tmp_path / "empty").mkdir()
+    assert tree.listing(spark, str(tmp_path / "empty")).collect() == []
+
+
 def test_extract_text(spark):
     rows = [("/a.py", b"print(1)"), ("/b.bin", bytes(range(200, 256))), ("/Dockerfile", b"FROM x"), ("/c.txt", b"a\xffb"), ("/d.md", b"x" * 100_000), ("/e.rs", b""), ("/n.rs", None), ("/f.html", b"<p>")]
     df = spark.createDataFrame(rows, "path string, content binary")
@@ -54,6 +110,66 @@ def test_extract_text(spark):
     assert len(got["/d.md"]) == 32_000 and got["/e.rs"] == "" and got["/n.rs"] is None and got["/f.html"] == "<p>"
 
 
+def plain_follow(commits, path):
+    """What following one path from the newest commit to the oldest gives; commits are (ts, author, [(status, old, path)])."""
+    lines = []
+    for ts, author, changes in commits:
+        hit = [c for c in changes if c[2] == path]
+        if hit:
+            lines.append((ts, author))
+            moved = sorted(c[1] for c in hit if c[0] in "RC")
+            path = moved[-1] if moved else path
+    if any(t is None for t, _ in lines):
+        return None, None, None
+    names = Counter(a for _, a in lines)
+    return lines[-1][0], lines[0][0], min(names, key=lambda a: (-names[a], a))
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_git_follow(spark, tmp_path, seed):
+    """Random histories with chains of renames, copies, swaps, paths used again and broken commits, read from a log in pieces."""
+    r = random.Random(seed)
+    names = ["src/f%d.py" % i for i in range(8)] + ["dir with space/ünï.txt"]
+    commits = []
+    for n in range(120):
+        changes, used = [], set()
+        for p in r.sample(names, r.randint(1, 3)):
+            old = r.choice(names)
+            kind = r.choice("AMMMDRRC")
+            if p in used or (kind in "RC" and old == p):
+                continue
+            used.add(p)
+            changes.append((kind, old if kind in "RC" else None, p))
+        broken = n == 7 and seed == 3
+        commits.append((None if broken else 10_000 - n, None if broken else r.choice(["Ann", "Bob", "Cy"]), changes))
+    text = ""
+    for ts, author, changes in commits:
+        text += "\x1e" + (f"{ts}\x1f{author}" if ts else "broken") + "\n\n"
+        text += "".join(f"{k}{'087' if k in 'RC' else ''}\t{o + chr(9) if o else ''}{p}\n" for k, o, p in changes) + "unreadable line\n"
+    (tmp_path / "log.txt").write_text(text)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 900)
+    spark.conf.set("spark.sql.files.openCostInBytes", 10)
+    try:
+        records = git.read_log(spark, str(tmp_path / "log.txt"))
+        assert records.select(F.spark_partition_id()).distinct().count() > 1
+        got = {x["path"]: tuple(x)[1:] for x in git.follow(records).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    met = {p for _, _, changes in commits for _, _, p in changes}
+    assert got == {p: plain_follow(commits, p) for p in met}
+    assert (seed != 3) or any(v == (None, None, None) for v in got.values())
+
+
+def test_git_follow_long_chain(spark):
+    """A file renamed a hundred times was created by its first name's first commit."""
+    rows = [("p100", None, "M", 0, 1000, "Zed")]
+    rows += [(f"p{100 - i}", f"p{99 - i}", "R", 1 + i, 900 - i, "Ann") for i in range(100)]
+    rows += [("p0", None, "A", 101, 5, "Zed"), ("other", None, "A", 102, 4, None)]
+    got = {x["path"]: tuple(x)[1:] for x in git.follow(spark.createDataFrame(rows, "path string, old_path string, status string, nth long, ts long, author string")).collect()}
+    assert got["p100"] == (5, 1000, "Ann") and got["p0"] == (5, 5, "Zed") and got["other"] == (None, None, None) and len(got) == 102
+
+
 def test_git_metadata(spark):
     c = spark.createDataFrame([("/f", 0, 300, "Alice"), ("/f", 1, 200, "Bob"), ("/f", 2, 100, "Alice"), ("/t", 0, 5, "Zed"), ("/t", 1, 4, "Amy"), ("/x", 0, None, "A")], "path string, nth int, ts long, author string")
     got = {r["path"]: (r["created_at"], r["modified_at"], r["author"]) for r in scan.git_metadata(c).collect()}
