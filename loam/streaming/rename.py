@@ -8,6 +8,12 @@ A remove is held by its hash. A create within ``window`` seconds (inclusive) who
 one held remove of another path is a rename; held removes of the same path are cancelled; otherwise
 it is an upsert. What has waited longer is a delete. Removes without a hash, or with one that only
 stands for a size, are deletes at once.
+
+The stream is one query of two stateful operators. The first is keyed by path and keeps its last
+hash, so that a remove, whose file is gone, still has one; it starts with the hashes of the entity
+table. The second is keyed by hash and holds removes. Nothing is read twice. An event that comes later
+than the watermark isn't dropped: it is given out as a ``late`` action as well, and only that if its
+path has seen something newer.
 """
 
 from __future__ import annotations
@@ -48,22 +54,17 @@ class Tracker:
         return self.held.pop()[0] if len(self.held) == 1 else None
 
 
-def with_hash(events: DataFrame, entities: DataFrame, recent: DataFrame | None = None) -> DataFrame:
-    """Removes take the last hash that is known of their path: the file is gone.
+def with_hash(events: DataFrame, entities: DataFrame) -> DataFrame:
+    """Removes without a hash take the last one that is known of their path: the file is gone.
 
-    That is the hash of the path's last earlier event in the batch that has one, else in ``recent``
-    (``path, ts, event_id, content_hash``), else the stored entity's.
+    That is the hash of the path's last earlier event that has one, else the stored entity's. A
+    path's events are sorted once, however many there are.
     """
     gone = F.col("action").isin("remove", "rename_from")
-    own = ["path", "ts", "event_id", "content_hash"]
-    made = events.where(~gone & F.col("content_hash").isNotNull()).select(*own)
-    made = made if recent is None else made.unionByName(recent.where(F.col("content_hash").isNotNull()).select(*own))
-    asked = events.where(gone).select("path", "ts", "event_id")
-    before = F.struct(F.col("m.ts"), F.col("m.event_id")) < F.struct(F.col("a.ts"), F.col("a.event_id"))
-    last = asked.alias("a").join(made.alias("m"), (F.col("a.path") == F.col("m.path")) & before)
-    last = last.groupBy(F.col("a.path").alias("path"), F.col("a.ts").alias("ts"), F.col("a.event_id").alias("event_id")).agg(F.max_by("m.content_hash", F.struct("m.ts", "m.event_id")).alias("_m"))
-    both = events.join(last, ["path", "ts", "event_id"], "left").join(entities.select("path", F.col("content_hash").alias("_h")), "path", "left")
-    return both.withColumn("content_hash", F.when(gone, F.coalesce("_m", "_h")).otherwise(F.col("content_hash"))).select(*events.columns)
+    before = Window.partitionBy("path").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    made = F.last(F.when(~gone, F.col("content_hash")), ignorenulls=True).over(before)
+    both = events.withColumn("_m", made).join(entities.select("path", F.col("content_hash").alias("_h")), "path", "left")
+    return both.withColumn("content_hash", F.when(gone, F.coalesce("content_hash", "_m", "_h")).otherwise(F.col("content_hash"))).select(*events.columns)
 
 
 def plain(h: Column) -> Column:
@@ -136,8 +137,64 @@ def replay(events: DataFrame, until: int | None = None, window: int = RENAME_WIN
     return dealt.groupBy("cell").applyInPandas(run, ACTIONS).unionByName(direct_actions(events))
 
 
+EVENTS = "ts long, event_id long, action string, path string, new_path string, content_hash string"
+HASHED = EVENTS + ", late boolean, stale boolean"
+GONE = ("remove", "rename_from")
+LEARN = "learn"  # tells a path its hash and does nothing else
+
+
+class PathHashes(StatefulProcessor):
+    """Keyed by path: its last hash, for removes. A path that is gone is forgotten after ``memory`` seconds."""
+
+    def __init__(self, memory: int = DAY):
+        self.memory = memory
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "hash string, made long, seen long, gone boolean")
+
+    def _load(self) -> tuple:
+        return tuple(self.last.get()) if self.last.exists() else (None, -1, -1, False)
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self.last.update((initialState["content_hash"].iloc[0], -1, -1, False))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        h, made, seen, gone = self._load()
+        mark = timerValues.getCurrentWatermarkInMs()
+        events = pd.concat(list(rows)).sort_values(["ts", "event_id"])
+        out: list[tuple] = []
+        for ts, event_id, action, path, new_path, own in zip(*(events[c] for c in ("ts", "event_id", "action", "path", "new_path", "content_hash"))):
+            ts, own = int(ts), own if isinstance(own, str) else None
+            late, stale = ts * 1000 < mark, ts * 1000 < mark and ts < seen
+            if action in GONE:
+                own = own or (h if made <= ts else None)
+            elif own is not None and ts >= made:
+                h, made = own, ts
+            if action != LEARN:
+                out.append((ts, int(event_id), action, path, new_path if isinstance(new_path, str) else None, own, late, stale))
+            if ts >= seen and action != "access":
+                seen, gone = ts, action in GONE or action == "rename_both"
+        self.last.update((h, made, seen, gone))
+        if gone:
+            self.handle.registerTimer((seen + self.memory) * 1000)
+        yield pd.DataFrame(out, columns=["ts", "event_id", "action", "path", "new_path", "content_hash", "late", "stale"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        _, _, seen, gone = self._load()
+        if gone and (seen + self.memory) * 1000 <= expiredTimerInfo.getExpiryTimeInMs():
+            self.last.clear()
+        yield pd.DataFrame([], columns=["ts", "event_id", "action", "path", "new_path", "content_hash", "late", "stale"])
+
+    def close(self) -> None:
+        pass
+
+
 class RenameProcessor(StatefulProcessor):
-    """The streaming form, keyed by hash: held removes are list state, expiry is an event-time timer."""
+    """Keyed by hash: held removes are list state, expiry is an event-time timer.
+
+    Events that never wait come under keys of their own and leave as direct actions at once.
+    """
 
     def __init__(self, window: int = RENAME_WINDOW_SECONDS):
         self.window = window
@@ -152,17 +209,25 @@ class RenameProcessor(StatefulProcessor):
     def _store(self, tracker: Tracker) -> None:
         if tracker.held:
             self.held.put(tracker.held)
-        else:
+        elif self.held.exists():
             self.held.clear()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        h, tracker = key[0], self._load()
+        tracker = self._load()
         events = pd.concat(list(rows)).sort_values(["ts", "event_id"])
         out: list[tuple] = []
-        for action, path, ts in zip(events["action"], events["path"], events["ts"]):
-            out += _step(tracker, h, action, path, int(ts))
-            if action in ("remove", "rename_from"):
-                self.handle.registerTimer((int(ts) + self.window) * 1000 + 1)
+        for action, path, new_path, h, ts, late, stale, waits in zip(*(events[c] for c in ("action", "path", "new_path", "content_hash", "ts", "late", "stale", "waits"))):
+            ts, h = int(ts), h if isinstance(h, str) else None
+            if late:
+                out.append(("late", path, None, h, ts))
+            if stale:
+                continue
+            if not waits:
+                out.append(("rename", new_path, path, h, ts) if action == "rename_both" else ("touch" if action == "access" else "delete" if action in GONE else "upsert", path, None, h, ts))
+                continue
+            out += _step(tracker, h, action, path, ts)
+            if action in GONE:
+                self.handle.registerTimer((ts + self.window) * 1000 + 1)
         self._store(tracker)
         yield pd.DataFrame(out, columns=["action", "path", "old_path", "content_hash", "ts"])
 
@@ -181,59 +246,76 @@ def use_state_store(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def stream(events: DataFrame, window: int = RENAME_WINDOW_SECONDS, delay: str = "5 seconds") -> DataFrame:
-    """All actions of a stream of events; ``delay`` bounds how late an event that waits may come.
+KNOWN_ACTIONS = ("create", "modify", "remove", "rename_both", "rename_from", "rename_to", "access")
+
 
-    Events that never wait pass at once, whatever their hash.
+def stream(events: DataFrame, entities: DataFrame | None = None, window: int = RENAME_WINDOW_SECONDS, delay: str = "5 seconds", memory: int = DAY) -> DataFrame:
+    """All actions of a stream of events, in one query.
+
+    The watermark is ``delay`` behind the latest event. It drives the timers only: its column doesn't
+    reach the operators, so they see late events and give them out as ``late``. ``entities`` are
+    the hashes to start with; a ``rename_both`` that has a hash tells it to the new path.
     """
-    timed = waiting(events).withColumn("at", F.timestamp_seconds("ts")).withWatermark("at", delay)
-    tracked = timed.groupBy("content_hash").transformWithStateInPandas(RenameProcessor(window), ACTIONS, "Append", "EventTime")
-    return tracked.unionByName(direct_actions(events))
+    columns = [c.split()[0] for c in EVENTS.split(", ")]
+    timed = events.where(F.col("action").isin(*KNOWN_ACTIONS)).withColumn("at", F.timestamp_seconds("ts")).withWatermark("at", delay)
+    told = (F.col("action") == "rename_both") & F.col("content_hash").isNotNull() & F.col("new_path").isNotNull()
+    row = lambda action, path: F.struct(F.col("ts").cast("long").alias("ts"), F.col("event_id").cast("long").alias("event_id"), action.alias("action"), path.alias("path"), "new_path", "content_hash")
+    both = F.array_compact(F.array(row(F.col("action"), F.col("path")), F.when(told, row(F.lit(LEARN), F.col("new_path")))))
+    rows = timed.select(F.explode(both).alias("e")).select(*[f"e.{c}" for c in columns])
+    first = entities.where("content_hash is not null").select("path", "content_hash").groupBy("path") if entities is not None else None
+    hashed = rows.groupBy("path").transformWithStateInPandas(PathHashes(memory), HASHED, "Append", "EventTime", first)
+    waits = F.col("action").isin(*GONE, "create", "modify", "rename_to") & F.coalesce(plain(F.col("content_hash")), F.lit(False))
+    keyed = hashed.withColumn("waits", waits).withColumn("key", F.when(F.col("waits"), F.col("content_hash")).otherwise(F.concat(F.lit("path:"), "path")))
+    return keyed.groupBy("key").transformWithStateInPandas(RenameProcessor(window), ACTIONS, "Append", "EventTime")
+
+
+def late(actions: DataFrame) -> DataFrame:
+    """The events that came later than the watermark, as ``path, content_hash, ts``."""
+    return actions.where("action = 'late'").select("path", "content_hash", "ts")
 
 
 class Watch:
-    """A running feed: changes get their hashes in ``hashing`` and become actions in ``tracking``."""
+    """A running feed; ``log`` has a line for each batch."""
 
-    def __init__(self, hashing, tracking):
-        self.hashing, self.tracking = hashing, tracking
+    def __init__(self, query, log: list[dict]):
+        self.query, self.log = query, log
 
     def stop(self) -> None:
-        self.hashing.stop(), self.tracking.stop()
+        self.query.stop()
 
     def drain(self, timeout: int | None = None) -> None:
-        """Wait until both have handled what is there (for ``availableNow`` triggers, and tests)."""
-        self.hashing.awaitTermination(timeout)
-        self.tracking.awaitTermination(timeout)
+        """Wait until it has handled what is there (for ``availableNow`` triggers, and tests)."""
+        self.query.awaitTermination(timeout)
+
+
+LOG_LINES = 1000
 
 
-def watch(spark: SparkSession, folder: str, schema: str, entities, sink, checkpoint: str, trigger: dict | None = None, window: int = RENAME_WINDOW_SECONDS, memory: int = DAY) -> Watch:
+def watch(spark: SparkSession, folder: str, schema: str, entities, sink, checkpoint: str, trigger: dict | None = None, window: int = RENAME_WINDOW_SECONDS, memory: int = DAY, log: str | None = None) -> Watch:
     """Start the feed over a folder of change files; ``sink(actions, epoch)`` merges each batch.
 
-    ``entities`` is a function that returns the current table, or a table. Each batch's removes look
-    their hashes up as they are then: among the changes of the last ``memory`` seconds that the feed
-    has seen itself, also those of its own batch, and in the current table. So a file that appears
-    after the start and goes or moves again is followed like any other.
+    ``entities`` is the current table, or a function that returns it: the hashes that removes find
+    until the feed itself has seen newer ones. A restart goes on with what its checkpoint knows. A
+    batch's counts by action go to ``Watch.log`` (its last ``LOG_LINES`` lines), and to the folder
+    ``log`` as JSON if there is one.
     """
     use_state_store(spark)
-    current = entities if callable(entities) else lambda: entities
-    hashed = f"{checkpoint.rstrip('/')}/hashed"
-    trigger = trigger or {"processingTime": "2 seconds"}
-    fields = spark.createDataFrame([], schema).schema
-    spark.createDataFrame([], fields).write.mode("append").parquet(hashed)
-
-    def hash_batch(batch: DataFrame, epoch: int) -> None:
-        first = batch.agg(F.min("ts")).first()[0]
-        if first is not None:
-            recent = spark.read.schema(fields).parquet(f"{hashed}/*").where(F.col("ts") >= first - memory)
-            # a batch that is run again replaces its own files
-            with_hash(batch, current(), recent).write.mode("overwrite").parquet(f"{hashed}/epoch={epoch}")
-
-    hashing = spark.readStream.schema(fields).parquet(folder).writeStream.foreachBatch(hash_batch).option("checkpointLocation", f"{checkpoint}/hashing").trigger(**trigger).start()
-    if "availableNow" in trigger or "once" in trigger:
-        hashing.awaitTermination()
-    events = spark.readStream.schema(fields).parquet(f"{hashed}/*")
-    tracking = stream(events, window).writeStream.foreachBatch(sink).option("checkpointLocation", f"{checkpoint}/tracking").outputMode("append").trigger(**trigger).start()
-    return Watch(hashing, tracking)
+    lines: list[dict] = []
+
+    def merge(actions: DataFrame, epoch: int) -> None:
+        own = cut(actions)  # the sink may read it several times; the operators run once
+        sink(own, epoch)
+        counts = own.groupBy("action").agg(F.count("*").alias("n"), F.max("ts").alias("upto"))
+        known = counts.collect()  # a handful of actions
+        lines.append({"epoch": epoch, "upto": max((r["upto"] for r in known), default=None), **{r["action"]: r["n"] for r in sorted(known, key=lambda r: r["action"])}})
+        del lines[:-LOG_LINES]
+        if log:  # a batch that is run again replaces its own line
+            counts.withColumn("epoch", F.lit(epoch)).coalesce(1).write.mode("overwrite").json(f"{log.rstrip('/')}/epoch={epoch:09d}")
+
+    events = spark.readStream.schema(schema).parquet(folder)
+    actions = stream(events, entities() if callable(entities) else entities, window, memory=memory)
+    query = actions.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).outputMode("append").trigger(**(trigger or {"processingTime": "2 seconds"})).start()
+    return Watch(query, lines)
 
 
 def every(spark: SparkSession, job, interval: str = "6 hours", checkpoint: str | None = None):

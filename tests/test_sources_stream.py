@@ -288,6 +288,48 @@ def test_watch_follows_files_that_came_after_the_start(spark, tmp_path, entity_r
     assert got == {("upsert", "/new", None), ("rename", "/moved", "/new"), ("rename", "/stored2", "/stored"), ("touch", "/x", None), ("rename", "/again", "/moved")}
 
 
+def test_late_events_are_given_out(spark, tmp_path):
+    """An event behind the watermark is counted as late and still acts, unless its path has seen something newer."""
+    src, seen = str(tmp_path / "in"), []
+    write = lambda *rows: spark.createDataFrame(list(rows), SCHEMA).coalesce(1).write.mode("append").parquet(src)
+    write((1, 100, "create", "/a", None, "h1"), (2, 100, "create", "/b", None, "h2"))
+    write((3, 1000, "modify", "/b", None, "h3"))
+    write((4, 1001, "create", "/c", None, "h4"))
+    write((5, 110, "remove", "/a", None, None), (6, 112, "create", "/a2", None, "h1"), (7, 111, "remove", "/b", None, None))
+    write((8, 2000, "create", "/z", None, "zz"))
+    stream = rename.stream(spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(src))
+    w = stream.writeStream.foreachBatch(lambda df, _: seen.extend(df.collect())).option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(availableNow=True).start()
+    w.awaitTermination(120)
+    got = sorted((r["action"], r["path"], r["old_path"] or "", r["ts"]) for r in seen)
+    assert got == sorted(
+        [("upsert", "/a", "", 100), ("upsert", "/b", "", 100), ("upsert", "/b", "", 1000), ("upsert", "/c", "", 1001), ("upsert", "/z", "", 2000)]
+        + [("late", "/a", "", 110), ("late", "/a2", "", 112), ("rename", "/a2", "/a", 112), ("late", "/b", "", 111)]
+    )
+
+
+def test_watch_hot_path_and_log(spark, tmp_path, entity_rows):
+    """Thousands of events on one path: each remove has the hash of the path's last change; batches are logged, nothing is re-read."""
+    src, seen = str(tmp_path / "in"), []
+    r, rows, ts = random.Random(4), [], 0
+    for i in range(3000):
+        ts += r.choice([1, 2, 9])
+        rows.append((i, ts, "create", "/hot", None, f"h{i % 7}") if i % 2 == 0 else (i, ts, "remove", "/hot", None, None))
+    for part in range(3):
+        spark.createDataFrame(rows[part * 1000 : part * 1000 + 1000], SCHEMA).coalesce(1).write.mode("append").parquet(src)
+    spark.createDataFrame([(9999, 10**6, "create", "/end", None, "zz")], SCHEMA).coalesce(1).write.mode("append").parquet(src)
+    feed = rename.watch(spark, src, SCHEMA, entity_rows(("/hot", "stored")), lambda df, _: seen.extend(df.collect()), str(tmp_path / "c"), {"availableNow": True}, log=str(tmp_path / "log"))
+    feed.drain(240)
+    events = spark.createDataFrame(rows, SCHEMA)
+    want = rename.replay(rename.with_hash(events, entity_rows(("/hot", "stored")))).collect()
+    key = lambda x: tuple(y or "" for y in x)
+    assert sorted((tuple(x) for x in seen if x["path"] != "/end"), key=key) == sorted((tuple(x) for x in want), key=key)
+    counts = Counter()
+    for line in feed.log:
+        counts.update({k: v for k, v in line.items() if k not in ("epoch", "upto")})
+    assert counts == Counter(x["action"] for x in seen) and feed.log[-1]["upto"] is not None
+    assert spark.read.json(str(tmp_path / "log")).agg(F.sum("n")).first()[0] == len(seen)
+
+
 def test_replay_equals_a_plain_loop(spark):
     """Random events against a single loop over all of them; sessions don't change a thing."""
     import random
