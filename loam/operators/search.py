@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from loam.functions.scalars import preview
 from loam.operators.find import in_scope
+from loam.operators.text_index import TextIndex
 from loam.schema import FTS_CHARS, FTS_WEIGHT, PREVIEW_CHARS, VECTOR_WEIGHT
 from loam.session import cut
 
@@ -114,99 +115,11 @@ def fts_match(texts: DataFrame, query: str) -> DataFrame:
     return both.select("path", (-reduce(lambda a, b: a + b, parts)).alias("rank"))
 
 
-class TextIndex:
-    """A stored full-text index: postings by token and document lengths, in generations.
-
-    ``add`` writes a generation of new or changed texts and ``remove`` one of paths that are gone; of
-    a path's rows the last generation counts. Postings lie in folders by the token's hash, sorted by
-    token, so a query reads a few row groups of a few folders, whatever the size of the corpus.
-    ``compact`` writes one generation of what counts.
-    """
-
-    BUCKETS = 64
-    BREAK = 1_000_000_000  # between a name's places and its content's, so that no phrase spans both
-
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
-
-    def _generations(self) -> list[int]:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/docs")
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return sorted(int(x.getPath().getName().split("=")[1]) for x in fs.listStatus(path) if "=" in x.getPath().getName()) if fs.exists(path) else []
-
-    def _write(self, postings: DataFrame | None, docs: DataFrame) -> None:
-        """Postings first: a generation counts once its documents are there."""
-        generation = (self._generations() or [0])[-1] + 1
-        if postings is not None:
-            dealt = postings.withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(self.BUCKETS)).cast("int"))
-            dealt.repartition(self.BUCKETS, "bucket").sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(f"{self.folder}/postings/generation={generation}")
-        docs.select("path", "dl", "gone").write.parquet(f"{self.folder}/docs/generation={generation}")
-
-    def add(self, texts: DataFrame) -> None:
-        """Index ``texts(path, name, content)``, in place of what the index has of their paths."""
-        t = cut(texts.select("path", tokens_of(F.coalesce("name", F.lit(""))).alias("n"), tokens_of(F.coalesce("content", F.lit(""))).alias("c")))
-        name = t.select("path", F.posexplode("n").alias("at", "token"))
-        content = t.select("path", F.posexplode("c").alias("at", "token")).withColumn("at", F.col("at") + self.BREAK)
-        postings = name.unionByName(content).groupBy("token", "path").agg(F.sort_array(F.collect_list("at")).alias("places"))
-        self._write(postings, t.select("path", (F.size("n") + F.size("c")).cast("long").alias("dl"), F.lit(False).alias("gone")))
-
-    def remove(self, paths: DataFrame) -> None:
-        self._write(None, paths.select("path", F.lit(0).cast("long").alias("dl"), F.lit(True).alias("gone")).distinct())
-
-    def documents(self) -> DataFrame:
-        """``path, dl, generation`` of what counts."""
-        found = self.spark.read.schema("path string, dl long, gone boolean, generation int").parquet(f"{self.folder}/docs")
-        last = found.groupBy("path").agg(F.max_by(F.struct("dl", "gone", "generation"), "generation").alias("x"))
-        return last.where(~F.col("x.gone")).select("path", "x.dl", "x.generation")
-
-    def postings(self, tokens: list[str] | None = None) -> DataFrame:
-        """``token, path, places, generation``, of given tokens: only their folders are read."""
-        found = self.spark.read.schema("token string, path string, places array<int>, generation int, bucket int").parquet(f"{self.folder}/postings")
-        if tokens is not None:
-            buckets = self.spark.createDataFrame([(t,) for t in tokens], "t string").select(F.pmod(F.xxhash64("t"), F.lit(self.BUCKETS)).cast("int")).distinct().collect()
-            found = found.where(F.col("bucket").isin([b[0] for b in buckets]) & F.col("token").isin(tokens))
-        return found.drop("bucket")
-
-    def compact(self) -> None:
-        docs = cut(self.documents())
-        kept = self.postings().join(docs.select("path", "generation"), ["path", "generation"], "left_semi")
-        old = self._generations()
-        self._write(kept.select("token", "path", "places"), docs.withColumn("gone", F.lit(False)))
-        path = self.spark._jvm.org.apache.hadoop.fs.Path
-        fs = path(self.folder).getFileSystem(self.spark._jsc.hadoopConfiguration())
-        for g in old:
-            for part in ("docs", "postings"):
-                fs.delete(path(f"{self.folder}/{part}/generation={g}"), True)
-
-    def match(self, query: str) -> DataFrame:
-        """What ``fts_match`` gives for the texts that the index holds."""
-        phrases = list({" ".join(p): p for p in query_phrases(query)}.values())
-        docs = self.documents()
-        if not phrases:
-            return docs.select("path", F.lit(0.0).alias("rank")).where(F.lit(False))
-        words = sorted({w for p in phrases for w in p})
-        rows = self.postings(words).join(docs, ["path", "generation"]).groupBy("path", "dl")
-        rows = rows.agg(*[F.flatten(F.collect_list(F.when(F.col("token") == w, F.col("places")))).alias(f"w{i}") for i, w in enumerate(words)])
-
-        def count(phrase: list[str]) -> Column:
-            place = [F.col(f"w{words.index(w)}") for w in phrase]
-            shifted = [_shifted(c, i) for i, c in enumerate(place)]
-            return F.size(reduce(F.array_intersect, shifted) if len(shifted) > 1 else shifted[0])
-
-        counted = cut(rows.select("path", "dl", *[count(p).cast("long").alias(f"tf{i}") for i, p in enumerate(phrases)]))
-        stats = docs.agg(F.count("*").alias("N"), F.avg("dl").alias("avgdl")).crossJoin(counted.agg(*[F.count_if(F.col(f"tf{i}") > 0).alias(f"n{i}") for i in range(len(phrases))]))  # one row each
-        matched = counted.where(reduce(lambda a, b: a & b, [F.col(f"tf{i}") > 0 for i in range(len(phrases))]))
-        both = matched.crossJoin(F.broadcast(stats))
-        parts = [_bm25(F.col(f"tf{i}"), F.col(f"n{i}"), F.col("dl"), F.col("N"), F.col("avgdl")) for i in range(len(phrases))]
-        return both.select("path", (-reduce(lambda a, b: a + b, parts)).alias("rank"))
-
-
-def _shifted(places: Column, by: int) -> Column:
-    return F.transform(places, lambda x: x - F.lit(by))
-
-
-def fts_search(texts: DataFrame, query: str, limit: int = 10) -> DataFrame:
-    return fts_match(texts, query).orderBy("rank", "path").limit(limit)
+def fts_search(texts: DataFrame | TextIndex, query: str, limit: int = 10, scope: str | None = None) -> DataFrame:
+    """``path, rank``: the best matches in a scope, of a table that is scanned or of a stored index."""
+    if isinstance(texts, TextIndex):
+        return texts.top(query, limit, scope)
+    return fts_match(texts, query).where(in_scope(F.col("path"), scope)).orderBy("rank", "path").limit(limit)
 
 
 def fts_score(rank: Column, norm: str = "parity") -> Column:

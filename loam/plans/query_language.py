@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 
 from loam.operators import search as S
 from loam.operators.find import FindFilter, build_filter, find
+from loam.session import cut
 
 
 @dataclass(frozen=True)
@@ -68,9 +69,10 @@ class Page:
         return self.offset + self.limit < self.total
 
 
-def hybrid(entities: DataFrame, vectors: DataFrame | None, texts: DataFrame | None, query: str, limit: int = 10, offset: int = 0, mode: str = "hybrid", scope: str | None = None, metadata: FindFilter | None = None, embed=S.embed_hashed, norm: str = "parity", explain: bool = False, query_vector: list[float] | None = None) -> DataFrame:
+def hybrid(entities: DataFrame, vectors: DataFrame | None, texts: DataFrame | S.TextIndex | None, query: str, limit: int = 10, offset: int = 0, mode: str = "hybrid", scope: str | None = None, metadata: FindFilter | None = None, embed=S.embed_hashed, norm: str = "parity", explain: bool = False, query_vector: list[float] | None = None) -> DataFrame:
     """All merged candidates of a query, filtered but not yet paged; see ``search.fused``.
 
+    ``texts`` is a table, which is scanned, or a stored ``TextIndex``.
     Each channel is cut to its candidate limit before the merge, as the scores depend on it.
     """
     if mode not in ("vector", "fts", "hybrid"):
@@ -80,9 +82,7 @@ def hybrid(entities: DataFrame, vectors: DataFrame | None, texts: DataFrame | No
     v = S.knn(vectors, query_vector or embed(query), most, scope) if mode != "fts" and vectors is not None else None
     f = None
     if mode != "vector" and texts is not None:
-        from pyspark.sql import functions as F
-
-        f = S.fts_match(texts, query).where(S.in_scope(F.col("path"), scope)).orderBy("rank", "path").limit(most)
+        f = S.fts_search(texts, query, most, scope)
     hits = S.fused(v, f, mode, norm)
     if filtered:
         hits = hits.join(entities.where(metadata.condition()).select("path").distinct(), "path", "left_semi")
@@ -90,7 +90,7 @@ def hybrid(entities: DataFrame, vectors: DataFrame | None, texts: DataFrame | No
 
 
 def search_page(entities, vectors, texts, query: str, limit: int = 10, offset: int = 0, **options) -> Page:
-    hits = hybrid(entities, vectors, texts, query, limit, offset, **options).cache()
+    hits = cut(hybrid(entities, vectors, texts, query, limit, offset, **options))  # bounded by the candidate limit
     return Page(S.ranked(hits, limit, offset), hits.count(), limit, offset)
 
 
