@@ -9,7 +9,7 @@ from loam.functions.scalars import risk_level
 from loam.operators.cycles import elementary_cycles
 from loam.operators.find import in_scope
 from loam.schema import MAX_GRAPH_DEPTH
-from loam.session import cut
+from loam.session import cut, stored
 
 BROADCAST_PATHS = 200_000
 
@@ -36,27 +36,51 @@ def relations_of(relations: DataFrame, path: str) -> DataFrame:
 def reverse_deps(relations: DataFrame, path: str, depth: int = 5) -> DataFrame:
     """``path, kind, depth``: everything that reaches ``path`` in at most ``depth`` hops, at its least depth.
 
-    The edges are written once for all hops. A hop joins the frontier with them, without a shuffle
-    while the frontier and what was seen are small (both are counted), and drops what was seen; it
-    ends the walk when it finds nothing new. ``kind`` is the smallest of the edges that reach a node
-    at its depth.
+    ``kind`` is the smallest of the edges that reach a node at its depth.
+    """
+    return reverse_deps_many(relations, [path], depth).drop("start")
+
+
+STARTS_A_WORD = 62
+
+
+def reverse_deps_many(relations: DataFrame, starts: list[str], depth: int = 5) -> DataFrame:
+    """``start, path, kind, depth`` of the walks back from a stated list of starts, in one walk.
+
+    The frontier is keyed by node and has the starts that reach it as bits, ``STARTS_A_WORD`` to a
+    row, so starts that share their way share its rows. A hop joins the frontier with the edges once,
+    without a shuffle while the frontier and what was seen are small (both are counted), and takes
+    away the bits that were seen; the walk ends when none are left. Stored edges are read where they
+    are, others are written once for all hops.
     """
     spark = relations.sparkSession
-    edges = cut(relations.select("from_path", "to_path", "kind"))
-    found = spark.createDataFrame([], "path string, kind string, depth int")
-    seen = frontier = spark.createDataFrame([(path,)], "path string")
-    n_seen = n_new = 1
+    starts = list(dict.fromkeys(starts))
+    edges = stored(relations.select("from_path", "to_path", "kind"))
+    rows = [(s, i // STARTS_A_WORD, 1 << i % STARTS_A_WORD) for i, s in enumerate(starts)]
+    seen = frontier = spark.createDataFrame(rows, "path string, word int, bits long")
+    n_seen = n_new = len(rows)
+    found = []
     for hop in range(1, depth + 1):
-        step = edges.join(_small(frontier.withColumnRenamed("path", "to_path"), n_new), "to_path").join(_small(seen.withColumnRenamed("path", "from_path"), n_seen), "from_path", "left_anti")
-        new = cut(step.groupBy(F.col("from_path").alias("path")).agg(F.min("kind").alias("kind")).withColumn("depth", F.lit(hop)))
-        n_new = new.count()
-        if not n_new:
+        step = edges.join(_small(frontier.withColumnRenamed("path", "to_path"), n_new), "to_path").groupBy(F.col("from_path").alias("path"), "word", "kind").agg(F.bit_or("bits").alias("bits"))
+        met = step.join(_small(seen.withColumnRenamed("bits", "old"), n_seen), ["path", "word"], "left")
+        left = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("old", F.lit(0).cast("long"))))
+        new = cut(met.select("path", "word", "kind", left.alias("bits")).where("bits <> 0"))
+        if new.isEmpty():
             break
-        n_seen += n_new
-        found = found.unionByName(new)
-        seen = seen.unionByName(new.select("path"))
-        frontier = new.select("path")
-    return found
+        found.append(new.withColumn("depth", F.lit(hop)))
+        frontier = cut(new.groupBy("path", "word").agg(F.bit_or("bits").alias("bits")))
+        n_new = frontier.count()
+        seen = cut(seen.unionByName(frontier).groupBy("path", "word").agg(F.bit_or("bits").alias("bits")))
+        n_seen = seen.count()
+    if not found:
+        return spark.createDataFrame([], "start string, path string, kind string, depth int")
+    every = found[0]
+    for f in found[1:]:
+        every = every.unionByName(f)
+    bit = F.explode(F.sequence(F.lit(0), F.lit(STARTS_A_WORD - 1))).alias("bit")
+    single = every.select("*", bit).where(F.expr("shiftright(bits, bit) & 1 = 1")).groupBy("path", "depth", (F.col("word") * STARTS_A_WORD + F.col("bit")).alias("at")).agg(F.min("kind").alias("kind"))
+    names = F.broadcast(spark.createDataFrame(list(enumerate(starts)), "at int, start string"))  # the stated list
+    return single.join(names, "at").select("start", "path", "kind", "depth")
 
 
 def _small(paths: DataFrame, rows: int) -> DataFrame:
@@ -70,6 +94,15 @@ def impact_of(hit: DataFrame, path: str) -> DataFrame:
     return total.select(F.lit(path).alias("path"), "total", "direct", risk_level(F.col("total")).alias("risk"))
 
 
+def impact_of_many(hit: DataFrame, starts: list[str]) -> DataFrame:
+    """The same of a walk from several starts, a row for each, those that nothing reaches as well."""
+    spark = hit.sparkSession
+    counted = hit.groupBy(F.col("start").alias("path")).agg(F.count("*").alias("total"), F.count_if(F.col("depth") == 1).alias("direct"))
+    asked = spark.createDataFrame([(s,) for s in dict.fromkeys(starts)], "path string")
+    total = F.coalesce("total", F.lit(0))
+    return F.broadcast(asked).join(counted, "path", "left").select("path", total.alias("total"), F.coalesce("direct", F.lit(0)).alias("direct"), risk_level(total).alias("risk"))
+
+
 def impact_summary(relations: DataFrame, path: str, depth: int = 5, scope: str | None = None) -> DataFrame:
     """``path, total, direct, risk``; the scope filters what was reached, not the way there."""
     return impact_of(reverse_deps(relations, path, depth).where(in_scope(F.col("path"), scope)), path)
@@ -78,6 +111,7 @@ def impact_summary(relations: DataFrame, path: str, depth: int = 5, scope: str |
 def neighbourhood_nodes(relations: DataFrame, path: str, depth: int = 1, max_nodes: int | None = None) -> DataFrame:
     """``path, depth`` of an undirected walk of at most three hops; the start has depth 0."""
     spark = relations.sparkSession
+    relations = stored(relations.select("from_path", "to_path"))
     ways = relations.select(F.col("from_path").alias("a"), F.col("to_path").alias("b")).union(relations.select(F.col("to_path"), F.col("from_path")))
     seen = frontier = spark.createDataFrame([(path, 0)], "path string, depth int")
     for hop in range(1, min(depth, MAX_GRAPH_DEPTH) + 1):

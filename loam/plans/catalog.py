@@ -1,12 +1,14 @@
 """Named tables as Parquet generations: readers open the last committed one.
 
-A commit writes all tables of a generation and then one empty marker file, through the file system
-that the root names, so a reader sees a whole generation or none of it, and a failed commit leaves
-the old one. Old generations stay until they are pruned.
+A commit writes the tables that it is given and then one marker file, through the file system that the
+root names. The marker says in which generation's folder each table lies, so tables that carry over
+are not copied, a reader sees a whole generation or none of it, and a failed commit leaves the old
+one. Old generations stay until they are pruned; a folder that a kept one names stays as well.
 """
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,31 +38,44 @@ class Catalog:
     def _folder(self, generation: int, name: str) -> str:
         return f"{self.root.rstrip('/')}/generation-{generation:08d}/{name}"
 
-    def read(self, name: str, generation: int | None = None) -> DataFrame:
+    def tables(self, generation: int | None = None) -> dict[str, int]:
+        """The generation whose folder holds each table of a generation, the last one's by default."""
         known = self.generations()
         if not known:
             raise FileNotFoundError(f"no committed generation under {self.root}")
-        return self.spark.read.parquet(self._folder(known[-1] if generation is None else generation, name))
+        fs, _ = self._fs()
+        stream = fs.open(self._path(f"{MARK}{known[-1] if generation is None else generation}"))
+        text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        stream.close()
+        return json.loads(text)
+
+    def read(self, name: str, generation: int | None = None) -> DataFrame:
+        return self.spark.read.parquet(self._folder(self.tables(generation)[name], name))
 
     def commit(self, **tables: DataFrame) -> int:
-        """Write a new generation; tables that aren't given carry over from the last one."""
+        """Write a new generation; tables that aren't given carry over from the last one where they are."""
         known = self.generations()
         new = (known[-1] if known else 0) + 1
-        fs, _ = self._fs()
-        carried = []
-        if known:
-            old = self._path(f"generation-{known[-1]:08d}")
-            carried = [s.getPath().getName() for s in fs.listStatus(old) if s.getPath().getName() not in tables]
-        for name, df in {**{n: self.read(n) for n in carried}, **tables}.items():
+        for name, df in tables.items():
             df.write.mode("overwrite").parquet(self._folder(new, name))
-        fs.create(self._path(f"{MARK}{new}"), False).close()
+        held = {**(self.tables() if known else {}), **{name: new for name in tables}}
+        out = self._fs()[0].create(self._path(f"{MARK}{new}"), False)
+        out.write(json.dumps(held).encode())
+        out.close()
         return new
 
     def prune(self, keep: int = 2) -> list[int]:
-        """Delete all but the last ``keep`` generations, markers first."""
+        """Delete all but the last ``keep`` generations, markers first, and the folders that no other one names."""
         fs, _ = self._fs()
-        gone = self.generations()[: -max(1, keep)]
+        known = self.generations()
+        gone, kept = known[: -max(1, keep)], known[-max(1, keep) :]
+        named = {(g, name) for k in kept for name, g in self.tables(k).items()}
         for g in gone:
             fs.delete(self._path(f"{MARK}{g}"), False)
-            fs.delete(self._path(f"generation-{g:08d}"), True)
+            top = self._path(f"generation-{g:08d}")
+            for s in fs.listStatus(top) if fs.exists(top) else []:
+                if (g, s.getPath().getName()) not in named:
+                    fs.delete(s.getPath(), True)
+            if fs.exists(top) and not fs.listStatus(top):
+                fs.delete(top, True)
         return gone

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loam.operators import diff, lifecycle, maintain, search
-from loam.schema import ENTITY_COLUMNS, HISTORY
+from loam.plans.catalog import Catalog
+from loam.schema import ENTITY_COLUMNS, HISTORY, MAX_TEXT_CHARS
 from loam.session import cut
 from loam.sources import scan
 from loam.sources.paths import IgnoreSet, sensitive_reason
@@ -28,29 +30,60 @@ def rescan(entities: DataFrame, relations: DataFrame, history: DataFrame, listin
     return cut(maintain.upsert(entities, changed)), relations, cut(history)
 
 
-def index_once(entities: DataFrame, relations: DataFrame, texts: DataFrame, vectors: DataFrame, files: DataFrame, now: int, ignore: IgnoreSet = IgnoreSet(), scopes: list[str] | None = None, extra_sensitive: tuple[str, ...] = (), embed=search.embed_hashed) -> dict[str, DataFrame]:
+def extracted_files(files: DataFrame) -> DataFrame:
+    """``path, content, error`` of files with their bytes: the text of each, or why it can't be read."""
+    got = scan.extracted(F.col("path"), F.col("content"))
+    known = F.col("error") if "error" in files.columns else F.lit(None).cast("string")
+    rows = files.select("path", known.alias("known"), got.alias("got"))
+    return rows.select("path", F.substring("got.text", 1, MAX_TEXT_CHARS).alias("content"), F.coalesce("known", "got.error").alias("error"))
+
+
+def index_once(entities: DataFrame, relations: DataFrame, texts: DataFrame | search.TextIndex, vectors: DataFrame, files: DataFrame, now: int, ignore: IgnoreSet = IgnoreSet(), scopes: list[str] | None = None, extra_sensitive: tuple[str, ...] = (), embed=search.embed_hashed) -> dict[str, DataFrame]:
     """An incremental run over ``files(path, content)``: vectors follow moved files, and only files
     whose text or vector is missing are read, indexed and searched for imports.
 
-    ``outcomes`` has a row for each source entity; the other tables are the new states.
+    ``content`` is text, or bytes that the text is extracted from (with the listing's ``error``, if
+    there is one), file by file: a file that can't be read has the outcome ``error`` and the rest go
+    on. ``texts`` is a table, whose new state is returned, or a ``TextIndex``, which takes the new texts
+    in. ``outcomes`` has a row for each source entity; the other tables are the new states.
     """
     moved = diff.reconcile_by_hash(vectors.select("path", "content_hash"), entities)
     vectors = maintain.move_paths(vectors, moved)
     source = search_source(entities, scopes)
     reason = sensitive_reason(F.col("path"), extra_sensitive)
-    outcomes = cut(scan.index_run(source, vectors, texts, files, ignore, reason))
+    held = texts.documents() if isinstance(texts, search.TextIndex) else texts
+    if isinstance(files.schema["content"].dataType, T.BinaryType):
+        # only files that the run is about are decoded: in scope, neither ignored nor sensitive nor up to date
+        known = source.join(vectors.select("path", "content_hash"), ["path", "content_hash"], "left_semi").join(held.select("path"), "path", "left_semi").select("path")
+        asked = source.where(~ignore.ignored(F.col("path")) & reason.isNull()).select("path").join(known, "path", "left_anti")
+        files = cut(extracted_files(files.join(asked, "path", "left_semi")))
+    outcomes = cut(scan.index_run(source, vectors, held, files, ignore, reason))
     work = outcomes.where("outcome = 'indexed'").select("path")
-    read = files.join(work, "path", "left_semi").join(entities.select("path", "name", "content_hash"), "path")
+    read = files.select("path", "content").join(work, "path", "left_semi").join(entities.select("path", "name", "content_hash"), "path")
     new_texts = search.fts_rows(read)
     new_vectors = search.vector_rows(read.select("path", "content_hash", F.col("content").alias("text")), embed, now)
     edges = scan.import_edges(read.select("path", "content"), entities.select("path")).withColumn("created_at", F.lit(now).cast("long"))
-    return {
+    out = {
         "outcomes": outcomes,
         "stats": scan.run_stats(outcomes),
-        "texts": maintain.upsert_by_path(texts, new_texts),
         "vectors": maintain.upsert_by_path(vectors, new_vectors),
         "relations": maintain.replace_outgoing(relations, edges, work),
     }
+    if isinstance(texts, search.TextIndex):
+        texts.add(new_texts)
+        return out
+    return {**out, "texts": maintain.upsert_by_path(texts, new_texts)}
+
+
+def index_into(catalog: Catalog, files: DataFrame, now: int, **options) -> int:
+    """An index run over the catalog's tables; all that it changes is committed at once.
+
+    The catalog has ``entities, relations, texts`` and ``vectors``; the run's ``outcomes`` are kept as a
+    table of its generation.
+    """
+    tables = {name: catalog.read(name) for name in ("entities", "relations", "texts", "vectors")}
+    got = index_once(**tables, files=files, now=now, **options)
+    return catalog.commit(**{name: got[name] for name in ("relations", "texts", "vectors", "outcomes")})
 
 
 def search_source(entities: DataFrame, scopes: list[str] | None) -> DataFrame:

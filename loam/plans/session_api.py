@@ -23,7 +23,7 @@ class Session:
     entities: DataFrame
     relations: DataFrame
     history: DataFrame
-    texts: DataFrame | None = None
+    texts: DataFrame | search.TextIndex | None = None
     vectors: DataFrame | None = None
     content: DataFrame | None = None
     saved: query_language.SavedQueries | None = None
@@ -100,8 +100,9 @@ class Session:
         hit = graph.reverse_deps(self.relations, path, depth).where(find.in_scope(F.col("path"), self.scope))
         return hit.orderBy("depth", "path"), graph.impact_of(hit, path)
 
-    def find_duplicates(self) -> DataFrame:
-        return duplicates.duplicate_groups(self.entities, self.scope)
+    def find_duplicates(self, limit: int = 50, offset: int = 0, members: int = 100) -> DataFrame:
+        """A page of groups, the largest first, each with its first ``members`` paths; ``n`` counts all."""
+        return duplicates.duplicate_page(self.entities, self.scope, limit, offset, members)
 
     def search_similar(self, path, limit=10, path_prefix=None) -> DataFrame:
         return search.knn_like(self.vectors, self._allowed(path), limit, find.narrowed_scope(self.scope, path_prefix))
@@ -112,23 +113,32 @@ class Session:
     def run_saved_query(self, name) -> DataFrame:
         return self.saved.get(name).run(self._entities, self.vectors, self.texts, scope=self.scope)
 
-    def entities_resource(self) -> list[str]:
-        return [r["line"] for r in export.entity_lines(self._entities).orderBy("line").toLocalIterator()]
+    def entities_resource(self) -> DataFrame:
+        """``line`` of every entity, in order; ``export.write_lines`` makes one file of it."""
+        return export.entity_lines(self._entities).orderBy("line")
 
     def entity_resource(self, path) -> str:
         row = export.entity_text(find.by_path(self._entities, self._allowed(path))).head(1)
         return row[0]["text"] if row else f"not found: {path}"
 
     def change_plan(self, task: str, files: list[str], limit: int = 10, manifests: tuple[str, ...] = ()) -> dict:
-        """Candidate files by full text, impact of the planned files, related tests and commands."""
-        candidates = [r.asDict() for r in search.fts_search(self.texts, task, limit).collect()] if self.texts is not None else []
-        impact = [graph.impact_summary(self.relations, self._allowed(f), 3, self.scope).first().asDict() for f in files]
+        """Candidate files by full text within the scope, impact of the planned files, related tests and commands.
+
+        ``files`` is a stated list; one walk finds the impact of all of them.
+        """
+        for f in files:
+            self._allowed(f)
+        candidates = [r.asDict() for r in search.fts_search(self.texts, task, limit, self.scope).collect()] if self.texts is not None else []
+        impact: dict[str, dict] = {}
+        if files:
+            hit = graph.reverse_deps_many(self.relations, files, 3).where(find.in_scope(F.col("path"), self.scope))
+            impact = {r["path"]: r.asDict() for r in graph.impact_of_many(hit, files).collect()}
         tests = [r.asDict() for r in related.related_tests(self._entities, self._relations, files, limit).collect()]
         return {
             "task": task,
             "candidate_files": candidates,
             "planned_files": files,
-            "impact": impact,
+            "impact": [impact[f] for f in files],
             "related_tests": tests,
             "commands": related.test_commands(files, manifests),
             "order": ["candidate_files", "impact", "planned_files", "related_tests", "commands"],  # how the parts are meant to be used

@@ -79,44 +79,50 @@ def text_extension(path: Column) -> Column:
     return ext.isin(*sorted({*CODE_EXTENSIONS, *text}))
 
 
-def _pdf_text(data: bytes) -> str | None:
-    try:
-        import pypdf
-    except ImportError:
-        return None
-    try:
-        return "\n".join(page.extract_text() or "" for page in pypdf.PdfReader(io.BytesIO(data)).pages)
-    except Exception:
-        return None
-
-
-@F.pandas_udf(T.StringType())
-def _decoded(rows: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Text of (content, reads as text, is PDF), as the file kinds ask for."""
-
-    def one(data, text, pdf):
-        if data is None:
-            return None
-        data = bytes(data)
-        if text:
-            return data.decode("utf-8", "ignore")
-        if pdf:
-            return _pdf_text(data)
-        if len(data) < FALLBACK_TEXT_BYTES:
-            try:
-                return data.decode("utf-8")
-            except UnicodeDecodeError:
-                return None
-        return None
-
+def _pdf_text(data: bytes) -> str:
+    import pypdf
+
+    return "\n".join(page.extract_text() or "" for page in pypdf.PdfReader(io.BytesIO(data)).pages)
+
+
+def _text(data: bytes | None, text: bool, pdf: bool) -> tuple[str | None, str | None]:
+    """(text, error) of one file: both null if it has no text, an error if it can't be read as what it says it is."""
+    if data is None:
+        return None, None
+    data = bytes(data)
+    if text:
+        return data.decode("utf-8", "ignore"), None
+    if pdf:
+        try:
+            return _pdf_text(data), None
+        except ImportError:
+            return None, "pypdf is not installed"
+        except Exception as e:  # whatever a broken file makes the reader raise
+            return None, f"{type(e).__name__}: {e}"
+    if len(data) < FALLBACK_TEXT_BYTES:
+        try:
+            return data.decode("utf-8"), None
+        except UnicodeDecodeError:
+            return None, None
+    return None, None
+
+
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("error", T.StringType())]))
+def _decoded(rows: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    """Text and error of (content, reads as text, is PDF)."""
     for content, text, pdf in rows:
-        yield pd.Series([one(*x) for x in zip(content, text, pdf)], dtype=object)
+        got = [_text(*x) for x in zip(content, text, pdf)]
+        yield pd.DataFrame({"text": pd.Series([t for t, _ in got], dtype=object), "error": pd.Series([e for _, e in got], dtype=object)})
+
+
+def extracted(path: Column, content: Column) -> Column:
+    """``text, error`` of a file: a file that can't be read is a row with an error and not a failed run."""
+    return _decoded(content, text_extension(path), F.lower(path).endswith(".pdf"))
 
 
 def extract_text(path: Column, content: Column) -> Column:
-    """Up to 32,000 characters of a file's text, null if it has none."""
-    pdf = F.lower(path).endswith(".pdf")
-    return F.substring(_decoded(content, text_extension(path), pdf), 1, MAX_TEXT_CHARS)
+    """Up to 32,000 characters of a file's text, null if it has none or can't be read."""
+    return F.substring(extracted(path, content)["text"], 1, MAX_TEXT_CHARS)
 
 
 def text_of(content: Column) -> Column:
@@ -198,18 +204,23 @@ def git_metadata(commits: DataFrame) -> DataFrame:
 
 
 def index_run(entities: DataFrame, vectors: DataFrame, texts: DataFrame, content: DataFrame, ignore: IgnoreSet, sensitive: Column) -> DataFrame:
-    """``path, outcome`` of an incremental run: ignored, sensitive, up_to_date, no_text or indexed."""
+    """``path, outcome`` of an incremental run: ignored, sensitive, up_to_date, error, no_text or indexed.
+
+    ``content`` has ``path, content`` and, if files were read for it, the ``error`` of each.
+    """
     v = vectors.select("path", "content_hash", F.lit(True).alias("_v")).distinct()
     t = texts.select("path", F.lit(True).alias("_t")).distinct()
-    rows = entities.join(v, ["path", "content_hash"], "left").join(t, "path", "left").join(content.select("path", "content"), "path", "left")
+    read = content.select("path", "content", (F.col("error") if "error" in content.columns else F.lit(None).cast("string")).alias("_e"))
+    rows = entities.join(v, ["path", "content_hash"], "left").join(t, "path", "left").join(read, "path", "left")
     outcome = (
         F.when(ignore.ignored(F.col("path")), "ignored")
         .when(sensitive.isNotNull(), "sensitive")
         .when(F.col("_v").isNotNull() & F.col("_t").isNotNull(), "up_to_date")
+        .when(F.col("_e").isNotNull(), "error")
         .when(F.col("content").isNull() | (F.trim("content") == ""), "no_text")
         .otherwise("indexed")
     )
-    return rows.select("path", outcome.alias("outcome"))
+    return rows.select("path", outcome.alias("outcome"), F.when(outcome == "error", F.col("_e")).alias("error"))
 
 
 def run_stats(outcomes: DataFrame) -> DataFrame:

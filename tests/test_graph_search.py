@@ -115,12 +115,46 @@ def test_stale(spark, entity_rows):
 
 
 def test_related_tests(spark, entity_rows):
-    e = entity_rows(("/repo/src/auth.rs", "src"), ("/repo/tests/auth_test.rs", "test"))
-    r = edges(spark, ("/repo/tests/auth_test.rs", "/repo/src/auth.rs"))
-    row = related.related_tests(e, r, ["/repo/src/auth.rs"]).first()
-    assert row["path"] == "/repo/tests/auth_test.rs" and row["score"] == 30
-    assert row["reasons"] == ["imports planned file", "name match", "same area", "test file"]
-    assert related.test_commands(["a.py"]) == ["uv run --group dev pytest"]
+    """Every kind of link counts once, with its reason; ties go by path, and the number of hits is bounded."""
+    e = entity_rows(*[(p, "h") for p in ("/ship/hull/keel.ts", "/ship/hull/keel.spec.ts", "/ship/sail/mast.test.ts", "/dock/test/crane.ts", "/dock/yard.ts")])
+    r = edges(spark, ("/dock/test/crane.ts", "/ship/hull/keel.ts"), ("/ship/hull/keel.ts", "/ship/tests/deck.ts"), ("/ship/hull/keel.ts", "/dock/yard.ts"))
+    got = [(x["path"], x["score"], x["reasons"]) for x in related.related_tests(e, r, ["/ship/hull/keel.ts"]).collect()]
+    assert got == [
+        ("/dock/test/crane.ts", 16, ["imports planned file", "test file"]),
+        ("/ship/hull/keel.spec.ts", 15, ["name match", "same area", "test file"]),
+        ("/ship/tests/deck.ts", 8, ["linked by imports"]),
+        ("/ship/sail/mast.test.ts", 5, ["same area", "test file"]),
+    ]
+    assert [x["path"] for x in related.related_tests(e, r, ["/ship/hull/keel.ts", "/dock/yard.ts"], 1).collect()] == ["/dock/test/crane.ts"]
+    assert related.test_commands(["hold.rs"], ("pyproject.toml",)) == ["cargo test --workspace --all-targets", "uv run --group dev pytest"] and related.test_commands(["log.txt"]) == []
+
+
+def test_many_starts_in_one_walk(spark, monkeypatch):
+    """Walks from a hundred starts are what single walks give, at the cost of one; scopes filter what was reached."""
+    r = random.Random(9)
+    names = ["/s/n%02d" % i if i % 3 else "/t/n%02d" % i for i in range(60)]
+    pairs = sorted({(r.choice(names), r.choice(names), r.choice(["imports", "mod"])) for _ in range(90)})
+    rows = spark.createDataFrame([(*p, 1) for p in pairs], RELATION)
+
+    def plain(start, depth):
+        seen, frontier, out = {start}, {start}, set()
+        for hop in range(1, depth + 1):
+            new = {}
+            for a, b, k in pairs:
+                if b in frontier and a not in seen:
+                    new[a] = min(k, new.get(a, k))
+            out |= {(start, a, k, hop) for a, k in new.items()}
+            seen, frontier = seen | set(new), set(new)
+        return out
+
+    starts = names + ["/none"] + names[:3] + ["/x%d" % i for i in range(70)]
+    got = {tuple(x) for x in graph.reverse_deps_many(rows, starts, 3).collect()}
+    assert got == set().union(*(plain(s, 3) for s in set(starts)))
+    monkeypatch.setattr(graph, "BROADCAST_PATHS", 0)
+    assert {tuple(x)[1:] for x in graph.reverse_deps_many(rows, names[:1], 4).select("start", "path", "kind", "depth").collect()} == {x[1:] for x in plain(names[0], 4)}
+    hit = graph.reverse_deps_many(rows, names[:4], 2)
+    summary = {x["path"]: (x["total"], x["direct"]) for x in graph.impact_of_many(hit, [*names[:4], "/none"]).collect()}
+    assert summary == {s: (len(plain(s, 2)), len(plain(s, 1))) for s in [*names[:4], "/none"]}
 
 
 TEXTS = [("/lab/kiln.txt", "kiln.txt", "clay kiln glaze recipe"), ("/lab/boat.txt", "boat.txt", "oars and a list of knots"), ("/lab/na.md", "na.md", "Naïve kiln walk"), ("/lab/tok.md", "tok.md", "the auth token auth"), ("/lab/odd.md", "odd.md", "token then auth")]
@@ -309,9 +343,13 @@ def test_session_scope(spark, entity_rows):
     pack = s.build_context(path="/s/b.rs", query="graph")
     assert [i["source"] for i in pack["items"]] == ["seed", "hybrid"]
     assert s.entity_resource("/s/none") == "not found: /s/none"
-    assert len(s.entities_resource()) == 3
-    plan = s.change_plan("graph", ["/s/graph.rs"])
-    assert plan["impact"][0]["total"] == 1 and plan["candidate_files"]
+    assert [r["line"] for r in s.entities_resource().collect()] == sorted(r["line"] for r in s.entities_resource().collect()) and s.entities_resource().count() == 3
+    plan = s.change_plan("graph", ["/s/graph.rs", "/s/b.rs"])
+    assert [(x["path"], x["total"]) for x in plan["impact"]] == [("/s/graph.rs", 1), ("/s/b.rs", 0)] and plan["candidate_files"]
+    every = make_session(spark, entity_rows, global_scope=True).change_plan("graph", [])
+    assert {x["path"] for x in plan["candidate_files"]} == {x["path"] for x in every["candidate_files"] if x["path"].startswith("/s/")} and every["impact"] == []
+    with pytest.raises(PermissionError):
+        s.change_plan("graph", ["/t/z.rs"])
     with pytest.raises(ValueError):
         make_session(spark, entity_rows, scope="/s", global_scope=True)
 
