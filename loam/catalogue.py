@@ -11,7 +11,7 @@ from loam.functions import scalars as Z
 from loam.operators import diff, duplicates, export, find, graph, lifecycle, maintain, related, search
 from loam.plans import context, ingest, query_language
 from loam.schema import DAY, ENTITY_COLUMNS, HISTORY, NOW
-from loam.session import table
+from loam.session import ensure_checkpoint_dir, table
 from loam.sources import adapters as A
 from loam.sources import paths, scan
 from loam.streaming import rename as rename_feed
@@ -312,6 +312,15 @@ def m9(spark, d):
     return A.listing(spark, d).join(A.entities(spark, d), ["path", "content_hash"], "left_anti").select("path")
 
 
+@query("m9_vector_upsert", f"""WITH {E}, {L} SELECT coalesce(l.path, e.path) AS path, coalesce(l.content_hash, e.content_hash) AS content_hash, CASE WHEN l.path IS NULL THEN 'old' ELSE l.path || ' ' || l.name END AS text_preview, CAST(CASE WHEN l.path IS NULL THEN 1 ELSE {NOW} END AS BIGINT) AS indexed_at
+FROM entities e FULL JOIN (SELECT l.path, l.name, l.content_hash FROM listing l ANTI JOIN entities USING (path, content_hash)) l ON l.path = e.path""")
+def m9_upsert(spark, d):
+    one = F.array(F.lit(1.0).cast("float"))
+    held = A.entities(spark, d).select("path", "content_hash", F.lit("old").alias("text_preview"), one.alias("vector"), F.lit(1).cast("long").alias("indexed_at"))
+    texts = A.listing(spark, d).select("path", "content_hash", F.concat("path", F.lit("\n"), "name").alias("text"))
+    return maintain.vector_upsert(held, texts, NOW).select("path", "content_hash", "text_preview", "indexed_at")
+
+
 @query("m10_vector_move", f"WITH {E}, {N} SELECT coalesce(new, path) AS path, content_hash FROM entities LEFT JOIN renames ON old = path")
 def m10(spark, d):
     return maintain.move_paths(A.entities(spark, d).select("path", "content_hash"), A.renames(spark, d))
@@ -360,9 +369,9 @@ def f5(spark, d):
     return A.entities(spark, d).where(find.FindFilter(state="archived", larger_than=5000).condition()).select("path")
 
 
-@query("f6_within_days", f"WITH {E} SELECT path FROM entities WHERE modified_at > {NOW} - 60 * {DAY}")
+@query("f6_within_days", f"WITH {E} SELECT path FROM entities WHERE modified_at > {NOW} - 100 * {DAY}")
 def f6(spark, d):
-    return A.entities(spark, d).where(find.build_filter(modified_within_days=60, now=NOW).condition()).select("path")
+    return A.entities(spark, d).where(find.build_filter(modified_within_days=100, now=NOW).condition()).select("path")
 
 
 @query("f7_ls", f"WITH {E} SELECT path, lifecycle FROM entities WHERE lifecycle = 'active' ORDER BY path LIMIT 20")
@@ -408,6 +417,14 @@ def l2(spark, d):
     return lifecycle.refreshed(A.entities(spark, d), A.listing(spark, d), NOW, 10, 90).select("path", "lifecycle", "new_lifecycle")
 
 
+@query("l3_due_refresh", f"""WITH {E}, n AS (SELECT path, lifecycle, ({NOW} + 45 * {DAY} - accessed_at) // {DAY} AS days FROM entities WHERE lifecycle <> 'dead'),
+s AS (SELECT path, lifecycle AS old_lifecycle, CASE WHEN days <= 30 THEN 'active' WHEN days <= 90 THEN 'dormant' ELSE 'archived' END AS new_lifecycle FROM n) SELECT * FROM s WHERE old_lifecycle <> new_lifecycle""")
+def l3(spark, d):
+    t = lifecycle.DueTable(spark, _own_folder(spark, "due"))
+    t.write(A.entities(spark, d), NOW)
+    return t.refresh(NOW + 45 * DAY)
+
+
 @query("l4_lifecycle_histogram", f"WITH {E} SELECT lifecycle, count(*) AS n, CAST(sum(size_bytes) AS BIGINT) AS bytes FROM entities GROUP BY lifecycle")
 def l4(spark, d):
     return lifecycle.histogram(A.entities(spark, d))
@@ -472,9 +489,9 @@ def a1_members(spark, d):
     return duplicates.duplicate_members(A.entities(spark, d))
 
 
-@query("a2_scoped_duplicates", f"WITH {E} SELECT content_hash, count(*) AS n, array_to_string(list_sort(list(path)), ',') AS paths FROM entities WHERE path LIKE '/corpus/src0/%' GROUP BY content_hash HAVING count(*) > 1")
+@query("a2_scoped_duplicates", f"WITH {E} SELECT content_hash, count(*) AS n, array_to_string(list_sort(list(path)), ',') AS paths FROM entities WHERE path LIKE '/corpus/src8/%' GROUP BY content_hash HAVING count(*) > 1")
 def a2(spark, d):
-    return duplicates.duplicate_groups(A.entities(spark, d), "/corpus/src0").withColumn("paths", F.array_join("paths", ","))
+    return duplicates.duplicate_groups(A.entities(spark, d), "/corpus/src8").withColumn("paths", F.array_join("paths", ","))
 
 
 @query("a3_graph_stats", f"WITH {E}, {D}, h AS (SELECT lifecycle, count(*) AS n FROM entities GROUP BY lifecycle) SELECT (SELECT count(*) FROM entities) AS total_entities, (SELECT CAST(sum(size_bytes) AS BIGINT) FROM entities) AS total_bytes, (SELECT count(*) FROM doc_relations) AS total_relations, (SELECT string_agg(lifecycle || '=' || n, ',' ORDER BY lifecycle) FROM h) AS by_lifecycle")
@@ -614,10 +631,52 @@ def r10(spark, d):
     return _projects(spark, d)[0].where(related.is_test_path(F.col("path")))
 
 
-@query("r11_test_commands", "SELECT 'cargo test --workspace --all-targets' AS command UNION ALL SELECT 'uv run --group dev pytest'")
+@query("r11_test_commands", "SELECT '/repo/' || p_brand || '/' || p_partkey || CASE p_partkey % 3 WHEN 0 THEN '.rs' WHEN 1 THEN '.py' ELSE '.md' END AS path, CASE p_partkey % 3 WHEN 0 THEN 'cargo test --workspace --all-targets' WHEN 1 THEN 'uv run --group dev pytest' END AS command FROM part")
 def r11(spark, d):
-    some = [r["path"] for r in _projects(spark, d)[0].orderBy("path").limit(5).collect()]  # a stated, short list
-    return spark.createDataFrame([(c,) for c in related.test_commands(some, ("pyproject.toml",))], "command string")
+    key, kind = F.col("p_partkey").cast("string"), F.col("p_partkey") % 3
+    p = table(spark, d, "part").select(F.concat(F.lit("/repo/"), "p_brand", F.lit("/"), key, F.when(kind == 0, ".rs").when(kind == 1, ".py").otherwise(".md")).alias("path"))
+    return p.select("path", related.test_command(F.col("path")).alias("command"))
+
+
+@query("r12_change_plan_impact", f"""WITH RECURSIVE {R}, asked AS (SELECT '/nation/' || n_nationkey AS start FROM nation UNION ALL SELECT '/region/' || r_regionkey FROM region),
+walk(start, path, depth) AS (SELECT start, start, 0 FROM asked UNION SELECT start, r.from_path, w.depth + 1 FROM relations r JOIN walk w ON r.to_path = w.path WHERE w.depth < 2),
+reach AS (SELECT start, path, min(depth) AS depth FROM walk WHERE path <> start GROUP BY start, path)
+SELECT start AS path, count(path) AS total, count(*) FILTER (depth = 1) AS direct, CASE WHEN count(path) = 0 THEN 'none' WHEN count(path) <= 3 THEN 'low' WHEN count(path) <= 10 THEN 'medium' ELSE 'high' END AS risk FROM asked LEFT JOIN reach USING (start) GROUP BY start""")
+def r12(spark, d):
+    starts = [f"/nation/{i}" for i in range(25)] + [f"/region/{i}" for i in range(5)]  # the stated files of a plan
+    return graph.impact_of_many(graph.reverse_deps_many(A.relations(spark, d), starts, 2), starts)
+
+
+_HISTORY_SQL = """o AS (SELECT o_custkey AS c, CAST(epoch(o_orderdate) AS BIGINT) AS ts, o_orderpriority AS author, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS j FROM orders)"""
+
+
+@query("s12_followed_history", f"""WITH {_HISTORY_SQL}, f AS (SELECT c, j // 3 AS v, max(j) AS upto FROM o GROUP BY ALL),
+a AS (SELECT f.c, v, author, count(*) AS n, arg_min(ts, j) AS first, arg_max(ts, j) AS last, min(j) AS j0, max(j) AS j1 FROM f JOIN o ON o.c = f.c AND o.j <= f.upto GROUP BY ALL)
+SELECT '/customer/' || c || '/v' || v AS path, arg_min(first, j0) AS created_at, arg_max(last, j1) AS modified_at, arg_min(author, struct_pack(n := -n, author := author)) AS author FROM a GROUP BY c, v""")
+def s12_follow(spark, d):
+    from pyspark.sql import Window
+
+    from loam.sources import git
+
+    o = table(spark, d, "orders")
+    j = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")) - 1
+    ts = F.unix_timestamp(F.col("o_orderdate").cast("timestamp"))
+    o = o.select("o_custkey", ts.alias("ts"), F.col("o_orderpriority").alias("author"), j.alias("j"), ((F.lit(1 << 33) - ts) * 100_000_000 - F.col("o_orderkey")).alias("nth"))
+    name = lambda v: F.concat(F.lit("/customer/"), F.col("o_custkey").cast("string"), F.lit("/v"), v.cast("long").cast("string"))
+    v = F.floor(F.col("j") / 3)
+    moved = (F.col("j") % 3 == 0) & (F.col("j") > 0)  # every third change gives the file another name
+    return git.follow(o.select(name(v).alias("path"), F.when(moved, name(v - 1)).alias("old_path"), F.when(moved, "R").otherwise("M").alias("status"), "nth", "ts", "author"))
+
+
+@query("s1_tree_files", "SELECT source, CAST(sum(strlen(coalesce(text, '')) + 1) AS BIGINT) AS bytes, CAST(0 AS BIGINT) AS errors, true AS hashed FROM documents GROUP BY source")
+def s1_tree(spark, d):
+    from loam.sources import tree
+
+    at = _own_folder(spark, "tree")
+    table(spark, d, "documents").select("source", F.coalesce("text", F.lit("")).alias("text")).write.partitionBy("source").text(at)
+    files = tree.with_hash(tree.listing(spark, at).where(~F.col("path").endswith(".crc") & ~F.col("path").endswith("_SUCCESS")))
+    by = files.groupBy(F.regexp_extract("path", "/source=([^/]*)/", 1).alias("source"))
+    return by.agg(F.sum("size_bytes").alias("bytes"), F.count_if(F.col("error").isNotNull()).alias("errors"), F.every(F.length("content_hash") == 64).alias("hashed"))
 
 
 # --- search
@@ -721,9 +780,10 @@ def q10(spark, d):
     return _hybrid(spark, d, explain=True).select("path", "source", "path_match", F.array_join("reasons", "; ").alias("reasons"))
 
 
-@query("q11_page_total", f"WITH {_HYBRID} SELECT count(*) AS total, count(*) > 10 AS has_more FROM h")
+@query("q11_page_total", f"WITH {_HYBRID} SELECT path, round(score, 6) AS score, (SELECT count(*) FROM h) AS total, (SELECT count(*) FROM h) > 12 AS has_more FROM h ORDER BY h.score DESC, path LIMIT 7 OFFSET 5".replace("LIMIT 40", "LIMIT 48"))
 def q11(spark, d):
-    return _hybrid(spark, d).agg(F.count("*").alias("total")).withColumn("has_more", F.col("total") > 10)
+    page = query_language.search_page(A.entities(spark, d), _document_vectors(spark, d), search.fts_rows(A.content(spark, d)), "that with", 7, 5, query_vector=_query_vector(spark, d))
+    return page.items.select("path", F.round("score", 6).alias("score"), F.lit(page.total).cast("long").alias("total"), F.lit(page.has_more).alias("has_more"))
 
 
 @query("q13_dispatch_filters", f"WITH {E} SELECT path, modified_at FROM entities WHERE lifecycle = 'dormant' AND extension = 'fr' ORDER BY modified_at DESC, path LIMIT 10")
@@ -731,6 +791,45 @@ def q13(spark, d):
     return query_language.dispatch(A.entities(spark, d), None, None, "state:dormant ext:.fr").select("path", "modified_at")
 
 
+@query("q15_saved_in_scope", f"WITH {E} SELECT path, modified_at FROM entities WHERE path LIKE '/corpus/src1/%' AND lifecycle <> 'dead' AND lifecycle = 'dormant' AND size_bytes > 0 ORDER BY modified_at DESC, path LIMIT 15")
+def q15(spark, d):
+    from pathlib import Path
+
+    from loam.plans.session_api import Session
+
+    saved = query_language.SavedQueries(Path("unwritten"), {"old": query_language.SavedQuery("find", state="dormant", larger_than_mb=0, limit=15)})
+    s = Session(A.entities(spark, d), A.relations(spark, d), spark.createDataFrame([], HISTORY), saved=saved, scope="/corpus/src1")
+    return s.run_saved_query("old").select("path", "modified_at")
+
+
+def _own_folder(spark, name: str) -> str:
+    """A new folder in the shared one, for what a query stores on its way."""
+    import uuid
+
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _index(spark, d) -> search.TextIndex:
+    """The documents' texts in a stored index, of which a part came in later."""
+    index = search.TextIndex(spark, _own_folder(spark, "index"))
+    t = A.content(spark, d)
+    late = F.pmod(F.crc32(F.col("path").cast("binary")), F.lit(5)) == 0
+    index.add(t.select("path", "name", F.when(late, "that with").otherwise(F.substring("content", 1, 4000)).alias("content")))
+    index.add(search.fts_rows(t.where(late)))
+    return index
+
+
+@query("q2_index_topk", ORACLES["q2_bm25_topk"])
+def q2_index(spark, d):
+    return _index(spark, d).top("Erha thre", 10).select("path", F.round("rank", 6).alias("rank"))
+
+
+@query("q8_index_topk", ORACLES["q8_hybrid_topk"])
+def q8_index(spark, d):
+    hits = query_language.hybrid(A.entities(spark, d), _document_vectors(spark, d), _index(spark, d), "that with", query_vector=_query_vector(spark, d))
+    return search.ranked(hits).select("path", F.round("score", 6).alias("score"), "source")
+
+
 @query("q14_saved_find", f"WITH {E} SELECT path, modified_at FROM entities WHERE lifecycle = 'archived' AND extension = 'en' ORDER BY modified_at DESC, path LIMIT 20")
 def q14(spark, d):
     return query_language.SavedQuery("find", state="archived", extension="en").run(A.entities(spark, d)).select("path", "modified_at")
@@ -859,9 +958,44 @@ def w9(spark, d):
     return got["outcomes"].select("path", "outcome")
 
 
-@query("w3_rename_replay")
+# a loop over the events of each hash, in order, that carries the held removes
+_TRACKED = """c AS (SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) // 5000 AS ts, CASE event_type WHEN 'signup' THEN 'create' WHEN 'view' THEN 'access' WHEN 'click' THEN 'modify' WHEN 'error' THEN 'remove' ELSE 'rename_to' END AS a, '/u/' || user_id AS p, 'h' || json_extract_string(props, '$.k') AS h FROM events),
+w AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY ts, event_id) AS n FROM c WHERE a <> 'access' AND ts <= @UNTIL),
+r(h, n, a, p, ts, expired, old, cancelled, held) AS (
+  SELECT DISTINCT h, 0::BIGINT, '', '', 0::BIGINT, []::STRUCT(p VARCHAR, ts BIGINT)[], NULL::VARCHAR, false, []::STRUCT(p VARCHAR, ts BIGINT)[] FROM w
+  UNION ALL
+  SELECT h, n, a, p, ts, expired, CASE WHEN a <> 'remove' AND len(rest) = 1 THEN rest[1].p END, a <> 'remove' AND len(rest) <> 1 AND len(rest) < len(alive),
+    CASE WHEN a = 'remove' THEN list_append(alive, {'p': p, 'ts': ts}) WHEN len(rest) = 1 THEN [] ELSE rest END
+  FROM (SELECT w.h, w.n, w.a, w.p, w.ts, list_filter(r.held, lambda x: w.ts - x.ts > 5) AS expired, list_filter(r.held, lambda x: w.ts - x.ts <= 5) AS alive, list_filter(r.held, lambda x: w.ts - x.ts <= 5 AND x.p <> w.p) AS rest FROM r JOIN w ON w.h = r.h AND w.n = r.n + 1)),
+gone AS (SELECT h, unnest(expired) AS x FROM r UNION ALL SELECT h, unnest(held) AS x FROM r QUALIFY n = max(n) OVER (PARTITION BY h))"""
+
+
+@query("w3_rename_replay", f"""WITH RECURSIVE {_TRACKED.replace("@UNTIL", "1000000000000")}
+SELECT 'delete' AS action, x.p AS path, CAST(NULL AS VARCHAR) AS old_path, h AS content_hash, x.ts AS ts FROM gone
+UNION ALL SELECT CASE WHEN old IS NULL THEN 'upsert' ELSE 'rename' END, p, old, h, ts FROM r WHERE n > 0 AND a <> 'remove'
+UNION ALL SELECT 'cancelled', p, NULL, h, ts FROM r WHERE cancelled
+UNION ALL SELECT 'touch', p, NULL, h, ts FROM c WHERE a = 'access'""")
 def w3(spark, d):
-    return rename_feed.replay(A.changes(spark, d))
+    return rename_feed.replay(_close_changes(spark, d))
+
+
+def _close_changes(spark, d) -> DataFrame:
+    """The changes on a coarser clock, so that creates come within the window of removes."""
+    return A.changes(spark, d).withColumn("ts", F.floor(F.col("ts") / 5000))
+
+
+_FLUSH_AT = 341_300
+
+
+@query("w4_expiry_flush", f"""WITH RECURSIVE {_TRACKED.replace("@UNTIL", str(_FLUSH_AT))} SELECT x.p AS path, h AS content_hash, x.ts AS ts FROM gone WHERE {_FLUSH_AT} - x.ts > 5""")
+def w4_flush(spark, d):
+    events = _close_changes(spark, d).where(F.col("ts") <= _FLUSH_AT)
+    return rename_feed.replay(events, until=_FLUSH_AT).where("action = 'delete'").select("path", "content_hash", "ts")
+
+
+@query("a2_duplicate_page", f"WITH {E}, g AS (SELECT content_hash, count(*) AS n, list_sort(list(path)) AS p FROM entities GROUP BY content_hash HAVING count(*) > 1) SELECT content_hash, n, array_to_string(p[1:3], ',') AS paths FROM g ORDER BY n DESC, content_hash LIMIT 20 OFFSET 1")
+def a2_page(spark, d):
+    return duplicates.duplicate_page(A.entities(spark, d), "/corpus", 20, 1, 3).withColumn("paths", F.array_join("paths", ","))
 
 
 @query("w7_multi_root_ignore", f"WITH {E} SELECT path, CASE WHEN path LIKE '/corpus/src1/%' THEN path LIKE '%.de' WHEN path LIKE '/corpus/src2/%' THEN false ELSE true END AS ignored FROM entities")
@@ -904,14 +1038,19 @@ def r6(spark, d):
 def o5(spark, d):
     from loam.plans.session_api import Session
 
+    from pyspark.sql import Window
+
     s = Session(A.entities(spark, d), A.relations(spark, d), spark.createDataFrame([], HISTORY))
-    hits = s.get_impact("/region/2", 2)[0].select("path", "depth").limit(200).collect()  # a page
-    return spark.createDataFrame([(i + 1, r["path"], r["depth"]) for i, r in enumerate(hits)], "nth long, path string, depth int")
+    page = s.get_impact("/region/2", 2)[0].select("path", "depth").limit(200)
+    nth = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("depth", "path"))  # of a page
+    return page.select(nth.cast("long").alias("nth"), "path", "depth")
 
 
-@query("x4_dot_document", f"""WITH {E}, {D} SELECT '  "' || path || '";' AS line FROM entities UNION ALL SELECT '  "' || from_path || '" -> "' || to_path || '" [label="' || kind || '"];' FROM doc_relations""")
+@query("x4_dot_document", f"""WITH {E}, {D} SELECT 'digraph files {{' AS line UNION ALL SELECT '  "' || path || '";' FROM entities UNION ALL SELECT '  "' || from_path || '" -> "' || to_path || '" [label="' || kind || '"];' FROM doc_relations UNION ALL SELECT '}}'""")
 def x4(spark, d):
-    return export.dot_lines(A.entities(spark, d).select("path"), A.document_relations(spark, d))
+    to = _own_folder(spark, "export") + "/all.dot"
+    export.write("dot", A.entities(spark, d), A.document_relations(spark, d), to)
+    return spark.read.text(to).withColumnRenamed("value", "line")
 
 
 @query("u1_set_differences", f"WITH {E}, {L} SELECT 'new' AS side, path FROM listing WHERE path NOT IN (SELECT path FROM entities) UNION ALL SELECT 'deleted', path FROM entities WHERE path NOT IN (SELECT path FROM listing)")

@@ -140,6 +140,14 @@ def upsert_by_path(rows: DataFrame, new: DataFrame) -> DataFrame:
     return rows.join(new.select("path").distinct(), "path", "left_anti").select(*rows.columns).unionByName(new.select(*rows.columns))
 
 
+def vector_upsert(vectors: DataFrame, texts: DataFrame, at: int, embed=None, load=None) -> DataFrame:
+    """The vector table after ``texts(path, content_hash, text)``: rows whose content is known stay and aren't embedded."""
+    from loam.operators import search
+
+    work = texts.join(vectors.select("path", "content_hash"), ["path", "content_hash"], "left_anti")
+    return upsert_by_path(vectors, search.vector_rows(work.select("path", "content_hash", "text"), embed or search.embed_hashed, at, load))
+
+
 def move_paths(rows: DataFrame, renames: DataFrame) -> DataFrame:
     """Rows of renamed paths, moved in place."""
     return rows.join(renames.select(F.col("old").alias("path"), "new"), "path", "left").withColumn("path", F.coalesce("new", "path")).select(*rows.columns)

@@ -69,3 +69,11 @@ TEST_COMMANDS = {(".rs", "Cargo.toml"): "cargo test --workspace --all-targets",
 def test_commands(paths: list[str], manifests: tuple[str, ...] = ()) -> list[str]:
     """Commands by the endings of paths or the manifests that are there."""
     return sorted(c for (ending, manifest), c in TEST_COMMANDS.items() if manifest in manifests or any(p.endswith(ending) for p in paths))
+
+
+def test_command(path: Column) -> Column:
+    """The same for a column of paths: each one's command by its ending, null if it has none."""
+    out = F.lit(None).cast("string")
+    for (ending, _), c in TEST_COMMANDS.items():
+        out = F.when(path.endswith(ending), c).otherwise(out)
+    return out
