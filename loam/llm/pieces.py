@@ -11,10 +11,11 @@ A piece has the mark ``U+2581`` only at its front (checked when a model is loade
 crosses the start of a run of marks: the text falls into *segments* that are encoded alone, and each
 distinct one of an Arrow batch once. A bounded memo keeps segments between batches.
 
-Every whole text is checked against the sentencepiece library in its Arrow batch. Where the two
-differ (it would mean a model feature that the agenda doesn't know), the row has the library's ids
-and ``agreed`` is false; with ``strict`` the query fails instead. A model that normalises texts in
-another way than by marks for spaces is refused when it is loaded. Ids are decoded with the library.
+The rows have the agenda's ids. Every whole text is checked against the sentencepiece library in its
+Arrow batch: where the two differ (it would mean a model feature that the agenda doesn't know),
+``agreed`` is false, and with ``strict`` the query fails. A model that normalises texts in another way
+than by marks for spaces is refused when it is loaded. Ids are decoded with the library. The model
+is read once, where the query is made, and goes to the tasks as a broadcast of its bytes.
 
 Edge cases: a null or empty text has the begin and end ids only and decodes to the empty text; a
 text of any length is encoded whole; equal scores go from left to right; repeated rows repeat; an
@@ -26,7 +27,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,10 +49,10 @@ class EncodingMismatch(ValueError):
 class Encoder:
     """A merge-type model: its pairs, the agenda and the memo of segments."""
 
-    def __init__(self, model: str, strict: bool = False):
+    def __init__(self, model: bytes, strict: bool = False):
         import sentencepiece
 
-        self.lib = sp = sentencepiece.SentencePieceProcessor(model_file=model)
+        self.lib = sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.strict = strict
         n = sp.vocab_size()
         self.byte_ids = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
@@ -142,24 +143,29 @@ class Encoder:
         return out
 
     def encode(self, texts: list[str]) -> list[tuple[list[int], bool]]:
-        """Ids of every text, without begin and end, and whether the library has the same."""
+        """The agenda's ids of every text, without begin and end, and whether the library has the same."""
         out = []
         for text, theirs in zip(texts, self.lib.encode(texts, num_threads=1) if texts else []):
             mine = self.ids(text)
             if mine != theirs and self.strict:
                 raise EncodingMismatch(f"the agenda and the library differ on a text of {len(text)} characters")
-            out.append((theirs, mine == theirs))
+            out.append((mine, mine == theirs))
         return out
 
 
 _SEGMENT = re.compile(f"{MARK}({MARK}*[^{MARK}]*)")
 
 
-def worker_encoder(model: str, strict: bool = False) -> Encoder:
-    """One encoder for each Python worker and model."""
-    if (model, strict) not in _WORKERS:
-        _WORKERS[model, strict] = Encoder(model, strict)
-    return _WORKERS[model, strict]
+def read_model(path: str) -> bytes:
+    with open(path, "rb") as f:
+        return f.read()
+
+
+def worker_encoder(name: str, model: Callable[[], bytes], strict: bool = False) -> Encoder:
+    """One encoder for each Python worker and model, by the digest of its bytes."""
+    if (name, strict) not in _WORKERS:
+        _WORKERS[name, strict] = Encoder(model(), strict)
+    return _WORKERS[name, strict]
 
 
 def blocks(texts: Iterator[str | None]) -> Iterator[list[str]]:
@@ -175,14 +181,19 @@ def blocks(texts: Iterator[str | None]) -> Iterator[list[str]]:
         yield held
 
 
-def digest(docs: DataFrame, model: str, begin: int = 1, end: int = 2, strict: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256, agreed`` and the columns in ``keep``."""
+def digest(docs: DataFrame, model: str | bytes, begin: int = 1, end: int = 2, strict: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256, agreed`` and the columns in ``keep``.
+
+    ``model`` is the path of a model file that the driver can read, or its bytes.
+    """
+    data = model if isinstance(model, bytes) else read_model(model)
+    name, shared = hashlib.sha256(data).hexdigest(), docs.sparkSession.sparkContext.broadcast(data)
     extra = list(keep)
     fields = ["doc_id", *extra]
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in fields] + ["n_tokens long", "ids_sha256 string", "decoded_sha256 string", "agreed boolean"])
 
     def run(batches):
-        enc = worker_encoder(model, strict)
+        enc = worker_encoder(name, lambda: shared.value, strict)
         for batch in batches:
             n, hashes, decoded, agreed = [], [], [], []
             for texts in blocks(x.as_py() for x in batch.column(batch.num_columns - 1)):
