@@ -301,14 +301,15 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...]
     n = found.count()
     tagged = docs.alias("d").join(F.broadcast(found.alias("c")) if n <= BROADCAST_IDS else found.alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")), "left")
     cols = list(dict.fromkeys(keep))
-    base = tagged.select(*[F.col(f"d.{c}").alias(c) for c in cols], F.coalesce(F.col("d.text"), F.lit("")).alias("_text"), F.col("c.kinds").alias("_kinds"))
+    # what is kept stays in one struct, so its columns may have any name
+    base = tagged.select(F.struct(*[F.col(f"d.`{c}`").alias(c) for c in cols]).alias("kept"), F.coalesce(F.col("d.text"), F.lit("")).alias("text"), F.col("c.kinds").alias("kinds"))
     nil = F.expr("cast(array() as array<struct<start: bigint, kind: int, end: bigint>>)")
     for i, r in enumerate(rules):
-        may = F.array_contains(F.col("_kinds"), r.kind) if trigram_query(r) != ALL else F.lit(True)
+        may = F.array_contains(F.col("kinds"), r.kind) if trigram_query(r) != ALL else F.lit(True)
         if r.guard:
-            may = may & F.col("_text").rlike(r.guard)
-        base = base.withColumn(f"_k{i}", F.when(may, spans_of(F.col("_text"), r, i)).otherwise(nil))
-    return base.select(*cols, F.array_sort(F.concat(*[F.col(f"_k{i}") for i in range(len(rules))])).alias(name))
+            may = may & F.col("text").rlike(r.guard)
+        base = base.withColumn(f"k{i}", F.when(may, spans_of(F.col("text"), r, i)).otherwise(nil))
+    return base.select(*[F.col(f"kept.`{c}`").alias(c) for c in cols], F.array_sort(F.concat(*[F.col(f"k{i}") for i in range(len(rules))])).alias(name))
 
 
 def named(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
@@ -334,7 +335,8 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRE
     All columns stay; a null text stays null.
     """
     cols = docs.columns
-    found = scan(docs, rules, tuple(cols), "_spans")
+    work = "_spans" + "_" * max(map(len, cols))  # longer than any of theirs
+    found = scan(docs, rules, tuple(cols), work)
 
     zero = F.lit(0).cast("long")
 
@@ -344,10 +346,10 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRE
             near = F.array_join(F.slice(blocks, first + 1, last - first + 1), "")
             return F.when(end > start, F.substring(near, (start - first * F.lit(PIECE) + 1).cast("int"), (end - start).cast("int"))).otherwise("")
 
-        reach = let(F.transform("_spans", lambda s: s["end"]), lambda v: running(v, zero, lambda a, b: F.greatest(a, b)))
-        rows = F.filter(F.arrays_zip(F.col("_spans").alias("s"), reach.alias("reach")), lambda r: r["s"]["start"] >= r["reach"])
+        reach = let(F.transform(work, lambda s: s["end"]), lambda v: running(v, zero, lambda a, b: F.greatest(a, b)))
+        rows = F.filter(F.arrays_zip(F.col(work).alias("s"), reach.alias("reach")), lambda r: r["s"]["start"] >= r["reach"])
         kept = F.transform(rows, lambda r: F.concat(piece(r["reach"], r["s"]["start"]), F.lit(mark)))
-        return F.concat(F.array_join(kept, ""), piece(F.array_max(F.transform("_spans", lambda s: s["end"])), F.length("text").cast("long")))
+        return F.concat(F.array_join(kept, ""), piece(F.array_max(F.transform(work, lambda s: s["end"])), F.length("text").cast("long")))
 
     whole = let(F.regexp_extract_all(F.col("text"), F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)), clean)
-    return found.select(*[F.when(F.size("_spans") > 0, whole).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in cols])
+    return found.select(*[F.when(F.size(work) > 0, whole).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in cols])
