@@ -13,7 +13,8 @@ Training maximises the conditional likelihood by AdaGrad on a bounded sample: of
 languages that most documents have, up to ``SAMPLE_DOCS`` documents each and ``SAMPLE_TOTAL`` in all,
 those with the smallest hashes of their ids (documents are counted first, and only hashes below a
 threshold that leaves about twice as many are ranked), and up to ``SAMPLE_LINES`` lines
-spread over each; of a document of more than ``SAMPLE_CHARS`` characters, lines with letters, each
+spread over each (fewer, evenly, if words times languages exceed ``SAMPLE_CELLS``, which bounds the
+memory of training); of a document of more than ``SAMPLE_CHARS`` characters, lines with letters, each
 from its first letter on and no longer than its share of ``SAMPLE_CHARS``. Language, source and id
 are never inputs of a prediction. The model has a fixed size for a number of languages, so it is
 broadcast.
@@ -26,8 +27,10 @@ predicted one by one; an empty table gives an empty result; further input column
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +44,8 @@ SAMPLE_TOTAL = 6000
 SAMPLE_LANGS = 200
 SAMPLE_CHARS = 20_000
 SAMPLE_LINES = 12
+SAMPLE_CELLS = 40_000_000
+WORD = re.compile(r"[^\W\d_]+")
 CHAIN = 256
 EPOCHS = 12
 RATE = 0.5
@@ -210,6 +215,11 @@ def train(texts: list[str], langs: list[str]) -> Model:
         for i in sorted({len(own) * j // SAMPLE_LINES for j in range(SAMPLE_LINES)} if own else ()):
             lines.append(own[i])
             labels.append(number[lang])
+    step = -(-sum(len(WORD.findall(x)) for x in lines) * len(names) // SAMPLE_CELLS)
+    if step > 1:  # every step-th line of each language
+        nth = [count() for _ in names]
+        kept = [i for i, x in enumerate(labels) if next(nth[x]) % step == 0]
+        lines, labels = [lines[i] for i in kept], [labels[i] for i in kept]
     data = np.frombuffer("\n".join(lines).encode("utf-8", "surrogatepass") + b"\n", np.uint8)
     begin, end, first = words_and_chains(data)
     feats = features(folded(data), begin, end)
@@ -218,7 +228,6 @@ def train(texts: list[str], langs: list[str]) -> Model:
     k = len(names)
     model = Model(names, np.zeros((1 << WORD_BITS, k), np.float32), np.zeros((1 << GRAM_BITS, k), np.float32), np.zeros((k, k)), np.zeros(k))
     sums = [np.full(w.shape, 1e-8) for w in (model.words, model.grams, model.moves, model.starts)]
-    one = np.eye(k)[truth]
     inner = np.ones(len(begin), bool)
     inner[first] = False
     seen = np.zeros((k, k))
@@ -226,13 +235,15 @@ def train(texts: list[str], langs: list[str]) -> Model:
     gram_word = np.repeat(np.arange(len(begin)), end - begin)
     for _ in range(EPOCHS):
         post, expected, start = forward_backward(model.scores(feats).astype(np.float64), first, model.moves, model.starts, pairs=True)
-        miss = (one - post) / len(begin)
+        post *= -1 / len(begin)  # in place: the labels less the posterior
+        post[np.arange(len(begin)), truth] += 1 / len(begin)
+        miss = post
         words, grams = np.zeros(model.words.shape), np.zeros(model.grams.shape)
         for j in range(k):
             for f in range(feats[0].shape[1]):
                 words[:, j] += np.bincount(feats[0][:, f], miss[:, j], len(words))
             grams[:, j] = np.bincount(feats[1], miss[gram_word, j], len(grams))
-        for w, g, s in zip((model.words, model.grams, model.moves, model.starts), (words, grams, (seen - expected) / len(begin), one[first].mean(0) - start.mean(0)), sums):
+        for w, g, s in zip((model.words, model.grams, model.moves, model.starts), (words, grams, (seen - expected) / len(begin), np.bincount(truth[first], minlength=k) / len(first) - start.mean(0)), sums):
             g = g - DECAY * w
             s += g * g
             w += (RATE * g / np.sqrt(s)).astype(w.dtype)
