@@ -126,7 +126,9 @@ def build_cascade(keys: DataFrame, listed: set[str], depths: list[int]) -> Casca
         levels[0].add(k)
     held = spark.sparkContext.broadcast(listed)
     inside = listed  # the listed keys that all levels so far take
-    while len(levels) < MAX_LEVELS:
+    while True:
+        if len(levels) == MAX_LEVELS:  # a level keeps about a hundredth, so this is no size of input but a broken hash
+            raise ValueError(f"{MAX_LEVELS} levels leave false positives")
         seed = len(levels) + 1
         shared = spark.sparkContext.broadcast(levels)
         if len(levels) % 2:  # now encode the universe's false positives

@@ -553,6 +553,36 @@ def test_unbroken_texts_of_a_megabyte():
     assert time.time() - start < 120  # a rescan of all pairs at each merge would take an hour
 
 
+def test_training_is_bounded_by_words(monkeypatch):
+    """With less room, lines are left out evenly and every language is still learned."""
+    r = random.Random(4)
+    vocab = {lang: ["".join(r.choice(s) for _ in range(5)) for _ in range(60)] for lang, s in {"a": "abc", "b": "def", "c": "ghi"}.items()}
+    texts = [("\n".join(" ".join(r.choice(vocab[x]) for _ in range(8)) for _ in range(5)), x) for x in "abc" * 20]
+    seen = []
+    plain = language_id.words_and_chains
+    monkeypatch.setattr(language_id, "words_and_chains", lambda data: seen.append(len(data)) or plain(data))
+    language_id.train(*zip(*texts))
+    monkeypatch.setattr(language_id, "SAMPLE_CELLS", 2400)
+    model = language_id.train(*zip(*texts))
+    assert seen[1] * 2 < seen[0] and list(model.langs) == ["a", "b", "c"]
+
+
+def test_redact_any_columns(spark):
+    """Columns named like the operator's own work columns come through."""
+    rows = [(1, "password=abcdefghijklmnop x", 7, "w", 8, 9, "k"), (2, None, 1, "v", 2, 3, "l"), (3, "", 1, "v", 2, 3, "l")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _text int, _spans string, _k0 int, kept int, kinds string")
+    got = sorted(tuple(x) for x in secrets.redact(docs).collect())
+    assert got == [(1, "[SECRET] x", 7, "w", 8, 9, "k"), (2, None, 1, "v", 2, 3, "l"), (3, "", 1, "v", 2, 3, "l")]
+    assert secrets.redact(docs).columns == docs.columns
+
+
+def test_cascade_without_an_end(spark, monkeypatch):
+    """A cascade that reaches its last level with false positives left is an error and no answer."""
+    monkeypatch.setattr(url_filter, "MAX_LEVELS", 1)
+    with pytest.raises(ValueError, match="false positives"):
+        url_filter.judge(spark.createDataFrame([(i, f"http://h{i}.com/") for i in range(50)], "page_id long, url string"), [url_filter.Rule("block", "h1.com", "/")]).collect()
+
+
 def test_language_id(spark):
     r = random.Random(4)
     vocab = {lang: ["".join(r.choice(s) for _ in range(r.randint(2, 7))) for _ in range(300)] for lang, s in {"en": "thersaoi", "fr": "éèuxlaqo", "de": "üßschnge"}.items()}
