@@ -309,9 +309,12 @@ def _runs(targets: int):
         gone = doc > least
         target = (bw.mix(h) % np.uint64(targets)).astype(np.int64)
         t_out, p_out = [], []
-        for t in np.unique(target[~gone]).tolist():
-            mine = (target == t) & ~gone
-            m = np.flatnonzero(mine)
+        live = np.flatnonzero(~gone)
+        live = live[np.argsort(target[live], kind="stable")]  # by target once, in order within each
+        edge = np.r_[np.flatnonzero(np.diff(target[live], prepend=-1)), len(live)]
+        for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            m = live[lo:hi]
+            t = int(target[m[0]])
             ahead = rows[m, :LENGTH]
             fresh = np.r_[True, (ahead[1:] != ahead[:-1]).any(axis=1)] if len(m) else np.zeros(0, bool)
             at = np.flatnonzero(fresh)
