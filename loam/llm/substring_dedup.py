@@ -15,6 +15,10 @@ spans go by a key of the chunk's own and never meet the rest. Buckets are sized
 bytes (``BUCKET_BYTES``); a chunk sends one packed row to each bucket that it has something for, and
 never more rows than super-k-mers.
 
+Hot minimisers: three common words with a small hash would take all windows around them to one
+bucket, though the windows differ. Those that a sample shows to be heavy are split by a second key,
+the window's next smallest hash, so a frequent phrase in many contexts goes to many buckets.
+
 Edge cases: null and empty texts have no words; a null id is in no match and its text is kept whole;
 windows repeated within one document (or between rows with equal ids) don't remove anything; equal
 ids are taken to have equal texts; of documents with one window only the smallest id keeps it, so
@@ -40,12 +44,19 @@ BUCKET_BYTES = 16_000_000
 BROADCAST_IDS = 1_000_000
 PACKED = "<i8 <i4 <i4 <i4 . <i8 <i4 <i4"
 CHUNK_BYTES = 4_000_000
+SAMPLE_BYTES = 64_000_000
+HOT_BYTES = 1_000_000
+HOT_MET = 32
 _none = lambda *kinds: [b"" if k == "." else np.zeros(0, k) for k in kinds]
 NO_STRINGS, NO_SPANS = _none(*PACKED.split()[:5]), _none(*PACKED.split()[5:])
 
 
-def super_kmers(ids: np.ndarray, data: np.ndarray, starts: np.ndarray, window: int, gram: int):
-    """(document, first word, windows, minimiser, packed string) of every super-k-mer of a chunk."""
+def super_kmers(ids: np.ndarray, data: np.ndarray, starts: np.ndarray, window: int, gram: int, hot: np.ndarray = np.zeros(0, np.uint64)):
+    """(document, first word, windows, key, packed string) of every super-k-mer of a chunk.
+
+    The key is the minimiser, a hash. Under a ``hot`` one, windows also share the next smallest hash to
+    travel together, and the key follows from both; either way equal windows have equal keys.
+    """
     begin, end = bw.word_bounds(data)
     if len(begin) < window:
         return None
@@ -58,8 +69,13 @@ def super_kmers(ids: np.ndarray, data: np.ndarray, starts: np.ndarray, window: i
     if not len(at):
         return None
     least = np.lib.stride_tricks.sliding_window_view(order, width).argmin(axis=1)[at] + at
-    new = np.r_[True, (np.diff(at) != 1) | (np.diff(least) != 0)]
-    first = at[new]
+    second = np.zeros(len(at), np.uint64)
+    many = np.flatnonzero(np.isin(order[least], hot)) if len(hot) else ()
+    for i in range(0, len(many), 65_536):
+        part = many[i : i + 65_536]
+        second[part] = np.partition(np.lib.stride_tricks.sliding_window_view(order, width)[at[part]], 1, axis=1)[:, 1] if width > 1 else 0
+    new = np.r_[True, (np.diff(at) != 1) | (np.diff(least) != 0) | (second[1:] != second[:-1])]
+    first, second = at[new], second[new]
     count = np.diff(np.r_[np.flatnonzero(new), len(at)])
     last_word = first + count - 1 + window - 1
     keep = ~bw.SPACE[data]
@@ -68,7 +84,8 @@ def super_kmers(ids: np.ndarray, data: np.ndarray, starts: np.ndarray, window: i
     size = end - begin
     place = np.cumsum(size + 1) - size - 1
     strings = [plain[a:b] for a, b in zip(place[first].tolist(), (place[last_word] + size[last_word]).tolist())]
-    return ids[doc[first]], nth[first], count, order[least[new]], strings
+    key = order[least[new]]
+    return ids[doc[first]], nth[first], count, np.where(second > 0, bw.mix(key) ^ second, key), strings
 
 
 def settle(doc: np.ndarray, strings: list[bytes]) -> np.ndarray:
@@ -82,10 +99,38 @@ def settle(doc: np.ndarray, strings: list[bytes]) -> np.ndarray:
     return doc > least[uid]
 
 
-def map_chunks(buckets: int, window: int, gram: int):
+def hot_minimisers(text: DataFrame, total: int, window: int, gram: int) -> np.ndarray:
+    """Minimisers that would bring more than ``HOT_BYTES`` to their bucket, estimated on a sample.
+
+    The sample has about ``SAMPLE_BYTES`` of documents, by a hash of their ids; it only decides how
+    windows are dealt, and the result is the same for any. A hot one was met ``HOT_MET`` times in the
+    sample, so there are few.
+    """
+    rate = min(1.0, SAMPLE_BYTES / max(1, total))
+    drawn = text.where(F.xxhash64("doc_id", F.lit(11)) < F.lit(int(rate * 2**63) * 2 - 2**63)) if rate < 1 else text
+
     def run(batches):
         for ids, data, starts in bw.chunks(batches, CHUNK_BYTES):
             got = super_kmers(ids, data, starts, window, gram)
+            if got is None:
+                continue
+            doc, _, _, key, strings = got
+            sent = np.flatnonzero(~settle(doc, strings))
+            token, at = np.unique(key[sent], return_inverse=True)
+            size = np.bincount(at, [len(strings[i]) for i in sent.tolist()]).astype(np.int64)
+            met = np.bincount(at)
+            own = met > 1
+            yield pa.record_batch([pa.array(token[own].view(np.int64)), pa.array(met[own]), pa.array(size[own])], names=["token", "met", "size"])
+
+    loads = drawn.mapInArrow(run, "token long, met long, size long").groupBy("token").agg(F.sum("met").alias("met"), F.sum("size").alias("size"))
+    rows = loads.where((F.col("met") >= HOT_MET) & (F.col("size") >= HOT_BYTES * rate)).select("token").collect()
+    return np.sort(np.array([r["token"] for r in rows], np.int64).view(np.uint64))
+
+
+def map_chunks(buckets: int, window: int, gram: int, hot: np.ndarray = np.zeros(0, np.uint64)):
+    def run(batches):
+        for ids, data, starts in bw.chunks(batches, CHUNK_BYTES):
+            got = super_kmers(ids, data, starts, window, gram, hot)
             if got is None:
                 continue
             doc, first, count, minimiser, strings = got
@@ -188,7 +233,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     text = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text")
     total = text.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(shuffle_width(docs.sparkSession), -(-3 * total // BUCKET_BYTES), 1)
-    sent = text.mapInArrow(map_chunks(buckets, window, gram), "bucket int, payload binary")
+    hot = hot_minimisers(text, total, window, gram)
+    sent = text.mapInArrow(map_chunks(buckets, window, gram, hot), "bucket int, payload binary")
     spans = sent.groupBy("bucket").applyInArrow(reduce_bucket(window), "doc_id long, span long")
     return spans.groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
 
@@ -212,10 +258,13 @@ def _digest(batches):
             words = (text.as_py() or "").encode("utf-8", "surrogatepass").split()
             n.append(len(words))
             gone = merged(spans.as_py(), len(words)) if spans.is_valid else []
-            for a, b in reversed(gone):
-                del words[a:b]
-            removed.append(n[-1] - len(words))
-            kept.append(hashlib.sha256(b" ".join(words)).hexdigest())
+            left, at = [], 0
+            for a, b in gone:
+                left += words[at:a]
+                at = b
+            left += words[at:]
+            removed.append(n[-1] - len(left))
+            kept.append(hashlib.sha256(b" ".join(left)).hexdigest())
         yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
