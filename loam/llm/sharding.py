@@ -4,15 +4,17 @@ The law is ``bytes``: shard sizes are near equal. Groups are equal texts: a grou
 unless it is larger than a shard's share, ``total / shards``.
 
 1. Groups of a ``1 / HEAVY`` of a share or more are few (``HEAVY * shards`` at most, whatever the
-   input). Those within a share go first, the largest to the shard that has least; what they leave
-   open, up to one common level, is each shard's room for the rest.
+   input); groups of ``PART_ROWS`` records or ``PART_BYTES`` count as heavy as well, so that no light
+   text of many copies is one task (there are as many of them as parts, at most). Those within a
+   share go first, the largest to the shard that has least; what they leave open, up to one common
+   level, is each shard's room for the rest.
 2. The rest is ordered by the text's hash. A size-weighted sample of these keys gives quantile
    boundaries, by which records are range-partitioned; each group larger than a share is a range of
    its own. A range is subdivided into as many parts of its keys' interval (of its ids' hashes, in a
    range of one group) as its counted rows and bytes ask for (``PART_ROWS``, ``PART_BYTES``), so
    parts grow in number with the input and not in size.
 3. Rows and sizes run within a part; the parts' totals run within a range; only the ranges' totals
-   (``RANGES`` for a shard and the groups of 1., fixed) meet on the driver. A group goes to the
+   (``RANGES`` for a shard and the groups of 1.) meet on the driver. A group goes to the
    shard in whose room its middle lies; of a group larger than a share, each record does.
 
 A shard is over the level by less than ``1 / (2 * HEAVY)`` of a share and one record larger than
@@ -109,8 +111,9 @@ def shard(docs: DataFrame, shards: int = 40, oversample: int = 32) -> DataFrame:
     if not total:
         return spark.createDataFrame([], empty)
     share = total / shards
-    weights = keys.groupBy("key").agg(F.sum("size").alias("b")).where(F.col("b") * (HEAVY * shards) >= total)
-    large = [(r["key"], r["b"]) for r in weights.collect()]  # HEAVY * shards at most
+    weights = keys.groupBy("key").agg(F.sum("size").alias("b"), F.count("*").alias("n"))
+    weights = weights.where((F.col("b") * (HEAVY * shards) >= total) | (F.col("n") >= PART_ROWS) | (F.col("b") >= PART_BYTES))
+    large = [(r["key"], r["b"]) for r in weights.collect()]  # HEAVY * shards, and one for each part of the input, at most
     at, room = place_heavy([g for g in large if g[1] <= share], total, shards)
     own = sorted(at) + sorted(k for k, b in large if b > share)  # ranges of one group: placed, then larger than a share
     n_ranges = shards * RANGES

@@ -553,6 +553,65 @@ def test_unbroken_texts_of_a_megabyte():
     assert time.time() - start < 120  # a rescan of all pairs at each merge would take an hour
 
 
+def test_hot_minimisers_are_split(spark, monkeypatch):
+    """A phrase in many contexts goes to many buckets, and the result is the same."""
+    import numpy as np
+
+    r = random.Random(12)
+    words = ["w%03d" % i for i in range(300)]
+    own = lambda k: " ".join(r.choice(words) for _ in range(k))
+    rows = [(i, " ".join(f"{own(14)} so it is {own(14)}" for _ in range(6))) for i in range(80)]
+    rows += [(100 + i, rows[i][1]) for i in range(0, 80, 9)]
+    monkeypatch.setattr(substring_dedup, "HOT_BYTES", 300)
+    monkeypatch.setattr(substring_dedup, "HOT_MET", 3)
+    docs = docs_of(spark, rows)
+    hot = substring_dedup.hot_minimisers(docs.select("doc_id", "text"), 1, 13, 3)
+    assert len(hot) > 0 and (np.diff(hot.astype(object)) > 0).all()
+    from loam.llm import bytework as bw
+    import pyarrow as pa
+
+    chunk = next(bw.chunks([pa.record_batch([pa.array([i for i, _ in rows]), pa.array([t for _, t in rows])], names=["i", "t"])]))
+    plain, split = substring_dedup.super_kmers(*chunk, 13, 3), substring_dedup.super_kmers(*chunk, 13, 3, hot)
+    assert len(set(split[3].tolist())) > len(set(plain[3].tolist())) and split[2].sum() == plain[2].sum()
+    heaviest = lambda got: max(sum(len(s) for s, k in zip(got[4], got[3]) if k == x) for x in set(got[3].tolist()))
+    assert heaviest(split) < heaviest(plain)
+    assert {x[0]: tuple(x[1:]) for x in substring_dedup.digest(docs).collect()} == brute_windows(rows)
+
+
+def test_many_spans_in_one_text():
+    """A text with a hundred thousand removed spans is put together in linear time."""
+    import time
+
+    import pyarrow as pa
+
+    n = 100_000
+    words = [f"w{i}" for i in range(3 * n)]
+    spans = [(3 * i) << 32 | (3 * i + 1) for i in range(n)]
+    batch = pa.record_batch([pa.array([1]), pa.array([" ".join(words)]), pa.array([spans], pa.list_(pa.int64()))], names=["doc_id", "text", "spans"])
+    start = time.time()
+    (got,) = list(substring_dedup._digest([batch]))
+    assert time.time() - start < 10
+    assert got.column(2).to_pylist() == [n] and got.column(3).to_pylist() == [hashlib.sha256(" ".join(w for i, w in enumerate(words) if i % 3).encode()).hexdigest()]
+
+
+def test_sharding_light_text_of_many_copies(spark, monkeypatch):
+    """A short text that many rows share is split by the ids' hashes, though it weighs little."""
+    monkeypatch.setattr(sharding, "PART_ROWS", 50)
+    rows = [(i, "x") for i in range(600)] + [(1000 + i, "long text " * 200 + str(i)) for i in range(300)]
+    seen = []
+    plain = sharding.place_heavy
+    monkeypatch.setattr(sharding, "place_heavy", lambda groups, total, shards: seen.append(groups) or plain(groups, total, shards))
+    got = sharding.shard(docs_of(spark, rows), 6).collect()
+    assert len(seen[0]) == 1 and seen[0][0][1] == 600 * 17
+    sizes, slots = defaultdict(int), defaultdict(list)
+    for x in got:
+        sizes[x["shard"]] += x["size"]
+        slots[x["shard"]].append(x["slot"])
+    assert len(got) == 900 and all(sorted(v) == list(range(len(v))) for v in slots.values())
+    assert len({x["shard"] for x in got if x["doc_id"] < 1000}) == 1  # the group stays whole
+    assert max(sizes.values()) - min(sizes.values()) <= sum(sizes.values()) / 6 / 8
+
+
 def test_training_is_bounded_by_words(monkeypatch):
     """With less room, lines are left out evenly and every language is still learned."""
     r = random.Random(4)
