@@ -137,6 +137,16 @@ class BlockIndex:
         slack = (force * self.wide).astype(np.float32)  # what a row met in a dimension may have beyond its quantised impact
         edge, count = np.arange(self.d) * n, np.diff(self.segment)
         done, taken, passed = 0, np.zeros(self.d, np.int64), np.zeros(self.d, np.int64)
+        value, scored = np.zeros(n, np.int64), np.zeros(n, bool)
+        alive = np.flatnonzero(~hidden)  # a row that can't reach the bound never will: bounds fall, what is needed grows
+        grid = met.reshape(self.d, n)
+
+        def exact(rows: np.ndarray) -> np.ndarray:
+            fresh = rows[~scored[rows]]
+            value[fresh], scored[fresh] = self.rows[fresh, :d] @ q[:d], True
+            self.rescored += len(fresh)
+            return value[rows]
+
         for stop in [0, *stops.tolist()]:
             # the step's segments of a dimension lie side by side, from its upper end or its lower one
             more = np.bincount(dim[done:stop], self.size[order[done:stop]], self.d).astype(np.int64)
@@ -150,22 +160,18 @@ class BlockIndex:
             done = stop
             next_ = np.clip(np.where(up, self.segment[:-1] + passed, self.segment[1:] - 1 - passed), 0, max(0, len(gain) - 1))
             left = np.where(passed < count, gain[next_], 0).astype(np.float32) if len(gain) else np.zeros(self.d, np.float32)
-            upper = lower + float(left.sum()) - (left - slack) @ met.reshape(self.d, n) + 1e-5 * (1 + float(left.sum()))
+            known = grid if len(alive) * 2 > n else grid[:, alive]
+            bound = (left - slack) @ known
+            upper = lower[alive] + float(left.sum()) - (bound[alive] if known is grid else bound) + 1e-5 * (1 + float(left.sum()))
             if enough and done:  # the most promising rows are scored: their k-th best is a sure bound
-                near = np.argpartition(lower + upper, -min(n, TRIED))[-TRIED:]
-                near = near[~hidden[near]]
+                near = alive[np.argpartition(lower[alive] + upper, -min(len(alive), TRIED))[-TRIED:]] if len(alive) else alive
                 if len(near) >= k:
-                    need = max(need, float(np.partition(self.rows[near, :d] @ q[:d], -k)[-k]))
-            may = ~hidden & (upper >= need)
-            if int(may.sum()) <= RESCORE:
+                    need = max(need, float(np.partition(exact(near), -k)[-k]))
+            alive = alive[upper >= need]
+            if len(alive) <= RESCORE:
                 break
         self.read += int(read[done - 1]) if done else 0
-        return self._exact(may, q, d)
-
-    def _exact(self, may, q, d):
-        at = np.flatnonzero(may)
-        self.rescored += len(at)
-        return self.ids[at], self.rows[at, :d] @ q[:d]
+        return self.ids[alive], exact(alive)
 
 
 def score_pairs(k: int, run_id: str):
