@@ -947,6 +947,23 @@ def w6(spark, d):
     return out.select("path", "id", "accessed_at")
 
 
+@query("w8_rescan", f"""WITH {E}, disk AS (SELECT CASE WHEN doc_id % 11 = 0 THEN '/corpus/moved/' || doc_id || '.' || lang ELSE '/corpus/' || source || '/' || doc_id || '.' || lang END AS path, sha256(text || CASE WHEN doc_id % 13 = 0 THEN 'x' ELSE '' END) AS h, doc_id % 140 AS days FROM documents WHERE doc_id % 7 <> 0),
+missing AS (SELECT path, content_hash AS h FROM entities WHERE lifecycle <> 'dead' AND path NOT IN (SELECT path FROM disk)), fresh AS (SELECT path, h FROM disk WHERE path NOT IN (SELECT path FROM entities)),
+ren AS (SELECT o.path AS old, n.path AS new FROM (SELECT h, min(path) AS path FROM missing GROUP BY h HAVING count(*) = 1) o JOIN (SELECT h, min(path) AS path FROM fresh GROUP BY h HAVING count(*) = 1) n USING (h)),
+after AS (SELECT coalesce(new, path) AS path, true AS known FROM entities LEFT JOIN ren ON old = path UNION ALL SELECT path, false FROM fresh WHERE path NOT IN (SELECT new FROM ren))
+SELECT path, CASE WHEN days IS NULL THEN 'dead' WHEN days <= 30 THEN 'active' WHEN days <= 90 THEN 'dormant' ELSE 'archived' END AS lifecycle, known FROM after LEFT JOIN disk USING (path)""")
+def w8(spark, d):
+    i = F.col("doc_id")
+    name = F.concat(i.cast("string"), F.lit("."), "lang")
+    at = F.when(i % 11 == 0, F.concat(F.lit("/corpus/moved/"), name)).otherwise(F.concat(F.lit("/corpus/"), "source", F.lit("/"), name))
+    text = F.concat("text", F.when(i % 13 == 0, "x").otherwise("")).cast("binary")
+    then = (F.lit(NOW) - DAY * (i % 140)).cast("long")
+    gone = i % 7 == 0  # some files have left the disk
+    disk = table(spark, d, "documents").where(~gone).select(at.alias("path"), then.alias("created_at"), then.alias("modified_at"), then.alias("accessed_at"), F.octet_length(text).cast("long").alias("size_bytes"), text.alias("content"))
+    e, _, _ = ingest.rescan(A.entities(spark, d), A.document_relations(spark, d), spark.createDataFrame([], HISTORY), disk, NOW)
+    return e.select("path", "lifecycle", F.col("id").startswith("doc-").alias("known"))
+
+
 @query("w9_index_once", f"""WITH {E}, {C}, s AS (SELECT e.path, content, e.lifecycle FROM entities e JOIN content c ON c.path = e.path WHERE e.lifecycle <> 'dead')
   SELECT path, CASE WHEN path LIKE '/corpus/src3/%' THEN 'ignored' WHEN path LIKE '%.fr' THEN 'sensitive' WHEN trim(content, ' ') = '' THEN 'no_text' ELSE 'indexed' END AS outcome FROM s""")
 def w9(spark, d):
@@ -1084,9 +1101,10 @@ def z6(spark, d):
 
 @query("z17_query_summary", "SELECT r_regionkey, 'find  \"' || r_name || '\"  state:active  ext:e' || r_regionkey || '  modified>2024-01-0' || (r_regionkey + 1) || '  size>' || r_regionkey || 'mb  limit:20' AS summary FROM region")
 def z17(spark, d):
-    rows = table(spark, d, "region").select("r_regionkey", "r_name").collect()  # five
-    made = [(k, query_language.SavedQuery("find", n, state="active", extension=f"e{k}", modified_after=f"2024-01-0{k + 1}", larger_than_mb=k).summary()) for k, n in rows]
-    return spark.createDataFrame(made, "r_regionkey int, summary string")
+    k = F.col("r_regionkey").cast("string")
+    day = F.concat(F.lit("2024-01-0"), (F.col("r_regionkey") + 1).cast("string"))
+    saved = table(spark, d, "region").select("r_regionkey", F.lit("find").alias("kind"), F.col("r_name").alias("query"), F.lit("active").alias("state"), F.concat(F.lit("e"), k).alias("extension"), day.alias("modified_after"), F.col("r_regionkey").alias("larger_than_mb"), F.lit(20).alias("limit"))
+    return saved.select("r_regionkey", query_language.summary_of(saved).alias("summary"))
 
 
 @query("z13_least_rotation", f"WITH {E} SELECT path, least(path || ',' || name, name || ',' || path) AS key FROM entities")

@@ -6,7 +6,8 @@ import json
 from dataclasses import asdict, dataclass, field, replace
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from loam.operators import search as S
 from loam.operators.find import FindFilter, build_filter, find
@@ -132,6 +133,19 @@ class SavedQuery:
         return S.ranked(hybrid(entities, vectors, texts, self.query or "", self.limit, mode=mode, metadata=f, **options), self.limit)
 
 
+def summary_of(rows: DataFrame) -> Column:
+    """``SavedQuery.summary`` for a table of saved queries, which has the fields as columns."""
+
+    def shown(label: str, name: str, after: str = "") -> Column:
+        value = F.col(name).cast("string") if name in rows.columns else F.lit(None).cast("string")
+        return F.when(value.isNotNull(), F.concat(F.lit(label), value, F.lit(after)))
+
+    text = F.to_json(F.array(F.col("query").cast("string")))
+    query = F.when(F.col("query").isNotNull(), F.substring(text, F.lit(2), F.length(text) - 2))
+    rest = [shown("state:", "state"), shown("ext:", "extension"), shown("mode:", "mode"), shown("modified>", "modified_after"), shown("created>", "created_after"), shown("size>", "larger_than_mb", "mb"), shown("limit:", "limit")]
+    return F.concat_ws("  ", F.col("kind"), query, *rest)
+
+
 @dataclass
 class SavedQueries:
     """Named queries in a JSON file."""
