@@ -631,8 +631,14 @@ def dedup(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFra
     Of rows that repeat the kept id, each different text stays once. Rows with a null id can't be told
     apart and all stay.
     """
-    judged = join(docs.select("doc_id", "text"), n, num, den)
-    kept = cut(judged.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("rows")))
-    once = docs.join(kept.where("rows = 1").select("doc_id"), "doc_id", "left_semi")
-    again = docs.join(kept.where("rows > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return once.unionByName(again).unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+    judged = cut(join(docs.select("doc_id", "text"), n, num, den).where("doc_id is not null"))
+    gone = cut(judged.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
+    # texts stay where they are while the ids of one side are few enough (counted) for a broadcast
+    few = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    left = docs.join(few(gone), "doc_id", "left_anti")  # a null id equals none
+    repeated = cut(judged.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if repeated.isEmpty():
+        return left.select(*docs.columns)
+    ids = few(repeated)
+    again = left.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(ids, "doc_id", "left_anti").unionByName(again).select(*docs.columns)
