@@ -11,11 +11,14 @@ A piece has the mark ``U+2581`` only at its front (checked when a model is loade
 crosses the start of a run of marks: the text falls into *segments* that are encoded alone, and each
 distinct one of an Arrow batch once. A bounded memo keeps segments between batches.
 
-The rows have the agenda's ids. Every whole text is checked against the sentencepiece library in its
-Arrow batch: where the two differ (it would mean a model feature that the agenda doesn't know),
-``agreed`` is false, and with ``strict`` the query fails. A model that normalises texts in another way
-than by marks for spaces is refused when it is loaded. Ids are decoded with the library. The model
-is read once, where the query is made, and goes to the tasks as a broadcast of its bytes.
+The rows have the agenda's ids, and every batch is checked against the sentencepiece library. A text
+whose words are parted by single spaces is the sequence of its segments, so each distinct segment is
+checked, when the agenda has first encoded it; other texts are checked whole, and so is every text once
+a segment has differed. Where agenda and library differ (it would mean a model feature that the
+agenda doesn't know), ``agreed`` is false, and with ``strict`` the query fails. A model that normalises
+texts in another way than by marks for spaces is refused when it is loaded. Ids are decoded with the
+library. The model is read once, where the query is made, and goes to the tasks as a broadcast of its
+bytes; a task gives the memo's memory back when it ends.
 
 Edge cases: a null or empty text has the begin and end ids only and decodes to the empty text; a
 text of any length is encoded whole; equal scores go from left to right; repeated rows repeat; an
@@ -33,9 +36,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from loam.llm import bytework as bw
+
 MARK = "▁"
-MEMO_SEGMENTS = 400_000
-MEMO_IDS = 4_000_000
+MEMO_SEGMENTS = 100_000
+MEMO_IDS = 1_000_000
+CHECKED = 10_000
 BATCH_CHARS = 1_500_000
 #: A model whose normaliser folds, strips or maps characters shows on one of these.
 PROBES = ("a", " a", "a ", "a  b", "  ", "ﬁ Ａ ① é é", "tab\there\nline\r\n", " 　​﻿", "Ⅳ ｶﾞ ㌔ ½", "UPPER lower", MARK + "x" + MARK)
@@ -74,7 +80,10 @@ class Encoder:
                 if a is not None and b is not None:
                     self.pairs[a, b] = (place[score[p]], i)
         self.memo: dict[str, list[int]] = {}
+        self.elder: dict[str, list[int]] = {}  # the memo before it was full
         self.held = 0
+        self.fresh: list[tuple[str, list[int]]] = []  # segments that the library hasn't seen yet
+        self.doubt = False  # a segment has differed: whole texts are compared from then on
         for text in PROBES:
             if self.ids(text) != sp.encode(text):
                 raise ValueError("the model isn't a merge-type model without a normaliser")
@@ -123,34 +132,56 @@ class Encoder:
         """The text with its added mark, cut in front of every run of marks; each without its first mark."""
         if not text:
             return []
-        if "  " not in text and MARK not in text and text[0] != " " and text[-1] != " ":
+        if Encoder.plain(text):
             return text.split(" ")
         return _SEGMENT.findall(MARK + text.replace(" ", MARK))
 
+    @staticmethod
+    def plain(text: str) -> bool:
+        """Whether single spaces part the text's words, and nothing else stands for a space."""
+        return "  " not in text and MARK not in text and text[:1] != " " and text[-1:] != " "
+
     def ids(self, text: str) -> list[int]:
         """Ids of a text by the agenda, without begin and end."""
         memo, out = self.memo, []
         for s in self.segments(text):
             got = memo.get(s)
             if got is None:
-                got = self.agenda(MARK + s)
-                if self.held > MEMO_IDS or len(memo) > MEMO_SEGMENTS:
-                    memo.clear()
-                    self.held = 0
+                got = self.elder.get(s)
+                if got is None:
+                    got = self.agenda(MARK + s)
+                    self.fresh.append((s, got))
+                if self.held > MEMO_IDS or len(memo) > MEMO_SEGMENTS:  # what isn't met again goes
+                    self.elder, self.memo, self.held = memo, {}, 0
+                    memo = self.memo
                 memo[s] = got
                 self.held += len(got)
             out += got
         return out
 
+    def release(self) -> None:
+        """Give up the memo and its memory: an idle worker's counts against the executor."""
+        self.memo, self.elder, self.held = {}, {}, 0
+        self.fresh.clear()
+        bw.give_back()
+
     def encode(self, texts: list[str]) -> list[tuple[list[int], bool]]:
         """The agenda's ids of every text, without begin and end, and whether the library has the same."""
-        out = []
-        for text, theirs in zip(texts, self.lib.encode(texts, num_threads=1) if texts else []):
-            mine = self.ids(text)
-            if mine != theirs and self.strict:
-                raise EncodingMismatch(f"the agenda and the library differ on a text of {len(text)} characters")
-            out.append((mine, mine == theirs))
-        return out
+        self.fresh.clear()
+        mine = [self.ids(t) for t in texts]
+        asked = [x for x in self.fresh if MARK not in x[0]]  # others are parts of texts that are compared whole
+        self.fresh.clear()
+        for i in range(0, len(asked), CHECKED):
+            part = asked[i : i + CHECKED]
+            theirs = self.lib.encode([s for s, _ in part], num_threads=1)
+            self.doubt |= any(got != t for (_, got), t in zip(part, theirs))
+        whole = [i for i, t in enumerate(texts) if self.doubt or not self.plain(t)]
+        agreed = [True] * len(texts)
+        for i, theirs in zip(whole, self.lib.encode([texts[i] for i in whole], num_threads=1) if whole else ()):
+            agreed[i] = mine[i] == theirs
+            if self.strict and not agreed[i]:
+                raise EncodingMismatch(f"the agenda and the library differ on a text of {len(texts[i])} characters")
+        return list(zip(mine, agreed))
 
 
 _SEGMENT = re.compile(f"{MARK}({MARK}*[^{MARK}]*)")
@@ -205,5 +236,6 @@ def digest(docs: DataFrame, model: str | bytes, begin: int = 1, end: int = 2, st
                     agreed.append(same)
             cols = [batch.column(i) for i in range(len(fields))]
             yield pa.record_batch([*cols, pa.array(n, pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded, pa.string()), pa.array(agreed)], names=[*fields, "n_tokens", "ids_sha256", "decoded_sha256", "agreed"])
+        enc.release()
 
     return docs.select(*fields, "text").mapInArrow(run, schema)
