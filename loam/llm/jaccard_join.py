@@ -225,14 +225,16 @@ def _shared(homes: int):
         key, doc = key[order], doc[order]
         home, own_home = home_of(doc), home_of(ids)
         edge = np.r_[0, np.cumsum(held)].astype(np.int64)
+        by, own_by = np.argsort(home, kind="stable"), np.argsort(own_home, kind="stable")  # by home once, in order within each
+        key, doc, home, own_home = key[by], doc[by], home[by], own_home[own_by]
+        present = np.union1d(home, own_home)
+        ends = [np.searchsorted(x, present, side).tolist() for x in (home, own_home) for side in ("left", "right")]
         rows = []
-        for b in range(homes):
-            mine, own = np.flatnonzero(home == b), np.flatnonzero(own_home == b)
-            if not len(mine) and not len(own):
-                continue
-            docs, count = np.unique(doc[mine], return_counts=True)
+        for b, lo, hi, own_lo, own_hi in zip(present.tolist(), *ends):
+            own = own_by[own_lo:own_hi]
+            docs, count = np.unique(doc[lo:hi], return_counts=True)
             group, inner = bw.ragged(held[own])
-            rows.append((b, bw.pack(np.diff(docs, prepend=0).astype("<i8"), count.astype("<i4"), key[mine].astype("<u8"), ids[own], size[own], held[own], keys[edge[own][group] + inner])))
+            rows.append((b, bw.pack(np.diff(docs, prepend=0).astype("<i8"), count.astype("<i4"), key[lo:hi].astype("<u8"), ids[own], size[own], held[own], keys[edge[own][group] + inner])))
         return pa.table({"home": pa.array([b for b, _ in rows], pa.int32()), "payload": pa.array([p for _, p in rows], pa.binary())})
 
     return bw.trimmed(run)
@@ -391,9 +393,6 @@ def forest(tree: PrefixTree) -> list[tuple[int, int]]:
     out, at, width = [], 0, 1
     order = np.argsort(-tree.sizes, kind="stable")
     while at < len(order):
-        names = {}
-        for q in order[at:].tolist():
-            names.setdefault(find(q), []).append(q)
         if len({find(i) for i in range(len(root))}) == 1:
             break
         a, b = tree.probe(order[at : at + width])
