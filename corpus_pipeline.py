@@ -17,8 +17,8 @@ apart, so stage 2 keeps them all; of rows that repeat an id, stage 2 keeps each
 the id stays; ties go to the smallest id; texts of any length are read whole in every stage; empty
 tables pass through every stage; columns other than those of ``documents`` are dropped in stage 1.
 
-``run`` removes a stage's table once the next one is written; the last one's stays, as the result is
-read from it.
+``run`` removes what a stage's operator has written on its way when the stage's table is written, and
+that table once the next one is; the last one's stays, as the result is read from it.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from loam.llm import decontaminate, jaccard_join, language_id, pieces, secrets
 from loam.llm.registry import piece_model
-from loam.session import ensure_checkpoint_dir, table
+from loam.session import delete_path, ensure_checkpoint_dir, scratch, table
 
 LANGUAGE_SHARE = 0.4
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -78,10 +78,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
+        with scratch(spark):  # what the stage's operator writes on its way goes with it
+            stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
         docs = spark.read.parquet(f"{at}/{name}")
         if before:
-            path = spark._jvm.org.apache.hadoop.fs.Path(before)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            delete_path(spark, before)
         before = f"{at}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
