@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,26 +59,26 @@ def reverse_deps_many(relations: DataFrame, starts: list[str], depth: int = 5) -
     starts = list(dict.fromkeys(starts))
     edges = stored(relations.select("from_path", "to_path", "kind"))
     rows = [(s, i // STARTS_A_WORD, 1 << i % STARTS_A_WORD) for i, s in enumerate(starts)]
-    seen = frontier = spark.createDataFrame(rows, "path string, word int, bits long")
+    last = spark.createDataFrame(rows, "path string, word int, bits long")
     n_seen = n_new = len(rows)
-    found = []
+    parts, found = [last], []
+    together = lambda df, name: df.groupBy("path", "word").agg(F.bit_or("bits").alias(name))
     for hop in range(1, depth + 1):
+        frontier, seen = together(last, "bits"), together(reduce(DataFrame.unionByName, parts), "old")
         step = edges.join(_small(frontier.withColumnRenamed("path", "to_path"), n_new), "to_path").groupBy(F.col("from_path").alias("path"), "word", "kind").agg(F.bit_or("bits").alias("bits"))
-        met = step.join(_small(seen.withColumnRenamed("bits", "old"), n_seen), ["path", "word"], "left")
+        met = step.join(_small(seen, n_seen), ["path", "word"], "left")
         left = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("old", F.lit(0).cast("long"))))
         new = cut(met.select("path", "word", "kind", left.alias("bits")).where("bits <> 0"))
-        if new.isEmpty():
+        n_new = new.count()  # at least as many as the frontier has
+        if not n_new:
             break
+        n_seen += n_new
+        last = new.select("path", "word", "bits")
+        parts.append(last)
         found.append(new.withColumn("depth", F.lit(hop)))
-        frontier = cut(new.groupBy("path", "word").agg(F.bit_or("bits").alias("bits")))
-        n_new = frontier.count()
-        seen = cut(seen.unionByName(frontier).groupBy("path", "word").agg(F.bit_or("bits").alias("bits")))
-        n_seen = seen.count()
     if not found:
         return spark.createDataFrame([], "start string, path string, kind string, depth int")
-    every = found[0]
-    for f in found[1:]:
-        every = every.unionByName(f)
+    every = reduce(DataFrame.unionByName, found)
     bit = F.explode(F.sequence(F.lit(0), F.lit(STARTS_A_WORD - 1))).alias("bit")
     single = every.select("*", bit).where(F.expr("shiftright(bits, bit) & 1 = 1")).groupBy("path", "depth", (F.col("word") * STARTS_A_WORD + F.col("bit")).alias("at")).agg(F.min("kind").alias("kind"))
     names = F.broadcast(spark.createDataFrame(list(enumerate(starts)), "at int, start string"))  # the stated list
