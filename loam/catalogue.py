@@ -11,7 +11,7 @@ from loam.functions import scalars as Z
 from loam.operators import diff, duplicates, export, find, graph, lifecycle, maintain, related, search
 from loam.plans import context, ingest, query_language
 from loam.schema import DAY, ENTITY_COLUMNS, HISTORY, NOW
-from loam.session import ensure_checkpoint_dir, table
+from loam.session import scratch_path, table
 from loam.sources import adapters as A
 from loam.sources import paths, scan
 from loam.streaming import rename as rename_feed
@@ -420,7 +420,7 @@ def l2(spark, d):
 @query("l3_due_refresh", f"""WITH {E}, n AS (SELECT path, lifecycle, ({NOW} + 45 * {DAY} - accessed_at) // {DAY} AS days FROM entities WHERE lifecycle <> 'dead'),
 s AS (SELECT path, lifecycle AS old_lifecycle, CASE WHEN days <= 30 THEN 'active' WHEN days <= 90 THEN 'dormant' ELSE 'archived' END AS new_lifecycle FROM n) SELECT * FROM s WHERE old_lifecycle <> new_lifecycle""")
 def l3(spark, d):
-    t = lifecycle.DueTable(spark, _own_folder(spark, "due"))
+    t = lifecycle.DueTable(spark, scratch_path(spark, "due"))
     t.write(A.entities(spark, d), NOW)
     return t.refresh(NOW + 45 * DAY)
 
@@ -672,7 +672,7 @@ def s12_follow(spark, d):
 def s1_tree(spark, d):
     from loam.sources import tree
 
-    at = _own_folder(spark, "tree")
+    at = scratch_path(spark, "tree")
     table(spark, d, "documents").select("source", F.coalesce("text", F.lit("")).alias("text")).write.partitionBy("source").text(at)
     files = tree.with_hash(tree.listing(spark, at).where(~F.col("path").endswith(".crc") & ~F.col("path").endswith("_SUCCESS")))
     by = files.groupBy(F.regexp_extract("path", "/source=([^/]*)/", 1).alias("source"))
@@ -802,16 +802,9 @@ def q15(spark, d):
     return s.run_saved_query("old").select("path", "modified_at")
 
 
-def _own_folder(spark, name: str) -> str:
-    """A new folder in the shared one, for what a query stores on its way."""
-    import uuid
-
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _index(spark, d) -> search.TextIndex:
     """The documents' texts in a stored index, of which a part came in later."""
-    index = search.TextIndex(spark, _own_folder(spark, "index"))
+    index = search.TextIndex(spark, scratch_path(spark, "index"))
     t = A.content(spark, d)
     late = F.pmod(F.crc32(F.col("path").cast("binary")), F.lit(5)) == 0
     index.add(t.select("path", "name", F.when(late, "that with").otherwise(F.substring("content", 1, 4000)).alias("content")))
@@ -1065,7 +1058,7 @@ def o5(spark, d):
 
 @query("x4_dot_document", f"""WITH {E}, {D} SELECT 'digraph files {{' AS line UNION ALL SELECT '  "' || path || '";' FROM entities UNION ALL SELECT '  "' || from_path || '" -> "' || to_path || '" [label="' || kind || '"];' FROM doc_relations UNION ALL SELECT '}}'""")
 def x4(spark, d):
-    to = _own_folder(spark, "export") + "/all.dot"
+    to = scratch_path(spark, "export") + "/all.dot"
     export.write("dot", A.entities(spark, d), A.document_relations(spark, d), to)
     return spark.read.text(to).withColumnRenamed("value", "line")
 

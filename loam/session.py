@@ -45,7 +45,7 @@ _OWNED: ContextVar[list[str] | None] = ContextVar("owned", default=None)
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Own the tables that ``cut`` writes within: they are deleted at the end.
+    """Own what is written within by ``cut`` and under ``scratch_path``: it is deleted at the end.
 
     So the results must have been written or collected by then. Scopes nest; without one, the tables
     stay until whoever owns the shared folder clears it.
@@ -60,6 +60,14 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             delete_path(spark, at)
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which the innermost ``scratch`` owns."""
+    at = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if (own := _OWNED.get()) is not None:
+        own.append(at)
+    return at
+
+
 def delete_path(spark: SparkSession, at: str) -> None:
     """Delete a file or folder, through the file system that its name asks for."""
     path = spark._jvm.org.apache.hadoop.fs.Path(at)
@@ -74,12 +82,10 @@ def cut(df: DataFrame) -> DataFrame:
     ``scratch`` owns the table.
     """
     spark = df.sparkSession
-    at = f"{ensure_checkpoint_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
     plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])  # names that differ by case alone can't be written
     if "void" in plain.schema.simpleString():
         return df.checkpoint(eager=True)
-    if (own := _OWNED.get()) is not None:
-        own.append(at)
+    at = scratch_path(spark, "cut")
     plain.write.option("compression", "snappy").parquet(at)
     return spark.read.schema(plain.schema).parquet(at).toDF(*df.columns)
 
