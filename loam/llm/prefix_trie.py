@@ -39,7 +39,6 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loam.llm import bytework as bw
 from loam.session import cut, shuffle_width
 
 GROUP = 20

@@ -9,7 +9,6 @@ from collections import defaultdict
 import numpy as np
 import pytest
 import xxhash
-from pyspark.sql import functions as F
 
 from loam.llm import ball_kmeans, prefix_trie, simhash
 
