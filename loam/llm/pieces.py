@@ -5,7 +5,8 @@ of adjacent symbol pairs, ordered by the score of the piece they would form and
 right, is worked off until it is empty; symbols that are no piece fall back to byte pieces. The
 agenda is a heap over linked symbols: a merge takes the head, drops it if one of its symbols has
 gone, and puts in the two pairs that the new symbol makes with its neighbours. So a run of ``n``
-characters takes ``O(n log n)``, whether spaces break it or not.
+characters takes ``O(n log n)``, whether spaces break it or not. In a word of up to ``SHORT``
+characters the agenda is a plain list, which is shorter than a heap's bookkeeping.
 
 A piece has the mark ``U+2581`` only at its front (checked when a model is loaded), so no merge
 crosses the start of a run of marks: the text falls into *segments* that are encoded alone, and each
@@ -42,6 +43,9 @@ MARK = "▁"
 MEMO_SEGMENTS = 100_000
 MEMO_IDS = 1_000_000
 CHECKED = 10_000
+SHORT = 24
+NEVER = 1 << 60
+NOTHING = (NEVER, -1)
 BATCH_CHARS = 1_500_000
 #: A model whose normaliser folds, strips or maps characters shows on one of these.
 PROBES = ("a", " a", "a ", "a  b", "  ", "ﬁ Ａ ① é é", "tab\there\nline\r\n", " 　​﻿", "Ⅳ ｶﾞ ㌔ ½", "UPPER lower", MARK + "x" + MARK)
@@ -90,6 +94,41 @@ class Encoder:
 
     def agenda(self, segment: str) -> list[int]:
         """The ids of one segment."""
+        return self._short(segment) if len(segment) <= SHORT else self._long(segment)
+
+    def _short(self, segment: str) -> list[int]:
+        """The agenda of a word: a list of the pairs' places, whose first least is the head."""
+        pairs, own = self.pairs, self.char_symbol
+        symbol = [own.get(c, -1) for c in segment]
+        made = [pairs.get(x, NOTHING) for x in zip(symbol, symbol[1:])]
+        place = [m[0] for m in made]
+        left = list(segment)  # what each symbol begins with: for those that are no piece, all of it
+        while place:
+            best = min(place)
+            if best == NEVER:
+                break
+            i = place.index(best)
+            piece = symbol[i] = made[i][1]
+            del symbol[i + 1], left[i + 1], made[i], place[i]
+            if i < len(place):
+                made[i] = m = pairs.get((piece, symbol[i + 1]), NOTHING)
+                place[i] = m[0]
+            if i:
+                made[i - 1] = m = pairs.get((symbol[i - 1], piece), NOTHING)
+                place[i - 1] = m[0]
+        vocab = self.vocab
+        if all(0 <= x < vocab for x in symbol):
+            return symbol
+        out = []
+        for x, c in zip(symbol, left):
+            if 0 <= x < vocab:
+                out.append(x)
+            else:
+                out += [self.byte_ids[b] for b in c.encode("utf-8", "surrogatepass")]
+        return out
+
+    def _long(self, segment: str) -> list[int]:
+        """The agenda as a heap over linked symbols."""
         pairs, own = self.pairs, self.char_symbol
         symbol = [own.get(c, -1) for c in segment]
         n = len(symbol)

@@ -542,6 +542,15 @@ def test_agenda_is_checked(monkeypatch):
         pieces.Encoder(pieces.read_model(MODEL))
 
 
+def test_both_forms_of_the_agenda():
+    """The list of a short word and the heap of a long one give the same pieces, as the library does."""
+    e, r = pieces.Encoder(pieces.read_model(MODEL)), random.Random(2)
+    letters = "abcdefghijklmnopqrstuvwxyz\u00e4\u00e90123.\n\u6f22\U0001f389"
+    words = ["".join(r.choice(letters) for _ in range(r.randint(1, pieces.SHORT + 6))) for _ in range(3000)]
+    for w, want in zip(words, e.lib.encode(words)):
+        assert e._short(pieces.MARK + w) == e._long(pieces.MARK + w) == want
+
+
 def test_unbroken_texts_of_a_megabyte():
     import time
 
