@@ -28,9 +28,12 @@ empty table gives an empty result; further columns of the input are ignored by `
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import re
+import sys
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -100,32 +103,24 @@ class Encoder:
         """The agenda of a word: a list of the pairs' places, whose first least is the head."""
         pairs, own = self.pairs, self.char_symbol
         symbol = [own.get(c, -1) for c in segment]
+        if min(symbol) < 0 or max(symbol) >= self.vocab:  # a character that is no piece may be left over
+            return self._long(segment)
         made = [pairs.get(x, NOTHING) for x in zip(symbol, symbol[1:])]
         place = [m[0] for m in made]
-        left = list(segment)  # what each symbol begins with: for those that are no piece, all of it
         while place:
             best = min(place)
             if best == NEVER:
                 break
             i = place.index(best)
             piece = symbol[i] = made[i][1]
-            del symbol[i + 1], left[i + 1], made[i], place[i]
+            del symbol[i + 1], made[i], place[i]
             if i < len(place):
                 made[i] = m = pairs.get((piece, symbol[i + 1]), NOTHING)
                 place[i] = m[0]
             if i:
                 made[i - 1] = m = pairs.get((symbol[i - 1], piece), NOTHING)
                 place[i - 1] = m[0]
-        vocab = self.vocab
-        if all(0 <= x < vocab for x in symbol):
-            return symbol
-        out = []
-        for x, c in zip(symbol, left):
-            if 0 <= x < vocab:
-                out.append(x)
-            else:
-                out += [self.byte_ids[b] for b in c.encode("utf-8", "surrogatepass")]
-        return out
+        return symbol
 
     def _long(self, segment: str) -> list[int]:
         """The agenda as a heap over linked symbols."""
@@ -238,6 +233,11 @@ def worker_encoder(name: str, model: Callable[[], bytes], strict: bool = False)
     return _WORKERS[name, strict]
 
 
+def words(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    return array("I", ids).tobytes() if array("I").itemsize == 4 and sys.byteorder == "little" else np.array(ids, "<u4").tobytes()
+
+
 def blocks(texts: Iterator[str | None]) -> Iterator[list[str]]:
     """Texts in lists of about ``BATCH_CHARS`` characters; a longer text stands alone."""
     held, n = [], 0
@@ -264,17 +264,24 @@ def digest(docs: DataFrame, model: str | bytes, begin: int = 1, end: int = 2, st
 
     def run(batches):
         enc = worker_encoder(name, lambda: shared.value, strict)
+        gc.disable()  # the memo's many lists make no cycles, and would be looked through again and again
+        try:
+            yield from encoded(enc, batches)
+        finally:
+            gc.enable()
+            enc.release()
+
+    def encoded(enc, batches):
         for batch in batches:
             n, hashes, decoded, agreed = [], [], [], []
             for texts in blocks(x.as_py() for x in batch.column(batch.num_columns - 1)):
                 for ids, same in enc.encode(texts):
                     whole = [begin, *ids, end]
                     n.append(len(whole))
-                    hashes.append(hashlib.sha256(np.array(whole, "<u4").tobytes()).hexdigest())
+                    hashes.append(hashlib.sha256(words(whole)).hexdigest())
                     decoded.append(hashlib.sha256(enc.lib.decode(whole).encode("utf-8")).hexdigest())
                     agreed.append(same)
             cols = [batch.column(i) for i in range(len(fields))]
             yield pa.record_batch([*cols, pa.array(n, pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded, pa.string()), pa.array(agreed)], names=[*fields, "n_tokens", "ids_sha256", "decoded_sha256", "agreed"])
-        enc.release()
 
     return docs.select(*fields, "text").mapInArrow(run, schema)
