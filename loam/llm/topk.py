@@ -47,6 +47,7 @@ SEGMENT_ROWS = 2
 RESCORE = 64
 TRIED = 24
 CHECKS = 9
+COMPRESS = 16  # bounds are formed for the rows still possible alone once they are this few a part of all
 MOST_TASKS = 10_000
 _PROVED: dict[str, dict[int, int]] = {}
 
@@ -160,7 +161,7 @@ class BlockIndex:
             done = stop
             next_ = np.clip(np.where(up, self.segment[:-1] + passed, self.segment[1:] - 1 - passed), 0, max(0, len(gain) - 1))
             left = np.where(passed < count, gain[next_], 0).astype(np.float32) if len(gain) else np.zeros(self.d, np.float32)
-            known = grid if len(alive) * 2 > n else grid[:, alive]
+            known = grid if len(alive) * COMPRESS > n else grid[:, alive]
             bound = (left - slack) @ known
             upper = lower[alive] + float(left.sum()) - (bound[alive] if known is grid else bound) + 1e-5 * (1 + float(left.sum()))
             if enough and done:  # the most promising rows are scored: their k-th best is a sure bound
