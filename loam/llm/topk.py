@@ -5,21 +5,23 @@ A block's index orders each dimension's postings by value and cuts them into seg
 *quantised* value; the width of a level follows the dimension's range and the block's rows
 (``SEGMENT_ROWS``), and is one where there are enough of them, so that nothing is lost. For a query,
 a segment's impact is the query's component times its best value; all segments of all dimensions are
-processed by descending impact (more exactly: by the gain over the dimension's worst value), and
-each adds its quantised impact to its rows' accumulators.
+processed by descending impact (more exactly: by the gain over the dimension's worst value, in
+``LEVELS`` steps), and each adds its quantised impact to its rows' accumulators.
 
-At ``CHECKS`` points of the way each row's score is known to lie between its accumulator and the
+At up to ``CHECKS`` points of the way each row's score is known to lie between its accumulator and the
 accumulator plus, for each dimension in which the row hasn't been met, the impact of that
-dimension's next segment, and plus the width of the levels in which it has. The ``TRIED`` most
+dimension's next segment, and plus the width of the levels in which it has. The first point follows
+the share of postings that the block's other queries have needed. The ``TRIED`` most
 promising rows are scored there, and the k-th best of those scores is a bound that the result can't
 stay under. Processing stops only on proof: when few rows (``RESCORE``) can still reach the bound, or
 nothing is left. All rows that can are rescored exactly, so the result is exact whatever the stop.
 
 The k-th best score that a worker has proved for a query in one block is a threshold for its next
 blocks. Queries come in blocks too; a pair of blocks is one group of bounded size, and each gives k
-rows a query at most, which are merged by a ranking. Pairs are dealt to as many tasks as there are,
-by number and not by bytes. Work grows with queries times rows, as it must for an exact answer: the
-packed queries travel once to each block of rows, ``queries * rows / BLOCK_ROWS`` vectors in all.
+rows a query at most, which are merged by a ranking. There are only as many blocks of queries as make
+``PAIRS`` pairs or hold ``MOST_QUERIES`` each, and at most ``MOST_TASKS`` tasks, so what is shuffled and what
+the driver keeps of tasks stay small. Work grows with queries times rows, as it must for an exact
+answer: packed queries travel once to each block of rows, and a block of rows to each block of queries.
 
 Edge cases: vectors that are null or hold null or non-finite components take no part; vectors of
 different lengths are compared on their common components; ties go to the smaller id; a query's own
@@ -38,17 +40,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.llm import bytework as bw
-from loam.session import cut
 
 SCALE = 256
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 8192
 BLOCK_QUERIES = 512
+MOST_QUERIES = 16_384
+PAIRS = 200
 SEGMENT_ROWS = 2
 RESCORE = 64
 TRIED = 24
 CHECKS = 9
+FIRST = 0.3  # of the postings, which are read before the first check at least
+NEAR = 0.08  # checks begin by so much before the share of postings that the block's queries have read so far
+LEVELS = 1023
 COMPRESS = 16  # bounds are formed for the rows still possible alone once they are this few a part of all
-MOST_TASKS = 10_000
+MOST_TASKS = 1_000
 _PROVED: dict[str, dict[int, int]] = {}
 
 
@@ -105,16 +111,22 @@ class BlockIndex:
         flat = np.flatnonzero(new)
         self.dim, self.size = dim, np.diff(np.r_[flat, self.d * self.n])  # of the segments of the flattened postings
         self.segment = np.searchsorted(dim, np.arange(self.d + 1))  # a dimension's first one
+        self.upto = np.r_[flat, self.d * self.n]  # postings before a segment
         top, low = self.values.ravel()[flat], self.values.ravel()[flat + self.size - 1]
         self.most, self.least = (self.values[:, 0], self.values[:, -1]) if self.n else (np.zeros(self.d, np.int64),) * 2
         self.above, self.below = top - self.least[dim], self.most[dim] - low  # a segment's best, for weights above and below 0
         self.wide = np.zeros(self.d, np.int64)
         np.maximum.at(self.wide, dim, top - low)
         # what each posting is sure to gain for a unit of weight above 0, and below
-        self.posted = np.stack([np.repeat(low - self.least[dim], self.size), np.repeat(self.most[dim] - top, self.size)]).astype(np.float64).reshape(2, self.d, self.n)
+        kind = np.float32 if int(spread.max(initial=0)) < 1 << 24 else np.float64  # exact either way
+        self.posted = [np.repeat(low - self.least[dim], self.size).astype(kind), np.repeat(self.most[dim] - top, self.size).astype(kind)]
         self.flat = self.order.ravel()
-        self.cell = (self.order + np.arange(self.d)[:, None] * self.n).ravel()
-        self.read = self.rescored = 0
+        self.rank = np.empty((self.d, self.n), np.uint16 if self.n < 1 << 16 else np.int64)  # a row's place in each dimension
+        np.put_along_axis(self.rank, self.order, np.arange(self.n, dtype=self.rank.dtype)[None, :], 1)
+        # memory that all queries use again
+        self.held, self.met = (np.empty(self.d * self.n, np.int64), np.empty(self.d * self.n)), np.empty((self.d, self.n), np.float32)
+        self.read = self.rescored = self.asked = 0
+        self.share = FIRST  # of the postings that queries have read, on average
 
     def search(self, q: np.ndarray, k: int, theta: int | None, own: int) -> tuple[np.ndarray, np.ndarray]:
         """Rows that may be among the k best for ``q``, with exact scores; all that reach ``theta`` or the k-th best."""
@@ -122,25 +134,25 @@ class BlockIndex:
         weight = np.zeros(self.d, np.int64)
         weight[:d] = q[:d]
         hidden = self.ids == own
-        up, force = weight > 0, np.abs(weight)
-        gain = np.where(up[self.dim], self.above, self.below) * force[self.dim]
-        order = np.argsort(-gain)
-        order = order[: int(np.count_nonzero(gain))]  # no gain: worst values, which the base counts
+        up, force, count = weight > 0, np.abs(weight), np.diff(self.segment)
+        gain = np.where(np.repeat(up, count), self.above, self.below) * np.repeat(force, count)
+        best = int(gain.max(initial=0))
+        # impacts in levels; at level 0 are worst values, which the base counts
+        level = np.ceil(gain * (LEVELS / max(1, best))).astype(np.int64)
         base = float((weight * np.where(up, self.least, self.most)).sum())
-        dim, read = self.dim[order], np.cumsum(self.size[order])
-        wanted = np.linspace(0.3, 1, CHECKS) * (read[-1] if len(read) else 0)
-        stops = np.minimum(np.searchsorted(read, wanted) + 1, len(order))
-        impact = (self.posted[(~up).astype(np.int64), np.arange(self.d)] * force[:, None]).ravel()
-        lower, met = np.full(n, base), np.zeros(n * self.d, np.float32)
+        read = np.cumsum(np.bincount(level, self.size, LEVELS + 2)[:0:-1])  # postings of this level and the ones above it, from the highest
+        wanted = np.linspace(max(FIRST, self.share - NEAR), 1, CHECKS) * read[-1]
+        stops = np.unique(np.searchsorted(read, wanted)) if best else ()
+        lower = np.full(n, base)
         lower[hidden] = -np.inf
         enough = n - int(hidden.sum()) >= k
         need = -np.inf if theta is None else float(theta)
         slack = (force * self.wide).astype(np.float32)  # what a row met in a dimension may have beyond its quantised impact
-        edge, count = np.arange(self.d) * n, np.diff(self.segment)
-        done, taken, passed = 0, np.zeros(self.d, np.int64), np.zeros(self.d, np.int64)
+        side = np.where(up, 1, -1).astype(np.float32)
+        edge = np.arange(self.d) * n
+        done, taken = 0, np.zeros(self.d, np.int64)
         value, scored = np.zeros(n, np.int64), np.zeros(n, bool)
         alive = np.flatnonzero(~hidden)  # a row that can't reach the bound never will: bounds fall, what is needed grows
-        grid = met.reshape(self.d, n)
 
         def exact(rows: np.ndarray) -> np.ndarray:
             fresh = rows[~scored[rows]]
@@ -148,22 +160,32 @@ class BlockIndex:
             self.rescored += len(fresh)
             return value[rows]
 
-        for stop in [0, *stops.tolist()]:
-            # the step's segments of a dimension lie side by side, from its upper end or its lower one
-            more = np.bincount(dim[done:stop], self.size[order[done:stop]], self.d).astype(np.int64)
-            begin = np.where(up, edge + taken, edge + n - taken - more)
-            parts = [slice(x, x + m) for x, m in zip(begin.tolist(), more.tolist()) if m]
-            if parts:
-                lower += np.bincount(np.concatenate([self.flat[p] for p in parts]), np.concatenate([impact[p] for p in parts]), n)
-                met[np.concatenate([self.cell[p] for p in parts])] = 1
-            taken += more
-            passed += np.bincount(dim[done:stop], minlength=self.d)
-            done = stop
+        for stop in [None, *stops]:
+            passed = np.zeros(self.d, np.int64)
+            if stop is not None:
+                passed = np.add.reduceat(level > LEVELS - stop, self.segment[:-1], dtype=np.int64)
+                total = np.where(up, self.upto[self.segment[:-1] + passed] - edge, edge + n - self.upto[self.segment[1:] - passed])
+                # the step's segments of a dimension lie side by side, from its upper end or its lower one
+                more = total - taken
+                begin = np.where(up, edge + taken, edge + n - total)
+                parts = [(slice(x, x + m), f, 0 if u else 1) for x, m, f, u in zip(begin.tolist(), more.tolist(), force.tolist(), up.tolist()) if m]
+                if parts:
+                    m = int(more.sum())
+                    rows, gained = self.held[0][:m], self.held[1][:m]
+                    np.concatenate([self.flat[p] for p, _, _ in parts], out=rows)
+                    np.concatenate([self.posted[u][p] for p, _, u in parts], out=gained)
+                    gained *= np.repeat(force, more)
+                    lower += np.bincount(rows, gained, n)
+                taken, done = total, int(total.sum())
             next_ = np.clip(np.where(up, self.segment[:-1] + passed, self.segment[1:] - 1 - passed), 0, max(0, len(gain) - 1))
             left = np.where(passed < count, gain[next_], 0).astype(np.float32) if len(gain) else np.zeros(self.d, np.float32)
-            known = grid if len(alive) * COMPRESS > n else grid[:, alive]
-            bound = (left - slack) @ known
-            upper = lower[alive] + float(left.sum()) - (bound[alive] if known is grid else bound) + 1e-5 * (1 + float(left.sum()))
+            # a row is met in a dimension if its place is among the ones taken
+            places = self.rank if len(alive) * COMPRESS > n else self.rank[:, alive]
+            known = self.met[:, : places.shape[1]]
+            np.less(places, np.where(up, taken, n - taken)[:, None].astype(places.dtype), out=known, casting="unsafe")
+            change = left - slack
+            bound = (change * side) @ known + float(change[~up].sum())
+            upper = lower[alive] + float(left.sum()) - (bound[alive] if places is self.rank else bound) + 1e-5 * (1 + float(left.sum()) + float(slack.sum()))
             if enough and done:  # the most promising rows are scored: their k-th best is a sure bound
                 near = alive[np.argpartition(lower[alive] + upper, -min(len(alive), TRIED))[-TRIED:]] if len(alive) else alive
                 if len(near) >= k:
@@ -171,20 +193,23 @@ class BlockIndex:
             alive = alive[upper >= need]
             if len(alive) <= RESCORE:
                 break
-        self.read += int(read[done - 1]) if done else 0
+        self.read += done
+        if len(read) and read[-1]:
+            self.asked += 1
+            self.share += (done / read[-1] - self.share) / min(self.asked, 16)
         return self.ids[alive], exact(alive)
 
 
 def score_pairs(k: int, run_id: str):
-    def run(table: pa.Table) -> pa.Table:
+    def run(index: pa.Table, queries: pa.Table) -> pa.Table:
         proved = _PROVED.get(run_id)
         if proved is None:
             _PROVED.clear()
             proved = _PROVED[run_id] = {}
-        out_q, out_v, out_s = [], [], []
-        for index, queries in zip(table.column("index"), table.column("queries")):
-            block = BlockIndex(index.as_py())
-            shape, qids, m = bw.unpack(queries.as_py(), "<i8 <i8 <i8")
+        out_q, out_v, out_s = [[np.zeros(0, np.int64)] for _ in range(3)]
+        if index.num_rows and queries.num_rows:
+            block = BlockIndex(index.column("payload")[0].as_py())
+            shape, qids, m = bw.unpack(queries.column("payload")[0].as_py(), "<i8 <i8 <i8")
             if len(proved) > 1_000_000:  # thresholds only save work
                 proved.clear()
             for qid, q in zip(qids.tolist(), m.reshape(int(shape[0]), int(shape[1]))):
@@ -198,17 +223,27 @@ def score_pairs(k: int, run_id: str):
     return run
 
 
+def query_blocks(n_queries: int, blocks: int) -> int:
+    """As few as the bound on a block's queries allows, but enough pairs for many tasks while blocks have ``BLOCK_QUERIES``."""
+    return max(1, -(-n_queries // MOST_QUERIES), min(-(-n_queries // BLOCK_QUERIES), -(-PAIRS // blocks)))
+
+
 def search(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k best of ``rows`` for each of ``queries`` (both ``id, v``)."""
     n_rows, n_queries = rows.count(), queries.count()
-    blocks, q_blocks = max(1, -(-n_rows // BLOCK_ROWS)), max(1, -(-n_queries // BLOCK_QUERIES))
+    blocks = max(1, -(-n_rows // BLOCK_ROWS))
+    q_blocks = query_blocks(n_queries, blocks)
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    index = cut(dealt.groupBy("block").applyInArrow(build_index, "block int, payload binary"))
+    index = dealt.groupBy("block").applyInArrow(build_index, "block int, payload binary")
     asked = queries.dropDuplicates(["id"]).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(q_blocks)).cast("int"))
     packed = asked.groupBy("block").applyInArrow(pack_queries, "block int, payload binary")
-    spread = packed.select(F.col("block").alias("q_block"), F.col("payload").alias("queries"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    pairs = spread.join(index.select("block", F.col("payload").alias("index")), "block")
-    dealt = pairs.repartition(min(MOST_TASKS, blocks * q_blocks), "block", "q_block")
-    found = dealt.groupBy("block", "q_block").applyInArrow(score_pairs(k, uuid.uuid4().hex), "query_id long, vec_id long, score long")
+    tasks = min(MOST_TASKS, 4 * blocks * q_blocks)  # more than pairs, as few pairs should share one
+
+    def side(df: DataFrame, block, q_block):
+        return df.select(block.alias("block"), q_block.alias("q_block"), "payload").repartition(tasks, "block", "q_block").groupBy("block", "q_block")
+
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    pairs = side(index, F.col("block"), each(q_blocks)).cogroup(side(packed, each(blocks), F.col("block")))
+    found = pairs.applyInArrow(score_pairs(k, uuid.uuid4().hex), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id")))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

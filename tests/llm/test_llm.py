@@ -292,6 +292,22 @@ def test_topk_repeated_ids(spark):
     assert [(-r["score"], r["vec_id"]) for r in got] in scores and q
 
 
+def test_topk_pairs(spark, monkeypatch):
+    """Pairs of blocks grow with the rows alone until query blocks are full; several blocks give the same rows as one."""
+    assert topk.query_blocks(1_026, 7) == 3 and topk.query_blocks(12_000, 74) == 3  # 24 before, each with a copy of its block of rows
+    assert topk.query_blocks(0, 1) == 1 and topk.query_blocks(400_000, 2_500) == 25
+    r = random.Random(5)
+    v = {i: [r.randrange(-64, 64) / 64 for _ in range(6)] for i in range(400)}
+    ints = topk.integer_vectors(spark.createDataFrame(list(v.items()), "vec_id long, embedding array<double>"))
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 90)
+    monkeypatch.setattr(topk, "BLOCK_QUERIES", 3)
+    got = defaultdict(list)
+    for q in topk.search(ints, ints.where("id % 50 = 0"), 5).orderBy("query_id", "rank").collect():
+        got[q["query_id"]].append((-q["score"], q["vec_id"]))
+    w = {i: [int(256 * x) for x in u] for i, u in v.items()}
+    assert len(got) == 8 and all(got[i] == sorted((-sum(a * b for a, b in zip(w[i], u)), j) for j, u in w.items() if j != i)[:5] for i in got)
+
+
 def _block(m, ids=None):
     import numpy as np
     import pyarrow as pa
