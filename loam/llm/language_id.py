@@ -34,6 +34,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,6 +54,7 @@ DECAY = 1e-6
 WORD_BITS = 17
 GRAM_BITS = 15
 FOLDS = 5
+CHUNK_BYTES = 500_000  # a worker holds some hundred bytes for each while it labels
 
 LETTER = np.zeros(256, bool)
 LETTER[0x41:0x5B] = LETTER[0x61:0x7B] = True
@@ -311,29 +313,37 @@ def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_
     if model is None:
         return docs.select(*names, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    base = docs.select(F.when(has, F.coalesce(F.col("text"), F.lit(""))).otherwise(F.lit("")).alias("_read"), *names)
+    sent = [c for c in names if c != "text"]  # the text goes once, however it is used: batches of texts are what a worker and its executor hold
+    base = docs.select(has.alias("_has"), F.col("text").alias("_text"), *sent)
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names] + ["lang_pred string", "score double"])
 
     def run(batches):
         model = shared.value
         for batch in batches:
-            ids = pa.array(np.arange(batch.num_rows))
-            pred, score = np.full(batch.num_rows, -1), np.zeros(batch.num_rows)
-            for rows, data, starts in bw.chunks([pa.record_batch([ids, batch.column(0)], names=["i", "t"])], 1_000_000):
-                data = data.copy()
-                data[starts[1:] - 1] = 0x0A
-                begin, end, first = words_and_chains(data)
-                if not len(begin):
-                    continue
-                post, _, _ = forward_backward(model.scores(features(folded(data), begin, end)), first, model.moves, model.starts)
-                doc = np.searchsorted(starts, begin, "right") - 1
-                share = np.stack([np.bincount(doc, post[:, j], len(rows)) for j in range(post.shape[1])], 1)
-                n = np.bincount(doc, minlength=len(rows))
-                some = n > 0
-                pred[rows[some]] = share[some].argmax(1)
-                score[rows[some]] = (share[some].max(1) / n[some]).clip(0, 1)
-            langs = np.array([*model.langs, "und"], object)
-            yield pa.record_batch([*[batch.column(i + 1) for i in range(len(names))], pa.array(langs[pred], pa.string()), pa.array(score)], names=[*names, "lang_pred", "score"])
+            yield labelled(model, batch)
+            del batch
+            bw.give_back()
+
+    def labelled(model, batch):
+        ids = pa.array(np.arange(batch.num_rows))
+        pred, score = np.full(batch.num_rows, -1), np.zeros(batch.num_rows)
+        read = pc.if_else(batch.column(0), batch.column(1), "")
+        for rows, data, starts in bw.chunks([pa.record_batch([ids, read], names=["i", "t"])], CHUNK_BYTES):
+            data = data.copy()
+            data[starts[1:] - 1] = 0x0A
+            begin, end, first = words_and_chains(data)
+            if not len(begin):
+                continue
+            post, _, _ = forward_backward(model.scores(features(folded(data), begin, end)), first, model.moves, model.starts)
+            doc = np.searchsorted(starts, begin, "right") - 1
+            share = np.stack([np.bincount(doc, post[:, j], len(rows)) for j in range(post.shape[1])], 1)
+            n = np.bincount(doc, minlength=len(rows))
+            some = n > 0
+            pred[rows[some]] = share[some].argmax(1)
+            score[rows[some]] = (share[some].max(1) / n[some]).clip(0, 1)
+        langs = np.array([*model.langs, "und"], object)
+        columns = {"text": batch.column(1)} | {c: batch.column(i + 2) for i, c in enumerate(sent)}
+        return pa.record_batch([*[columns[c] for c in names], pa.array(langs[pred], pa.string()), pa.array(score)], names=[*names, "lang_pred", "score"])
 
     return base.mapInArrow(run, schema)
 
