@@ -359,3 +359,19 @@ def test_renderings():
     assert export.render("text", nodes, es, [["a", "b", "a"]]).endswith("cycles detected (1):\n  a -> b -> a\n")
     assert '  "a" -> "b" [label="imports"];' in export.render("dot", nodes, es)
     assert export.render("mermaid", nodes, es) == 'graph TD\n  n0["a"]\n  n1["b"]\n  n0 -->|imports| n1\n'
+
+
+def test_relations_are_dealt_by_rows(spark, tmp_path, monkeypatch):
+    """Tasks before the first aggregate hold a bounded number of rows, however large the files; edges stay a set."""
+    from loam.sources import adapters
+
+    ends = {"lineitem": ("l_orderkey", "l_partkey"), "orders": ("o_orderkey", "o_custkey"), "customer": ("c_custkey", "c_nationkey"), "supplier": ("s_suppkey", "s_nationkey"), "nation": ("n_nationkey", "n_regionkey")}
+    for name, (a, b) in ends.items():
+        spark.range(40).selectExpr(f"id div 2 AS {a}", f"id div 4 AS {b}").coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    monkeypatch.setattr(adapters, "EDGE_ROWS", 10)
+    asked, real = [], type(spark.range(1)).repartition
+    monkeypatch.setattr(type(spark.range(1)), "repartition", lambda self, n, *c: asked.append(n) or real(self, n, *c))
+    got = [tuple(r) for r in adapters.relations(spark, str(tmp_path)).select("from_path", "to_path", "kind").collect()]
+    assert asked == [4, 4, 4, 4]
+    assert len([x for x in got if x[2] == "contains"]) == 20 and len([x for x in got if x[2] == "placed_by"]) == 40
+    assert ("/order/3", "/part/1", "contains") in got
