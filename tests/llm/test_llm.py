@@ -579,6 +579,23 @@ def test_both_forms_of_the_agenda():
         assert e._short(pieces.MARK + w) == e._long(pieces.MARK + w) == want
 
 
+def test_many_words_side_by_side(monkeypatch):
+    """Short words go side by side, none through the agenda of one word, with the heap's and the library's pieces."""
+    e, r = pieces.Encoder(pieces.read_model(MODEL)), random.Random(7)
+    letters = "eeeeaaatttoinsrhldu\u00e4\u00f1\n\u6f22\u2603\u0627.0"
+    words = ["".join(r.choice(letters) for _ in range(r.randint(1, pieces.SHORT - 1))) for _ in range(4000)] + ["a\U0001f389b", "\u2603", "", "e" * 23]
+    want = e.lib.encode(words)
+    asked = []
+    one = e.agenda
+    monkeypatch.setattr(e, "agenda", lambda s: asked.append(s) or one(s))
+    got = [pieces.unpacked(x) for x in e.many(words)]
+    assert not asked
+    for w, mine, theirs in zip(words, got, want):
+        assert mine == e._long(pieces.MARK + w) and (mine == theirs or not w)
+    text = " ".join(w for w in words if w)
+    assert e.encode([text, "a  b"]) == [(e.lib.encode(text), True), (e.lib.encode("a  b"), True)]
+
+
 def test_unbroken_texts_of_a_megabyte():
     import time
 
