@@ -579,6 +579,36 @@ def test_both_forms_of_the_agenda():
         assert e._short(pieces.MARK + w) == e._long(pieces.MARK + w) == want
 
 
+def test_stages_bound_what_workers_hold(spark):
+    """Every stage has texts go to Python in small batches, and an idle worker gives up its tables of powers."""
+    import corpus_pipeline
+    import numpy as np
+    import pyarrow as pa
+
+    from loam.llm import bytework as bw
+
+    sizes = lambda batches: (pa.record_batch([pa.array([b.num_rows])], names=["n"]) for b in batches)
+    docs = docs_of(spark, [(1, "a text of some words")]).withColumn("n_chars", F.lit(20).cast("long"))
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for _, stage in corpus_pipeline.STAGES:
+            spark.conf.set(name, "10000")
+            stage(spark, docs, "/root/testdata/sf0.001")
+            got = [r["n"] for r in spark.range(3000, numPartitions=1).mapInArrow(sizes, "n long").collect()]
+            assert sum(got) == 3000 and max(got) <= corpus_pipeline.BATCH_ROWS
+        spark.conf.set(name, "7")
+        stage(spark, docs, "/root/testdata/sf0.001")
+        assert spark.conf.get(name) == "7"
+    finally:
+        spark.conf.set(name, before)
+    data = np.arange(1_000_000, dtype=np.uint64)
+    want = bw.Slices(data)(np.array([5]), np.array([900_000]))
+    bw.give_back()
+    assert bw._Powers.up.nbytes + bw._Powers.down.nbytes <= 1 << 20
+    assert (bw.Slices(data)(np.array([5]), np.array([900_000])) == want).all()
+
+
 def test_many_words_side_by_side(monkeypatch):
     """Short words go side by side, none through the agenda of one word, with the heap's and the library's pieces."""
     e, r = pieces.Encoder(pieces.read_model(MODEL)), random.Random(7)
