@@ -222,6 +222,17 @@ def test_text_index(spark, tmp_path):
     agree("kiln")
 
 
+def test_postings_leave_their_row_finished(spark):
+    """A text's occurrences are grouped in its row: no exchange, and the places of names and contents sorted."""
+    from loam.operators import text_index
+
+    texts = spark.createDataFrame([("/a", ["b", "a", "b"], ["a", "c"]), ("/b", [], []), ("/c", [], ["z"])], "path string, n array<string>, c array<string>")
+    got = text_index._postings(texts, "path")
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    B = text_index.BREAK
+    assert sorted((r["path"], r["token"], r["places"]) for r in got.collect()) == [("/a", "a", [1, B]), ("/a", "b", [0, 2]), ("/a", "c", [B + 1]), ("/c", "z", [B])]
+
+
 def test_text_index_skips_ranges(spark, tmp_path, monkeypatch):
     """Many documents of different lengths: the best are found without the ranges that can't have them."""
     from loam.operators import text_index
